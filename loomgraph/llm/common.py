@@ -182,15 +182,3 @@ def text_buffers(array) -> tuple[np.ndarray, np.ndarray]:
     _, off, data = array.buffers()
     offsets = np.frombuffer(off, np.int64 if large else np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
-
-
-def window_hashes(words: np.ndarray, docs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rolling hash of every `size` consecutive words of one text, and the word index at which each begins."""
-    n = len(words)
-    if n < size:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    p, inv = powers(_WORD_BASE, n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * p, out=total[1:])
-    at = np.flatnonzero(docs[: n - size + 1] == docs[size - 1 :])
-    return mix((total[at + size] - total[at]) * inv[at]), at

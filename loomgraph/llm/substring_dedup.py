@@ -5,7 +5,7 @@ chunk (only the smallest id of a chunk travels, so a passage that a third of all
 and deals the hashes by value. For each hash the smallest id over the whole corpus is found; every other text that
 holds the window gets it back as a flag. Flagged windows of a text merge into maximal removal intervals.
 
-Only packed hashes (about 8 bytes a window), flags, and each text once are shuffled. Two different windows of the
+Only packed hashes (under 8 bytes a window), flags, and each text once are shuffled. Two different windows of the
 corpus are taken for equal if their 64-bit hashes are: under one in a thousand for a whole corpus of 10^8 windows.
 """
 
@@ -16,12 +16,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import PLAIN, hash_words, partitions, small_batches, text_buffers, window_hashes
+from loomgraph.llm.common import _WORD_BASE, PLAIN, hash_words, mix, partitions, powers, small_batches, text_buffers
 
 _LAST = np.iinfo(np.int64).max
 _CHUNK = 2_000_000
 
 
+#: Words of the short grams whose smallest hash decides where a window is dealt.
+_GRAM = 8
+_TOP = np.uint64(0xFFFF << 48)
+
+
+def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
+    """Smallest of every `width` consecutive values, by doubling."""
+    m, p = a, 1
+    while 2 * p <= width:
+        m, p = np.minimum(m[:-p], m[p:]), 2 * p
+    n = len(a) - width + 1
+    return np.minimum(m[:n], m[width - p : width - p + n])
+
+
+def window_hashes(words: np.ndarray, docs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rolling hash of every `size` consecutive words of one text, and the word index at which each begins.
+
+    The upper 16 bits come from the smallest hash of the window's short grams, which neighbouring windows mostly share:
+    dealt by value, a text's windows reach few buckets, so flags return in few rows whatever the number of buckets.
+    """
+    n = len(words)
+    if n < size:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    p, inv = powers(_WORD_BASE, n)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * p, out=total[1:])
+    gram = min(_GRAM, size)
+    least = _sliding_min(mix((total[gram:] - total[: n - gram + 1]) * inv[: n - gram + 1]), size - gram + 1)
+    at = np.flatnonzero(docs[: n - size + 1] == docs[size - 1 :])
+    return mix((total[at + size] - total[at]) * inv[at]) & ~_TOP | mix(least[at]) & _TOP, at
+
+
 def _planes(a: np.ndarray) -> bytes:
     """Byte planes: equal leading bytes of sorted values lie together, where the shuffle's compression removes them."""
     return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
