@@ -13,3 +13,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomgraph-"))
     return df.checkpoint()
+
+
+def scratch(spark) -> str:
+    """A folder of the application that driver and executors share."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomgraph-"))
+    return sc.getCheckpointDir()
