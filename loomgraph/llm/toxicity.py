@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import small_batches, written
@@ -145,9 +146,22 @@ class KnnModel:
         return float(1 / (1 + np.exp(-np.clip(self.slope * vote + self.offset, -30, 30)))), [self.ids[i] for i in ids], sims.tolist()
 
 
+def _one_of_each(rows: DataFrame, bands: int = 5, width: int = 3) -> DataFrame:
+    """Sampled rows without copies and near copies (equal texts, or a band of min-hashes in common): else the chance
+    words of one much-copied text would look as if they were tied to its label. The sample is bounded, so are windows."""
+    words = F.filter(F.map_keys("terms"), lambda t: ~F.endswith(t, F.lit("*")))
+    rows = rows.withColumn("_b0", F.col("h"))
+    for b in range(bands):
+        least = [F.array_min(F.transform(words, lambda t, k=b * width + j: F.xxhash64(F.lit(k), t))) for j in range(width)]
+        rows = rows.withColumn(f"_b{b + 1}", F.when(F.size(words) > 0, F.xxhash64(*least)).otherwise(F.col("id")))
+    for b in range(bands + 1):
+        rows = rows.withColumn(f"_r{b}", F.row_number().over(W.partitionBy(f"_b{b}").orderBy("id", "y")))
+    return rows.where(" and ".join(f"_r{b} = 1" for b in range(bands + 1))).select("id", "y", "h", "terms")
+
+
 def fit(docs: DataFrame, labels: DataFrame, how: Knn = Knn(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> KnnModel:
     """Fit on at most how.per_class rows of each label, picked by a hash of the id. Rows with null id or label, labels
-    other than 0 and 1, and equal texts beyond the first are left out; no usable row gives a model that scores 0."""
+    other than 0 and 1, and texts that are copies or near copies of others in the sample are left out; no usable row gives a model that scores 0."""
     labels = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").distinct()
     order = [F.xxhash64(F.lit(how.seed), "id"), F.col("id")]
     picked = labels.where("y = 1").orderBy(*order).limit(how.per_class).union(labels.where("y = 0").orderBy(*order).limit(how.per_class))
@@ -165,8 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: Knn = Knn(), id_col: str = "doc
 
     terms.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     rows = texts.select("id", "y", F.xxhash64("text").alias("h"), F.arrow_udf(terms, "map<string,long>")("text").alias("terms"))
-    rows = written(rows, "labelled-terms").orderBy("id").dropDuplicates(["h"])
-    rows = written(rows, "labelled-terms")
+    rows = written(_one_of_each(written(rows, "labelled-terms")), "labelled-terms")
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
