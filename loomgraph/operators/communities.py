@@ -77,9 +77,9 @@ def _nmi(cells: DataFrame, keys: list[str]) -> DataFrame:
     x, y = W.partitionBy(*keys, "x"), W.partitionBy(*keys, "y")
     c = cells.withColumn("t", F.sum("n").over(total)).withColumn("a", F.sum("n").over(x)).withColumn("b", F.sum("n").over(y))
     p = F.col("n") / F.col("t")
-    c = c.select(*keys, (p * F.ln(p * F.col("t") * F.col("t") / (F.col("a") * F.col("b")))).alias("i"), (-p * F.ln(F.col("a") / F.col("t"))).alias("hx"), (-p * F.ln(F.col("b") / F.col("t"))).alias("hy"))
-    s = c.groupBy(*keys).agg(F.sum("i").alias("i"), (F.sum("hx") + F.sum("hy")).alias("h"))
-    return s.select(*keys, F.when(F.col("h") > 1e-12, 2 * F.col("i") / F.col("h")).otherwise(1.0).alias("nmi"))
+    c = c.select(*keys, (p * F.ln(p * F.col("t") * F.col("t") / (F.col("a") * F.col("b")))).alias("_mi"), (-p * F.ln(F.col("a") / F.col("t"))).alias("_hx"), (-p * F.ln(F.col("b") / F.col("t"))).alias("_hy"))
+    s = c.groupBy(*keys).agg(F.sum("_mi").alias("_mi"), (F.sum("_hx") + F.sum("_hy")).alias("_h"))
+    return s.select(*keys, F.when(F.col("_h") > 1e-12, 2 * F.col("_mi") / F.col("_h")).otherwise(1.0).alias("nmi"))
 
 
 def nmi(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ query("graph_filter", "g4", "SELECT u, v FROM ue WHERE u IN (SELECT id FROM deg
 query("ego_network", "g4", "SELECT u, v, 'incident' AS kind FROM ue, hub WHERE u = id OR v = id UNION ALL SELECT u, v, 'among' FROM ue WHERE u IN (SELECT v FROM a, hub WHERE u = id) AND v IN (SELECT v FROM a, hub WHERE u = id)")(lambda c: G.ego_network(c.pairs, c.hub))
 query("weight_threshold", "g4", "SELECT u, v, w AS weight FROM uw WHERE w >= 30")(lambda c: G.weight_threshold(c.weighted, 30))
 query("remove_node", "g4", "SELECT s AS source, t AS target, w AS weight FROM e, hub WHERE s <> id AND t <> id")(lambda c: G.remove_node(c.edges, c.hub))
-query("name_search", "g4", "SELECT id, name, k FROM nodes JOIN deg USING (id) WHERE contains(lower(name), '1') ORDER BY starts_with(lower(name), '1') DESC, k DESC, id LIMIT 8")(lambda c: G.name_search(c.nodes, c.degree, "1"))
+query("name_search", "g4", "SELECT id, name, k FROM nodes JOIN deg USING (id) WHERE contains(lower(name), 'r') ORDER BY starts_with(lower(name), 'r') DESC, k DESC, id LIMIT 8")(lambda c: G.name_search(c.nodes, c.degree, "R"))
 query("name_search_folded", "g4", "SELECT id, name, k FROM nodes JOIN deg USING (id) WHERE contains(strip_accents(lower(name)), 'p') ORDER BY starts_with(strip_accents(lower(name)), 'p') DESC, k DESC, id LIMIT 8")(lambda c: G.name_search(c.nodes, c.degree, "P", folded=True))
 query("missing_endpoint_nodes", "g4", "SELECT DISTINCT x AS id, replace(CAST(x AS VARCHAR), '_', ' ') AS name FROM (SELECT s AS x FROM e UNION SELECT t FROM e) WHERE x NOT IN (SELECT id FROM nodes WHERE size > 10)")(lambda c: G.missing_endpoints(c.nodes.where("size > 10"), c.edges))
 
@@ -88,7 +88,7 @@ query("name_mismatch", "g4", "SELECT id, replace(name, ' ', '_') || CASE WHEN id
 
 query("join_node_attrs", "g4", "SELECT u AS id, COALESCE(name, CAST(u AS VARCHAR)) AS name FROM (SELECT DISTINCT u FROM a) LEFT JOIN (SELECT * FROM nodes WHERE size > 20) ON id = u")(lambda c: c.adj.select(F.col("u").alias("id")).distinct().join(c.nodes.where("size > 20").select("id", "name"), "id", "left").select("id", F.coalesce("name", F.col("id").cast("string")).alias("name")))
 query("join_edge_endpoint_degrees", "g4", "SELECT a.u, a.v, x.k AS ku, y.k AS kv FROM a JOIN deg x ON x.id = a.u JOIN deg y ON y.id = a.v")(lambda c: C.edge_degrees(c.nodes, c.pairs))
-query("anti_join", "g4", "SELECT id FROM nodes WHERE id NOT IN (SELECT s FROM e)")(lambda c: c.nodes.select("id").join(c.edges.select(F.col("source").alias("id")), "id", "left_anti"))
+query("anti_join", "g4", "SELECT id FROM nodes WHERE id NOT IN (SELECT s FROM e WHERE w > 40)")(lambda c: c.nodes.select("id").join(c.edges.where("weight > 40").select(F.col("source").alias("id")), "id", "left_anti"))
 query("semi_join", "g4", "SELECT id, type FROM nodes WHERE id IN (SELECT doc_id FROM documents WHERE n_chars >= 2000)")(lambda c: c.nodes.select("id", "type").join(c.table("documents").where("n_chars >= 2000").select(F.col("doc_id").alias("id")), "id", "left_semi"))
 query("wedge_self_join", "g1", "SELECT x.v AS k, x.u AS a, y.u AS b FROM a x JOIN a y ON x.v = y.v AND x.u < y.u")(lambda c: c.adj.toDF("a", "k").join(c.adj.toDF("b", "k"), "k").where("a < b").select("k", "a", "b"))
 query("pair_cross_join", "g1", "SELECT x.run AS i, y.run AS j FROM (SELECT DISTINCT run FROM rr) x, (SELECT DISTINCT run FROM rr) y WHERE x.run < y.run")(lambda c: c.runs.select(F.col("run").alias("i")).distinct().crossJoin(c.runs.select(F.col("run").alias("j")).distinct()).where("i < j"))
@@ -152,14 +152,14 @@ def _top(c, column):
     return G.degrees(c.nodes, c.edges).orderBy(F.desc(column), "id").limit(10).select("id")
 
 
-query("top_n_overlap", "g4", "SELECT id FROM (SELECT id FROM dio ORDER BY i DESC, id LIMIT 10) JOIN (SELECT id FROM dio ORDER BY o DESC, id LIMIT 10) USING (id) JOIN (SELECT id FROM dio ORDER BY i + o DESC, id LIMIT 10) USING (id)")(lambda c: _top(c, "in_degree").intersect(_top(c, "out_degree")).intersect(_top(c, "degree")))
+query("top_n_overlap", "g4", "SELECT id FROM (SELECT id FROM dio ORDER BY i DESC, id LIMIT 10) JOIN (SELECT id FROM dio ORDER BY i + o DESC, id LIMIT 10) USING (id)")(lambda c: _top(c, "in_degree").intersect(_top(c, "degree")))
 query("top_n_difference", "g4", "SELECT id FROM (SELECT id FROM dio ORDER BY i DESC, id LIMIT 10) WHERE id NOT IN (SELECT id FROM dio ORDER BY o DESC, id LIMIT 10)")(lambda c: _top(c, "in_degree").join(_top(c, "out_degree"), "id", "left_anti"))
 query("top_bottom_k", "g4", "(SELECT id, i - o AS gap FROM dio ORDER BY 2 DESC, 1 LIMIT 10) UNION ALL (SELECT id, i - o AS gap FROM dio ORDER BY 2, 1 LIMIT 5)")(lambda c: (lambda d: d.orderBy(F.desc("gap"), "id").limit(10).union(d.orderBy("gap", "id").limit(5)))(G.degrees(c.nodes, c.edges).select("id", (F.col("in_degree") - F.col("out_degree")).alias("gap"))))
 query("strongest_edges", "g4", "SELECT u, v, w AS weight FROM uw ORDER BY w DESC, u, v LIMIT 6")(lambda c: c.weighted.orderBy(F.desc("weight"), "u", "v").limit(6))
 query("strongest_dropped_edge", "g4", "SELECT u, v, w AS weight FROM uw WHERE w < 50 ORDER BY w DESC, u, v LIMIT 1")(lambda c: c.weighted.where("weight < 50").orderBy(F.desc("weight"), "u", "v").limit(1))
 query("set_union", "g4", "SELECT s AS id FROM e UNION SELECT t FROM e")(lambda c: V.endpoints(c.edges))
 query("set_intersect", "g4", "SELECT s AS id FROM e INTERSECT SELECT t FROM e")(lambda c: c.edges.select(F.col("source").alias("id")).intersect(c.edges.select(F.col("target").alias("id"))))
-query("set_except", "g4", "SELECT id FROM nodes EXCEPT SELECT s FROM e")(lambda c: c.nodes.select("id").exceptAll(c.edges.select(F.col("source").alias("id")).distinct()))
+query("set_except", "g4", "SELECT id FROM nodes EXCEPT SELECT s FROM e WHERE w > 45")(lambda c: c.nodes.select("id").exceptAll(c.edges.where("weight > 45").select(F.col("source").alias("id")).distinct()))
 query("jaccard_neighborhoods", "g1", ", p AS (SELECT u, v FROM a UNION SELECT u, u FROM a), z AS (SELECT u, COUNT(*) AS n FROM p GROUP BY 1) SELECT ue.u, ue.v, ROUND(x.c / (m.n + o.n - x.c), 6) AS jaccard FROM ue JOIN z m ON m.u = ue.u JOIN z o ON o.u = ue.v JOIN (SELECT f.u AS a1, g.u AS b1, COUNT(*) AS c FROM p f JOIN p g ON f.v = g.v GROUP BY 1, 2) x ON x.a1 = ue.u AND x.b1 = ue.v")(
     lambda c: (lambda p: c.pairs.join(p.toDF("u", "x"), "u").join(p.toDF("v", "x"), ["v", "x"]).groupBy("u", "v").agg(F.count("*").alias("c")).join(p.groupBy("u").agg(F.count("*").alias("nu")), "u").join(p.groupBy(F.col("u").alias("v")).agg(F.count("*").alias("nv")), "v").select("u", "v", (F.col("c") / (F.col("nu") + F.col("nv") - F.col("c"))).alias("jaccard")))(c.adj.union(c.adj.select("u", F.col("u").alias("v")).distinct()))
 )

@@ -104,7 +104,7 @@ def _pagerank_sql(keep: bool, rounds: int = 30) -> str:
 query("pagerank", "g1", _pagerank_sql(True) + " SELECT id, ROUND(p, 6) AS pr FROM p30")(lambda c: C.pagerank(c.nodes, c.edges))
 query("pagerank_leak", "g1", _pagerank_sql(False) + " SELECT ROUND(SUM(p), 6) AS mass FROM p30")(lambda c: C.pagerank(c.nodes, c.edges, keep_mass=False).agg(F.sum("pr").alias("mass")))
 query("pagerank_contributors", "g1", _pagerank_sql(True) + " SELECT id, source, share, place FROM (SELECT e.t AS id, e.s AS source, ROUND(0.85 * p / k, 6) AS share, CAST(ROW_NUMBER() OVER (PARTITION BY e.t ORDER BY ROUND(0.85 * p / k, 9) DESC, e.s) AS INTEGER) AS place FROM e JOIN p30 ON p30.id = e.s JOIN od ON od.s = e.s) WHERE place <= 3")(lambda c: C.pagerank_contributors(C.pagerank(c.nodes, c.edges), c.edges))
-query("dangling_nodes", "g4", "SELECT id FROM dio WHERE o = 0")(lambda c: G.degrees(c.nodes, c.edges).where("out_degree = 0").select("id"))
+query("dangling_nodes", "g1", "SELECT id FROM dio WHERE o = 0")(lambda c: G.degrees(c.nodes, c.edges).where("out_degree = 0").select("id"))
 query("avg_neighbor_degree", "g4", "SELECT deg.id, deg.k, ROUND(AVG(y.k), 6) AS knn FROM deg LEFT JOIN a ON a.u = deg.id LEFT JOIN deg y ON y.id = a.v GROUP BY 1, 2")(lambda c: C.neighbor_degree(c.nodes, c.pairs))
 query("knn_curve", "g4", "SELECT k, ROUND(AVG(m), 6) AS knn, COUNT(*) AS n FROM (SELECT x.id, x.k, AVG(y.k) AS m FROM deg x JOIN a ON a.u = x.id JOIN deg y ON y.id = a.v GROUP BY 1, 2) GROUP BY 1")(lambda c: C.neighbor_degree(c.nodes, c.pairs).where("k > 0").groupBy("k").agg(F.avg("knn").alias("knn"), F.count("*").alias("n")))
 query("degree_assortativity", "g4", "SELECT ROUND(corr(x.k, y.k), 6) AS r FROM a JOIN deg x ON x.id = a.u JOIN deg y ON y.id = a.v")(lambda c: C.edge_degrees(c.nodes, c.pairs).agg(F.corr("ku", "kv").alias("r")))
