@@ -131,4 +131,21 @@ k AS (SELECT w.doc_id, ws, COALESCE(gone, []) AS gone FROM w LEFT JOIN g USING (
 o AS (SELECT doc_id, i, ws[i + 1] AS word FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS i FROM w) x ANTI JOIN gone USING (doc_id, i)),
 t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM o GROUP BY 1)
 SELECT k.doc_id, len(ws)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256 FROM k LEFT JOIN t USING (doc_id)""",
+    "op3_warc": """
+WITH p AS (SELECT page_id, COALESCE(html, '') AS h, MIN(page_id) OVER (PARTITION BY COALESCE(html, '')) AS f FROM pages),
+b AS (SELECT page_id, h, f, array_to_string(list_transform(string_split(sha1(h), ''), lambda x: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', x)]), '') AS bits FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + list_sum(list_transform(range(5), lambda j: CASE WHEN substr(bits, (5 * k + j + 1)::BIGINT, 1) = '1' THEN 1 << (4 - j)::INTEGER ELSE 0 END)))::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to FROM b""",
+    "op8_decontaminate": r"""
+WITH low AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+it AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+iw AS (SELECT item, ws, LEAST(len(ws), 10) AS n, unnest(range(GREATEST(len(ws) - 9, 1))) AS p FROM it WHERE len(ws) > 0),
+ik AS (SELECT DISTINCT item, n, md5(array_to_string(ws[p + 1 : p + n], ' ')) AS k FROM iw),
+dw AS (SELECT doc_id, n, unnest(range(len(ws) - n + 1)) AS p, ws FROM low, (SELECT DISTINCT n FROM ik) WHERE len(ws) >= n),
+hit AS (SELECT doc_id, p, n, item FROM (SELECT doc_id, p, n, md5(array_to_string(ws[p + 1 : p + n], ' ')) AS k FROM dw) JOIN ik USING (n, k)),
+cov AS (SELECT doc_id, COUNT(*) AS n_hit FROM (SELECT DISTINCT doc_id, p + unnest(range(n)) AS i FROM hit) GROUP BY 1),
+its AS (SELECT doc_id, COUNT(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, COALESCE(n_hit, 0)::BIGINT AS n_hit, COALESCE(n_items, 0)::BIGINT AS n_items, sha256(COALESCE(names, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
+FROM low LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""",
 }
