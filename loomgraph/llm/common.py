@@ -125,6 +125,14 @@ PLAIN = byte_table(bytes(b for b in range(1, 256) if b != 0x20 and not 9 <= b <=
 FOLDED = byte_table(bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]), lower=True)
 
 
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the byte strings data[start:end]."""
+    p, inv = powers(_BYTE_BASE, len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p, out=total[1:])
+    return mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+
 def _slice_words(buf: np.ndarray, cuts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(buf)
     vals = table[buf]
@@ -138,11 +146,7 @@ def _slice_words(buf: np.ndarray, cuts: np.ndarray, table: np.ndarray) -> tuple[
     first[cuts] = inside[cuts]
     last[cuts - 1] = inside[cuts - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    p, inv = powers(_BYTE_BASE, n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((vals.astype(np.uint64) + np.uint64(1)) * p, out=total[1:])
-    h = (total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-    return mix(h), starts
+    return hash_spans(vals, starts, ends), starts
 
 
 def hash_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

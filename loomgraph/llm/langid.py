@@ -10,7 +10,6 @@ number of words.
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import small_batches
+from loomgraph.llm.common import hash_spans, mix, small_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-_SEGMENT, _PIECE, _KNOWN = 64, 1 << 18, 250_000
+_SEGMENT, _PIECE, _KNOWN, _GROUP = 64, 1 << 18, 600_000, 100
 
 
 @dataclass(frozen=True)
@@ -46,18 +45,41 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def features_of(word: str, lexicon: set, dims: int) -> list[int]:
-    w = f"<{word}>" if len(word) <= 40 else f"<{word[:20]}{word[-20:]}>"
-    names = {"bias", *(w[:n] for n in (2, 3, 4)), *(w[-n:] for n in (2, 3, 4, 5)), *(w[i : i + 3] for i in range(len(w) - 2)), *(w[i : i + 2] for i in range(len(w) - 1))}
-    if word in lexicon:
-        names.add("=" + word)
-    return [zlib.crc32(x.encode()) % dims for x in names]
+def features(words: list[str], lexicon: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, feature) pairs of some words, by numbers: all UTF-8 n-grams of 2 to 4 bytes of the marked word, its
+    beginnings and endings, a bias, and the word itself if its hash is in the sorted lexicon."""
+    short = [w if len(w) <= 40 else w[:20] + w[-20:] for w in words]
+    raw = "".join(f"<{w}>" for w in short).encode()
+    data = np.frombuffer(raw, np.uint8).astype(np.uint64)
+    starts = np.flatnonzero(data == ord("<"))
+    ends = np.append(starts[1:], len(data))
+    owner = np.repeat(np.arange(len(words)), ends - starts)
+    left = np.repeat(ends, ends - starts) - np.arange(len(data))
+    who, what = [np.arange(len(words))], [np.zeros(len(words), np.int64)]
+
+    def add(at: np.ndarray, own: np.ndarray, n: int, salt: int) -> None:
+        code = np.full(len(at), n << 8 | salt, np.uint64)
+        for j in range(n):
+            code = code * np.uint64(0x100000001B3) + data[at + j]
+        who.append(own)
+        what.append((mix(code) % np.uint64(dims)).astype(np.int64))
+
+    for n in (2, 3, 4):
+        at = np.flatnonzero(left >= n)
+        add(at, owner[at], n, 0)
+    for n in (3, 4, 5, 6):
+        k = np.flatnonzero(ends - starts >= n)
+        add(starts[k], k, n, 1)
+        add(ends[k] - n, k, n, 2)
+    h = hash_spans(np.frombuffer(raw, np.uint8), starts, ends)
+    k = np.flatnonzero(np.isin(h, lexicon))
+    return np.concatenate([*who, k]), np.concatenate([*what, (h[k] % np.uint64(dims)).astype(np.int64)])
 
 
 class CrfModel:
     def __init__(self, langs: list[str], how: Crf):
         self.langs, self.how = langs, how
-        self.lexicon: set = set()
+        self.lexicon = np.zeros(0, np.uint64)
         self.weights = np.zeros((how.dims, len(langs)), np.float32)
         self.transitions = np.zeros((len(langs), len(langs)))
         self.reset()
@@ -74,26 +96,23 @@ class CrfModel:
         self.__dict__.update(state)
         self.reset()
 
+    def _learn(self, words: list[str]) -> None:
+        """Give words a row of exponentials of emission scores; runs without a letter get -1."""
+        self.number.update((w, -1) for w in words if not (w.isalpha() or any(map(str.isalpha, w))))
+        words = [w for w in words if w not in self.number]
+        if not words:
+            return
+        who, what = features(words, self.lexicon, self.how.dims)
+        x = np.stack([np.bincount(who, self.weights[what, c], len(words)) for c in range(len(self.langs))], 1)
+        while len(self.scores) < self.used + len(words):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        self.scores[self.used : self.used + len(words)] = np.exp(x - x.max(1, keepdims=True))
+        self.number.update(zip(words, range(self.used, self.used + len(words))))
+        self.used += len(words)
+
     def _rows(self, words: list[str]) -> np.ndarray:
-        """Row of each word in `scores`; -1 where a run has no letter."""
-        number = self.number
-        new = [w for w in set(words) if w not in number]
-        if len(number) + len(new) > _KNOWN and number:
-            self.reset()
-            number, new = self.number, list(set(words))
-        used = self.used
-        if len(self.scores) < used + len(new):
-            self.scores = np.concatenate([self.scores, np.zeros((max(len(self.scores), len(new)), self.scores.shape[1]))])
-        for w in new:
-            if w.isalpha() or any(map(str.isalpha, w)):
-                x = self.weights[features_of(w, self.lexicon, self.how.dims)].sum(0)
-                self.scores[used] = np.exp(x - x.max())
-                number[w] = used
-                used += 1
-            else:
-                number[w] = -1
-        self.used = used
-        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        rows = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        return rows[rows >= 0]
 
     def marginals(self, emit: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Marginals of every word, for sequences that lie end to end; emit: exp of emission scores, at most 1."""
@@ -143,9 +162,10 @@ class CrfModel:
         out = []
         for t in texts:
             words = words_of(t)
-            rows = self._rows(words)
-            words, rows = [w for w, r in zip(words, rows) if r >= 0], rows[rows >= 0]
-            best = self.marginals(self.scores[rows], np.array([len(rows)])).argmax(1) if len(rows) and self.langs else []
+            if self.langs:
+                self._learn(list(set(words).difference(self.number)))
+                words = [w for w in words if self.number[w] >= 0]
+            best = self.marginals(self.scores[self._rows(words)], np.array([len(words)])).argmax(1) if words and self.langs else []
             out.append([(w, self.langs[b]) for w, b in zip(words, best)])
         return out
 
@@ -159,24 +179,25 @@ class CrfModel:
             np.add.at(sums, owner, np.add.reduceat(m, np.cumsum([0, *lengths[:-1]])))
             held.clear(), lengths.clear(), owner.clear()
 
-        if self.langs:
-            for k, t in enumerate(texts):
-                words = words_of(t)
-                if held and len(self.number) + len(words) > _KNOWN:
+        for g in range(0, len(texts) if self.langs else 0, _GROUP):
+            lists = [words_of(t) for t in texts[g : g + _GROUP]]
+            new = set().union(*lists).difference(self.number)
+            if len(self.number) + len(new) > _KNOWN and self.number:
+                if held:
                     flush()  # rows of words that are about to be forgotten
-                for i in range(0, len(words), _PIECE):
-                    if i and held:
+                self.reset()
+                new = set().union(*lists)
+            self._learn(list(new))
+            for k, words in enumerate(lists, g):
+                rows = self._rows(words)
+                for i in range(0, len(rows), _PIECE):
+                    held.append(rows[i : i + _PIECE])
+                    lengths.append(len(held[-1]))
+                    owner.append(k)
+                    if sum(lengths) >= _PIECE:
                         flush()
-                    rows = self._rows(words[i : i + _PIECE])
-                    rows = rows[rows >= 0]
-                    if len(rows):
-                        held.append(rows)
-                        lengths.append(len(rows))
-                        owner.append(k)
-                if sum(lengths) >= _PIECE:
-                    flush()
-            if held:
-                flush()
+        if held:
+            flush()
         total = sums.sum(1)
         best = sums.argmax(1)
         return [self.langs[b] if n > 0 else UNKNOWN for b, n in zip(best, total)], [float(s[b] / n) if n > 0 else 0.0 for s, b, n in zip(sums, best, total)]
@@ -196,10 +217,13 @@ class CrfModel:
         if not len(counts):
             return
         names = list(numbers)
-        self.lexicon = {names[i] for i in np.flatnonzero(counts >= how.lexicon).tolist()}
-        lists = [features_of(w, self.lexicon, how.dims) for w in names]
-        size = np.array([len(x) for x in lists])
-        flat, start = np.concatenate([np.array(x, np.int64) for x in lists]), np.cumsum(size) - size
+        often = [names[i] for i in np.flatnonzero(counts >= how.lexicon).tolist()]
+        marked = [f"<{w if len(w) <= 40 else w[:20] + w[-20:]}>".encode() for w in often]
+        ends = np.cumsum([len(x) for x in marked])
+        self.lexicon = np.sort(hash_spans(np.frombuffer(b"".join(marked), np.uint8), ends - [len(x) for x in marked], ends)) if often else self.lexicon
+        who, what = features(names, self.lexicon, how.dims)
+        flat, size = what[np.argsort(who, kind="stable")], np.bincount(who, minlength=len(names))
+        start = np.cumsum(size) - size
         parts = []
         for ids, y in docs:
             cuts = np.cumsum(rng.integers(8, 48, max(1, len(ids) // 8)))
