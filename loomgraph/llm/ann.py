@@ -25,7 +25,7 @@ from loomgraph.llm.common import partitions, written
 class Ann:
     """sample: rows that centroids are fitted on; list_size: vectors a centroid stands for; max_centroids bounds what is
     broadcast; closure: boundary ratio of replication, at most `replicas` lists; probe_ratio and max_probes: lists that a
-    query opens; split: rows of one part of a list."""
+    query opens; split: rows, or queries, of one part of a list."""
 
     k: int = 10
     sample: int = 20_000
@@ -189,12 +189,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, how: Ann = Ann(), id_col: st
     asked = usable(queries).where(F.size("v") == one.n).distinct()
     asked = written(asked.repartition(partitions(spark), "id").mapInArrow(_lists(graph, how, how.probe_ratio, how.max_probes), shape), "probes")
     rows = written(rows, "lists")
-    parts = rows.groupBy("list").count().select("list", F.ceil(F.col("count") / how.split).cast("int").alias("parts"))
-    parts = written(parts, "list-sizes")
-    rows = rows.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    asked = asked.join(parts.toDF("list", "of"), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    asked, rows = (df.select("list", "part", "id", "v").toDF("list", "part", "id", "v") for df in (asked, rows))
-    found = asked.groupBy("list", "part").cogroup(rows.groupBy("list", "part")).applyInArrow(_top(how.k), "query_id long, id long, score double").distinct()
+    # long lists, and lists that very many queries open, are split; lists that no query opens stay where they are
+    pieces = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / how.split).cast("int").alias(name))
+    sizes = written(pieces(rows, "parts").join(pieces(asked, "asks"), "list"), "list-sizes")
+    piece = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    rows = rows.join(sizes, "list").withColumn("part", piece("parts")).withColumn("ask", every("asks"))
+    asked = asked.join(sizes.toDF("list", "parts", "asks"), "list").withColumn("ask", piece("asks")).withColumn("part", every("parts"))
+    key = ["list", "part", "ask"]
+    asked, rows = (df.select(*key, "id", "v").toDF(*key, "id", "v") for df in (asked, rows))
+    found = asked.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(_top(how.k), "query_id long, id long, score double").distinct()
     # every found vector stands for its copies: the smallest k + 1 ids of each
     copies = entries.where("r > 1").select("key", "v", F.col("id").alias("copy"))
     copies = entries.where("r = 1").select("id", "key", "v").join(copies, ["key", "v"]).select("id", "copy")

@@ -220,10 +220,10 @@ def test_nearest(spark):
     bad = [(2000, None), (2100, [0.0] * 12), (2200, [float("nan")] * 12), (2300, [None] + [1.0] * 11), (2400, [float("inf")] * 12), (2500, []), (None, [1.0] * 12), (2600, [1.0])]
     rows += [(i, v, 0, 1, "p") for i, v in bad] + [rows[3]]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, list int, key long, part string").repartition(4)
-    how = replace(ann.Ann(), split=100, list_size=40)
-    got = ann.nearest(v, v.where("vec_id % 100 = 0"), how).toPandas()
+    how = replace(ann.Ann(), split=20, list_size=40)
+    got = ann.nearest(v, v.where("vec_id % 25 = 0"), how).toPandas()
     x, hits, total = x.astype(np.float64), 0, 0
-    assert set(got.query_id) == set(range(0, 1500, 100))
+    assert set(got.query_id) == set(range(0, 1500, 25))
     for q, g in got.groupby("query_id"):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
         d[q] = np.inf
