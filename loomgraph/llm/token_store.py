@@ -11,9 +11,11 @@ document, and the bit-planes from the highest bit down.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 
@@ -25,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import new_path, open_uri, partitions, small_batches, written
+from loomgraph.llm.common import hash_spans, new_path, open_uri, partitions, small_batches, written
 
 _MAGIC = b"LGWM"
 SHARD_TOKENS = 2_000_000
-_CACHE = 300_000
+#: Pieces whose ids a worker keeps.
+_CACHE = 500_000
 
 
 class WaveletMatrix:
@@ -153,30 +156,149 @@ class TokenShard:
         return [None] * self.nulls + self.docs[self.nulls :].tolist()
 
 
+def _classes() -> np.ndarray:
+    """Of each byte: 0 white space, 1 letter (and all beyond ASCII), 2 digit, 3 other."""
+    out = np.full(256, 3, np.uint8)
+    out[[9, 10, 11, 12, 13, 32]] = 0
+    out[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+    out[48:58] = 2
+    return out
+
+
+_CLASS = _classes()
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _simple(c: str) -> bool:
+    """A character that pieces can be cut at by its class alone: printable ASCII, white space, or a letter that is in
+    composed form by itself, can't compose with others, and is lower-cased to one letter wherever it stands."""
+    if c < "\x80":
+        return " " <= c <= "~" or "\t" <= c <= "\r"
+    low, o = c.lower(), ord(c)
+    jamo = 0x1100 <= o < 0x1200 or 0xA960 <= o < 0xA980 or 0xD7B0 <= o < 0xD800
+    return c not in "Σς" and not jamo and len(low) == 1 and unicodedata.category(c)[0] == "L" == unicodedata.category(low)[0] and unicodedata.is_normalized("NFC", c)
+
+
 class Encoder:
-    """Ids of whole texts. Words between ASCII white space are encoded apart and kept, which the caller must know to be
-    exact for the tokenizer (it is where white space always ends a piece and is dropped)."""
+    """Ids of whole texts.
+
+    Where the tokenizer's own file says that it composes and lower-cases, drops white space, and cuts words into runs of
+    letters, digits and runs of other characters (and English contractions), texts are cut here, vectorised, and only
+    pieces not met before are encoded by the library, many in one call; the mark on each piece's last token tells their
+    ids apart. Words with an apostrophe are encoded whole; so are texts with anything unusual in them, and all texts if
+    the file says anything else. Pieces are known by 64-bit hashes.
+    """
+
+    PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 65536 else "<u4")
-        self.end = np.array([end_id], self.kind).tobytes()
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        size = max(self.tokenizer.get_vocab_size(), end_id + 1)
+        self.kind = np.dtype("<u2" if size <= 65536 else "<u4")
+        self.end = np.array([end_id], self.kind)
+        spec = json.loads(self.tokenizer.to_str())
+        steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        cut = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.cuts = steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in cut] == ["Split", "ByteLevel"] and bool(suffix)
+        self.cuts = self.cuts and bool(cut[0].get("invert")) and cut[0].get("behavior") == "Removed" and cut[0]["pattern"].get("Regex") == self.PATTERN and not cut[1].get("add_prefix_space")
+        self.cuts = self.cuts and spec.get("post_processor") is None and all(t["content"].startswith("<|") for t in spec.get("added_tokens", []))
+        if self.cuts:
+            self.last = np.zeros(size, bool)
+            self.last[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+            # for pieces that are cut, composed and lower-cased already: the same model without those steps
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self._forget()
+
+    def _forget(self) -> None:
+        self.row: dict[int, int] = {}
+        self.start, self.length, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.kind), 0
+
+    def _alone(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, hashes: list[int], texts: list[str]) -> None:
+        """Encode pieces, a hundred in one string, and words with an apostrophe by themselves."""
+        whole = [i for i, t in enumerate(texts) if "'" in t]
+        found: dict[int, np.ndarray] = dict(zip(whole, self._alone([texts[i] for i in whole])))
+        rest = [i for i in range(len(texts)) if i not in found]
+        parts = [rest[k : k + 100] for k in range(0, len(rest), 100)]
+        flat, size = [], []
+        for part, got in zip(parts, self.plain.encode_batch_fast([" ".join([texts[i] for i in p]) for p in parts], add_special_tokens=False)):
+            ids = np.array(got.ids, self.kind)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):
+                each = self._alone([texts[i] for i in part])
+                ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+            flat.append(ids)
+            size.append(np.diff(ends, prepend=0))
+        for x in found.values():
+            flat.append(x)
+            size.append(np.array([len(x)]))
+        ids, size = np.concatenate(flat), np.concatenate(size)
+        n, m = len(self.row), len(size)
+        while len(self.start) < n + m:
+            self.start, self.length = np.append(self.start, np.zeros_like(self.start)), np.append(self.length, np.zeros_like(self.length))
+        while len(self.ids) < self.used + len(ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.length[n : n + m] = size
+        self.start[n : n + m] = self.used + np.cumsum(size) - size
+        self.used += len(ids)
+        self.row.update(zip([hashes[i] for i in (*rest, *whole)], range(n, n + m)))
+
+    def _cut(self, texts: list[str]) -> list[np.ndarray]:
+        raws = [t.lower().encode() for t in texts]
+        ends = np.cumsum([len(r) + 1 for r in raws])
+        raw = b" ".join(raws) + b" "
+        data = np.frombuffer(raw, np.uint8)
+        kind = _CLASS[data]
+        inside = kind > 0
+        before, after = np.append(np.uint8(0), kind[:-1]), np.append(kind[1:], np.uint8(0))
+        first = inside & ((kind != before) | (kind == 2))
+        last = inside & ((kind != after) | (kind == 2))
+        quotes = np.flatnonzero(data == 39)
+        if len(quotes):  # words with an apostrophe stay whole
+            spaces = np.flatnonzero(~inside)
+            k = np.unique(np.searchsorted(spaces, quotes))
+            for a, b in zip((np.append(-1, spaces)[k] + 1).tolist(), spaces[k].tolist()):
+                first[a + 1 : b], last[a : b - 1] = False, False
+                first[a] = last[b - 1] = True
+        starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+        if not len(starts):
+            return [self.end] * len(texts)
+        uniq, where, back = np.unique(hash_spans(data, starts, stops), return_index=True, return_inverse=True)
+        keys = uniq.tolist()
+        if len(self.row) > _CACHE:
+            self._forget()
+        new = [i for i, h in enumerate(keys) if h not in self.row]
+        if new:
+            at = where[new]
+            self._learn([keys[i] for i in new], [raw[a:b].decode() for a, b in zip(starts[at].tolist(), stops[at].tolist())])
+        row = np.fromiter(map(self.row.__getitem__, keys), np.int64, len(keys))[back]
+        size = self.length[row]
+        upto = np.cumsum(size)
+        ids = self.ids[np.repeat(self.start[row] - upto + size, size) + np.arange(upto[-1])]
+        cuts = np.append(0, upto)[np.searchsorted(starts, ends)]
+        return [np.append(ids[a:b], self.end) for a, b in zip(np.append(0, cuts[:-1]).tolist(), cuts.tolist())]
 
     def encode(self, texts: list) -> list[np.ndarray]:
-        words = [(t or "").encode().split() for t in texts]
-        missing = list(set().union(*words).difference(self.known))
-        if len(self.known) + len(missing) > _CACHE:
-            self.known.clear()
-            missing = list(set().union(*words))
-        for k in range(0, len(missing), 10_000):
-            part = missing[k : k + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, self.kind).tobytes()
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, w)) + self.end, self.kind) for w in words]
+        texts = [t or "" for t in texts]
+        simple = [self.cuts and "<|" not in t and all(map(_simple, set(t))) for t in texts]
+        cut = iter(self._cut([t for t, s in zip(texts, simple) if s]) if any(simple) else ())
+        whole = iter(self._alone([t for t, s in zip(texts, simple) if not s]))
+        return [next(cut) if s else np.append(next(whole), self.end) for s in simple]
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, end_id: int) -> Encoder:
+    """One for each worker process: its pieces serve all tasks that the process runs."""
+    return Encoder(path, end_id)
 
 
 _INDEX = "part int, seq int, file string, n_docs long, n_tokens long, n_bytes long"
@@ -184,7 +306,7 @@ _INDEX = "part int, seq int, file string, n_docs long, n_tokens long, n_bytes lo
 
 def _write_shards(folder: str, tokenizer: str, end_id: int, limit: int):
     def run(batches):
-        encoder, part, seq = Encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
+        coder, part, seq = encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
         ids, docs, n = [], [], 0
 
         def flush():
@@ -200,7 +322,7 @@ def _write_shards(folder: str, tokenizer: str, end_id: int, limit: int):
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for k in range(0, len(texts), 200):
-                for key, x in zip(keys[k : k + 200], encoder.encode(texts[k : k + 200])):
+                for key, x in zip(keys[k : k + 200], coder.encode(texts[k : k + 200])):
                     ids.append(x)
                     docs.append(key)
                     n += len(x)
