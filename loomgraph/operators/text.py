@@ -57,10 +57,9 @@ def ngrams(toks: DataFrame, n: int) -> DataFrame:
     size = F.count("*").over(W.partitionBy("doc_id"))
     r = F.row_number().over(w)
     edge = toks.select("doc_id", "pos", "token", r.alias("r"), size.alias("size")).where((F.col("r") < n) | (F.col("r") > F.col("size") - n + 1))
-    edge = edge.withColumn("head", F.col("r") < n).withColumn("tail", F.col("r") > F.col("size") - n + 1)
+    edge = edge.withColumn("tail", F.col("r") > F.col("size") - n + 1)
     across = W.orderBy("doc_id", "pos")
-    cols = [("token", 0)] + [("token", k) for k in range(1, n)]
-    e = edge.select("doc_id", "pos", *[(F.col(c) if k == 0 else F.lead(c, k).over(across)).alias(f"t{k}") for c, k in cols], F.lead("doc_id", n - 1).over(across).alias("last_doc"))
+    e = edge.select("doc_id", "pos", *[(F.col("token") if k == 0 else F.lead("token", k).over(across)).alias(f"t{k}") for k in range(n)], F.lead("doc_id", n - 1).over(across).alias("last_doc"))
     e = e.where(F.col("last_doc").isNotNull() & (F.col("last_doc") != F.col("doc_id")))
     # of a border's grams, keep those made of neighbours: the first token must be in the tail of its document
     e = e.join(edge.select("doc_id", "pos", "tail"), ["doc_id", "pos"]).where("tail")

@@ -43,7 +43,7 @@ def read_weighted_edges(spark: SparkSession, path: str) -> DataFrame:
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text) of a folder of .txt files whose names are URL-encoded ids; a README is left out."""
     name = F.regexp_extract("_metadata.file_name", r"(.*)\.txt$", 1)
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path).select(name.alias("name"), F.col("value").alias("text"))
+    files = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(name.alias("name"), F.col("value").alias("text"))
     # file_name is itself URL-encoded, so an encoded id is encoded twice
     return files.select(F.url_decode(F.url_decode("name")).alias("doc_id"), "text").where("lower(doc_id) <> 'readme'")
 
@@ -64,13 +64,13 @@ def read_corpus_zip(spark: SparkSession, path: str) -> DataFrame:
 
 def read_attr_map(spark: SparkSession, path: str, field: str) -> DataFrame:
     """(key, label) from a JSON document with one object of single labels."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json(F.get_json_object("value", f"$.{field}"), "map<string,string>")).alias("key", "label"))
 
 
 def read_attr_multimap(spark: SparkSession, path: str, field: str) -> DataFrame:
     """(key, label) from a JSON document with one object of label lists."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     lists = text.select(F.explode(F.from_json(F.get_json_object("value", f"$.{field}"), "map<string,array<string>>")).alias("key", "labels"))
     return lists.select("key", F.explode("labels").alias("label"))
 
