@@ -102,19 +102,24 @@ def strata(df: DataFrame, column: str, parts: int) -> DataFrame:
     return df.select("id", F.floor(r * parts / F.count("*").over(W.partitionBy())).cast("long").alias("stratum"))
 
 
+def _z(real: float) -> Column:
+    """Distance from the mean in population sds; infinite where replicas don't vary."""
+    return F.when(F.col("sd") > 0, (F.lit(real) - F.col("mean")) / F.col("sd")).otherwise(F.lit(float("inf"))).alias("z")
+
+
 def p_one_sided(nulls: DataFrame, real: float) -> DataFrame:
     """Mean, population sd, z and p = (as extreme in the observed direction + 1) / (N + 1)."""
     m = nulls.agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.count("*").alias("n"))
     x = nulls.crossJoin(F.broadcast(m))
     extreme = F.when(F.lit(real) >= F.col("mean"), F.col("value") >= real).otherwise(F.col("value") <= real)
-    return x.groupBy("mean", "sd", "n").agg(F.count_if(extreme).alias("c")).select("mean", "sd", ((F.lit(real) - F.col("mean")) / F.nullif("sd", F.lit(0.0))).alias("z"), ((F.col("c") + 1) / (F.col("n") + 1)).alias("p"))
+    return x.groupBy("mean", "sd", "n").agg(F.count_if(extreme).alias("c")).select("mean", "sd", _z(real), ((F.col("c") + 1) / (F.col("n") + 1)).alias("p"))
 
 
 def p_two_sided_share(nulls: DataFrame, real: float) -> DataFrame:
     """Mean, sd, z and the plain share of replicas at least as far from the mean."""
     m = nulls.agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.count("*").alias("n"))
     x = nulls.crossJoin(F.broadcast(m)).groupBy("mean", "sd", "n").agg(F.count_if(F.abs(F.col("value") - F.col("mean")) >= F.abs(F.lit(real) - F.col("mean"))).alias("c"))
-    return x.select("mean", "sd", ((F.lit(real) - F.col("mean")) / F.nullif("sd", F.lit(0.0))).alias("z"), (F.col("c") / F.col("n")).alias("p"))
+    return x.select("mean", "sd", _z(real), (F.col("c") / F.col("n")).alias("p"))
 
 
 def p_two_sided(nulls: DataFrame, real: float, centre: float | None = None) -> DataFrame:

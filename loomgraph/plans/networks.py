@@ -151,8 +151,8 @@ def _null_values(c):
     return c.runs.groupBy("run").agg(F.avg("label").alias("value"))
 
 
-query("z_and_p_one_sided", "g1", _NV + ", ms AS (SELECT AVG(value) AS m, stddev_pop(value) AS s, COUNT(*) AS n FROM nv) SELECT ROUND(m, 6) AS mean, ROUND(s, 6) AS sd, ROUND((1.9 - m) / s, 6) AS z, ROUND(((SELECT COUNT(*) FROM nv WHERE CASE WHEN 1.9 >= m THEN value >= 1.9 ELSE value <= 1.9 END) + 1) / (n + 1), 6) AS p FROM ms")(lambda c: S.p_one_sided(_null_values(c), 1.9))
-query("null_stats_two_sided", "g1", _NV + ", ms AS (SELECT AVG(value) AS m, stddev_pop(value) AS s, COUNT(*) AS n FROM nv) SELECT ROUND(m, 6) AS mean, ROUND(s, 6) AS sd, ROUND((1.9 - m) / s, 6) AS z, ROUND((SELECT COUNT(*) FROM nv WHERE abs(value - m) >= abs(1.9 - m)) / n, 6) AS p FROM ms")(lambda c: S.p_two_sided_share(_null_values(c), 1.9))
+query("z_and_p_one_sided", "g1", _NV + ", ms AS (SELECT AVG(value) AS m, stddev_pop(value) AS s, COUNT(*) AS n FROM nv) SELECT ROUND(m, 6) AS mean, ROUND(s, 6) AS sd, ROUND(CASE WHEN s > 0 THEN (1.9 - m) / s ELSE 'inf'::DOUBLE END, 6) AS z, ROUND(((SELECT COUNT(*) FROM nv WHERE CASE WHEN 1.9 >= m THEN value >= 1.9 ELSE value <= 1.9 END) + 1) / (n + 1), 6) AS p FROM ms")(lambda c: S.p_one_sided(_null_values(c), 1.9))
+query("null_stats_two_sided", "g1", _NV + ", ms AS (SELECT AVG(value) AS m, stddev_pop(value) AS s, COUNT(*) AS n FROM nv) SELECT ROUND(m, 6) AS mean, ROUND(s, 6) AS sd, ROUND(CASE WHEN s > 0 THEN (1.9 - m) / s ELSE 'inf'::DOUBLE END, 6) AS z, ROUND((SELECT COUNT(*) FROM nv WHERE abs(value - m) >= abs(1.9 - m)) / n, 6) AS p FROM ms")(lambda c: S.p_two_sided_share(_null_values(c), 1.9))
 query("two_sided_p", "g1", _NV + ", ms AS (SELECT AVG(value) AS m, COUNT(*) AS n FROM nv) SELECT ROUND(((SELECT COUNT(*) FROM nv WHERE abs(value - m) >= abs(1.9 - m)) + 1) / (n + 1), 6) AS p FROM ms")(lambda c: S.p_two_sided(_null_values(c), 1.9))
 query("null_band", "g1", "SELECT id AS key, ROUND(AVG(label), 6) AS mean, CAST(MIN(label) AS DOUBLE) AS low, CAST(MAX(label) AS DOUBLE) AS high, ROUND(quantile_cont(label, 0.025), 6) AS p2, ROUND(quantile_cont(label, 0.975), 6) AS p97, ROUND(stddev_pop(label), 6) AS sd FROM rr GROUP BY 1")(lambda c: S.null_band(c.runs.select(F.col("run").alias("replica"), F.col("id").alias("key"), F.col("label").cast("double").alias("value"))))
 query("leave_one_out_mean", "g1", "SELECT run AS replica, id AS key, ROUND((SUM(label) OVER (PARTITION BY id) - label) / (COUNT(*) OVER (PARTITION BY id) - 1), 6) AS others FROM rr")(lambda c: S.leave_one_out(c.runs.select(F.col("run").alias("replica"), F.col("id").alias("key"), F.col("label").alias("value"))))
