@@ -29,14 +29,14 @@ class Ann:
 
     k: int = 10
     sample: int = 20_000
-    list_size: int = 128
+    list_size: int = 256
     max_centroids: int = 16_384
     degree: int = 24
-    beam: int = 32
+    beam: int = 64
     closure: float = 1.12
     replicas: int = 6
-    probe_ratio: float = 1.35
-    max_probes: int = 24
+    probe_ratio: float = 1.25
+    max_probes: int = 64
     split: int = 4096
     seed: int = 7
 
