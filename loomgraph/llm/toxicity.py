@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import small_batches, written
 
 _WORD = re.compile(r"[^\W\d_]+")
-_KNOWN = 200_000
+_KNOWN = 400_000
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,7 @@ class Knn:
     prefixes: tuple = (4, 5)
     k: int = 15
     power: float = 2.0
-    block: int = 64
+    block: int = 256
     threshold: float = 0.7
     seed: int = 5
 
@@ -93,11 +93,13 @@ class KnnModel:
         self.how, self.idf, self.number = how, idf, {t: i for i, t in enumerate(terms)}
         self.ids, self.labels = [e[0] for e in examples], np.array([e[1] for e in examples], np.float64)
         vectors = [self._vector({self.number[t]: n for t, n in e[2].items() if t in self.number}) for e in examples]
-        self.index = BlockMaxIndex(max(1, len(terms)), [list(zip(t.tolist(), w.tolist())) for t, w in vectors], how.block)
-        self.slope, self.offset = 8.0, -4.0
-        self.known: dict[str, tuple] = {}
         none = np.array([len(t) == 0 for t, _ in vectors], bool)
+        # those without a term answer for texts without a term; they are nobody's neighbours and stay out of the index
         self.blank = (self.labels[none].sum() + 0.5) / (none.sum() + 1.0) if len(none) else 0.0
+        vectors, self.ids, self.labels = [v for v, x in zip(vectors, none) if not x], [i for i, x in zip(self.ids, none) if not x], self.labels[~none]
+        self.index = BlockMaxIndex(max(1, len(terms)), [list(zip(t.tolist(), w.tolist())) for t, w in vectors], how.block)
+        self.slope, self.offset = 8.0, -4.0
+        self._forget()
         votes = np.array([self._vote(*v, without=i)[0] if len(v[0]) else np.nan for i, v in enumerate(vectors)])
         self._calibrate(votes[~np.isnan(votes)], self.labels[~np.isnan(votes)])
 
@@ -126,18 +128,28 @@ class KnnModel:
             self.slope, self.offset = map(float, b)
 
     def counts(self, text: str | None) -> dict[int, int]:
+        words = words_of(text)
+        unique = set(words)
+        for word in unique.difference(self.dull).difference(self.live):
+            hit = [self.number[t] for t in terms_of(word, self.how.prefixes) if t in self.number]
+            if hit:
+                self.live[word] = hit
+                self.live_words.add(word)
+            else:
+                self.dull.add(word)
         found: dict[int, int] = {}
-        known, number, prefixes = self.known, self.number, self.how.prefixes
-        for word, n in Counter(words_of(text)).items():
-            hit = known.get(word)
-            if hit is None:
-                if len(known) >= _KNOWN:
-                    known.clear()
-                hit = known[word] = tuple(number[t] for t in terms_of(word, prefixes) if t in number)
-            for t in hit:
+        for word in unique & self.live_words:
+            n = words.count(word)
+            for t in self.live[word]:
                 found[t] = found.get(t, 0) + n
+        if len(self.dull) + len(self.live) > _KNOWN:
+            self._forget()
         return found
 
+    def _forget(self) -> None:
+        """Words met before: those with terms, and those without."""
+        self.live, self.live_words, self.dull = {}, set(), set()
+
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
         terms, weights = self._vector(self.counts(text))
         if not len(terms):
