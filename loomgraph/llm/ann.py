@@ -24,8 +24,8 @@ from loomgraph.llm.common import partitions, written
 @dataclass(frozen=True)
 class Ann:
     """sample: rows that centroids are fitted on; list_size: vectors a centroid stands for; max_centroids bounds what is
-    broadcast; closure: boundary ratio of replication, at most `replicas` lists; probe_ratio and max_probes: lists that a
-    query opens; split: rows, or queries, of one part of a list."""
+    broadcast; closure: boundary ratio of replication, at most `replicas` lists; probe_ratio, min_probes and max_probes: lists
+    that a query opens; split: rows, or queries, of one part of a list."""
 
     k: int = 10
     sample: int = 20_000
@@ -37,6 +37,7 @@ class Ann:
     replicas: int = 6
     probe_ratio: float = 1.25
     max_probes: int = 64
+    min_probes: int = 16
     split: int = 4096
     seed: int = 7
 
@@ -117,7 +118,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _lists(graph, how: Ann, ratio: float, most: int):
+def _lists(graph, how: Ann, ratio: float, most: int, least: int = 1):
     """(id, v) -> (list, id, v) for each list that a vector belongs to or opens."""
 
     def run(batches):
@@ -128,6 +129,7 @@ def _lists(graph, how: Ann, ratio: float, most: int):
                     continue
                 ids, d = graph.value.search(_matrix(part.column(1)), max(how.beam, most))
                 take = d <= d[:, :1] * ratio**2
+                take[:, :least] = True
                 take[:, most:] = False
                 r, c = np.nonzero(take)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[r, c], pa.int32()), part.column(0).take(pa.array(r)), part.column(1).take(pa.array(r))], names=["list", "id", "v"])
@@ -187,7 +189,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, how: Ann = Ann(), id_col: st
     shape = "list int, id long, v array<double>"
     rows = heads.repartition(partitions(spark), "id").mapInArrow(_lists(graph, how, how.closure, how.replicas), shape)
     asked = usable(queries).where(F.size("v") == one.n).distinct()
-    asked = written(asked.repartition(partitions(spark), "id").mapInArrow(_lists(graph, how, how.probe_ratio, how.max_probes), shape), "probes")
+    asked = written(asked.repartition(partitions(spark), "id").mapInArrow(_lists(graph, how, how.probe_ratio, how.max_probes, how.min_probes), shape), "probes")
     rows = written(rows, "lists")
     # long lists, and lists that very many queries open, are split; lists that no query opens stay where they are
     pieces = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / how.split).cast("int").alias(name))
