@@ -129,14 +129,32 @@ def maximal_cliques(nodes: DataFrame, pairs: DataFrame, least: int = 1) -> DataF
     return spread(nodes.sparkSession, range(g.n), (g.ids, near, rank), work, "members string, size int")
 
 
+def larger_cliques(cliques: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """Cliques of `size` nodes n1 < n2 < ... from those of one node less."""
+    out = cliques.join(pairs.select(F.col("u").alias("n1"), F.col("v").alias(f"n{size}")), "n1").where(F.col(f"n{size}") > F.col(f"n{size - 1}"))
+    for j in range(2, size):
+        out = out.join(pairs.select(F.col("u").alias(f"n{j}"), F.col("v").alias(f"n{size}")), [f"n{j}", f"n{size}"], "left_semi")
+    return out.select(*[f"n{k}" for k in range(1, size + 1)])
+
+
 def cliques_of_size(pairs: DataFrame, size: int) -> DataFrame:
     """Complete subgraphs with nodes n1 < n2 < ... by repeated joins with the edges."""
     out = pairs.select(F.col("u").alias("n1"), F.col("v").alias("n2"))
     for k in range(3, size + 1):
-        out = out.join(pairs.select(F.col("u").alias("n1"), F.col("v").alias(f"n{k}")), "n1").where(F.col(f"n{k}") > F.col(f"n{k - 1}"))
-        for j in range(2, k):
-            out = out.join(pairs.select(F.col("u").alias(f"n{j}"), F.col("v").alias(f"n{k}")), [f"n{j}", f"n{k}"], "left_semi")
-    return out.select(*[f"n{k}" for k in range(1, size + 1)])
+        out = larger_cliques(out, pairs, k)
+    return out
+
+
+def clique_counts(nodes: DataFrame, pairs: DataFrame, least: int = 5) -> DataFrame:
+    """(size, n): complete subgraphs of every size, grown size by size until one is empty. Sizes up to `least` always
+    have a row, with 0 where there is none."""
+    links = checkpointed(pairs.select("u", "v"))
+    counts, cliques = [nodes.count(), links.count()], links.toDF("n1", "n2")
+    while counts[-1] > 0:
+        cliques = checkpointed(larger_cliques(cliques, links, len(counts) + 1))
+        counts.append(cliques.count())
+    rows = [(k, n) for k, n in enumerate(counts + [0] * (least - len(counts)), 1) if n > 0 or k <= least]
+    return nodes.sparkSession.createDataFrame(rows, "size int, n long")
 
 
 def removal_curves(nodes: DataFrame, pairs: DataFrame, orders: dict[str, list]) -> DataFrame:

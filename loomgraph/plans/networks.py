@@ -115,7 +115,7 @@ _CL = ", k3 AS (SELECT x.u AS n1, x.v AS n2, y.v AS n3 FROM ue x JOIN ue y ON y.
 _CL4 = _CL + ", k4 AS (SELECT k3.*, w1.v AS n4 FROM k3 JOIN ue w1 ON w1.u = n1 AND w1.v > n3 JOIN ue w2 ON w2.u = n2 AND w2.v = w1.v JOIN ue w3 ON w3.u = n3 AND w3.v = w1.v)"
 _CL5 = _CL4 + ", k5 AS (SELECT k4.*, w1.v AS n5 FROM k4 JOIN ue w1 ON w1.u = n1 AND w1.v > n4 JOIN ue w2 ON w2.u = n2 AND w2.v = w1.v JOIN ue w3 ON w3.u = n3 AND w3.v = w1.v JOIN ue w4 ON w4.u = n4 AND w4.v = w1.v)"
 query("maximal_cliques", "g1", _CL4 + ", al AS (SELECT [id] AS m FROM nodes UNION ALL SELECT [u, v] FROM ue UNION ALL SELECT [n1, n2, n3] FROM k3 UNION ALL SELECT [n1, n2, n3, n4] FROM k4) SELECT array_to_string(m, ',') AS members, CAST(len(m) AS INTEGER) AS size FROM al WHERE NOT EXISTS (SELECT 1 FROM al z WHERE len(z.m) = len(al.m) + 1 AND list_has_all(z.m, al.m))")(lambda c: C.maximal_cliques(c.nodes, c.pairs))
-query("clique_size_counts", "g4", _CL5 + " SELECT 1 AS size, COUNT(*) AS n FROM nodes UNION ALL SELECT 2, COUNT(*) FROM ue UNION ALL SELECT 3, COUNT(*) FROM k3 UNION ALL SELECT 4, COUNT(*) FROM k4 UNION ALL SELECT 5, COUNT(*) FROM k5")(lambda c: (lambda f: f(c.nodes, 1).union(f(c.pairs, 2)).union(f(C.cliques_of_size(c.pairs, 3), 3)).union(f(C.cliques_of_size(c.pairs, 4), 4)).union(f(C.cliques_of_size(c.pairs, 5), 5)))(lambda df, k: df.agg(F.lit(k).alias("size"), F.count("*").alias("n"))))
+query("clique_size_counts", "g4", _CL5 + " SELECT 1 AS size, COUNT(*) AS n FROM nodes UNION ALL SELECT 2, COUNT(*) FROM ue UNION ALL SELECT 3, COUNT(*) FROM k3 UNION ALL SELECT 4, COUNT(*) FROM k4 UNION ALL SELECT 5, COUNT(*) FROM k5")(lambda c: C.clique_counts(c.nodes, c.pairs))
 query("triangle_count", "g4", _CL + " SELECT COUNT(*) AS triangles FROM k3")(lambda c: C.cliques_of_size(c.pairs, 3).agg(F.count("*").alias("triangles")))
 
 
@@ -198,6 +198,8 @@ def _percolation_sql() -> str:
 
 
 query("kclique_communities", "g1", _percolation_sql() + " SELECT CAST(community AS INTEGER) AS community, id FROM mem JOIN kn USING (c)")(lambda c: M.clique_communities(C.cliques_of_size(c.pairs, 3), 3))
+for _k in (4, 5, 6):
+    query(f"kclique_communities_{_k}", "g1")(lambda c, k=_k: M.clique_communities(C.cliques_of_size(c.pairs, k), k))
 query("community_of_member", "g1", _percolation_sql() + ", hc AS (SELECT c FROM mem WHERE id = (SELECT MIN(id) FROM mem) ORDER BY c LIMIT 1) SELECT u, v FROM ue WHERE u IN (SELECT id FROM mem WHERE c IN (SELECT c FROM mem WHERE id = (SELECT MIN(id) FROM mem))) AND v IN (SELECT id FROM mem WHERE c IN (SELECT c FROM mem WHERE id = (SELECT MIN(id) FROM mem)))")(
     lambda c: (lambda k: G.induced(c.pairs, k.join(k.join(k.agg(F.min("id").alias("id")), "id").select("community"), "community", "left_semi"), "u", "v"))(M.clique_communities(C.cliques_of_size(c.pairs, 3), 3).persist())
 )
