@@ -86,27 +86,28 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return _share(low, ["domain", "lang"], "source").drop("cap")
 
 
-def mix_sources(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", key: str | None = None) -> DataFrame:
     """The selection of a mixture: doc_id, domain, lang, source, epoch, n_tokens and take_tokens, a row for each
     document and epoch that gives at least one token.
 
     Tokens are words (runs of all but space and \\x09-\\x0D). The last document of a leaf's prefix gives only the
     tokens that the budget still needs. Null lang and source count as 'unknown'; null and empty texts have no tokens
     and are never selected; a null id is ordered as 'null'; rows that share an id are rows of their own; an empty table
-    gives no rows; other columns are ignored.
+    gives no rows; other columns are ignored, but for `key`, a unique column that the selection keeps as its last.
     """
-    leaf = ["domain", "lang", "source"]
+    leaf, keys = ["domain", "lang", "source"], [key] if key else []
     docs = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(lang_col).cast("string"), F.lit("unknown")).alias("lang"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("unknown")).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("long").alias("n_tokens"),
+        *keys,
     ).where("n_tokens > 0")
     docs = written(docs.withColumn("domain", F.expr(case_sql("source", mix.domain_of, mix.default_domain))), "mix-tokens")
     leaves = budgets(docs.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens")), mix)
     leaves = written(leaves.select(*leaf, F.expr("alloc DIV tokens").alias("epochs"), F.expr("alloc % tokens").alias("rest")).where("epochs > 0 or rest > 0"), "mix-leaves")
     placed = docs.join(F.broadcast(leaves) if leaves.count() <= _BROADCAST_LEAVES else leaves, leaf)
-    whole = placed.where("epochs > 0").select("doc_id", *leaf, F.explode(F.sequence(F.lit(0), F.col("epochs").cast("int") - 1)).alias("epoch"), "n_tokens", F.col("n_tokens").alias("take_tokens"))
+    whole = placed.where("epochs > 0").select("doc_id", *leaf, F.explode(F.sequence(F.lit(0), F.col("epochs").cast("int") - 1)).alias("epoch"), "n_tokens", F.col("n_tokens").alias("take_tokens"), *keys)
     part = placed.where("rest > 0").withColumn("h", F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
     part = part.withColumn("bucket", F.substring("h", 1, 3))
     sums = part.groupBy(*leaf, "rest", "bucket").agg(F.sum("n_tokens").alias("held"))
@@ -114,22 +115,24 @@ def mix_sources(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str
     part = part.join(sums, [*leaf, "bucket"])
     inside = part.where("before + held <= rest").withColumn("take_tokens", F.col("n_tokens"))
     ends = part.where("before + held > rest")
-    seen = F.sum("n_tokens").over(W.partitionBy(*leaf).orderBy("h", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens")
+    seen = F.sum("n_tokens").over(W.partitionBy(*leaf).orderBy("h", "doc_id", "n_tokens", *keys).rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens")
     ends = ends.withColumn("take_tokens", F.least("n_tokens", F.col("rest") - F.col("before") - seen)).where("take_tokens > 0")
-    out = ["doc_id", *leaf, F.col("epochs").cast("int").alias("epoch"), "n_tokens", "take_tokens"]
+    out = ["doc_id", *leaf, F.col("epochs").cast("int").alias("epoch"), "n_tokens", "take_tokens", *keys]
     return whole.union(inside.select(*out)).union(ends.select(*out))
 
 
 def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
-    """The selected documents themselves, with the columns of docs; ids must be unique. A document of which the budget
-    takes a part keeps its first words, joined by one space; a document of several epochs is there several times."""
-    chosen = mix_sources(docs, mix).select(F.col("doc_id").alias("_id"), "n_tokens", "take_tokens")
-    met = docs.join(chosen, docs.doc_id == chosen._id)
-    words = F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.col("take_tokens").cast("int"))
-    text = F.when(F.col("take_tokens") < F.col("n_tokens"), F.array_join(words, " ")).otherwise(F.col("text"))
+    """The selected documents themselves, with the columns of docs; rows with a null id or an id of several rows are
+    rows of their own. A document of which the budget takes a part keeps its first words, joined by one space; a document
+    of several epochs is there several times."""
+    keyed = written(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-rows")
+    chosen = mix_sources(keyed, mix, key="_mix_row").select("_mix_row", "n_tokens", "take_tokens")
+    met = keyed.join(chosen.withColumnsRenamed({"n_tokens": "_mix_held", "take_tokens": "_mix_take"}), "_mix_row")
+    words = F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.col("_mix_take").cast("int"))
+    text = F.when(F.col("_mix_take") < F.col("_mix_held"), F.array_join(words, " ")).otherwise(F.col("text"))
     out = met.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("take_tokens") < F.col("n_tokens"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("_mix_take") < F.col("_mix_held"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -65,6 +65,16 @@ def test_mixing_budget_and_order_of_redistribution(spark):
     assert mixing.mix_sources(docs.limit(0), mix).count() == 0
 
 
+def test_mixed_documents_keep_null_and_repeated_ids(spark, corpus):
+    docs = frame(spark, corpus)
+    mix = mixing.Mix(numerator=2, max_epochs=2)  # as many tokens as two whole epochs hold
+    want = sorted((-1 if r.doc_id is None else r.doc_id, r.take_tokens) for r in mixing.mix_sources(docs, mix).collect())
+    out = mixing.mixed_documents(docs, mix)
+    got = [(-1 if r.doc_id is None else r.doc_id, len(re.findall(mixing.WORDS, r.text))) for r in out.collect()]
+    assert out.columns == docs.columns and sorted(got) == want
+    assert [i for i, _ in got].count(-1) == 2 and [i for i, _ in got].count(94) == 4
+
+
 # --- 2 ------------------------------------------------------------------------------------------------------------
 
 
@@ -477,6 +487,17 @@ def test_pipeline_decisions(spark):
     assert len(out) == len(after) and sum(r.n_tokens for r in out) == max(r.start + r.n_tokens for r in out)
 
 
+def test_pipeline_mixing_keeps_documents_without_id(spark, corpus):
+    import corpus_pipeline as p
+
+    docs = frame(spark, corpus).select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is null or doc_id % 7 = 0")
+    chosen = mixing.mix_sources(docs, p.MIX)
+    out = p.mix(spark, docs, SF)
+    assert chosen.where("doc_id is null").count() == out.where("doc_id is null").count() > 0
+    ids = p.token_ids(spark, out, SF)
+    assert ids.where("doc_id is null").count() == out.where("doc_id is null").count()
+
+
 def test_pipeline_awkward_documents(spark, corpus):
     import corpus_pipeline as p
 
