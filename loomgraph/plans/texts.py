@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.functions.checkpoints import checkpointed
 from loomgraph.operators import stats as S
 from loomgraph.operators import text as T
 from loomgraph.plans.fixtures import STOP_SQL
@@ -40,8 +41,9 @@ query("new_types_per_doc", "t", _ID + ", fo AS (SELECT token, arg_min(doc_id, st
 _GRID = ", grid AS (SELECT DISTINCT CAST(round_even(exp(ln(1000) + i / 119.0 * (ln(tt) - ln(1000))), 0) AS BIGINT) AS n FROM range(120) z(i), (SELECT CAST(SUM(n) AS DOUBLE) AS tt FROM len))"
 
 
-def _grid(c):
-    total = c.dtm.agg(F.coalesce(F.sum("tf"), F.lit(1000)).alias("n")).first().n
+def _grid(c, total: int | None = None):
+    if total is None:
+        total = c.dtm.agg(F.coalesce(F.sum("tf"), F.lit(1000)).alias("n")).first().n
     return T.log_grid(c.spark, 1000, max(1000, total), 120)
 
 
@@ -90,15 +92,20 @@ query("band_position", "t", _NULLS + " SELECT nu.key, ROUND((value - m) / NULLIF
 
 
 def _shuffle_curves(c, replicas: int):
-    """(replica, n, types) for seeded uniform document orders: orders are hashes, so every replica is the same plan."""
-    firsts = None
-    sizes = c.dtm.groupBy("doc_id").agg(F.sum("tf").alias("len"))
+    """(replica, n, types) for seeded uniform document orders: orders are hashes, so every replica is the same plan.
+    The grid is that of heaps_curve, up to the corpus total."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(T.TOKEN), F.lit(0))
+    sizes = checkpointed(c.docs.select("doc_id", F.size(words).alias("len")).where("len > 0").groupBy("doc_id").agg(F.sum("len").alias("len")))
+    grid = _grid(c, sizes.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("n")).first().n)
     reps = c.spark.range(replicas).select(F.col("id").cast("int").alias("replica"))
     order = sizes.crossJoin(F.broadcast(reps)).withColumn("h", F.xxhash64(F.lit(7), "replica", "doc_id"))
     start = order.withColumn("start", F.sum("len").over(W.partitionBy("replica").orderBy("h", "doc_id")) - F.col("len")).select("replica", "doc_id", "start")
-    firsts = c.dtm.join(start, "doc_id").groupBy("replica", "token").agg(F.min(F.col("start") + F.col("first")).alias("position"))
-    grid = c.spark.range(1, 11).select((F.col("id") * 20000).alias("n"))
-    return firsts.groupBy("replica", "position").agg(F.count("*").alias("c")).join(F.broadcast(grid), F.col("position") < F.col("n")).groupBy("replica", "n").agg(F.sum("c").alias("types"))
+    # texts are dealt by document once: counting and joining need no further exchange of (document, type) rows
+    dtm = T.term_counts(T.tokens(c.docs.select("doc_id", "text").repartition("doc_id")))
+    firsts = dtm.join(start, "doc_id").groupBy("replica", "token").agg(F.min(F.col("start") + F.col("first")).alias("position"))
+    counted = firsts.groupBy("replica", "position").agg(F.count("*").alias("c"))
+    met = counted.join(F.broadcast(grid), F.col("position") < F.col("n")).groupBy("replica", "n").agg(F.sum("c").alias("types"))
+    return reps.crossJoin(F.broadcast(grid)).join(met, ["replica", "n"], "left").select("replica", "n", F.coalesce("types", F.lit(0)).alias("types"))
 
 
 query("page_order_shuffle_null", "t")(lambda c: _shuffle_curves(c, 5))
