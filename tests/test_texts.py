@@ -1,5 +1,9 @@
 """Text queries that count whole corpora."""
 
+import re
+
+import pandas as pd
+
 from loomgraph.plans import QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -15,3 +19,9 @@ def test_shuffled_curves_run_to_the_corpus_total(spark):
         assert set(c.n) == grid and c.n.is_unique and c.types.is_monotonic_increasing
         assert c.types.iloc[-1] == whole.types
     assert curves.replica.nunique() == 5
+
+
+def test_description_vocab_counts_whole_texts(spark):
+    words = [w for t in pd.read_parquet(f"{DIR}/documents.parquet").text for w in re.findall("[a-z]+", t.lower())]
+    got = QUERIES["description_vocab"](spark, DIR).first()
+    assert (got.tokens, got.types) == (len(words), len(set(words)))
