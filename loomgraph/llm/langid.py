@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import hash_spans, mix, small_batches
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]{1,40}")
 UNKNOWN = "und"
 _SEGMENT, _PIECE, _KNOWN, _GROUP = 64, 1 << 18, 600_000, 100
 
@@ -42,14 +42,14 @@ class Crf:
 
 
 def words_of(text: str | None) -> list[str]:
+    """Runs of letters in lower case; longer ones, as of scripts without spaces, in consecutive pieces of 40 characters."""
     return _WORD.findall((text or "").lower())
 
 
 def features(words: list[str], lexicon: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """(word, feature) pairs of some words, by numbers: all UTF-8 n-grams of 2 to 4 bytes of the marked word, its
     beginnings and endings, a bias, and the word itself if its hash is in the sorted lexicon."""
-    short = [w if len(w) <= 40 else w[:20] + w[-20:] for w in words]
-    raw = "".join(f"<{w}>" for w in short).encode()
+    raw = "".join(f"<{w}>" for w in words).encode()
     data = np.frombuffer(raw, np.uint8).astype(np.uint64)
     starts = np.flatnonzero(data == ord("<"))
     ends = np.append(starts[1:], len(data))

@@ -291,6 +291,17 @@ def test_language(spark):
     assert {r.language.lang for r in langid.with_language(docs.limit(5), none).collect()} == {"und"}
 
 
+def test_language_reads_the_middle_of_long_runs(spark):
+    a, b = "abba baab abab aabb", "cddc dccd cdcd ccdd"
+    docs = spark.createDataFrame([(k, a if k % 2 else b, "a" if k % 2 else "b") for k in range(40)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, replace(langid.Crf(), per_lang=20, epochs=4))
+    edge = "z" * 20
+    long = spark.createDataFrame([(1, edge + "abba" * 30 + edge), (2, edge + "cddc" * 30 + edge)], "doc_id long, text string")
+    assert {r.doc_id: r.language.lang for r in langid.with_language(long, model).collect()} == {1: "a", 2: "b"}
+    run = edge + "ab" * 500_000 + edge
+    assert "".join(langid.words_of(run)) == run and langid.words_of("x" * 40 + " y") == ["x" * 40, "y"]
+
+
 # --- 8 ------------------------------------------------------------------------------------------------------------
 
 
