@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,12 @@ ARROW_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a local one if Spark runs
+    in one process (tests), else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext.getCheckpointDir()
-        base = os.path.dirname(held) if held else "file://" + tempfile.mkdtemp(prefix="loomgraph-")
+        base = os.path.dirname(held) if held else local_dir(spark.sparkContext.master)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     if "://" not in base and not base.startswith("file:"):
@@ -28,6 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def local_dir(master: str) -> str:
+    """A temporary folder, for Spark in one process only: executors elsewhere would not see it."""
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="loomgraph-")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh place in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/loomgraph-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import FOLDED, hash_words, small_batches, text_buffers, written
+from loomgraph.llm.common import FOLDED, fresh, hash_words, small_batches, text_buffers, written
 
 _SHARD_BYTES, _SHARD_SUFFIXES = 4 << 20, 1 << 20
 _MATCH = "struct<n_words:long,n_hit:long,items:array<string>,spans:array<struct<first:long,last:long>>,matches:array<struct<item_id:string,item_start:long,doc_start:long,n_words:long>>>"
@@ -219,5 +219,7 @@ def _next(index):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without those that hold a window of a benchmark item; see with_matches."""
-    return with_matches(docs, benchmark, into="_match", **how).where("_match.n_hit = 0").drop("_match")
+    """docs without those that hold a window of a benchmark item; see with_matches. All columns are kept, whatever their
+    names."""
+    match = fresh(docs, "match")
+    return with_matches(docs, benchmark, into=match, **how).where(F.col(match)["n_hit"] == 0).select(*docs.columns)

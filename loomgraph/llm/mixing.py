@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import written
+from loomgraph.llm.common import fresh, written
 
 #: Leaves of a tree up to this number are broadcast; beyond it they are joined by shuffle.
 _BROADCAST_LEAVES = 20_000
@@ -125,14 +125,15 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     """The selected documents themselves, with the columns of docs; rows with a null id or an id of several rows are
     rows of their own. A document of which the budget takes a part keeps its first words, joined by one space; a document
     of several epochs is there several times."""
-    keyed = written(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-rows")
-    chosen = mix_sources(keyed, mix, key="_mix_row").select("_mix_row", "n_tokens", "take_tokens")
-    met = keyed.join(chosen.withColumnsRenamed({"n_tokens": "_mix_held", "take_tokens": "_mix_take"}), "_mix_row")
-    words = F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.col("_mix_take").cast("int"))
-    text = F.when(F.col("_mix_take") < F.col("_mix_held"), F.array_join(words, " ")).otherwise(F.col("text"))
-    out = met.withColumn("text", text)
+    row, held, take = (fresh(docs, n) for n in ("mix_row", "mix_held", "mix_take"))
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    chosen = mix_sources(keyed, mix, key=row).select(row, F.col("n_tokens").alias(held), F.col("take_tokens").alias(take))
+    met = keyed.join(chosen, row)
+    words = F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.col(take).cast("int"))
+    part = F.col(take) < F.col(held)
+    out = met.withColumn("text", F.when(part, F.array_join(words, " ")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_mix_take") < F.col("_mix_held"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(part, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

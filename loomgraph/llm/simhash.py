@@ -3,9 +3,10 @@
 Equal fingerprints collapse first. A pivot table alone would have to try every pair, so distinct fingerprints meet in
 pigeonhole groups: of six bit blocks, any two fingerprints at three or fewer differing bits agree on three, so each is
 dealt to twenty groups, one for each choice of three blocks. Within a group, Hamming distances to reference
-fingerprints are tabulated once; a pair is discarded as soon as one coordinate of the two rows differs by more than
-the threshold (triangle inequality), and survivors are verified. A group leaves the kernel as a spanning star, never
-as all its pairs. A group beyond `_GROUP` rows is put off and tried in a second pass as blocks against blocks, each a
+fingerprints are tabulated once. Rows lie in the order of their distance to the first, so only neighbours on that line
+are proposed; a pair is discarded as soon as one further coordinate differs by more than the threshold (triangle
+inequality), and survivors are verified. A group that is one component already needs no further pairs, and leaves the
+kernel as a spanning star, never as all its pairs. A group beyond `_GROUP` rows is put off and tried in a second pass as blocks against blocks, each a
 task of its own, so nothing is capped.
 """
 
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import partitions, small_batches, written
+from loomgraph.llm.common import fresh, partitions, small_batches, written
 from loomgraph.operators.components import components
 
 _BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -83,25 +84,47 @@ def _star_edges(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.nd
     return at, label[at]
 
 
+#: Pairs tried at a time, and verified pairs held before they are folded into a spanning forest; both bound a worker.
+_TRIED, _HELD = 1 << 17, 250_000
+
+
 class _Pairs:
-    """Verified pairs among rows of fingerprints, kept as a spanning forest."""
+    """Verified pairs among rows of fingerprints, kept as a spanning forest; counts the pairs that it saw."""
 
     def __init__(self, fp: np.ndarray, bits: int, pivots: np.ndarray):
         self.fp, self.bits = fp, bits
         self.table = [np.bitwise_count(fp ^ p).astype(np.int8) for p in pivots]
-        self.a, self.b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.a, self.b = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.proposed = self.survived = self.verified = 0
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.proposed += len(i)
         for column in self.table:
             near = np.abs(column[i] - column[j]) <= self.bits
             i, j = i[near], j[near]
+        self.survived += len(i)
         near = np.bitwise_count(self.fp[i] ^ self.fp[j]) <= self.bits
-        self.a, self.b = np.concatenate([self.a, i[near]]), np.concatenate([self.b, j[near]])
-        if len(self.a) > 4_000_000:
-            self.a, self.b = _star_edges(len(self.fp), self.a, self.b)
+        i, j = i[near].astype(np.int32), j[near].astype(np.int32)
+        self.verified += len(i)
+        self.a, self.b = np.concatenate([self.a, i]), np.concatenate([self.b, j])
+        if len(self.a) > _HELD:
+            self.fold()
+
+    def fold(self) -> None:
+        self.a, self.b = (x.astype(np.int32) for x in _star_edges(len(self.fp), self.a, self.b))
 
     def edges(self) -> tuple[np.ndarray, np.ndarray]:
-        return _star_edges(len(self.fp), self.a, self.b)
+        self.fold()
+        return self.a, self.b
+
+    def whole(self, group: np.ndarray) -> np.ndarray:
+        """For each row whether its group (numbers that don't fall) is one component already, so needs no more pairs."""
+        self.fold()
+        label = np.arange(len(self.fp))
+        label[self.a] = self.b
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        size = np.diff(np.append(first, len(group)))
+        return np.repeat(np.minimum.reduceat(label, first) == np.maximum.reduceat(label, first), size)
 
 
 _OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("part", pa.int32())])
@@ -120,14 +143,20 @@ def _near_in_groups(bits: int, limit: int):
     """Rows (key, fp) sorted by key -> spanning edges (a, b), and for groups beyond `limit` rows (a = fp, key, part)."""
 
     def solve(key, fp):
-        pairs, at, step = _Pairs(fp.view(np.uint64), bits, PIVOTS), np.arange(len(key)), 1
+        # rows of a group in the order of their distance to the first pivot: partners lie at most `bits` further on
+        ring = np.bitwise_count(fp.view(np.uint64) ^ PIVOTS[0]).astype(np.int8)
+        order = np.lexsort((ring, key))
+        key, fp, ring = key[order], fp[order], ring[order]
+        pairs, at, step = _Pairs(fp.view(np.uint64), bits, PIVOTS[1:]), np.arange(len(key), dtype=np.int32), 1
         while True:
-            at = at[at + step < len(key)]
-            at = at[key[at] == key[at + step]]
+            at = at[: np.searchsorted(at, len(key) - step)]
+            at = at[(key[at] == key[at + step]) & (ring[at + step] - ring[at] <= bits)]
             if not len(at):
                 break
-            for k in range(0, len(at), 1 << 20):
-                pairs.add(at[k : k + (1 << 20)], at[k : k + (1 << 20)] + step)
+            for k in range(0, len(at), _TRIED):
+                pairs.add(at[k : k + _TRIED], at[k : k + _TRIED] + step)
+            if step & (step - 1) == 0 and step >= 16:
+                at = at[~pairs.whole(key)[at]]
             step += 1
         a, b = pairs.edges()
         return _out(fp[a], fp[b])
@@ -166,7 +195,7 @@ def _near_in_groups(bits: int, limit: int):
             if len(batch):
                 held.append((np.array(batch.column(0), np.int64), np.array(batch.column(1), np.int64)))
                 rows += len(batch)
-            if rows > 8 * limit:
+            if rows > 2 * limit:
                 yield from take(False)
         if rows:
             yield from take(True)
@@ -185,7 +214,7 @@ def _near_in_blocks(bits: int):
         pairs = _Pairs(fp.view(np.uint64), bits, PIVOTS)
         if len(right) and table["i"][0].as_py() != table["j"][0].as_py() and n == len(fp):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        step = max(1, (1 << 20) // max(1, len(right)))
+        step = max(1, _TRIED // max(1, len(right)))
         for k in range(0, len(left), step):
             i, j = (x.ravel() for x in np.meshgrid(left[k : k + step], right, indexing="ij"))
             keep = i < j
@@ -213,6 +242,16 @@ def near_fingerprints(prints: DataFrame, bits: int = 3, limit: int = _GROUP) ->
     return edges.union(late.groupBy("key", "i", "j").applyInArrow(_near_in_blocks(bits), "a long, b long"))
 
 
+def near_classes(prints: DataFrame, bits: int = 3) -> DataFrame:
+    """The class of each distinct fingerprint (column fp): the smallest fingerprint that links reach from it."""
+    linked = components(near_fingerprints(prints.select("fp"), bits), "a", "b")
+    return prints.join(linked, prints.fp == linked.node, "left").select(*prints.columns, F.coalesce("component", "fp").alias("class"))
+
+
+def _print_of(text_col: str):
+    return F.arrow_udf(_fingerprints, "long")(F.col(text_col).cast("string"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3) -> DataFrame:
     """Near-duplicate components of texts by SimHash fingerprints that differ in `bits` (at most 3) or fewer bits.
 
@@ -222,10 +261,23 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     columns other than the two named are ignored.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.arrow_udf(_fingerprints, "long")(F.col(text_col).cast("string")).alias("fp"))
-    docs = written(docs, "fingerprints")
-    prints = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = components(near_fingerprints(prints.select("fp"), bits), "a", "b")
-    classes = prints.join(linked, prints.fp == linked.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
+    docs = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), _print_of(text_col).alias("fp")), "fingerprints")
+    classes = near_classes(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), bits)
     least = classes.groupBy("class").agg(F.min("least").alias("component_id"))
-    return docs.join(classes.join(least, "class").select("fp", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = docs.join(classes.join(least, "class").select("fp", "component_id"), "fp")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3) -> DataFrame:
+    """docs with one row of each component: that with the smallest id, rows without id last, ties to any one of them.
+
+    Null and empty texts are one component, like any other; rows that share an id are rows of their own, so they go only
+    if their texts are near copies; an empty table gives no rows; all columns are kept, whatever their names.
+    """
+    small_batches(docs.sparkSession)
+    row, fp = fresh(docs, "row"), fresh(docs, "fp")
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(fp, _print_of(text_col)), "near-rows")
+    rows = keyed.select(F.col(fp).alias("fp"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.col(row).alias("row")).alias("first"))
+    classes = near_classes(rows.groupBy("fp").agg(F.min("first").alias("first")), bits)
+    kept = classes.groupBy("class").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return keyed.join(kept, row).select(*docs.columns)
