@@ -9,15 +9,13 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm import toxicity
-from loomgraph.llm.common import written
+from loomgraph.llm import simhash, toxicity
+from loomgraph.llm.common import fresh, written
 from loomgraph.llm.decontaminate import decontaminate
 from loomgraph.llm.mixing import PRODUCTION, mixed_documents
 from loomgraph.llm.queries import TOXIC, table, tokenizer_path, toxicity_model
-from loomgraph.llm.simhash import simhash_components
 from loomgraph.llm.token_store import read_documents, write_tokens
 
 #: The pipeline mixes nine tenths of the tokens that are left, each document at most twice.
@@ -25,33 +23,36 @@ MIX = replace(PRODUCTION, numerator=9, denominator=10, max_epochs=2)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under the threshold."""
-    scored = toxicity.with_toxicity(docs, toxicity_model(spark, docs, sf_dir), into="_toxicity")
-    return scored.where(F.col("_toxicity.score") < TOXIC).drop("_toxicity")
+    """Documents whose toxicity score is under the threshold. Null and empty texts, null and repeated ids are scored like
+    any other row; an empty table stays empty; all columns are kept, whatever their names."""
+    score = fresh(docs, "toxicity")
+    scored = toxicity.with_toxicity(docs, toxicity_model(spark, docs, sf_dir), into=score)
+    return scored.where(F.col(score)["score"] < TOXIC).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id. Rows without id all stay; of rows that
-    share an id one stays."""
-    keep = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(keep, docs.doc_id == F.col("_id")).drop("_id")
-    one = W.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
-    kept = kept.withColumn("_row", F.row_number().over(one)).where("_row = 1").drop("_row")
-    return kept.unionByName(docs.where("doc_id is null"))
+    """Of each component of near duplicates the row with the smallest id, rows without id last; null and empty texts are
+    one component. Rows that share an id but not a component all stay; an empty table stays empty; all columns are
+    kept, whatever their names."""
+    return simhash.drop_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item. Null and empty texts hold none; ids don't matter; an empty
+    table stays empty; all columns are kept, whatever their names."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The production mixture of what is left."""
+    """The production mixture of what is left. Texts without words give no tokens and go; rows with a null id, or an id of
+    several rows, are rows of their own; an empty table stays empty; all columns are kept, whatever their names."""
     return mixed_documents(docs, MIX)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mixture, and what reading them back gives for each document."""
+    """Token files of the mixture, and what reading them back gives for each row: doc_id, start, n_tokens, ids_crc32.
+    Null texts count as empty, null ids come first, ties are ordered by text; an empty table gives no rows; other columns
+    are ignored."""
     return read_documents(write_tokens(docs, tokenizer_path(), end_id=1))
 
 

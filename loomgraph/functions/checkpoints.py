@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() into spark.checkpoint.dir; a folder of its own is made only where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomgraph-"))
-    return df.checkpoint()
-
-
 def scratch(spark) -> str:
-    """A folder of the application that driver and executors share."""
+    """A folder of the application that driver and executors share: spark.checkpoint.dir. Where that is unset, a local one
+    if Spark runs in one process (tests), else an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomgraph-"))
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="loomgraph-"))
     return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df.checkpoint() into the shared folder."""
+    scratch(df.sparkSession)
+    return df.checkpoint()
