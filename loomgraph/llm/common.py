@@ -142,6 +142,9 @@ PLAIN = byte_table(bytes(b for b in range(1, 256) if b != 0x20 and not 9 <= b <=
 #: A-Z count as a-z; words are runs of digits, letters and all beyond ASCII.
 FOLDED = byte_table(bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]), lower=True)
 
+#: Words are runs of a-z and all beyond ASCII, in texts that are lower-cased already.
+LETTERS = byte_table(bytes([*range(0x61, 0x7B), *range(0x80, 0x100)]), lower=False)
+
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the byte strings data[start:end]."""
@@ -151,7 +154,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
-def _slice_words(buf: np.ndarray, cuts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _slice_words(buf: np.ndarray, cuts: np.ndarray, table: np.ndarray, prefixes: tuple) -> tuple[np.ndarray, np.ndarray]:
     n = len(buf)
     vals = table[buf]
     inside = vals > 0
@@ -164,11 +167,15 @@ def _slice_words(buf: np.ndarray, cuts: np.ndarray, table: np.ndarray) -> tuple[
     first[cuts] = inside[cuts]
     last[cuts - 1] = inside[cuts - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return hash_spans(vals, starts, ends), starts
+    spans = [(starts, ends, 0)] + [(starts[k], starts[k] + n, n) for n in prefixes for k in [ends - starts > n]]
+    starts = np.concatenate([s for s, _, _ in spans])
+    salt = np.repeat(np.array([n for _, _, n in spans], np.uint64), [len(s) for s, _, _ in spans])
+    return hash_spans(vals, starts, np.concatenate([e for _, e, _ in spans])) ^ salt, starts
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of texts that lie end to end in `data`, and for each word the index of its text.
+def hash_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, prefixes: tuple = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of texts that lie end to end in `data`, and for each word the index of its text; then, in each
+    slice, the same for the beginnings of `prefixes` bytes of longer words.
 
     Works in slices of about 2 MB, so memory is bounded by the number of words whatever a text's length.
     """
@@ -183,7 +190,7 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
                 stop = int(offsets[k + 1])
                 while to < stop and (table[data[to]] or (table is PLAIN and data[to] == 0)):
                     to += 1
-        h, starts = _slice_words(data[at:to], offsets - at, table)
+        h, starts = _slice_words(data[at:to], offsets - at, table, prefixes)
         hashes.append(h)
         docs.append((np.searchsorted(offsets, starts + at, side="right") - 1).astype(np.int64))
         at = to

@@ -1,179 +1,229 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-A bounded sample of labelled rows gives the terms (words and word beginnings that a chi-square test ties to the label),
-the examples, and the calibration, for which each example is scored by the others. Texts are scored where they are
-read: nothing but the fitted index is broadcast, and its size is bounded by the sample and term limits.
+A bounded sample of labelled rows gives the examples. Every word of theirs, and every beginning of a word, is a term: the
+vocabulary is not cut. A term's inverse document frequency is scaled by how far its share differs between the labels
+(the root of the chi-square statistic), since plain TF-IDF neighbours hardly tell the labels apart. Texts are scored where
+they are read, by distance-weighted votes of their nearest examples, calibrated on the examples scored by each other.
+Nothing but the fitted index is broadcast; it holds one posting for each distinct term of each sampled example.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import small_batches, written
+from loomgraph.llm.common import LETTERS, hash_words, partitions, small_batches, written
 
-_WORD = re.compile(r"[^\W\d_]+")
-_KNOWN = 400_000
+#: Texts searched together; queries of one block whose scores are held together.
+_GROUP = 128
 
 
 @dataclass(frozen=True)
 class Knn:
-    """per_class: examples of each label at most; terms: at most; chi2: least test value; prefixes: lengths of word
-    beginnings used as terms; k: neighbours; power: of the similarity in votes; block: examples a block."""
+    """per_class: examples of each label at most; prefixes: bytes of word beginnings that are terms too; contrast and
+    doubt: how much a term's weight grows with the difference of its share between the labels, and in how many examples
+    such a difference counts half; k: neighbours; power: of the similarity in votes; prior: weight of the sample's label
+    share in a vote; block: examples a block; often: terms in more than this share of a block are stored there as rows,
+    others as postings."""
 
     per_class: int = 2000
-    terms: int = 1024
-    chi2: float = 24.0
-    prefixes: tuple = (4, 5)
+    prefixes: tuple = (5,)
+    contrast: float = 1.5
+    doubt: float = 4.0
     k: int = 15
     power: float = 2.0
-    block: int = 256
-    threshold: float = 0.7
+    prior: float = 0.002
+    block: int = 1024
+    often: float = 0.125
     seed: int = 5
 
 
-def terms_of(word: str, prefixes: tuple) -> list[str]:
-    return [word, *(f"{word[:n]}*" for n in prefixes if len(word) > n)]
+def term_counts(texts: list, prefixes: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term hash, count) of some texts, ordered by text. Words are runs of letters of the lower-cased text (all
+    beyond ASCII count as letters)."""
+    raws = [(t or "").lower().encode() for t in texts]
+    hashes, doc = hash_words(np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)]), LETTERS, prefixes)
+    terms, back = np.unique(hashes, return_inverse=True)
+    code, count = np.unique(doc * len(terms) + back, return_counts=True)
+    return code // max(1, len(terms)), terms[code % max(1, len(terms))], count
 
 
-def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _WORD.findall((text or "").lower())
+class BlockMaxIndex:
+    """Examples by term, in blocks with the largest weight of each term, for exact top-k cosine.
 
+    owner, term, weight: the weights of all examples, ordered by example. Within a block, frequent terms are rows over its
+    examples and all others are postings.
+    """
 
-class BlockMaxIndex:
-    """Postings of examples by term, in blocks with the largest weight of each term, for exact top-k cosine."""
-
-    def __init__(self, n_terms: int, vectors: list[list[tuple[int, float]]], block: int):
-        self.n, self.block = len(vectors), block
-        self.n_blocks = -(-max(1, self.n) // block)
-        rows = sorted((t, d, w) for d, v in enumerate(vectors) for t, w in v)
-        term = np.array([r[0] for r in rows], np.int64)
-        self.doc, self.weight = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.float64)
-        # postings of term t in block b lie at start[t * n_blocks + b] and on
-        cell = term * self.n_blocks + self.doc // block
-        self.start = np.searchsorted(cell, np.arange(n_terms * self.n_blocks + 1))
-        self.most = np.zeros(n_terms * self.n_blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(n_terms, self.n_blocks)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples of positive cosine and their cosines, ties to smaller numbers. Blocks are tried by
-        falling upper bound; those whose bound is below the k-th cosine so far can't hold a better one."""
-        bound = weights @ self.most[terms]
-        ids, sims = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(sims) == k and bound[b] < sims[-1] - 1e-12:
-                break
-            score = np.zeros(self.block)
-            for t, w in zip(terms, weights):
-                a, z = self.start[t * self.n_blocks + b], self.start[t * self.n_blocks + b + 1]
-                if a < z:
-                    score[self.doc[a:z] - b * self.block] += w * self.weight[a:z]
-            if b * self.block <= without < (b + 1) * self.block:
-                score[without - b * self.block] = 0
-            at = np.flatnonzero(score > 0)
-            ids, sims = np.concatenate([ids, at + b * self.block]), np.concatenate([sims, score[at]])
-            order = np.lexsort((ids, -np.round(sims, 12)))[:k]
-            ids, sims = ids[order], sims[order]
-        return ids, sims
+    def __init__(self, n: int, n_terms: int, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, block: int, often: float = 0.125):
+        self.n, self.n_terms, self.block = n, n_terms, block
+        self.n_blocks = -(-max(1, n) // block)
+        self.most = np.zeros((n_terms, self.n_blocks))
+        np.maximum.at(self.most, (term, owner // block), weight)
+        self.parts = []
+        for b in range(self.n_blocks):
+            k = np.flatnonzero(owner // block == b)
+            k = k[np.argsort(term[k], kind="stable")]
+            size = np.bincount(term[k], minlength=n_terms)
+            frequent = np.flatnonzero(size > often * block)
+            row = np.full(n_terms, -1, np.int32)
+            row[frequent] = np.arange(len(frequent))
+            common = row[term[k]] >= 0
+            dense = np.zeros((len(frequent), block))
+            dense[row[term[k[common]]], owner[k[common]] - b * block] = weight[k[common]]
+            size[frequent] = 0
+            rest = k[~common]
+            self.parts.append((row, dense, np.concatenate([[0], np.cumsum(size)]).astype(np.int32), (owner[rest] - b * block).astype(np.int32), weight[rest]))
+
+    def _scores(self, b: int, rows: np.ndarray, at: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Cosines of some queries (rows; their terms lie from at[row] to at[row + 1]) with all examples of a block."""
+        row, dense, start, doc, w = self.parts[b]
+        size = at[rows + 1] - at[rows]
+        k = np.repeat(at[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        who, t, q = np.repeat(np.arange(len(rows)), size), term[k], weight[k]
+        common = row[t] >= 0
+        flat = np.zeros((len(rows), len(dense)))
+        flat[who[common], row[t[common]]] = q[common]
+        out = flat @ dense
+        who, t, q = who[~common], t[~common], q[~common]
+        n = start[t + 1] - start[t]
+        p = np.repeat(start[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return out + np.bincount(np.repeat(who * self.block, n) + doc[p], w[p] * np.repeat(q, n), len(rows) * self.block).reshape(out.shape)
+
+    def search(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, example, cosine) of each query's k nearest examples of positive cosine, nearest first, ties to smaller
+        numbers; the terms of query i lie from at[i] to at[i + 1].
+
+        Each query's block of the largest bound comes first; of the others, those whose bound is below the k-th cosine
+        found there can't hold a better one and are left out.
+        """
+        m = len(at) - 1
+        score = np.full((m, self.n_blocks, self.block), -1.0)
+        if not m or not self.n_terms:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        bound = np.zeros((m, self.n_blocks))
+        full = np.flatnonzero(at[1:] > at[:-1])
+        if len(full):
+            bound[full] = np.add.reduceat(self.most[term] * weight[:, None], at[full], axis=0)
+        best = bound.argmax(1)
+        tried = bound <= 0
+        for first in (True, False):
+            if first:
+                todo = (best[:, None] == np.arange(self.n_blocks)) & ~tried
+            else:
+                kth = np.partition(score[np.arange(m), best], self.block - min(k, self.block), axis=1)[:, self.block - min(k, self.block)]
+                todo = ~tried & (bound >= kth[:, None] - 1e-9)
+            for b in range(self.n_blocks):
+                rows = np.flatnonzero(todo[:, b])
+                if len(rows):
+                    score[rows, b] = self._scores(b, rows, at, term, weight)
+                    if without is not None:
+                        own = rows[without[rows] // self.block == b]
+                        score[own, b, without[own] % self.block] = -1.0
+            tried |= todo
+        score = np.round(score.reshape(m, -1), 12)
+        kth = np.partition(score, score.shape[1] - min(k, score.shape[1]), axis=1)[:, score.shape[1] - min(k, score.shape[1])]
+        q, d = np.nonzero((score >= kth[:, None]) & (score > 0))
+        s = score[q, d]
+        order = np.lexsort((d, -s, q))
+        q, d, s = q[order], d[order], s[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[keep], d[keep], s[keep]
+
+
+def probability(votes: np.ndarray, slope: float, offset: float) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(slope * votes + offset, -30, 30)))
 
 
 class KnnModel:
-    """Fitted terms, examples and calibration; score() gives a probability and the evidence for it."""
-
-    def __init__(self, how: Knn, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict]]):
-        self.how, self.idf, self.number = how, idf, {t: i for i, t in enumerate(terms)}
-        self.ids, self.labels = [e[0] for e in examples], np.array([e[1] for e in examples], np.float64)
-        vectors = [self._vector({self.number[t]: n for t, n in e[2].items() if t in self.number}) for e in examples]
-        none = np.array([len(t) == 0 for t, _ in vectors], bool)
-        # those without a term answer for texts without a term; they are nobody's neighbours and stay out of the index
-        self.blank = (self.labels[none].sum() + 0.5) / (none.sum() + 1.0) if len(none) else 0.0
-        vectors, self.ids, self.labels = [v for v, x in zip(vectors, none) if not x], [i for i, x in zip(self.ids, none) if not x], self.labels[~none]
-        self.index = BlockMaxIndex(max(1, len(terms)), [list(zip(t.tolist(), w.tolist())) for t, w in vectors], how.block)
-        self.slope, self.offset = 8.0, -4.0
-        self._forget()
-        votes = np.array([self._vote(*v, without=i)[0] if len(v[0]) else np.nan for i, v in enumerate(vectors)])
-        self._calibrate(votes[~np.isnan(votes)], self.labels[~np.isnan(votes)])
-
-    def _vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(counts), np.int64)
-        w = np.array([1 + np.log(counts[i]) for i in t.tolist()]) * self.idf[t] if len(t) else np.zeros(0)
-        return t, w / np.sqrt((w * w).sum()) if len(t) else w
-
-    def _vote(self, terms, weights, without: int = -1):
-        ids, sims = self.index.search(terms, weights, self.how.k, without)
-        w = sims**self.how.power
-        prior = 0.05
-        return (float((w * self.labels[ids]).sum()) + prior * float(self.blank)) / (float(w.sum()) + prior), ids, sims
-
-    def _calibrate(self, votes: np.ndarray, y: np.ndarray) -> None:
+    """Examples, term weights and calibration; score() gives votes and the evidence for them."""
+
+    def __init__(self, how: Knn, examples: list[tuple]):
+        """examples: (label, id, row, term hashes, counts)."""
+        self.how = how
+        examples = sorted(examples, key=lambda e: e[:3])
+        self.labels, self.ids = np.array([e[0] for e in examples], np.float64), np.array([e[1] for e in examples], np.int64)
+        n, n1 = len(examples), self.labels.sum()
+        owner = np.repeat(np.arange(n), [len(e[3]) for e in examples])
+        self.vocab, term = np.unique(np.concatenate([np.zeros(0, np.uint64), *(e[3] for e in examples)]), return_inverse=True)
+        count = np.concatenate([np.zeros(0), *(e[4] for e in examples)])
+        df = np.bincount(term, minlength=len(self.vocab)).astype(np.float64)
+        a = np.bincount(term, self.labels[owner], len(self.vocab))
+        apart = np.abs(n * a - n1 * df) / np.sqrt(np.maximum(n1 * (n - n1) * df * np.maximum(n - df, 1) / max(1, n), 1e-9))
+        self.weight = np.log((n + 1) / np.maximum(df, 1)) * (0.05 + apart * df / (df + how.doubt)) ** how.contrast
+        self.share = (n1 + 0.5) / (n + 1) if n1 else 0.0
+        self.index = BlockMaxIndex(n, len(self.vocab), owner, term, self._unit(owner, term, count, n), how.block, how.often)
+        self.slope, self.offset, self.shared = 8.0, -4.0, None
+
+    def _unit(self, owner, term, count, n):
+        """Weights of length 1 for each owner."""
+        w = (1 + np.log(count)) * self.weight[term]
+        return w / np.maximum(np.sqrt(np.bincount(owner, w * w, n)), 1e-300)[owner]
+
+    def votes(self, at, term, w, without=None):
+        """Each query's share of label 1 among its neighbours, and the neighbours (query, example, cosine)."""
+        q, d, s = self.index.search(at, term, w, self.how.k, without)
+        m, v = len(at) - 1, s**self.how.power
+        prior = self.how.prior
+        return (np.bincount(q, v * self.labels[d], m) + prior * self.share) / (np.bincount(q, v, m) + prior), q, d, s
+
+    def calibrate(self, votes: np.ndarray, y: np.ndarray) -> None:
         """Logistic calibration of votes (Newton's method with a weak prior on the slope)."""
         if len(y) < 10 or y.min() == y.max():
             return
         b = np.array([8.0, -4.0])
         for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(votes * b[0] + b[1], -30, 30)))
+            p = probability(votes, *b)
             x = np.stack([votes, np.ones_like(votes)], 1)
             grad = x.T @ (p - y) + 0.05 * (b - [8.0, -4.0])
             b = b - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2), grad)
         if np.isfinite(b).all() and b[0] > 0:
             self.slope, self.offset = map(float, b)
 
-    def counts(self, text: str | None) -> dict[int, int]:
-        words = words_of(text)
-        unique = set(words)
-        for word in unique.difference(self.dull).difference(self.live):
-            hit = [self.number[t] for t in terms_of(word, self.how.prefixes) if t in self.number]
-            if hit:
-                self.live[word] = hit
-                self.live_words.add(word)
-            else:
-                self.dull.add(word)
-        found: dict[int, int] = {}
-        for word in unique & self.live_words:
-            n = words.count(word)
-            for t in self.live[word]:
-                found[t] = found.get(t, 0) + n
-        if len(self.dull) + len(self.live) > _KNOWN:
-            self._forget()
-        return found
-
-    def _forget(self) -> None:
-        """Words met before: those with terms, and those without."""
-        self.live, self.live_words, self.dull = {}, set(), set()
-
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        terms, weights = self._vector(self.counts(text))
-        if not len(terms):
-            return float(self.blank), [], []
-        vote, ids, sims = self._vote(terms, weights)
-        return float(1 / (1 + np.exp(-np.clip(self.slope * vote + self.offset, -30, 30)))), [self.ids[i] for i in ids], sims.tolist()
-
-
-def _one_of_each(rows: DataFrame, bands: int = 5, width: int = 3) -> DataFrame:
-    """Sampled rows without copies and near copies (equal texts, or a band of min-hashes in common): else the chance
-    words of one much-copied text would look as if they were tied to its label. The sample is bounded, so are windows."""
-    words = F.filter(F.map_keys("terms"), lambda t: ~F.endswith(t, F.lit("*")))
-    rows = rows.withColumn("_b0", F.col("h"))
-    for b in range(bands):
-        least = [F.array_min(F.transform(words, lambda t, k=b * width + j: F.xxhash64(F.lit(k), t))) for j in range(width)]
-        rows = rows.withColumn(f"_b{b + 1}", F.when(F.size(words) > 0, F.xxhash64(*least)).otherwise(F.col("id")))
-    for b in range(bands + 1):
-        rows = rows.withColumn(f"_r{b}", F.row_number().over(W.partitionBy(f"_b{b}").orderBy("id", "y")))
-    return rows.where(" and ".join(f"_r{b} = 1" for b in range(bands + 1))).select("id", "y", "h", "terms")
+    def share_out(self, spark: SparkSession):
+        """The model as a broadcast, made once."""
+        if self.shared is None:
+            self.shared = spark.sparkContext.broadcast(self)
+        return self.shared
+
+    def __getstate__(self):
+        return {**self.__dict__, "shared": None}
+
+    def vectors(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """at, term, weight of some texts: their terms that an example has too, at length 1."""
+        return self.known(len(texts), *term_counts(texts, self.how.prefixes))
+
+    def known(self, n: int, owner: np.ndarray, hashes: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same from the term counts of n texts."""
+        if not len(self.vocab):
+            return np.zeros(n + 1, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        k = np.minimum(np.searchsorted(self.vocab, hashes), len(self.vocab) - 1)
+        met = self.vocab[k] == hashes
+        owner, term = owner[met], k[met]
+        return np.searchsorted(owner, np.arange(n + 1)), term, self._unit(owner, term, count[met].astype(np.float64), n)
+
+    def score(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Votes of some texts, and as evidence (text, id of the example, cosine), nearest first."""
+        out, seen, ids, sims = np.zeros(len(texts)), [], [], []
+        for i in range(0, len(texts), _GROUP):
+            vote, q, d, s = self.votes(*self.vectors(texts[i : i + _GROUP]))
+            out[i : i + len(vote)] = vote
+            seen.append(q + i)
+            ids.append(self.ids[d])
+            sims.append(s)
+        return out, *(np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.int64, seen), (np.int64, ids), (np.float64, sims)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, how: Knn = Knn(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> KnnModel:
-    """Fit on at most how.per_class rows of each label, picked by a hash of the id. Rows with null id or label, labels
-    other than 0 and 1, and texts that are copies or near copies of others in the sample are left out; no usable row gives a model that scores 0."""
+    """Fit on at most how.per_class rows of each label, picked by a hash of the id; all of them are examples.
+
+    Rows with null id or label and labels other than 0 and 1 are left out; a null text is an example without terms; an id
+    with several texts gives an example each; no usable row gives a model that scores under one half.
+    """
     labels = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").distinct()
     order = [F.xxhash64(F.lit(how.seed), "id"), F.col("id")]
     picked = labels.where("y = 1").orderBy(*order).limit(how.per_class).union(labels.where("y = 0").orderBy(*order).limit(how.per_class))
@@ -182,46 +232,50 @@ def fit(docs: DataFrame, labels: DataFrame, how: Knn = Knn(), id_col: str = "doc
     def terms(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():
-            counts: Counter = Counter()
-            for word, n in Counter(words_of(t)).items():
-                for term in terms_of(word, how.prefixes):
-                    counts[term] += n
-            out.append(list(counts.items()))
-        return pa.array(out, pa.map_(pa.string(), pa.int64()))
+            _, h, n = term_counts([t], how.prefixes)
+            out.append({"h": h.tobytes(), "n": n.astype("<u4").tobytes()})
+        return pa.array(out, pa.struct([("h", pa.binary()), ("n", pa.binary())]))
 
     terms.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    rows = texts.select("id", "y", F.xxhash64("text").alias("h"), F.arrow_udf(terms, "map<string,long>")("text").alias("terms"))
-    rows = written(_one_of_each(written(rows, "labelled-terms")), "labelled-terms")
-    sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1 or not n0:
-        return KnnModel(how, [], np.zeros(0), [(r.id, r.y, {}) for r in rows.select("id", "y").collect()])
-    one = rows.select("y", F.explode(F.map_keys("terms")).alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    n = n1 + n0
-    chi = (n * (F.col("a") * (n0 - F.col("b")) - F.col("b") * (n1 - F.col("a"))) ** 2) / (F.lit(float(n1) * n0) * (F.col("a") + F.col("b")) * (n - F.col("a") - F.col("b") + 0.5))
-    best = one.withColumn("chi", chi).where(F.col("chi") >= how.chi2).orderBy(F.desc("chi"), "term").limit(how.terms).collect()
-    names = [r.term for r in best]
-    idf = np.array([np.log(1 + n / (r.a + r.b)) for r in best])
-    wanted = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
-    examples = rows.select("id", "y", F.map_filter("terms", lambda t, _: F.array_contains(wanted, t)).alias("terms")).orderBy("id").collect()
-    return KnnModel(how, names, idf, [(r.id, r.y, r.terms or {}) for r in examples])
-
-
-_SCORE = pa.struct([("score", pa.float64()), ("examples", pa.list_(pa.int64())), ("cosines", pa.list_(pa.float64()))])
+    spark = docs.sparkSession
+    rows = texts.select("y", "id", F.monotonically_increasing_id().alias("row"), F.arrow_udf(terms, "struct<h:binary,n:binary>")("text").alias("t"))
+    rows = written(rows, "labelled-terms")
+    held = rows.collect()
+    model = KnnModel(how, [(r.y, r.id, r.row, np.frombuffer(r.t.h, np.uint64), np.frombuffer(r.t.n, "<u4").astype(np.float64)) for r in held])
+    number = {row: i for i, (_, _, row) in enumerate(sorted((r.y, r.id, r.row) for r in held))}
+    shared = model.share_out(spark)
+
+    def votes(batches):
+        for batch in batches:
+            for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h, n = np.frombuffer(t["h"], np.uint64), np.frombuffer(t["n"], "<u4")
+                vote = shared.value.votes(*shared.value.known(1, np.zeros(len(h), np.int64), h, n), np.array([number[row]]))[0]
+                yield pa.RecordBatch.from_arrays([pa.array([number[row]], pa.int64()), pa.array(vote)], names=["number", "vote"])
+
+    # each example is scored by the others, spread over tasks
+    found = sorted(rows.select("row", "t").repartition(partitions(spark), "row").mapInArrow(votes, "number long, vote double").collect())
+    model.calibrate(np.array([r.vote for r in found]), model.labels)
+    return model
 
 
 def with_toxicity(docs: DataFrame, model: KnnModel, text_col: str = "text", into: str = "toxicity") -> DataFrame:
     """docs with a struct column `into`: score (0 to 1), and as evidence the nearest examples' ids and cosines.
 
-    Texts that share no term with the examples (null and empty ones too) get the share of label 1 among examples of
-    that kind. All rows and columns are kept.
+    Texts that share no term with the examples (null and empty ones too) are scored by the share of label 1 among the
+    examples. All rows are kept, and all columns but one of the name `into`.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, slope, offset = model.share_out(docs.sparkSession), model.slope, model.offset
 
     def score(texts: pa.Array) -> pa.Array:
-        rows = [shared.value.score(t) for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], fields=list(_SCORE))
+        once = texts.dictionary_encode()  # equal texts of a batch are scored once
+        votes, q, ids, sims = shared.value.score(once.dictionary.to_pylist() + [None])
+        at = np.searchsorted(q, np.arange(len(votes) + 1))
+        found = pa.StructArray.from_arrays(
+            [pa.array(probability(votes, slope, offset)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sims))],
+            names=["score", "examples", "cosines"],
+        )
+        return found.take(once.indices.fill_null(len(votes) - 1))
 
     score.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return docs.withColumn(into, F.arrow_udf(score, "struct<score:double,examples:array<long>,cosines:array<double>>")(F.col(text_col).cast("string")))

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 from dataclasses import replace
 
 import duckdb
@@ -409,21 +410,85 @@ def test_near_fingerprints_lose_no_link(spark, limit):
 # --- 10 -----------------------------------------------------------------------------------------------------------
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("often", [0.1, 2.0])
+def test_block_max_search_is_exact(often):
     r = random.Random(3)
     vectors = [[(t, r.random()) for t in sorted(r.sample(range(30), r.randint(0, 6)))] for _ in range(500)]
-    index = toxicity.BlockMaxIndex(30, vectors, 16)
     dense = np.zeros((500, 30))
     for d, v in enumerate(vectors):
         for t, w in v:
             dense[d, t] = w
-    for _ in range(50):
-        t = np.array(sorted(r.sample(range(30), 4)))
-        w = np.array([r.random() for _ in t])
-        s = dense[:, t] @ w
-        want = [i for i in np.lexsort((np.arange(500), -np.round(s, 12))) if s[i] > 0][:7]
-        ids, sims = index.search(t, w, 7)
-        assert ids.tolist() == want and np.allclose(sims, s[want])
+    owner, term = np.nonzero(dense)
+    index = toxicity.BlockMaxIndex(500, 30, owner, term, dense[owner, term], 16, often)
+    asked = [sorted(r.sample(range(30), r.randint(0, 4))) for _ in range(50)]
+    at, t = np.cumsum([0, *map(len, asked)]), np.array([x for q in asked for x in q])
+    w, without = np.array([r.random() for _ in t]), np.arange(50) * 7
+    q, ids, sims = index.search(at, t, w, 7, without)
+    for i in range(50):
+        s = dense[:, t[at[i] : at[i + 1]]] @ w[at[i] : at[i + 1]]
+        s[without[i]] = 0
+        want = [x for x in np.lexsort((np.arange(500), -np.round(s, 12))) if s[x] > 0][:7]
+        assert ids[q == i].tolist() == want and np.allclose(sims[q == i], s[want])
+
+
+def brute_toxicity(docs, labels, how):
+    """Scores and evidence of texts by dense cosines with every example: {id: (score, [(id, cosine)])}."""
+
+    def terms(t):
+        words = re.findall("[a-z\x80-\U0010ffff]+", (t or "").lower())
+        return Counter([("w", w) for w in words] + [(n, w.encode()[:n]) for w in words for n in how.prefixes if len(w.encode()) > n])
+
+    texts = dict(docs)
+    examples = sorted((y, i) for i, y in labels if i in texts)
+    bags, y = [terms(texts[i]) for _, i in examples], np.array([y for y, _ in examples])
+    number = {t: k for k, t in enumerate(sorted(set().union(*bags), key=str))}
+    x = np.zeros((len(bags), len(number)))
+    for k, b in enumerate(bags):
+        for t, n in b.items():
+            x[k, number[t]] = 1 + np.log(n)
+    n, n1, df, a = len(y), y.sum(), (x > 0).sum(0), (x[y == 1] > 0).sum(0)
+    chi2 = n * (a * (n - n1 - (df - a)) - (df - a) * (n1 - a)) ** 2 / (n1 * (n - n1) * df * np.maximum(n - df, 1))
+    idf = np.log((n + 1) / df) * (0.05 + np.sqrt(chi2) * df / (df + how.doubt)) ** how.contrast
+    unit = lambda v: v / np.maximum(np.sqrt((v * v).sum(-1, keepdims=True)), 1e-300)
+    x = unit(x * idf)
+
+    def vote(v, without=None):
+        s = np.round(x @ v, 12)
+        if without is not None:
+            s[without] = 0
+        near = [k for k in np.lexsort((np.arange(n), -s)) if s[k] > 0][: how.k]
+        w = s[near] ** how.power
+        return ((w * y[near]).sum() + how.prior * (n1 + 0.5) / (n + 1)) / (w.sum() + how.prior), [(examples[k][1], s[k]) for k in near]
+
+    model = toxicity.KnnModel(how, [])
+    model.calibrate(np.array([vote(x[k], k)[0] for k in range(n)]), y)
+    out = {}
+    for i, t in docs:
+        v = np.zeros(len(number))
+        for term, c in terms(t).items():
+            if term in number:
+                v[number[term]] = 1 + np.log(c)
+        got, near = vote(unit(v * idf))
+        out[i] = (1 / (1 + np.exp(-(model.slope * got + model.offset))), near)
+    return out
+
+
+def test_registered_toxicity_equals_dense_cosines(spark):
+    """The whole query, row by row, and its evidence."""
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    labels = duckdb.sql(f"SELECT doc_id, toxic FROM '{SF}/labels.parquet'").fetchall()
+    train = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    want = brute_toxicity(docs, train, toxicity.Knn())
+    got = queries.op10_toxicity(spark, SF).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert np.isclose(r.score, want[r.doc_id][0], atol=1e-9) and r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    model = queries.toxicity_model(spark, table, SF)
+    for r in toxicity.with_toxicity(table, model).collect():
+        near = want[r.doc_id][1]
+        assert len(r.toxicity.cosines) == len(near) and np.allclose(r.toxicity.cosines, [s for _, s in near], atol=1e-9)
+        assert [i for i, s in zip(r.toxicity.examples, r.toxicity.cosines) if s > r.toxicity.cosines[-1] + 1e-9] == [i for i, s in near if s > near[-1][1] + 1e-9]
 
 
 def test_toxicity_held_out(spark):
@@ -454,10 +519,11 @@ def test_registered_query_equals_sql(spark, key):
     con = duckdb.connect()
     for t in ("documents", "labels", "benchmark", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want, got = con.sql(queries.SQL[key]).df(), queries.QUERIES[key](spark, SF).toPandas()
+    want, got = con.sql(queries.SQL[key]), queries.QUERIES[key](spark, SF)
     order = sorted(want.columns)
     assert sorted(got.columns) == order
-    assert got[order].astype(str).sort_values(order).values.tolist() == want[order].astype(str).sort_values(order).values.tolist()
+    sort = lambda rows: sorted(map(tuple, rows), key=lambda r: tuple((v is not None, v) for v in r))
+    assert sort(got.select(*order).collect()) == sort(want.select(*order).fetchall())  # values as they are, null only equal to null
 
 
 def test_pipeline_decisions(spark):
