@@ -2,9 +2,9 @@
 
 Each word has hashed features (lexicon entry, beginnings, endings, letter n-grams); learned transitions tie neighbours,
 so code-switched text is labelled word by word. Training sequences are cut from a bounded sample of labelled texts and
-alternate between languages. Marginals come from exact forward-backward, computed for all texts of a batch together:
-segment products first, then segment boundaries, then the words inside. A text's language has the largest expected
-number of words.
+alternate between languages. Marginals come from exact forward-backward over whole texts, computed for all texts of a
+batch together: segment products first, then segment boundaries, then the words inside. A text's language has the
+largest expected number of words.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import hash_spans, mix, small_batches
 
-_WORD = re.compile(r"[^\W\d_]{1,40}")
+_WORD, _GAP = re.compile(r"[^\W\d_]{1,40}"), re.compile(r"[\x20\x09-\x0D]")
 UNKNOWN = "und"
-_SEGMENT, _PIECE, _KNOWN, _GROUP = 64, 1 << 18, 600_000, 100
+_SEGMENT, _PIECE, _KNOWN, _GROUP, _CUT = 64, 1 << 18, 400_000, 100, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -46,6 +46,16 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def _slices(text: str | None):
+    """A text in slices of about a million characters that begin and end between runs of letters."""
+    at = 0
+    while text and at < len(text):
+        end = _GAP.search(text, at + _CUT) if at + _CUT < len(text) else None
+        to = end.end() if end else len(text)
+        yield text[at:to] if (at, to) != (0, len(text)) else text
+        at = to
+
+
 def features(words: list[str], lexicon: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """(word, feature) pairs of some words, by numbers: all UTF-8 n-grams of 2 to 4 bytes of the marked word, its
     beginnings and endings, a bias, and the word itself if its hash is in the sorted lexicon."""
@@ -114,24 +124,36 @@ class CrfModel:
         rows = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         return rows[rows >= 0]
 
-    def marginals(self, emit: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Marginals of every word, for sequences that lie end to end; emit: exp of emission scores, at most 1."""
-        L, S = emit.shape[1], _SEGMENT
+    def _chains(self, scores: np.ndarray, rows: np.ndarray, lengths: np.ndarray):
+        """Marginals of every word, for sequences of words (rows of scores) that lie end to end, some segments at a time:
+        (sequence of each word, marginals). scores: exp of emission scores, at most 1.
+
+        First the product of each segment, then the vectors at all segment boundaries, then the words inside: a chain is
+        never cut, and only its boundaries are held whole.
+        """
+        L, S = scores.shape[1], _SEGMENT
         segs = -(-lengths // S)
         n, first = int(segs.sum()), np.cumsum(segs) - segs
-        ends = np.cumsum(lengths)
-        place = np.arange(len(emit)) + np.repeat(first * S - (ends - lengths), lengths)
-        e = np.ones((n * S, L))
-        e[place] = np.maximum(emit, 1e-30)
-        mask = np.zeros(n * S, bool)
-        mask[place] = True
-        e, mask = e.reshape(n, S, L), mask.reshape(n, S)
+        owner = np.repeat(np.arange(len(lengths)), segs)
+        size = np.minimum(S, lengths[owner] - (np.arange(n) - first[owner]) * S)
+        word = np.cumsum(size) - size
         a = np.exp(self.transitions - self.transitions.max())
+
+        def emit(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+            mask = np.arange(S) < size[lo:hi, None]
+            e = np.ones((hi - lo, S, L))
+            e[mask] = np.maximum(scores[rows[word[lo] : word[hi - 1] + size[hi - 1]]], 1e-30)
+            return e, mask
+
         prod = np.broadcast_to(np.eye(L), (n, L, L)).copy()
-        for t in range(S):
-            m = mask[:, t]
-            step = (prod[m] @ a) * e[m, t, None, :]
-            prod[m] = step / step.sum((1, 2), keepdims=True)
+        blocks = [(k, min(n, k + _PIECE // S)) for k in range(0, n, _PIECE // S)]
+        for lo, hi in blocks:
+            e, mask = emit(lo, hi)
+            part = prod[lo:hi]
+            for t in range(S):
+                m = mask[:, t]
+                step = (part[m] @ a) * e[m, t, None, :]
+                part[m] = step / step.sum((1, 2), keepdims=True)
         left, right = np.full((n, L), 1 / L), np.full((n, L), 1 / L)
         order = np.argsort(-segs, kind="stable")
         live = np.searchsorted(-segs[order], -np.arange(1, int(segs.max(initial=0)) + 1), side="right")
@@ -143,22 +165,29 @@ class CrfModel:
             at = first[order[: live[k]]] + k
             x = (prod[at] @ right[at][:, :, None])[:, :, 0]
             right[at - 1] = x / x.sum(1, keepdims=True)
-        alpha = np.empty((n, S, L))
-        x = left
-        for t in range(S):
-            step = (x @ a) * e[:, t]
-            x = np.where(mask[:, t, None], step / step.sum(1, keepdims=True), x)
-            alpha[:, t] = x
-        x = right
-        for t in range(S - 1, -1, -1):
-            alpha[:, t] *= x
-            step = (e[:, t] * x) @ a.T
-            x = np.where(mask[:, t, None], step / step.sum(1, keepdims=True), x)
-        out = alpha.reshape(n * S, L)[place]
-        return out / out.sum(1, keepdims=True)
+        for lo, hi in blocks:
+            e, mask = emit(lo, hi)
+            alpha, x = np.empty((hi - lo, S, L)), left[lo:hi]
+            for t in range(S):
+                step = (x @ a) * e[:, t]
+                x = np.where(mask[:, t, None], step / step.sum(1, keepdims=True), x)
+                alpha[:, t] = x
+            x = right[lo:hi]
+            for t in range(S - 1, -1, -1):
+                alpha[:, t] *= x
+                step = (e[:, t] * x) @ a.T
+                x = np.where(mask[:, t, None], step / step.sum(1, keepdims=True), x)
+            out = alpha[mask]
+            yield np.repeat(owner[lo:hi], size[lo:hi]), out / out.sum(1, keepdims=True)
+
+    def marginals(self, emit: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Marginals of every word, for sequences that lie end to end; emit: exp of emission scores, at most 1."""
+        parts = [m for _, m in self._chains(emit, np.arange(len(emit)), lengths)]
+        return np.concatenate(parts) if parts else np.zeros_like(emit)
 
     def label_words(self, texts: list) -> list[list[tuple[str, str]]]:
-        """Most probable language of each word of some texts."""
+        """Most probable language of each word of some texts, ties to the first; null texts and texts without letters have
+        no words. A text is labelled as one chain, however long."""
         out = []
         for t in texts:
             words = words_of(t)
@@ -170,32 +199,47 @@ class CrfModel:
         return out
 
     def predict(self, texts: list) -> tuple[list[str], list[float]]:
-        """Language and its expected share of the words, for each text. The chain starts anew every 2^18 words."""
-        sums, held, lengths, owner = np.zeros((len(texts), max(1, len(self.langs)))), [], [], []
+        """Language and its expected share of the words, for each text; each text is one chain, however long."""
+        sums, held, owner, n = np.zeros((len(texts), max(1, len(self.langs)))), [], [], 0
 
         def flush():
-            rows = np.concatenate(held)
-            m = self.marginals(self.scores[rows], np.array(lengths))
-            np.add.at(sums, owner, np.add.reduceat(m, np.cumsum([0, *lengths[:-1]])))
-            held.clear(), lengths.clear(), owner.clear()
+            nonlocal n
+            lengths = np.array([len(r) for r in held])
+            for who, m in self._chains(self.scores, np.concatenate(held), lengths):
+                for c in range(m.shape[1]):
+                    sums[owner, c] += np.bincount(who, m[:, c], len(owner))
+            held.clear(), owner.clear()
+            n = 0
 
         for g in range(0, len(texts) if self.langs else 0, _GROUP):
-            lists = [words_of(t) for t in texts[g : g + _GROUP]]
-            new = set().union(*lists).difference(self.number)
-            if len(self.number) + len(new) > _KNOWN and self.number:
+            if len(self.number) > _KNOWN:
                 if held:
                     flush()  # rows of words that are about to be forgotten
                 self.reset()
-                new = set().union(*lists)
-            self._learn(list(new))
-            for k, words in enumerate(lists, g):
-                rows = self._rows(words)
-                for i in range(0, len(rows), _PIECE):
-                    held.append(rows[i : i + _PIECE])
-                    lengths.append(len(held[-1]))
+            found: list[list] = [[] for _ in texts[g : g + _GROUP]]
+            waiting: list = []
+
+            def learn():
+                self._learn(list(set().union(*(w for _, w in waiting)).difference(self.number)))
+                for k, words in waiting:
+                    found[k].append(self._rows(words))
+                waiting.clear()
+
+            for k, text in enumerate(texts[g : g + _GROUP]):
+                for part in _slices(text):
+                    waiting.append((k, words_of(part)))
+                    if len(part) == len(text):
+                        continue
+                    learn()  # a slice of a long text: its words are kept as numbers alone
+            learn()
+            for k, rows in enumerate(found, g):
+                rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+                if len(rows):
+                    held.append(rows)
                     owner.append(k)
-                    if sum(lengths) >= _PIECE:
-                        flush()
+                    n += len(rows)
+                if n >= _PIECE:
+                    flush()
         if held:
             flush()
         total = sums.sum(1)
@@ -218,7 +262,7 @@ class CrfModel:
             return
         names = list(numbers)
         often = [names[i] for i in np.flatnonzero(counts >= how.lexicon).tolist()]
-        marked = [f"<{w if len(w) <= 40 else w[:20] + w[-20:]}>".encode() for w in often]
+        marked = [f"<{w}>".encode() for w in often]
         ends = np.cumsum([len(x) for x in marked])
         self.lexicon = np.sort(hash_spans(np.frombuffer(b"".join(marked), np.uint8), ends - [len(x) for x in marked], ends)) if often else self.lexicon
         who, what = features(names, self.lexicon, how.dims)
@@ -279,8 +323,9 @@ class CrfModel:
 
 
 def fit(docs: DataFrame, how: Crf = Crf(), text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> CrfModel:
-    """Fit on a sample, picked by a hash of id and text, of rows whose text and language are not null: at most
-    how.per_lang of a language and how.texts in all."""
+    """Fit on a sample, picked by a hash of the id, of rows whose text and language are not null: at most how.per_lang of a
+    language and how.texts in all, but at least one of each language. Rows with a null id or a shared id take part like
+    others; no usable row gives a model without languages."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(how.seed), F.col(id_col)).alias("h"), F.col(id_col).alias("id")).where("text is not null and lang is not null")
     n = rows.select("lang").distinct().count()
     first = W.partitionBy("lang").orderBy("h", "id")
@@ -293,7 +338,8 @@ def fit(docs: DataFrame, how: Crf = Crf(), text_col: str = "text", lang_col: str
 
 def with_language(docs: DataFrame, model: CrfModel, text_col: str = "text", into: str = "language") -> DataFrame:
     """docs with a struct column `into`: lang ('und' where the text is null or has no letter, or no language was
-    learned) and score (expected share of its words, 0 for 'und'). All rows and columns are kept."""
+    learned) and score (expected share of its words, 0 for 'und'). All rows are kept, and all columns but one of the name
+    `into`; ids are not looked at; ties go to the first language in order; an empty table stays empty."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -292,6 +292,66 @@ def test_language(spark):
     assert {r.language.lang for r in langid.with_language(docs.limit(5), none).collect()} == {"und"}
 
 
+def chain_shares(emit, transitions):
+    """Expected share of each label by forward-backward, word by word in plain Python."""
+    L = len(transitions)
+    a = np.exp(transitions).tolist()
+    fwd, x = [], [1 / L] * L
+    for e in emit:
+        x = [sum(x[i] * a[i][j] for i in range(L)) * e[j] for j in range(L)]
+        x = [v / sum(x) for v in x]
+        fwd.append(x)
+    sums, x = [0.0] * L, [1.0] * L
+    for e, f in zip(reversed(emit), reversed(fwd)):
+        m = [f[j] * x[j] for j in range(L)]
+        sums = [s + v / sum(m) for s, v in zip(sums, m)]
+        x = [sum(a[i][j] * e[j] * x[j] for j in range(L)) for i in range(L)]
+        x = [v / sum(x) for v in x]
+    return [s / len(emit) for s in sums]
+
+
+def emissions(model, words):
+    """Exponentials of the summed feature weights of each word, by a loop over its features."""
+    who, what = langid.features(words, model.lexicon, model.how.dims)
+    x = np.zeros((len(words), len(model.langs)))
+    for w, f in zip(who, what):
+        x[w] += model.weights[f]
+    return np.exp(x - x.max(1, keepdims=True)).tolist()
+
+
+def test_registered_language_equals_a_plain_chain(spark):
+    """The whole query, row by row."""
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(table.where(~queries.held_out("doc_id", 4, 2)))
+    got = {r.doc_id: r for r in queries.op7_language(spark, SF).collect()}
+    texts = {r.doc_id: r.text for r in table.collect()}
+    assert got.keys() == texts.keys()
+    words = sorted({w for t in texts.values() for w in re.findall(r"[^\W\d_]{1,40}", (t or "").lower()) if any(map(str.isalpha, w))})
+    emit = dict(zip(words, emissions(model, words)))
+    for i, t in texts.items():
+        r, own = got[i], [emit[w] for w in re.findall(r"[^\W\d_]{1,40}", (t or "").lower()) if w in emit]
+        shares = chain_shares(own, model.transitions) if own else []
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert (r.lang_pred, r.score) == ("und", 0) if not own else r.lang_pred == model.langs[int(np.argmax(shares))] and np.isclose(r.score, max(shares), atol=1e-6)
+
+
+def test_language_of_a_very_long_text_is_one_chain():
+    r = random.Random(6)
+    model = langid.CrfModel(["a", "b"], langid.Crf())
+    model.weights = np.random.default_rng(1).normal(size=model.weights.shape).astype(np.float32)
+    model.transitions = np.array([[6.0, 0.0], [0.0, 6.0]])  # a label hardly ever changes, so a cut would show
+    kinds = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 7))) for _ in range(300)]
+    words = [r.choice(kinds) for _ in range(600_000)]
+    texts = [" ".join(words), "", None, " ".join(words[:5])]
+    lang, score = model.predict(texts)
+    known = dict(zip(kinds, emissions(model, kinds)))
+    for k, n in ((0, 600_000), (3, 5)):
+        want = chain_shares([known[w] for w in words[:n]], model.transitions)
+        assert lang[k] == model.langs[int(np.argmax(want))] and np.isclose(score[k], max(want), atol=1e-9)
+    assert (lang[1], score[1], lang[2], score[2]) == ("und", 0, "und", 0)
+    assert len(texts[0]) > 2 * langid._CUT and "".join(langid._slices(texts[0])) == texts[0]
+
+
 def test_language_reads_the_middle_of_long_runs(spark):
     a, b = "abba baab abab aabb", "cddc dccd cdcd ccdd"
     docs = spark.createDataFrame([(k, a if k % 2 else b, "a" if k % 2 else "b") for k in range(40)], "doc_id long, text string, lang string")
