@@ -3,7 +3,7 @@
 Centroids come from balanced k-means on a bounded sample and live in every worker with a neighbour graph, which a
 best-first beam search walks. Every vector is put in the list of its nearest centroid and, if it lies near a boundary,
 in the lists of other centroids at nearly that distance. A query opens the lists whose centroids are within a ratio of
-its nearest centroid's distance. Lists longer than a limit are split into parts, all of which are searched.
+its nearest centroid's distance, and then those within a ratio of the distance of its k-th neighbour found. Lists longer than a limit are split into parts, all of which are searched.
 
 Equal vectors share one entry with the smallest k + 1 ids, which is all that a top-k with ties to smaller ids can use.
 """
@@ -24,8 +24,8 @@ from loomgraph.llm.common import partitions, written
 @dataclass(frozen=True)
 class Ann:
     """sample: rows that centroids are fitted on; list_size: vectors a centroid stands for; max_centroids bounds what is
-    broadcast; closure: boundary ratio of replication, at most `replicas` lists; probe_ratio, min_probes and max_probes: lists
-    that a query opens; split: rows, or queries, of one part of a list."""
+    broadcast; closure: boundary ratio of replication, at most `replicas` lists; probe_ratio and reach_ratio: lists that a
+    query opens, by its nearest centroid and by its k-th neighbour found, at most max_probes each time; split: rows, or queries, of one part of a list."""
 
     k: int = 10
     sample: int = 20_000
@@ -35,9 +35,9 @@ class Ann:
     beam: int = 64
     closure: float = 1.12
     replicas: int = 6
-    probe_ratio: float = 1.25
-    max_probes: int = 64
-    min_probes: int = 16
+    probe_ratio: float = 1.1
+    reach_ratio: float = 1.0
+    max_probes: int = 256
     split: int = 4096
     seed: int = 7
 
@@ -118,8 +118,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _lists(graph, how: Ann, ratio: float, most: int, least: int = 1):
-    """(id, v) -> (list, id, v) for each list that a vector belongs to or opens."""
+def _lists(graph, how: Ann, ratio: float, most: int):
+    """(id, v) -> (list, id, v) for each list that a vector belongs to or opens; of (id, v, reach), where reach is the
+    distance to the k-th neighbour found so far, the further lists that it opens for that."""
 
     def run(batches):
         for batch in batches:
@@ -129,7 +130,9 @@ def _lists(graph, how: Ann, ratio: float, most: int, least: int = 1):
                     continue
                 ids, d = graph.value.search(_matrix(part.column(1)), max(how.beam, most))
                 take = d <= d[:, :1] * ratio**2
-                take[:, :least] = True
+                take[:, 0] = True
+                if part.num_columns == 3:
+                    take = ~take & (d <= (np.array(part.column(2), np.float64)[:, None] * how.reach_ratio) ** 2)
                 take[:, most:] = False
                 r, c = np.nonzero(take)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[r, c], pa.int32()), part.column(0).take(pa.array(r)), part.column(1).take(pa.array(r))], names=["list", "id", "v"])
@@ -163,8 +166,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, how: Ann = Ann(), id_col: st
     """For each query row the k nearest other rows found: query_id, rank (from 1), vec_id and score (Euclidean).
 
     Distances are exact, in double precision on the original vectors, ties to smaller ids. Vectors that are null,
-    empty, zero, of another length than the first, or with null or non-finite components, and null ids, take no part,
-    neither as queries nor as candidates. Rows that share an id count once a vector. Fewer candidates than k give all
+    empty, zero, of another length than most (ties: the shorter), or with null or non-finite components, and null ids, take
+    no part, neither as queries nor as candidates. Rows that share an id count once a vector. Fewer candidates than k give all
     of them; an empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -187,23 +190,36 @@ def nearest(vectors: DataFrame, queries: DataFrame, how: Ann = Ann(), id_col: st
     x = np.array([r.v for r in fit.toLocalIterator()])
     graph = spark.sparkContext.broadcast(CentroidGraph(balanced_kmeans(x, min(how.max_centroids, max(1, -(-n // how.list_size))), how.seed), how.degree, how.seed))
     shape = "list int, id long, v array<double>"
-    rows = heads.repartition(partitions(spark), "id").mapInArrow(_lists(graph, how, how.closure, how.replicas), shape)
-    asked = usable(queries).where(F.size("v") == one.n).distinct()
-    asked = written(asked.repartition(partitions(spark), "id").mapInArrow(_lists(graph, how, how.probe_ratio, how.max_probes, how.min_probes), shape), "probes")
-    rows = written(rows, "lists")
-    # long lists, and lists that very many queries open, are split; lists that no query opens stay where they are
-    pieces = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / how.split).cast("int").alias(name))
-    sizes = written(pieces(rows, "parts").join(pieces(asked, "asks"), "list"), "list-sizes")
-    piece = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    rows = rows.join(sizes, "list").withColumn("part", piece("parts")).withColumn("ask", every("asks"))
-    asked = asked.join(sizes.toDF("list", "parts", "asks"), "list").withColumn("ask", piece("asks")).withColumn("part", every("parts"))
-    key = ["list", "part", "ask"]
-    asked, rows = (df.select(*key, "id", "v").toDF(*key, "id", "v") for df in (asked, rows))
-    found = asked.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(_top(how.k), "query_id long, id long, score double").distinct()
-    # every found vector stands for its copies: the smallest k + 1 ids of each
+    rows = written(heads.repartition(partitions(spark), "id").mapInArrow(_lists(graph, how, how.closure, how.replicas), shape), "lists")
+    # of every vector found, its copies: the smallest k + 1 ids of each
     copies = entries.where("r > 1").select("key", "v", F.col("id").alias("copy"))
     copies = entries.where("r = 1").select("id", "key", "v").join(copies, ["key", "v"]).select("id", "copy")
-    copied = found.join(copies, "id").select("query_id", F.col("copy").alias("id"), "score")
-    best = W.partitionBy("query_id").orderBy("score", "id")
-    return found.union(copied).where("id <> query_id").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= how.k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+    def search(asked: DataFrame) -> DataFrame:
+        """The k nearest of each query in the lists that it opens: query_id, id, score, rank."""
+        # long lists, and lists that very many queries open, are split; lists that no query opens stay where they are
+        pieces = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / how.split).cast("int").alias(name))
+        sizes = written(pieces(rows, "parts").join(pieces(asked, "asks"), "list"), "list-sizes")
+        piece = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
+        every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+        held = rows.join(sizes, "list").withColumn("part", piece("parts")).withColumn("ask", every("asks"))
+        asking = asked.join(sizes, "list").withColumn("ask", piece("asks")).withColumn("part", every("parts"))
+        key = ["list", "part", "ask"]
+        asking, held = (df.select(*key, "id", "v").toDF(*key, "id", "v") for df in (asking, held))
+        found = asking.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(_top(how.k), "query_id long, id long, score double").distinct()
+        copied = found.join(copies, "id").select("query_id", F.col("copy").alias("id"), "score")
+        return _best(found.union(copied).where("id <> query_id"), how.k)
+
+    queries = usable(queries).where(F.size("v") == one.n).distinct().repartition(partitions(spark), "id")
+    asked = written(queries.mapInArrow(_lists(graph, how, how.probe_ratio, how.max_probes), shape), "probes")
+    near = written(search(asked), "near")
+    reach = near.groupBy("query_id").agg(F.max(F.when(F.col("rank") == how.k, F.col("score"))).alias("reach"))
+    further = queries.join(reach, queries.id == reach.query_id, "left").select("id", "v", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
+    further = written(further.mapInArrow(_lists(graph, how, how.probe_ratio, how.max_probes), shape), "further-probes")
+    both = near.select("query_id", "id", "score").union(search(further).select("query_id", "id", "score")).distinct()
+    return _best(both, how.k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    by = W.partitionBy("query_id").orderBy("score", "id")
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
