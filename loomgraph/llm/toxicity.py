@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import LETTERS, hash_words, partitions, small_batches, written
 
-#: Texts searched together; queries of one block whose scores are held together.
-_GROUP = 128
+#: Texts searched together, and postings of theirs read together; both bound a worker.
+_GROUP, _POSTINGS = 128, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -38,7 +38,7 @@ class Knn:
     power: float = 2.0
     prior: float = 0.002
     block: int = 1024
-    often: float = 0.125
+    often: float = 0.0625
     seed: int = 5
 
 
@@ -91,8 +91,16 @@ class BlockMaxIndex:
         out = flat @ dense
         who, t, q = who[~common], t[~common], q[~common]
         n = start[t + 1] - start[t]
-        p = np.repeat(start[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return out + np.bincount(np.repeat(who * self.block, n) + doc[p], w[p] * np.repeat(q, n), len(rows) * self.block).reshape(out.shape)
+        upto, i = np.cumsum(n, dtype=np.int64), 0
+        while i < len(n):  # some postings at a time, whatever the texts hold
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] - n[i] + _POSTINGS, side="right")))
+            c = n[i:j]
+            p = np.repeat(start[t[i:j]] - np.cumsum(c) + c, c) + np.arange(c.sum())
+            lo, hi = who[i], who[j - 1] + 1
+            part = np.bincount(np.repeat((who[i:j] - lo) * self.block, c) + doc[p], w[p] * np.repeat(q[i:j], c), (hi - lo) * self.block)
+            out[lo:hi] += part.reshape(hi - lo, self.block)
+            i = j
+        return out
 
     def search(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, example, cosine) of each query's k nearest examples of positive cosine, nearest first, ties to smaller
