@@ -2,11 +2,15 @@
 
 Each task hashes all windows of its texts with prefix sums of a polynomial modulo 2^64, combines equal hashes of one
 chunk (only the smallest id of a chunk travels, so a passage that a third of all texts share costs one entry a chunk),
-and deals the hashes by value. For each hash the smallest id over the whole corpus is found; every other text that
-holds the window gets it back as a flag. Flagged windows of a text merge into maximal removal intervals.
-
-Only packed hashes (under 8 bytes a window), flags, and each text once are shuffled. Two different windows of the
-corpus are taken for equal if their 64-bit hashes are: under one in a thousand for a whole corpus of 10^8 windows.
+and deals them to buckets by the smallest hash of their short grams, which neighbouring windows mostly share: a text's
+windows reach few buckets, so flags return in few rows. A first pass finds the grams that would fill a bucket by
+themselves; windows round those are dealt by their own hashes over several buckets. For each hash the smallest id over
+the whole corpus is found; every other text that holds the window gets it back as a flag. Flagged windows of a text
+merge into maximal removal intervals.
+
+Only packed hashes (about 8 bytes a window), flags, and each text once are shuffled. Two different windows of the corpus
+are taken for equal if their 64-bit hashes and their grams' buckets are: under one in a thousand for a whole corpus of
+10^8 windows.
 """
 
 from __future__ import annotations
@@ -16,15 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import _WORD_BASE, PLAIN, hash_words, mix, partitions, powers, small_batches, text_buffers
+from loomgraph.llm.common import _WORD_BASE, PLAIN, hash_words, mix, partitions, powers, small_batches, text_buffers, written
 
-_LAST = np.iinfo(np.int64).max
 _CHUNK = 2_000_000
 
 
 #: Words of the short grams whose smallest hash decides where a window is dealt.
 _GRAM = 8
-_TOP = np.uint64(0xFFFF << 48)
 
 
 def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -36,22 +38,36 @@ def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[:n], m[width - p : width - p + n])
 
 
-def window_hashes(words: np.ndarray, docs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rolling hash of every `size` consecutive words of one text, and the word index at which each begins.
-
-    The upper 16 bits come from the smallest hash of the window's short grams, which neighbouring windows mostly share:
-    dealt by value, a text's windows reach few buckets, so flags return in few rows whatever the number of buckets.
-    """
+def window_hashes(words: np.ndarray, docs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every `size` consecutive words of one text: rolling hash, smallest hash of its short grams, and the word index at
+    which it begins."""
     n = len(words)
     if n < size:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     p, inv = powers(_WORD_BASE, n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(words * p, out=total[1:])
     gram = min(_GRAM, size)
     least = _sliding_min(mix((total[gram:] - total[: n - gram + 1]) * inv[: n - gram + 1]), size - gram + 1)
     at = np.flatnonzero(docs[: n - size + 1] == docs[size - 1 :])
-    return mix((total[at + size] - total[at]) * inv[at]) & ~_TOP | mix(least[at]) & _TOP, at
+    return mix((total[at + size] - total[at]) * inv[at]), least[at], at
+
+
+class Dealing:
+    """Buckets of windows: by gram, and for grams that hold too many windows by the window's own hash as well."""
+
+    def __init__(self, buckets: int, hot: list[tuple[int, int]]):
+        """hot: (gram as a signed integer, buckets to spread it over)."""
+        self.buckets, hot = buckets, sorted((g % (1 << 64), n) for g, n in hot)
+        self.grams, self.spread = np.array([g for g, _ in hot], np.uint64), np.array([n for _, n in hot], np.uint64)
+
+    def bucket(self, h: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        out = mix(gram) % np.uint64(self.buckets)
+        if len(self.grams):
+            k = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
+            at = np.flatnonzero(self.grams[k] == gram)
+            out[at] = (out[at] + (h[at] >> np.uint64(20)) % self.spread[k[at]]) % np.uint64(self.buckets)
+        return out.astype(np.int64)
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -64,88 +80,109 @@ def _unplanes(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
-def _pack(bucket: int, flag: bool, keys: np.ndarray, hashes: np.ndarray, index: np.ndarray) -> tuple:
+def _pack(bucket: int, flag: bool, keys: np.ndarray, none: int, hashes: np.ndarray, index: np.ndarray) -> tuple:
+    """A row: distinct keys (ids, ascending, then those of texts without id, from number `none` on), hashes (of flags as
+    they are, else ascending, as differences), and for each hash the number of its key."""
     used, small = np.unique(index, return_inverse=True)
     small = small.astype(np.uint16 if len(used) <= 65536 else np.uint32)
-    return bucket, flag, _planes(np.diff(keys[used], prepend=0)), _planes(hashes), _planes(small), small.itemsize
+    held = hashes if flag else np.diff(hashes, prepend=np.uint64(0))
+    return bucket, flag, _planes(np.diff(keys[used], prepend=0)), int((used < none).sum()), _planes(held), _planes(small), small.itemsize
+
 
+def _unpack(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, whether they are of texts without id, and hashes."""
+    index = _unplanes(r["idx"], np.uint16 if r["width"] == 2 else np.uint32)
+    h = _unplanes(r["hashes"], np.uint64)
+    return np.cumsum(_unplanes(r["keys"], np.int64))[index], index >= r["ids"], h if r["flag"] else np.cumsum(h, dtype=np.uint64)
 
-def _unpack(keys: bytes, hashes: bytes, index: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumsum(_unplanes(keys, np.int64))[_unplanes(index, np.uint16 if width == 2 else np.uint32)], _unplanes(hashes, np.uint64)
 
+_PACKED = "bucket int, flag boolean, keys binary, ids int, hashes binary, idx binary, width int"
+_PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("flag", pa.bool_()), ("keys", pa.binary()), ("ids", pa.int32()), ("hashes", pa.binary()), ("idx", pa.binary()), ("width", pa.int32())])
+_FLAGS = "none boolean, key long, hashes binary"
 
-_PACKED = "bucket int, flag boolean, keys binary, hashes binary, idx binary, width int"
-_PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("flag", pa.bool_()), ("keys", pa.binary()), ("hashes", pa.binary()), ("idx", pa.binary()), ("width", pa.int32())])
-_FLAGS = "key long, hashes binary"
 
+def _chunks(batches, size: int):
+    """(hashes, grams, keys, whether without id) of the windows of some millions of words at a time."""
+    held, n = [], 0
+    for batch in batches:
+        key, none = np.array(batch.column(0), np.int64), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        words, docs = hash_words(*text_buffers(batch.column(2)), PLAIN)
+        h, gram, at = window_hashes(words, docs, size)
+        if len(h):
+            held.append((h, gram, key[docs[at]], none[docs[at]]))
+            n += len(h)
+        if n >= _CHUNK:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if n:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def _full_grams(size: int, share: float):
+    """Grams that hold more than `share` of the windows of a chunk, with their number; gram null: windows of the chunk."""
 
-def _windows(buckets: int, size: int):
     def run(batches):
-        held, held_keys, n = [], [], 0
+        for h, gram, _, _ in _chunks(batches, size):
+            gram, n = np.unique(gram, return_counts=True)
+            much = n > share * len(h)
+            yield pa.RecordBatch.from_arrays([pa.array([*gram[much].view(np.int64).tolist(), None], pa.int64()), pa.array([*n[much].tolist(), len(h)], pa.int64())], names=["gram", "n"])
+
+    return run
 
-        def flush():
-            h, key = np.concatenate([x for x, _ in held]), np.concatenate([k for _, k in held])
-            keys, rank = np.unique(key, return_inverse=True)
-            order = np.argsort(h)
-            h, rank = h[order], rank[order]
+
+def _windows(dealing: Dealing, size: int):
+    def run(batches):
+        for h, gram, key, none in _chunks(batches, size):
+            ids, lost = np.unique(key[~none]), np.unique(key[none])
+            keys = np.concatenate([ids, lost])
+            rank = np.where(none, len(ids) + np.searchsorted(lost, key), np.searchsorted(ids, key))
+            order = np.lexsort((rank, h))
+            h, gram, rank = h[order], gram[order], rank[order]
+            once = np.concatenate([[True], (h[1:] != h[:-1]) | (rank[1:] != rank[:-1])])
+            h, gram, rank = h[once], gram[once], rank[once]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            least = np.minimum.reduceat(rank, first)
-            later = rank > np.repeat(least, np.diff(np.append(first, len(h))))
+            least = np.repeat(np.minimum(rank[first], len(ids)), np.diff(np.append(first, len(h))))
+            later = np.minimum(rank, len(ids)) > least  # texts without id come last, none before another
             rows = []
-            flagged = np.unique(np.stack([rank[later].astype(np.uint64), h[later]]), axis=1) if later.any() else None
-            if flagged is not None:  # already certain: these only pass through, dealt evenly
-                step = 1 << 18
-                for i in range(0, flagged.shape[1], step):
-                    part = flagged[:, i : i + step]
-                    rows.append(_pack(int(part[1, 0] % np.uint64(buckets)), True, keys, np.ascontiguousarray(part[1]), part[0].astype(np.int64)))
-            h = h[first]
-            bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-            for b in range(buckets):
-                if cuts[b] < cuts[b + 1]:
-                    rows.append(_pack(b, False, keys, h[cuts[b] : cuts[b + 1]], least[cuts[b] : cuts[b + 1]]))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PACKED_ARROW.types)], schema=_PACKED_ARROW)
-
-        for batch in batches:
-            key = np.array(batch.column(0).fill_null(_LAST), np.int64)
-            data, offsets = text_buffers(batch.column(1))
-            words, docs = hash_words(data, offsets, PLAIN)
-            h, at = window_hashes(words, docs, size)
-            if len(h):
-                held.append((h, key[docs[at]]))
-                n += len(h)
-            if n >= _CHUNK:
-                yield flush()
-                held.clear()
-                n = 0
-        if n:
-            yield flush()
+            sure = np.flatnonzero(later)
+            sure = sure[np.argsort(rank[sure], kind="stable")]
+            for i in range(0, len(sure), 1 << 18):  # already certain: these only pass through, dealt evenly
+                k = sure[i : i + (1 << 18)]
+                rows.append(_pack(int(h[k[0]] % np.uint64(dealing.buckets)), True, keys, len(ids), h[k], rank[k]))
+            h, gram, rank = h[~later], gram[~later], rank[~later]
+            bucket = dealing.bucket(h, gram)
+            order = np.argsort(bucket, kind="stable")
+            h, rank, bucket = h[order], rank[order], bucket[order]
+            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                rows.append(_pack(int(bucket[a]), False, keys, len(ids), h[a:b], rank[a:b]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PACKED_ARROW.types)], schema=_PACKED_ARROW)
 
     return run
 
 
 def _first_holders(table: pa.Table) -> pa.Table:
     """Of one bucket: every (text, hash) whose hash a text with a smaller id holds too."""
-    keys, hashes, known = [], [], []
+    sure, open_ = [], []
     for r in table.to_pylist():
-        k, h = _unpack(r["keys"], r["hashes"], r["idx"], r["width"])
-        (known if r["flag"] else keys).append(k)
-        (known if r["flag"] else hashes).append(h)
-    out_k, out_h = known[::2], known[1::2]
-    if keys:
-        k, h = np.concatenate(keys), np.concatenate(hashes)
-        order = np.argsort(h)
-        k, h = k[order], h[order]
+        (sure if r["flag"] else open_).append(_unpack(r))
+    if open_:
+        k, none, h = map(np.concatenate, zip(*open_))
+        order = np.lexsort((k, none, h))
+        k, none, h = k[order], none[order], h[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        later = k > np.repeat(np.minimum.reduceat(k, first), np.diff(np.append(first, len(h))))
-        out_k.append(k[later])
-        out_h.append(h[later])
-    k, h = np.concatenate(out_k), np.concatenate(out_h)
-    order = np.argsort(k, kind="stable")
-    k, h = k[order], h[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(h)))
+        later = np.where(none, ~np.repeat(none[first], size), k > np.repeat(k[first], size))
+        sure.append((k[later], none[later], h[later]))
+    k, none, h = map(np.concatenate, zip(*sure))
+    order = np.lexsort((h, k, none))
+    k, none, h = k[order], none[order], h[order]
+    same = (k[1:] == k[:-1]) & (none[1:] == none[:-1])
+    once = np.concatenate([[True], ~same | (h[1:] != h[:-1])]) if len(k) else np.zeros(0, bool)
+    k, none, h = k[once], none[once], h[once]
+    first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (none[1:] != none[:-1])])) if len(k) else np.zeros(0, np.int64)
     ends = np.append(first[1:], len(k))
-    return pa.table({"key": pa.array(k[first], pa.int64()), "hashes": pa.array([h[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())})
+    return pa.table({"none": pa.array(none[first]), "key": pa.array(k[first], pa.int64()), "hashes": pa.array([h[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())})
 
 
 _SPAN = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
@@ -162,7 +199,7 @@ def _removed(size: int):
                 gone: list = []
                 if flags:
                     h, docs = hash_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), PLAIN)
-                    w, at = window_hashes(h, docs, size)
+                    w, _, at = window_hashes(h, docs, size)
                     hit = at[np.isin(w, np.frombuffer(b"".join(flags), np.uint64))]
                     if len(hit):
                         edge = np.flatnonzero(np.diff(hit) > size)
@@ -192,9 +229,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = 2 * partitions(spark)
-    packed = docs.mapInArrow(_windows(buckets, window), _PACKED)
+    # flags of texts without id return by the text, so that no row gets those of all the others
+    own = [F.coalesce("doc_id", F.xxhash64("text")).alias("key"), F.col("doc_id").isNull().alias("none")]
+    keyed, buckets = docs.select(*own, "text"), 2 * partitions(spark)
+    share = 1 / (4 * buckets)
+    counts = keyed.mapInArrow(_full_grams(window, share), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = written(counts, "grams")
+    total = (counts.where("gram is null").agg(F.sum("n")).first()[0] or 0) * share
+    full = counts.where("gram is not null").where(F.col("n") > total).collect()  # at most 4 a bucket
+    dealing = Dealing(buckets, [(r.gram, min(buckets, 1 + 2 * r.n // max(1, int(total)))) for r in full])
+    packed = keyed.mapInArrow(_windows(dealing, window), _PACKED)
     flags = packed.groupBy("bucket").applyInArrow(_first_holders, _FLAGS)
-    flags = flags.groupBy("key").agg(F.collect_list("hashes").alias("hashes"))
-    joined = docs.join(flags, F.coalesce(docs.doc_id, F.lit(int(_LAST))) == flags.key, "left").select("doc_id", "text", "hashes")
+    flags = flags.groupBy("key", "none").agg(F.collect_list("hashes").alias("hashes"))
+    joined = docs.select(*own, "doc_id", "text").join(flags, ["key", "none"], "left").select("doc_id", "text", "hashes")
     return joined.mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<first:long,last:long>>")
