@@ -2,8 +2,9 @@
 
 Every shard of training texts (an Arrow batch) gets a suffix array over its words, ordered as deep as one window and
 restricted to suffixes that begin with a benchmark word (no other suffix can match). Each test suffix is binary-searched
-in it: the range found holds all verbatim occurrences with their locations, and windows that follow each other on one
-diagonal join into longest matches. The training texts never move; only the index of the test items is broadcast, in
+in it: the range found holds all verbatim occurrences with their locations. Occurrences that follow each other form
+passages; equal passages of a shard are compared with the items once, where windows on one diagonal join into longest
+matches, so a passage's repeats are never multiplied by the items that hold it. The training texts never move; only the index of the test items is broadcast, in
 blocks of a checked size, and further blocks are tried in further passes over a written table.
 """
 
@@ -33,22 +34,23 @@ class TestIndex:
         hashes, item = hash_words(np.frombuffer("".join(t for _, t in items).encode(), np.uint8), offsets, FOLDED)
         self.vocab, ids = np.unique(hashes, return_inverse=True)
         self.names = [i for i, _ in items]
-        rows, places = {}, []
-        cuts = np.searchsorted(item, np.arange(len(items) + 1))
-        for k in range(len(items)):
-            words = (ids[cuts[k] : cuts[k + 1]] + 1).tolist()
-            for s in range(max(1, len(words) - window + 1) if words else 0):
-                row = tuple(words[s : s + window])
-                places.append((rows.setdefault(row, len(rows)), k, s))
-        self.length = np.array([len(r) for r in rows], np.int64)
         self.bits = max(1, int(len(self.vocab) + 1).bit_length())
-        padded = np.zeros((len(rows), window), np.uint64)
-        for r, row in enumerate(rows):
-            padded[r, : len(row)] = row
-        top = np.where(np.arange(window) < self.length[:, None], padded, np.uint64((1 << self.bits) - 1)) if len(rows) else padded
-        self.low, self.high = self.pack(padded.T), self.pack(top.T)
-        places = np.array(sorted(places), np.int64).reshape(-1, 3)
-        self.at, self.place_item, self.place_start = np.searchsorted(places[:, 0], np.arange(len(rows) + 1)), places[:, 1], places[:, 2]
+        words = np.bincount(item, minlength=len(items))
+        many = np.where(words > 0, np.maximum(words - window + 1, 1), 0)  # windows of each item
+        place_item = np.repeat(np.arange(len(items)), many)
+        place_start = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        base, length = (np.cumsum(words) - words)[place_item] + place_start, np.minimum(words[place_item], window)
+        last = max(0, len(ids) - 1)
+        column = lambda d, beyond: np.where(d < length, ids[np.minimum(base + d, last)] + 1 if len(ids) else 0, beyond).astype(np.uint64)
+        low = self.pack(column(d, 0) for d in range(window))
+        order = np.lexsort([place_start, place_item, *low[::-1]])
+        low = [k[order] for k in low]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), np.logical_or.reduce([k[1:] != k[:-1] for k in low])]))
+        self.at, self.length = np.append(first, len(order)), length[order][first]
+        self.place_item, self.place_start = place_item[order], place_start[order]
+        self.low = [k[first] for k in low]
+        base, length = base[order][first], self.length
+        self.high = self.pack(column(d, (1 << self.bits) - 1) for d in range(window))
 
     def pack(self, columns) -> list[np.ndarray]:
         """Word numbers, one column a depth, as few 64-bit keys that compare like the words in order."""
@@ -126,22 +128,56 @@ def _shard(data: np.ndarray, offsets: np.ndarray, index: TestIndex) -> list[dict
         owner = owner - empty
     for d, a, b in zip(owner.tolist(), first.tolist(), last.tolist()):
         out[d].setdefault("spans", []).append({"first": a - int(start_of[d]), "last": b - int(start_of[d])})
-    many = index.at[w + 1] - index.at[w]
-    k = np.repeat(index.at[w] - np.cumsum(many) + many, many) + np.arange(many.sum())
-    pos, item, start, length = np.repeat(p, many), index.place_item[k], index.place_start[k], np.repeat(index.length[w], many)
-    order = np.lexsort((pos, pos - start, item))
-    pos, item, start, length = pos[order], item[order], start[order], length[order]
-    new = np.concatenate([[True], (item[1:] != item[:-1]) | (pos[1:] != pos[:-1] + 1) | (start[1:] != start[:-1] + 1)])
-    a = np.flatnonzero(new)
-    b = np.append(a[1:], len(pos)) - 1
-    own = np.searchsorted(start_of, pos[a], side="right") - 1
+    order = np.argsort(p, kind="stable")
+    w, p = w[order], p[order]
+    own = np.searchsorted(start_of, p, side="right") - 1
     while (empty := words[own] == 0).any():
         own = own - empty
-    for d, i, s, at, n in zip(own.tolist(), item[a].tolist(), start[a].tolist(), pos[a].tolist(), (pos[b] + length[b] - pos[a]).tolist()):
-        out[d].setdefault("matches", []).append({"item_id": index.names[i], "item_start": s, "doc_start": at - int(start_of[d]), "n_words": n})
+    run, where, of = _passages(w, p, index)
+    found: dict[int, list] = {}
+    for r, i, s, at, n in _longest(run, index):
+        found.setdefault(r, []).append((index.names[i], s, at, n))
+    for r, at, d in zip(of.tolist(), p[where].tolist(), own[where].tolist()):
+        seen = out[d].setdefault("passages", set())
+        if r not in seen:  # a text's repeats of a passage are reported once, where the first stands
+            seen.add(r)
+            for name, s, k, n in found[r]:
+                out[d].setdefault("matches", []).append({"item_id": name, "item_start": s, "doc_start": at + k - int(start_of[d]), "n_words": n})
     return out
 
 
+def _passages(w: np.ndarray, p: np.ndarray, index: TestIndex) -> tuple[list, np.ndarray, np.ndarray]:
+    """Distinct passages, each as (windows, their positions from its start), and for each passage found in occurrences
+    ordered by position its first occurrence and the number of the distinct one that it equals. Passages end where no
+    window stands at the next position."""
+    where = np.flatnonzero(np.concatenate([[True], p[1:] > p[:-1] + 1]))
+    ends = np.append(where[1:], len(p))
+    known: dict[tuple, int] = {}
+    distinct, of = [], []
+    for a, b in zip(where.tolist(), ends.tolist()):
+        key = (w[a:b].tobytes(), (p[a:b] - p[a]).tobytes())
+        if key not in known:
+            known[key] = len(distinct)
+            distinct.append((w[a:b], p[a:b] - p[a]))
+        of.append(known[key])
+    return distinct, where, np.array(of, np.int64)
+
+
+def _longest(passages: list, index: TestIndex):
+    """(passage, item, start in the item, start in the passage, words) of the longest matches of each passage."""
+    for r, (w, p) in enumerate(passages):
+        many = index.at[w + 1] - index.at[w]
+        k = np.repeat(index.at[w] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        pos, item, start, length = np.repeat(p, many), index.place_item[k], index.place_start[k], np.repeat(index.length[w], many)
+        order = np.lexsort((pos, pos - start, item))
+        pos, item, start, length = pos[order], item[order], start[order], length[order]
+        new = np.concatenate([[True], (item[1:] != item[:-1]) | (pos[1:] != pos[:-1] + 1) | (start[1:] != start[:-1] + 1)])
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(pos)) - 1
+        for x in zip(item[a].tolist(), start[a].tolist(), pos[a].tolist(), (pos[b] + length[b] - pos[a]).tolist()):
+            yield r, *x
+
+
 def _merged(spans: list[dict]) -> list[dict]:
     out: list[dict] = []
     for s in sorted(spans, key=lambda s: (s["first"], s["last"])):
@@ -177,21 +213,22 @@ def _matches(texts: pa.Array, before: list | None, index: TestIndex) -> pa.Array
     )
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, into: str = "match", block_words: int = 2_000_000) -> DataFrame:
+def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, into: str = "match", block_words: int = 1_000_000) -> DataFrame:
     """docs with a struct column `into`: n_words, n_hit, items (sorted strings), spans and longest matches.
 
     Words: A-Z lower-cased, then runs of digits, letters and all beyond ASCII. A window is `window` consecutive words of
     an item; an item of fewer words, but not none, is one window. Items with null id or text take no part; repeated
     items count once by id; null and empty texts have no words and no hits; all rows and columns of docs are kept; an
-    empty table of either kind works. At most `block_words` benchmark words are broadcast at a time; a larger benchmark
-    is tried in blocks, with the table written in between.
+    empty table of either kind works. A passage that a text repeats is matched where it stands first (n_hit and spans count
+    all its places). Blocks of about `block_words` benchmark words are broadcast at a time, with the table written in
+    between. A column of docs named `into` is replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
     blocks = 1 + int(items.agg(F.sum(F.length("text") / 2)).first()[0] or 0) // block_words
     for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text", "item"), F.lit(blocks)) == k)
         index = spark.sparkContext.broadcast(TestIndex([(r.item, r.text) for r in part.collect()], window))
         if k == 0:
             match: Column = F.arrow_udf(_one(index), _MATCH)(F.col(text_col).cast("string"))

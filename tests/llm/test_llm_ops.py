@@ -106,6 +106,22 @@ def test_substring_dedup(spark, corpus, size):
     assert substring_dedup(frame(spark, corpus).limit(0)).count() == 0
 
 
+def test_substring_dedup_round_a_common_phrase(spark):
+    """Many windows that share one phrase are spread over buckets, and those that repeat are still found."""
+    from loomgraph.llm import substring_dedup as m
+
+    r = random.Random(7)
+    phrase = "all of this is one very common phrase"
+    rows = [(k, " ".join(f"w{r.getrandbits(30)}" for _ in range(6)) + f" {phrase} " + " ".join(f"v{r.getrandbits(30)}" for _ in range(6))) for k in range(400)]
+    rows += [(500 + k, rows[k][1] + " end") for k in range(0, 400, 9)] + [(None, rows[3][1]), (None, "other " + rows[4][1]), (None, "other " + rows[4][1])]
+    got = substring_dedup(frame(spark, rows), window=12).collect()
+    assert sorted((str(x.doc_id), x.n_words, x.n_removed, x.kept_text) for x in got) == brute_substring(rows, 12)
+    h = np.arange(100_000, dtype=np.uint64) << np.uint64(20)
+    dealt = m.Dealing(64, [(5, 16)])
+    assert len(np.unique(dealt.bucket(h, np.full(len(h), 5, np.uint64)))) == 16
+    assert len(np.unique(dealt.bucket(h, np.full(len(h), 6, np.uint64)))) == 1
+
+
 # --- 3 ------------------------------------------------------------------------------------------------------------
 
 
@@ -404,6 +420,29 @@ def test_decontamination(spark, corpus):
     assert len(TestIndex([], 10).length) == 0
 
 
+def test_decontamination_of_boilerplate_in_many_items(spark):
+    """One window in ten thousand items and a hundred thousand times in a text: neither is multiplied by the other."""
+    import resource
+
+    line = " ".join(f"b{k}" for k in range(10))
+    items = [(k, f"x{k} {line} y{k}" if k % 2 else line) for k in range(10_000)]
+    index = TestIndex([(str(i), t) for i, t in items], 10)
+    texts = [f"{line} z " * 100_000, "a b c", "", f"q {line} y7 w"]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    import pyarrow as pa
+
+    from loomgraph.llm.decontaminate import _matches
+
+    many, none, empty, one = _matches(pa.array(texts), None, index).to_pylist()
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) < 1_500_000  # KB; occurrences x items would be 10^9
+    assert many["n_hit"] == 1_000_000 and many["n_words"] == 1_100_000 and len(many["items"]) == 10_000 == len(many["matches"])
+    assert none["n_hit"] == empty["n_hit"] == 0 and one["n_hit"] == 11 and max(m["n_words"] for m in one["matches"]) == 11
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, texts[3]), (2, texts[1])], "doc_id long, text string")
+    got = {r.doc_id: r.match for r in with_matches(docs, bench, block_words=20_000).collect()}
+    assert len(got[1]["items"]) == 10_000 and got[1].n_hit == 11 and got[2].n_hit == 0
+
+
 # --- 9 ------------------------------------------------------------------------------------------------------------
 
 
