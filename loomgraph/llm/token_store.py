@@ -1,17 +1,18 @@
 """Token-ID output as wavelet matrices: one compressed file per shard, with access, counting and occurrence lookup.
 
 Texts are dealt by ranges of ids and sorted, encoded, and cut into shards. A shard's ids become one succinct bit-plane
-a level; rank directories are rebuilt on opening. Files have names of their own for each attempt of a task and are
+a level, each with its rank directory; a plane is decompressed when it is first asked. Files have names of their own for each attempt of a task and are
 found through the written index table, so a repeated or lost task leaves at most an unused file.
 
-File: b"LGWM", then a little-endian unsigned 32-bit header length, the header (JSON: n, bits, width, nulls, docs, and
-the length of each section), and the sections, each compressed by zstd: deltas of the ids of documents, tokens of each
-document, and the bit-planes from the highest bit down.
+File: b"LGWM", then a little-endian unsigned 32-bit header length, the header (JSON: n, bits, nulls, docs, and the length
+of each section), and the sections, each compressed by zstd: deltas of the ids of documents, tokens of each document,
+ones of each 512 bits of all planes, and the bit-planes from the highest bit down.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import struct
@@ -36,11 +37,19 @@ _CACHE = 500_000
 
 
 class WaveletMatrix:
-    """A sequence of unsigned integers as bit-planes from the highest bit down, each stably split by the one above."""
+    """A sequence of unsigned integers as bit-planes from the highest bit down, each stably split by the one above.
 
-    def __init__(self, planes: list[np.ndarray], n: int):
-        self.planes, self.n, self.bits = planes, n, len(planes)
-        self.ranks: list[np.ndarray | None] = [None] * self.bits
+    planes: bytes of each plane, or functions that give them when first asked; ranks: of each plane the ones before each
+    512 bits, and their number last.
+    """
+
+    def __init__(self, planes: list, n: int, ranks: np.ndarray):
+        self._planes, self.n, self.bits, self.ranks = list(planes), n, len(planes), ranks
+
+    def plane(self, level: int) -> np.ndarray:
+        if callable(self._planes[level]):
+            self._planes[level] = np.frombuffer(self._planes[level](), np.uint8)
+        return self._planes[level]
 
     @classmethod
     def build(cls, values: np.ndarray) -> WaveletMatrix:
@@ -51,14 +60,18 @@ class WaveletMatrix:
             bit = (values & values.dtype.type(1 << k)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
             values = np.concatenate([values[~bit], values[bit]])
-        return cls(planes, values.size)
+        ones = np.zeros((bits, -(-len(planes[0]) // 64) * 64), np.uint8)
+        ones[:, : len(planes[0])] = np.bitwise_count(np.stack(planes))
+        ranks = np.zeros((bits, ones.shape[1] // 64 + 1), np.uint32)
+        np.cumsum(ones.reshape(bits, -1, 64).sum(2, dtype=np.uint32), axis=1, out=ranks[:, 1:])
+        return cls(planes, values.size, ranks)
 
     def values(self) -> np.ndarray:
         """The whole sequence, by undoing the splits from the lowest plane up."""
         kind = np.uint16 if self.bits <= 16 else np.uint32
         out = np.zeros(self.n, kind)
         for k in range(self.bits):
-            bit = np.unpackbits(self.planes[self.bits - 1 - k], count=self.n, bitorder="little").view(bool)
+            bit = np.unpackbits(self.plane(self.bits - 1 - k), count=self.n, bitorder="little").view(bool)
             ones = np.flatnonzero(bit)
             zeros = self.n - len(ones)
             back = np.empty(self.n, kind)
@@ -68,23 +81,27 @@ class WaveletMatrix:
         return out
 
     def _rank1(self, level: int, i: int) -> int:
-        """Ones among the first i bits of a plane, from counts every 64 bytes."""
-        plane = self.planes[level]
-        if self.ranks[level] is None:
-            ones = np.bitwise_count(np.append(plane, np.zeros(-len(plane) % 64, np.uint8))).reshape(-1, 64).sum(axis=1, dtype=np.int64)
-            self.ranks[level] = np.concatenate([[0], np.cumsum(ones)])
-        block, byte = i >> 9, i >> 3
-        count = int(self.ranks[level][block]) + int(np.bitwise_count(plane[block << 6 : byte]).sum(dtype=np.int64))
+        """Ones among the first i bits of a plane: the directory's, and those of at most 512 bits more."""
+        plane, block, byte = self.plane(level), i >> 9, i >> 3
+        count = int(self.ranks[level, block]) + int(np.bitwise_count(plane[block << 6 : byte]).sum(dtype=np.int64))
         return count + (int(plane[byte]) & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else count
 
+    def _select(self, level: int, bit: int, k: int) -> int:
+        """Position of the k-th such bit (from 0) of a plane: its 512 bits by the directory, and its place in them."""
+        ones = self.ranks[level].astype(np.int64)
+        before = ones if bit else np.arange(len(ones), dtype=np.int64) * 512 - ones
+        block = int(np.searchsorted(before[:-1], k, side="right")) - 1
+        inside = np.unpackbits(self.plane(level)[block << 6 : (block + 1) << 6], bitorder="little") == bit
+        return (block << 9) + int(np.flatnonzero(inside)[k - int(before[block])])
+
     def _zeros(self, level: int) -> int:
-        return self.n - self._rank1(level, self.n)
+        return self.n - int(self.ranks[level, -1])
 
     def access(self, i: int) -> int:
         """The value at position i."""
         out = 0
         for level in range(self.bits):
-            bit = int(self.planes[level][i >> 3]) >> (i & 7) & 1
+            bit = int(self.plane(level)[i >> 3]) >> (i & 7) & 1
             ones = self._rank1(level, i)
             i = self._zeros(level) + ones if bit else i - ones
             out = out << 1 | bit
@@ -114,13 +131,7 @@ class WaveletMatrix:
         i = self._range(value, 0)[0] + k
         for level in range(self.bits - 1, -1, -1):
             bit, zeros = value >> (self.bits - 1 - level) & 1, self._zeros(level)
-            want = i - zeros if bit else i
-            lo, hi = 0, self.n - 1
-            while lo < hi:  # the last position before which `want` such bits lie
-                mid = (lo + hi + 1) >> 1
-                ones = self._rank1(level, mid)
-                lo, hi = (mid, hi) if (ones if bit else mid - ones) <= want else (lo, mid - 1)
-            i = lo
+            i = self._select(level, bit, i - zeros if bit else i)
         return i
 
     def find(self, value: int) -> list[int]:
@@ -132,7 +143,7 @@ def shard_bytes(ids: np.ndarray, docs: np.ndarray, nulls: int, lengths: np.ndarr
     """A shard file: token ids, document ids (ascending; the first `nulls` are null) and tokens of each document."""
     wm = WaveletMatrix.build(ids)
     press = zstandard.ZstdCompressor(level=1)
-    sections = [press.compress(x) for x in (np.diff(docs, prepend=0).astype("<i8").tobytes(), lengths.astype("<i8").tobytes(), *(p.tobytes() for p in wm.planes))]
+    sections = [press.compress(x) for x in (np.diff(docs, prepend=0).astype("<i8").tobytes(), lengths.astype("<i8").tobytes(), np.diff(wm.ranks, axis=1).astype("<u2").tobytes(), *(wm.plane(k).tobytes() for k in range(wm.bits)))]
     head = json.dumps({"n": wm.n, "bits": wm.bits, "nulls": nulls, "docs": len(docs), "sections": [len(s) for s in sections]}).encode()
     return b"".join([_MAGIC, struct.pack("<I", len(head)), head, *sections])
 
@@ -146,11 +157,11 @@ class TokenShard:
         size = struct.unpack("<I", raw[4:8])[0]
         head, at, sections = json.loads(raw[8 : 8 + size]), 8 + size, []
         for n in head["sections"]:
-            sections.append(zstandard.ZstdDecompressor().decompress(raw[at : at + n]) if n else b"")
+            sections.append(functools.partial(zstandard.ZstdDecompressor().decompress, raw[at : at + n]))
             at += n
-        self.docs, self.nulls = np.cumsum(np.frombuffer(sections[0], "<i8")), head["nulls"]
-        self.lengths = np.frombuffer(sections[1], "<i8")
-        self.tokens = WaveletMatrix([np.frombuffer(s, np.uint8) for s in sections[2:]], head["n"])
+        self.docs, self.nulls = np.cumsum(np.frombuffer(sections[0](), "<i8")), head["nulls"]
+        self.lengths = np.frombuffer(sections[1](), "<i8")
+        self.tokens = WaveletMatrix(sections[3:], head["n"], np.cumsum(np.pad(np.frombuffer(sections[2](), "<u2").reshape(head["bits"], -1), ((0, 0), (1, 0))), axis=1, dtype=np.uint32))
 
     def doc_ids(self) -> list:
         return [None] * self.nulls + self.docs[self.nulls :].tolist()
@@ -276,11 +287,13 @@ class Encoder:
         keys = uniq.tolist()
         if len(self.row) > _CACHE:
             self._forget()
-        new = [i for i, h in enumerate(keys) if h not in self.row]
-        if new:
-            at = where[new]
-            self._learn([keys[i] for i in new], [raw[a:b].decode() for a, b in zip(starts[at].tolist(), stops[at].tolist())])
-        row = np.fromiter(map(self.row.__getitem__, keys), np.int64, len(keys))[back]
+        row = np.fromiter(map(self.row.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            at, hashes = where[new], [keys[i] for i in new.tolist()]
+            self._learn(hashes, [raw[a:b].decode() for a, b in zip(starts[at].tolist(), stops[at].tolist())])
+            row[new] = np.fromiter(map(self.row.__getitem__, hashes), np.int64, len(new))
+        row = row[back]
         size = self.length[row]
         upto = np.cumsum(size)
         ids = self.ids[np.repeat(self.start[row] - upto + size, size) + np.arange(upto[-1])]
@@ -337,14 +350,16 @@ def _write_shards(folder: str, tokenizer: str, end_id: int, limit: int):
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Write shard files in ascending id order; returns the written index (part, seq, file, n_docs, n_tokens, n_bytes).
 
-    Null texts count as empty and give the end id alone; null ids come first; rows that share an id keep one entry
-    each, ordered by text; an empty table writes no file; other columns are ignored.
+    Null texts count as empty and give the end id alone; null ids come first; rows that share an id keep one entry each,
+    ordered by the first 32 characters of their texts and dealt to several tasks if they are many; an empty table writes no
+    file; other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     folder = folder or new_path(spark, "tokens")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = docs.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.withColumns({"head": F.substring("text", 1, 32), "row": F.monotonically_increasing_id()}).repartitionByRange(partitions(spark), "doc_id", "head", "row")
+    dealt = dealt.sortWithinPartitions("doc_id", "head", "text").select("doc_id", "text")
     return written(dealt.mapInArrow(_write_shards(folder, tokenizer, end_id, shard_tokens), _INDEX), "token-index")
 
 

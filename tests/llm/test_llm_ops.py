@@ -203,6 +203,9 @@ def test_wavelet_matrix(n):
     if n:
         assert w.find(int(a[0])) == np.flatnonzero(a == a[0]).tolist()
         assert w.count(1 << 20) == 0 and WaveletMatrix.build(a).count(499) == (a == 499).sum()
+        part = TokenShard(shard_bytes(a, np.arange(3), 1, np.array([n, 0, 0]))).tokens
+        assert all(map(callable, part._planes))  # no plane is decompressed before it is asked
+        assert part.select(int(a[-1]), part.count(int(a[-1])) - 1) == n - 1
 
 
 ODD = ["İstanbul ıI", "Ãé éx éÉ", "<|endoftext|> a<|EndOfText|>b", "don't I'll we'VE x's !'s '", "ΣΑΣ ς", "½ x² 12.5% a b c", "\x1c a\x85b", "é ́a  \t\n", "漢字かな 한국어", "ﬁ ǆ Ǆ ß ẞ K", "👍🏽 a👍b", "", "a\x00b", "x " * 999, None]
