@@ -130,7 +130,8 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def score_quality(statistics_table: DataFrame, model: QdaModel) -> DataFrame:
-    """doc_id and score (0 to 1) for every row of a table (doc_id, x)."""
+    """doc_id and score (0 to 1) for every row of a table (doc_id, x); null and repeated ids are rows like others, null and
+    empty texts have statistics of their own, and an empty table gives no rows."""
     shared = statistics_table.sparkSession.sparkContext.broadcast(model)
 
     def score(x: pa.Array) -> pa.Array:

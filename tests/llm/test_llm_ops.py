@@ -686,3 +686,85 @@ def test_pipeline_awkward_documents(spark, corpus):
         assert docs.count() > 0, name
     for name, stage in p.STAGES:
         assert stage(spark, frame(spark, corpus).select("doc_id", "text", "lang", "source", "n_chars").limit(0), SF).count() == 0, name
+
+
+def one_of_each(rows):
+    """(id, text) rows of which one of each component of near fingerprints stays: the smallest id, rows without id last."""
+    prints = {t: brute_print(t) for _, t in rows}
+    group = {p: p for p in prints.values()}
+
+    def find(p):
+        while group[p] != p:
+            p = group[p]
+        return p
+
+    for a in group:
+        for b in group:
+            if (a ^ b).bit_count() <= 3:
+                group[find(a)] = find(b)
+    kept = {}
+    for i, t in rows:
+        c = find(prints[t])
+        kept.setdefault(c, []).append((i is None, i))
+    return sorted(str(min(v, key=lambda x: (x[0], x[1] or 0))[1]) for v in kept.values())
+
+
+def test_pipeline_stages_with_clashing_columns_and_null_ids(spark, corpus):
+    """Exact rows of each stage, on documents whose ids are null or shared and whose columns have internal names."""
+    import corpus_pipeline as p
+
+    rows = corpus + [(7, "another text that shares an id with the seventh document"), (None, "a text of its own without id"), (None, "a text of its own without id")]
+    docs = frame(spark, rows)
+    for name in ("_row", "_fp", "_toxicity", "_match", "match", "_mix_row", "_mix_held", "_mix_take", "n_tokens", "take_tokens", "_id", "class", "toxicity"):
+        docs = docs.withColumn(name, queries.F.lit("own"))
+    grams = {tuple(w[k : k + 10]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() for w in [words_of(r.text)] for k in range(max(1, len(w) - 9) if w else 0)}
+    for name, stage in p.STAGES:
+        before = [(r.doc_id, r.text) for r in docs.collect()]
+        out = stage(spark, docs, SF)
+        got = out.collect()
+        ids = sorted(str(r.doc_id) for r in got)
+        if name == "toxicity":
+            scored = toxicity.with_toxicity(docs, queries.toxicity_model(spark, docs, SF), into="found").where("found.score < 0.7")
+            assert ids == sorted(str(r.doc_id) for r in scored.collect())
+        if name == "near_copies":
+            assert ids == one_of_each(before) and "7" in ids and ids.count("None") >= 1
+        if name == "contamination":
+            clean = [i for i, t in before for w in [words_of(t)] if not any(tuple(w[k : k + n]) in grams for n in {len(g) for g in grams} for k in range(len(w) - n + 1))]
+            assert ids == sorted(map(str, clean))
+        if name == "mixing":
+            assert ids == sorted(str(r.doc_id) for r in mixing.mix_sources(docs, p.MIX).collect())
+        if name == "token_ids":
+            assert ids == sorted(str(i) for i, _ in before) and out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+        else:
+            assert out.columns == docs.columns and {r["class"] for r in got} == {r["_row"] for r in got} == {"own"}
+        docs = out
+        docs = spark.createDataFrame(got, out.schema)
+
+
+def brute_quality(x, y, asked, how):
+    """Probabilities of label 1 from the plain densities, by inverses and determinants."""
+    own = {c: x[y == c] for c in (0, 1)}
+    cov = {c: np.cov(v.T, bias=True) for c, v in own.items()}
+    pooled = sum(len(own[c]) * cov[c] for c in own) / len(x)
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
+    logs = {}
+    for c, v in own.items():
+        s = ((1 - how.shrinkage) * cov[c] + how.shrinkage * pooled) / np.outer(scale, scale) + how.ridge * np.eye(x.shape[1])
+        d = (asked - v.mean(0)) / scale
+        logs[c] = np.log(len(v) / len(x)) - 0.5 * (np.linalg.slogdet(s)[1] + np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d))
+    return 1 / (1 + np.exp(-np.clip(how.flatten * (logs[1] - logs[0]), -40, 40)))
+
+
+def test_registered_quality_equals_plain_discriminant(spark):
+    """The whole query, row by row, against numpy over all labelled rows."""
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    labels = duckdb.sql(f"SELECT doc_id, quality FROM '{SF}/labels.parquet' WHERE quality IN (0, 1)").fetchall()
+    how, texts = quality.Qda(), dict(docs)
+    train = sorted((i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1 and i in texts)
+    x, y = np.array([quality.statistics(texts[i]) for i, _ in train]), np.array([q for _, q in train])
+    want = brute_quality(x, y, np.array([quality.statistics(t) for _, t in docs]), how)
+    got = {r.doc_id: r for r in queries.op4_quality(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for (i, _), s in zip(docs, want):
+        r = got[i]
+        assert np.isclose(r.score, s, atol=1e-7) and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
