@@ -4,7 +4,8 @@ Each task hashes all windows of its texts with prefix sums of a polynomial modul
 chunk (only the smallest id of a chunk travels, so a passage that a third of all texts share costs one entry a chunk),
 and deals them to buckets by the smallest hash of their short grams, which neighbouring windows mostly share: a text's
 windows reach few buckets, so flags return in few rows. A first pass finds the grams that would fill a bucket by
-themselves; windows round those are dealt by their own hashes over several buckets. For each hash the smallest id over
+themselves; windows round those are dealt by their own hashes over several buckets. The number of buckets grows with the windows,
+so that a bucket holds about a million. For each hash the smallest id over
 the whole corpus is found; every other text that holds the window gets it back as a flag. Flagged windows of a text
 merge into maximal removal intervals.
 
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import _WORD_BASE, PLAIN, hash_words, mix, partitions, powers, small_batches, text_buffers, written
 
-_CHUNK = 2_000_000
+#: Windows sorted together in a worker, and windows of a bucket; both bound a task whatever the input.
+_CHUNK, _BUCKET = 1_000_000, 1_000_000
 
 
 #: Words of the short grams whose smallest hash decides where a window is dealt.
@@ -231,14 +233,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # flags of texts without id return by the text, so that no row gets those of all the others
     own = [F.coalesce("doc_id", F.xxhash64("text")).alias("key"), F.col("doc_id").isNull().alias("none")]
-    keyed, buckets = docs.select(*own, "text"), 2 * partitions(spark)
-    share = 1 / (4 * buckets)
-    counts = keyed.mapInArrow(_full_grams(window, share), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    keyed = docs.select(*own, "text")
+    counts = keyed.mapInArrow(_full_grams(window, 1 / (8 * partitions(spark))), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     counts = written(counts, "grams")
-    total = (counts.where("gram is null").agg(F.sum("n")).first()[0] or 0) * share
-    full = counts.where("gram is not null").where(F.col("n") > total).collect()  # at most 4 a bucket
-    dealing = Dealing(buckets, [(r.gram, min(buckets, 1 + 2 * r.n // max(1, int(total)))) for r in full])
-    packed = keyed.mapInArrow(_windows(dealing, window), _PACKED)
+    total = counts.where("gram is null").agg(F.sum("n")).first()[0] or 0
+    buckets = max(2 * partitions(spark), -(-total // _BUCKET))
+    much = max(1, total // (4 * buckets))
+    full = counts.where("gram is not null").where(F.col("n") > much).collect()  # at most 4 a bucket
+    dealing = Dealing(buckets, [(r.gram, min(buckets, 1 + 2 * r.n // much)) for r in full])
+    packed = keyed.mapInArrow(_windows(dealing, window), _PACKED).repartition(buckets, "bucket")
     flags = packed.groupBy("bucket").applyInArrow(_first_holders, _FLAGS)
     flags = flags.groupBy("key", "none").agg(F.collect_list("hashes").alias("hashes"))
     joined = docs.select(*own, "doc_id", "text").join(flags, ["key", "none"], "left").select("doc_id", "text", "hashes")
