@@ -73,15 +73,27 @@ class BlockMaxIndex:
             row = np.full(n_terms, -1, np.int32)
             row[frequent] = np.arange(len(frequent))
             common = row[term[k]] >= 0
-            dense = np.zeros((len(frequent), block))
-            dense[row[term[k[common]]], owner[k[common]] - b * block] = weight[k[common]]
             size[frequent] = 0
-            rest = k[~common]
-            self.parts.append((row, dense, np.concatenate([[0], np.cumsum(size)]).astype(np.int32), (owner[rest] - b * block).astype(np.int32), weight[rest]))
+            full, rest = k[common], k[~common]
+            cells = (len(frequent), row[term[full]], (owner[full] - b * block).astype(np.int16), weight[full])
+            self.parts.append((row, cells, np.concatenate([[0], np.cumsum(size)]).astype(np.int32), (owner[rest] - b * block).astype(np.int16), weight[rest]))
+        self.rows: dict[int, np.ndarray] = {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "rows": {}}
+
+    def _rows(self, b: int) -> np.ndarray:
+        """The rows of a block's frequent terms, laid out once in each process that searches."""
+        if b not in self.rows:
+            n, at, doc, weight = self.parts[b][1]
+            self.rows[b] = np.zeros((n, self.block))
+            self.rows[b][at, doc] = weight
+        return self.rows[b]
 
     def _scores(self, b: int, rows: np.ndarray, at: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Cosines of some queries (rows; their terms lie from at[row] to at[row + 1]) with all examples of a block."""
-        row, dense, start, doc, w = self.parts[b]
+        row, _, start, doc, w = self.parts[b]
+        dense = self._rows(b)
         size = at[rows + 1] - at[rows]
         k = np.repeat(at[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())
         who, t, q = np.repeat(np.arange(len(rows)), size), term[k], weight[k]
