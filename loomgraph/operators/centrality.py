@@ -68,13 +68,12 @@ def pagerank(nodes: DataFrame, arrows: DataFrame, alpha: float = 0.85, rounds: i
     base = checkpointed(nodes.select("id").join(out, "id", "left"))
     links = checkpointed(arrows.join(out.withColumnRenamed("id", "source"), "source"))
     now = base.select("id", "k", F.lit(1.0 / n).alias("pr"))
-    for step in range(rounds):
+    for _ in range(rounds):
         flow = links.join(now.select(F.col("id").alias("source"), "pr"), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("pr") / F.col("k")).alias("f"))
         lost = now.agg(F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("pr"))), F.lit(0.0)).alias("lost"))
         extra = F.col("lost") / n if keep_mass else F.lit(0.0)
         now = base.join(flow, "id", "left").crossJoin(F.broadcast(lost)).select("id", "k", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("f", F.lit(0.0)) + extra)).alias("pr"))
-        if step % 5 == 4:
-            now = checkpointed(now)
+        now = checkpointed(now)  # it is read twice: without a cut each round would double the plan
     return now.select("id", "pr")
 
 
@@ -172,23 +171,33 @@ def removal_curves(nodes: DataFrame, pairs: DataFrame, orders: dict[str, list])
     return spread(nodes.sparkSession, range(len(names)), (g.ids, g.u, g.v, g.n, names, orders), work, "name string, step int, fraction double")
 
 
-def removal_dynamic(nodes: DataFrame, pairs: DataFrame, steps: int | None = None) -> DataFrame:
-    """(step, id, fraction): always remove the node of largest betweenness in what is left. Rounds depend on each
-    other; the sources of each round are spread over tasks for graphs beyond a thousand nodes."""
-    g = local(nodes, pairs)
-    u, v, alive, rows = g.u.copy(), g.v.copy(), np.ones(g.n, bool), [(0, None, 1.0)]
+def removal_dynamic(nodes: DataFrame, pairs: DataFrame, steps: int | None = None, spread_from: int = 500) -> DataFrame:
+    """(step, id, fraction): always remove the node of largest betweenness in what is left. Rounds depend on each other;
+    a round's sources are spread over tasks from `spread_from` nodes on, and tried on the driver below that."""
+    spark, g = nodes.sparkSession, local(nodes, pairs)
+
+    def work(shared, sources):
+        csr = shared
+        yield from enumerate(sum((K.brandes(csr, s) for s in sources), np.zeros(csr.n)).tolist())
+
+    u, v, alive = g.u.copy(), g.v.copy(), np.ones(g.n, bool)
     size = np.bincount(K.component_labels(g.n, u, v), minlength=g.n).max(initial=0)
     rows = [(0, None, float(size / max(1, g.n)))]
     for step in range(1, (g.n if steps is None else min(steps, g.n)) + 1):
-        csr = K.Csr(g.n, np.concatenate([u, v]), np.concatenate([v, u]))
-        score = sum((K.brandes(csr, s) for s in np.flatnonzero(alive)), np.zeros(g.n))
+        csr, sources = K.Csr(g.n, np.concatenate([u, v]), np.concatenate([v, u])), np.flatnonzero(alive)
+        if len(sources) < spread_from:
+            score = sum((K.brandes(csr, s) for s in sources), np.zeros(g.n))
+        else:
+            parts = spread(spark, sources.tolist(), csr, work, "i long, delta double").groupBy("i").agg(F.sum("delta").alias("delta")).toPandas()
+            score = np.zeros(g.n)
+            score[parts["i"]] = parts["delta"]
         x = int(np.argmax(np.where(alive, np.round(score, 9), -1)))
         alive[x] = False
         keep = (u != x) & (v != x)
         u, v = u[keep], v[keep]
         labels = K.component_labels(g.n, u, v)[alive]
         rows.append((step, int(g.ids[x]), float(np.bincount(labels).max() / g.n) if len(labels) else 0.0))
-    return nodes.sparkSession.createDataFrame(rows, "step int, id long, fraction double")
+    return spark.createDataFrame(rows, "step int, id long, fraction double")
 
 
 def removal_random(nodes: DataFrame, pairs: DataFrame, runs: int = 50, seed: int = 42) -> DataFrame:

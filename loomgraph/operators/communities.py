@@ -11,7 +11,7 @@ from loomgraph.functions.checkpoints import checkpointed
 from loomgraph.operators import kernels as K
 from loomgraph.operators.components import components
 from loomgraph.operators.graph import both_ways, degree_of
-from loomgraph.operators.local import local, spread
+from loomgraph.operators.local import bounded, local, spread
 
 
 def louvain_runs(nodes: DataFrame, pairs: DataFrame, seeds: int, gamma: float = 1.0, weight: str | None = None, levels: int | None = None) -> DataFrame:
@@ -101,7 +101,7 @@ def nmi_by_run(runs: DataFrame, attribute: DataFrame) -> DataFrame:
 def ami(a: DataFrame, b: DataFrame) -> DataFrame:
     """Adjusted mutual information (arithmetic mean); the expectation over marginal sizes runs on the driver, whose
     input is the class sizes only."""
-    cells = contingency(a, b).toPandas()
+    cells = bounded(contingency(a, b), "cells").toPandas()
     n = cells["n"].sum()
     x, y = cells.groupby("x")["n"].sum(), cells.groupby("y")["n"].sum()
     i = sum(r.n / n * np.log(n * r.n / (x[r.x] * y[r.y])) for r in cells.itertuples())
@@ -130,20 +130,21 @@ def consensus(nodes: DataFrame, runs: DataFrame, seeds: int, tau: float = 0.5, r
 
 
 def stability(runs: DataFrame, partition: DataFrame) -> DataFrame:
-    """(id, stability): mean co-assignment with the other members of the node's community; null for a singleton."""
+    """(id, stability): mean co-assignment with the other members of the node's community; null for a singleton.
+
+    No pairs are formed: in each run a node is together with as many others of its community as share its label there."""
     n = runs.select("run").distinct().count()
-    pairs = coassignment(runs)
-    both = pairs.union(pairs.select("j", "i", "share"))
     p = partition.toDF("id", "c")
-    inside = both.join(p.toDF("i", "c"), "i").join(p.toDF("j", "d"), "j").where("c = d").groupBy(F.col("i").alias("id")).agg(F.sum("share").alias("total"))
-    size = p.withColumn("size", F.count("*").over(W.partitionBy("c")))
-    return size.join(inside, "id", "left").select("id", F.when(F.col("size") > 1, F.coalesce("total", F.lit(0.0)) / (F.col("size") - 1)).alias("stability"))
+    size = p.groupBy("c").agg(F.count("*").alias("size"))
+    x = runs.select("run", "id", "label").join(p, "id")
+    together = x.join(x.groupBy("run", "c", "label").agg((F.count("*") - 1).alias("others")), ["run", "c", "label"]).groupBy("id").agg(F.sum("others").alias("total"))
+    return p.join(size, "c").join(together, "id", "left").select("id", F.when(F.col("size") > 1, F.coalesce("total", F.lit(0)) / n / (F.col("size") - 1)).alias("stability"))
 
 
 def align(reference: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, label) with labels renamed one-to-one to the reference labels of largest total overlap; the rest get fresh
     numbers by size. Only the overlap table of the two label sets reaches the driver."""
-    cells = contingency(reference, labels).toPandas()
+    cells = bounded(contingency(reference, labels), "cells").toPandas()
     xs, ys = sorted(cells["x"].unique()), sorted(cells["y"].unique())
     gain = np.zeros((len(xs), len(ys)))
     for r in cells.itertuples():
@@ -226,7 +227,7 @@ def link_communities(nodes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, Dat
     g = local(nodes, pairs)
     links = list(zip(g.u.tolist(), g.v.tolist()))
     number = {e: i for i, e in enumerate(links)}
-    sims = edge_similarity(pairs).toPandas()
+    sims = bounded(edge_similarity(pairs), "pairs of links", 20_000_000).toPandas()
     at = lambda a: np.searchsorted(g.ids, a).tolist()
     key = lambda a, b: number[(min(a, b), max(a, b))]
     rows = [(s, key(a, k), key(b, k)) for k, a, b, s in zip(at(sims["k"]), at(sims["a"]), at(sims["b"]), sims["similarity"].tolist())]

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.operators.order import placed
+
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).alias("k")).agg(F.count("*").alias("n"))
@@ -47,23 +49,36 @@ def moments(df: DataFrame, column: str) -> DataFrame:
 
 
 def upper_median(df: DataFrame, column: str) -> DataFrame:
-    """The element at position n div 2 (from 0) of the sorted values."""
-    x = df.select(column, (F.row_number().over(W.orderBy(column)) - 1).alias("r"), F.count("*").over(W.partitionBy()).alias("n"))
-    return x.where("r = n div 2").select(F.col(column).alias("upper_median"))
+    """The element at position n div 2 (from 0) of the sorted values, from the counts of distinct values."""
+    d = distribution(df.where(F.col(column).isNotNull()), column)
+    upto, n = F.sum("n").over(W.orderBy("k")), F.sum("n").over(W.partitionBy())
+    return d.select("k", upto.alias("upto"), n.alias("all")).where("upto > all div 2").agg(F.min("k").alias("upper_median"))
+
+
+def average_rank(df: DataFrame, column: str, into: str = "rank", descending: bool = False) -> DataFrame:
+    """df with a rank from 1 in which ties share the mean of their places. Only distinct values are put in order."""
+    d = distribution(df, column)
+    upto = F.sum("n").over(W.orderBy(F.desc("k") if descending else F.asc("k")))
+    ranks = d.select(F.col("k").alias("_k"), (upto - F.col("n") + 1 + (F.col("n") - 1) / 2).alias(into))
+    return df.join(ranks, df[column].eqNullSafe(F.col("_k"))).drop("_k")
+
+
+def competition_rank(df: DataFrame, column: str, into: str = "rank") -> DataFrame:
+    """df with a rank from 1, the largest value first, in which ties share the smallest place."""
+    d = distribution(df, column)
+    ranks = d.select(F.col("k").alias("_k"), (F.sum("n").over(W.orderBy(F.desc("k"))) - F.col("n") + 1).cast("int").alias(into))
+    return df.join(ranks, df[column].eqNullSafe(F.col("_k"))).drop("_k")
 
 
-def average_rank(column: str, over: W | None = None, descending: bool = False) -> Column:
-    """Rank from 1 in which ties share the mean of their places."""
-    by = W.partitionBy() if over is None else over
-    ties = (W.partitionBy(column)) if over is None else None
-    order = F.desc(column) if descending else F.asc(column)
-    tied = F.count("*").over(ties) if ties is not None else F.count("*").over(by.orderBy(column).rangeBetween(0, 0))
-    return F.rank().over(by.orderBy(order)) + (tied - 1) / 2
+def ordinal_rank(df: DataFrame, *order, into: str = "rank") -> DataFrame:
+    """df with places from 1 in an order without ties."""
+    return placed(df, *order).withColumn("place", F.col("place").cast("int")).withColumnRenamed("place", into)
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Correlation of average ranks."""
-    r = df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(average_rank(x).alias("rx"), average_rank(y).alias("ry"))
+    r = df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    r = average_rank(average_rank(r, x, "rx"), y, "ry")
     return r.agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
 
 
@@ -98,8 +113,8 @@ def runs(df: DataFrame, order: str, flag: str, by: str | None = None) -> DataFra
 
 def strata(df: DataFrame, column: str, parts: int) -> DataFrame:
     """Equal-count strata by stable ordinal rank (ties by id): floor(rank * parts / n)."""
-    r = F.row_number().over(W.orderBy(column, "id")) - 1
-    return df.select("id", F.floor(r * parts / F.count("*").over(W.partitionBy())).cast("long").alias("stratum"))
+    n = df.count()
+    return placed(df.select("id", column), column, "id").select("id", F.floor((F.col("place") - 1) * parts / F.lit(max(1, n))).cast("long").alias("stratum"))
 
 
 def _z(real: float) -> Column:

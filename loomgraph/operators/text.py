@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.operators.order import placed
+
 #: Lower-case ASCII words with inner hyphens that touch no other letter, digit or underscore.
 TOKEN = r"(?<![\p{L}\p{N}_])[a-z]+(?:-[a-z]+)*(?![\p{L}\p{N}_])"
 #: Words, numbers and single symbols of the documented rule tokenizer.
@@ -58,35 +61,45 @@ def ngrams(toks: DataFrame, n: int) -> DataFrame:
     r = F.row_number().over(w)
     edge = toks.select("doc_id", "pos", "token", r.alias("r"), size.alias("size")).where((F.col("r") < n) | (F.col("r") > F.col("size") - n + 1))
     edge = edge.withColumn("tail", F.col("r") > F.col("size") - n + 1)
-    across = W.orderBy("doc_id", "pos")
-    e = edge.select("doc_id", "pos", *[(F.col("token") if k == 0 else F.lead("token", k).over(across)).alias(f"t{k}") for k in range(n)], F.lead("doc_id", n - 1).over(across).alias("last_doc"))
-    e = e.where(F.col("last_doc").isNotNull() & (F.col("last_doc") != F.col("doc_id")))
-    # of a border's grams, keep those made of neighbours: the first token must be in the tail of its document
-    e = e.join(edge.select("doc_id", "pos", "tail"), ["doc_id", "pos"]).where("tail")
+    edge = placed(edge, "doc_id", "pos")
+    e = edge.where("tail").select("doc_id", "place", F.col("token").alias("t0"))
+    for k in range(1, n):  # of a border's grams: the first token is in the tail of its document, the last in another one
+        e = e.join(edge.select((F.col("place") - k).alias("place"), F.col("token").alias(f"t{k}"), F.col("doc_id").alias(f"d{k}")), "place")
+    e = e.where(F.col(f"d{n - 1}") != F.col("doc_id"))
     both = inside.union(e.select(*[f"t{k}" for k in range(n)]))
     return both.groupBy(F.concat_ws(" ", *[f"t{k}" for k in range(n)]).alias("gram")).agg(F.count("*").alias("n"))
 
 
 def orders(docs: DataFrame, key: str, descending: bool) -> DataFrame:
     """(doc_id, place) from 1; ties by rising id in either direction."""
-    return docs.select("doc_id", F.row_number().over(W.orderBy(F.desc(key) if descending else F.asc(key), "doc_id")).alias("place"))
+    return placed(docs.select("doc_id", key).distinct(), F.desc(key) if descending else F.asc(key), "doc_id").select("doc_id", F.col("place").cast("int").alias("place"))
 
 
 def first_positions(dtm: DataFrame, order: DataFrame) -> DataFrame:
     """(token, position, doc_id): where each type first occurs when documents are read in an order, and which supplies it.
 
     Works on one row a (document, type); start offsets are an exclusive running total over documents."""
-    length = dtm.groupBy("doc_id").agg(F.sum("tf").alias("n")).join(order, "doc_id")
-    start = length.select("doc_id", "place", (F.sum("n").over(W.orderBy("place")) - F.col("n")).alias("start"))
-    x = dtm.join(start, "doc_id").groupBy("token").agg(F.min(F.struct("place", "start", "first", "doc_id")).alias("f"))
-    return x.select("token", (F.col("f.start") + F.col("f.first")).alias("position"), F.col("f.doc_id").alias("doc_id"))
+    length = dtm.groupBy("doc_id").agg(F.sum("tf").alias("n")).join(order, "doc_id").withColumnRenamed("place", "turn")
+    start = placed(length, "turn", total="n").select("doc_id", F.col("before").alias("start"))
+    x = dtm.join(start, "doc_id").groupBy("token").agg(F.min(F.struct((F.col("start") + F.col("first")).alias("position"), "doc_id")).alias("f"))
+    return x.select("token", "f.position", "f.doc_id")
 
 
 def growth_curve(firsts: DataFrame, grid: DataFrame) -> DataFrame:
-    """(n, types): types whose first position is under n, for each n of a grid; the grid is small and broadcast."""
-    counted = firsts.groupBy("position").agg(F.count("*").alias("c"))
-    met = counted.join(F.broadcast(grid), F.col("position") < F.col("n"))
-    return grid.join(met.groupBy("n").agg(F.sum("c").alias("types")), "n", "left").select("n", F.coalesce("types", F.lit(0)).alias("types"))
+    """(n, types): types whose first position is under n, for each n of a small grid.
+
+    Each position is put into its slot of the grid, and slots are counted; a running sum over the grid ends it."""
+    points = sorted(r.n for r in grid.select("n").distinct().collect())
+    counted = in_slots(firsts, points).groupBy("slot").agg(F.count("*").alias("c"))
+    table = firsts.sparkSession.createDataFrame(list(enumerate(points)), "slot int, n long")
+    return table.join(counted, "slot", "left").select("n", F.coalesce(F.sum("c").over(W.orderBy("n")), F.lit(0)).alias("types"))
+
+
+def in_slots(firsts: DataFrame, points: list) -> DataFrame:
+    """firsts with `slot`, the number of points at or under `position`: a position counts for all later points."""
+    edges = [float("-inf"), *map(float, points), float("inf")]
+    cut = Bucketizer(splits=edges, inputCol="_x", outputCol="_slot")
+    return cut.transform(firsts.withColumn("_x", F.col("position").cast("double"))).withColumn("slot", F.col("_slot").cast("int")).drop("_x", "_slot")
 
 
 def log_grid(spark, low: int, high: int, points: int) -> DataFrame:
@@ -110,10 +123,14 @@ def rarefied(dtm: DataFrame, budget: int) -> DataFrame:
 
 def window_types(toks: DataFrame, size: int, stride: int) -> DataFrame:
     """(doc_id, types): mean number of distinct tokens in windows of `size` that begin every `stride` tokens."""
-    lists = toks.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]).alias("ts"))
-    lists = lists.where(F.size("ts") >= size)
-    w = lists.select("doc_id", F.explode(F.sequence(F.lit(1), F.size("ts") - size + 1, F.lit(stride))).alias("at"), "ts")
-    return w.groupBy("doc_id").agg(F.avg(F.size(F.array_distinct(F.slice("ts", F.col("at"), size)))).alias("types"))
+    length = toks.groupBy("doc_id").agg(F.max("pos").alias("last"))
+    at = toks.join(length, "doc_id").where(F.col("last") >= size - 1)
+    # a token at pos lies in the windows w with w * stride <= pos < w * stride + size that end inside the document
+    low = F.greatest(F.lit(0), F.ceil((F.col("pos") - size + 1) / stride)).cast("int")
+    high = F.least(F.floor(F.col("pos") / stride), F.floor((F.col("last") + 1 - size) / stride)).cast("int")
+    at = at.withColumn("low", low).withColumn("high", high).where("low <= high")
+    inside = at.select("doc_id", "token", F.explode(F.sequence("low", "high")).alias("w")).distinct()
+    return inside.groupBy("doc_id", "w").agg(F.count("*").alias("types")).groupBy("doc_id").agg(F.avg("types").alias("types"))
 
 
 def snippet(text: Column, word: str, around: int = 70) -> Column:
@@ -141,10 +158,12 @@ def hapax_check(docs: DataFrame, dtm: DataFrame) -> DataFrame:
     return x.groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-def inverted_index(dtm: DataFrame) -> DataFrame:
-    """(token, postings): postings are document:count pairs in id order."""
+def inverted_index(dtm: DataFrame, block: int = 4096) -> DataFrame:
+    """(token, block, postings): postings are document:count pairs in id order, a row for each `block` ids, so that no row
+    grows with the corpus."""
     p = F.array_sort(F.collect_list(F.struct("doc_id", "tf")))
-    return dtm.groupBy("token").agg(F.array_join(F.transform(p, lambda s: F.concat_ws(":", s["doc_id"], s["tf"])), " ").alias("postings"))
+    by = dtm.groupBy("token", F.floor(F.col("doc_id") / block).alias("block"))
+    return by.agg(F.array_join(F.transform(p, lambda s: F.concat_ws(":", s["doc_id"], s["tf"])), " ").alias("postings"))
 
 
 def vector_norms(dtm: DataFrame) -> DataFrame:
