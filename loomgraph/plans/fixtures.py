@@ -1,7 +1,9 @@
 """The inputs of the registered queries, as DataFrames and as the same common table expressions in SQL.
 
-The graph: parts of some brands are nodes; two parts of one order are linked, from the cheaper to the dearer line, with
-the quantity as weight.
+Two graphs, each from all rows of `lineitem`: parts (scope p), where two parts of one order are linked, from the cheaper
+to the dearer line, with the quantity as weight; and suppliers (scope s), where two suppliers are linked if their lines
+meet in unusually many orders (more than two standard deviations above the mean of all pairs that meet), with the number
+of those orders as weight. The supplier graph is the smaller one, for operators that look at all pairs or at replicas.
 """
 
 from __future__ import annotations
@@ -11,9 +13,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions.checkpoints import checkpointed
 from loomgraph.operators import graph as G
 from loomgraph.operators import text as T
 
+
+#: Graphs of the parts of a few brands, small enough for brute force: for tests, never for registered queries.
 BRANDS = {"g1": ("Brand#1",), "g4": ("Brand#1", "Brand#2", "Brand#3", "Brand#4")}
 
 
@@ -26,25 +31,44 @@ class Fixture:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        p = self.table("part").where(F.col("p_brand").isin(*BRANDS[self.scope]))
-        return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
+        if self.scope == "s":
+            s = self.table("supplier").join(F.broadcast(self.table("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+            return s.select(
+                F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("n_name").alias("type"), F.concat(F.lit("Region#"), F.col("n_regionkey").cast("string")).alias("brand"),
+                (F.pmod(F.floor("s_acctbal"), F.lit(50)) + 1).cast("int").alias("size"),
+            )
+        part = self.table("part")
+        if self.scope in BRANDS:
+            part = part.where(F.col("p_brand").isin(*BRANDS[self.scope]))
+        return part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
+
+    @cached_property
+    def key(self) -> str:
+        return "l_suppkey" if self.scope == "s" else "l_partkey"
 
     @cached_property
     def lines(self) -> DataFrame:
-        l = self.table("lineitem").join(self.nodes.select(F.col("id").alias("l_partkey")), "l_partkey")  # noqa: E741
-        return l.groupBy(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).agg(F.min("l_extendedprice").alias("x"), F.sum("l_quantity").cast("long").alias("q"))
+        lines = self.table("lineitem")
+        if self.scope in BRANDS:
+            lines = lines.join(self.nodes.select(F.col("id").alias(self.key)), self.key)
+        return lines.groupBy(F.col("l_orderkey").alias("o"), F.col(self.key).alias("p")).agg(F.min("l_extendedprice").alias("x"), F.sum("l_quantity").cast("long").alias("q"))
 
     @cached_property
     def edges(self) -> DataFrame:
         a, b = self.lines, self.lines.toDF("o", "p2", "x2", "q2")
-        return a.join(b, "o").where("p <> p2 and x < x2").groupBy(F.col("p").alias("source"), F.col("p2").alias("target")).agg(F.sum("q").alias("weight"))
+        met = a.join(b, "o").where("p <> p2 and x < x2").groupBy(F.col("p").alias("source"), F.col("p2").alias("target"))
+        if self.scope != "s":
+            return met.agg(F.sum("q").alias("weight"))
+        met = checkpointed(met.agg(F.count("*").alias("weight")))
+        usual = met.agg((F.avg("weight") + 2 * F.stddev_pop("weight")).alias("_usual"))
+        return met.crossJoin(F.broadcast(usual)).where("weight > _usual").select("source", "target", "weight")
 
     @cached_property
     def raw(self) -> DataFrame:
         """Pairs of lines of an order with repeats and loops, for the checks."""
-        l = self.table("lineitem").join(self.nodes.select(F.col("id").alias("l_partkey")), "l_partkey").select("l_orderkey", "l_partkey", "l_extendedprice")  # noqa: E741
-        m = l.toDF("l_orderkey", "p2", "x2")
-        return l.join(m, "l_orderkey").where("l_extendedprice < x2").select(F.col("l_partkey").alias("source"), F.col("p2").alias("target"))
+        l = self.table("lineitem").select("l_orderkey", F.col(self.key).alias("source"), "l_extendedprice")  # noqa: E741
+        m = l.toDF("l_orderkey", "target", "x2")
+        return l.join(m, "l_orderkey").where("l_extendedprice < x2").select("source", "target")
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -77,7 +101,7 @@ class Fixture:
     def runs(self) -> DataFrame:
         """Ten deterministic labellings (run, id, label)."""
         r = self.spark.range(10).select(F.col("id").cast("int").alias("run"))
-        return self.nodes.select("id").crossJoin(F.broadcast(r)).select("run", "id", F.expr("cast(((id + 7 * run) div (200 + 20 * run)) % 5 as int)").alias("label"))
+        return self.nodes.select("id").crossJoin(F.broadcast(r)).select("run", "id", F.expr("cast(((20 * id + 7 * run) div (200 + 20 * run)) % 5 as int)").alias("label"))
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -96,21 +120,30 @@ class Fixture:
     def dtm(self) -> DataFrame:
         return T.term_counts(self.tokens)
 
+    @cached_property
+    def written_dtm(self) -> DataFrame:
+        """The same, for queries that read it several times: texts are taken apart once."""
+        return checkpointed(self.dtm)
+
     @cached_property
     def in_degrees(self) -> DataFrame:
-        """(doc_id, k): in-degree of the part with a document's id among the four brands; 0 for others."""
-        e = Fixture(self.spark, self.dir, "g4").edges.groupBy(F.col("target").alias("doc_id")).agg(F.count("*").alias("k"))
+        """(doc_id, k): in-degree of the part with a document's id; 0 where there is none."""
+        e = Fixture(self.spark, self.dir, "p").edges.groupBy(F.col("target").alias("doc_id")).agg(F.count("*").alias("k"))
         return self.docs.select("doc_id").join(e, "doc_id", "left").na.fill(0, ["k"])
 
 
-def _graph_sql(brands: tuple[str, ...]) -> str:
-    names = ", ".join(f"'{b}'" for b in brands)
-    return f"""
-nodes AS (SELECT p_partkey AS id, p_name AS name, p_type AS type, p_brand AS brand, p_size AS size FROM part WHERE p_brand IN ({names})),
-l AS (SELECT l_orderkey AS o, l_partkey AS p, MIN(l_extendedprice) AS x, CAST(SUM(l_quantity) AS BIGINT) AS q FROM lineitem JOIN nodes ON id = l_partkey GROUP BY 1, 2),
+_PARTS = """
+nodes AS (SELECT p_partkey AS id, p_name AS name, p_type AS type, p_brand AS brand, p_size AS size FROM part),
+l AS (SELECT l_orderkey AS o, l_partkey AS p, MIN(l_extendedprice) AS x, CAST(SUM(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1, 2),
 e AS (SELECT a.p AS s, b.p AS t, CAST(SUM(a.q) AS BIGINT) AS w FROM l a JOIN l b ON a.o = b.o AND a.p <> b.p AND a.x < b.x GROUP BY 1, 2),
-raw AS (SELECT a.l_partkey AS s, b.l_partkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_extendedprice < b.l_extendedprice
-  WHERE a.l_partkey IN (SELECT id FROM nodes) AND b.l_partkey IN (SELECT id FROM nodes)),
+raw AS (SELECT a.l_partkey AS s, b.l_partkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_extendedprice < b.l_extendedprice),"""
+_SUPPLIERS = """
+nodes AS (SELECT s_suppkey AS id, s_name AS name, n_name AS type, 'Region#' || n_regionkey AS brand, CAST(((CAST(floor(s_acctbal) AS BIGINT) % 50) + 50) % 50 + 1 AS INTEGER) AS size FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+l AS (SELECT l_orderkey AS o, l_suppkey AS p, MIN(l_extendedprice) AS x FROM lineitem GROUP BY 1, 2),
+met AS MATERIALIZED (SELECT a.p AS s, b.p AS t, COUNT(*) AS w FROM l a JOIN l b ON a.o = b.o AND a.p <> b.p AND a.x < b.x GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT s, t, w FROM met WHERE w > (SELECT AVG(w) + 2 * stddev_pop(w) FROM met)),
+raw AS (SELECT a.l_suppkey AS s, b.l_suppkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_extendedprice < b.l_extendedprice),"""
+_GRAPH = """
 ue AS (SELECT DISTINCT LEAST(s, t) AS u, GREATEST(s, t) AS v FROM e),
 uw AS (SELECT LEAST(s, t) AS u, GREATEST(s, t) AS v, CAST(SUM(w) AS BIGINT) AS w FROM e GROUP BY 1, 2),
 a AS (SELECT u, v FROM ue UNION ALL SELECT v, u FROM ue),
@@ -119,7 +152,7 @@ dio AS (SELECT id, (SELECT COUNT(*) FROM e WHERE t = id) AS i, (SELECT COUNT(*)
 hub AS (SELECT id FROM deg ORDER BY k DESC, id LIMIT 1),
 lst AS (SELECT MAX(u) AS id FROM a),
 lab AS (SELECT id, size % 6 AS label FROM nodes),
-rr AS (SELECT CAST(r AS INTEGER) AS run, id, CAST(((id + 7 * r) // (200 + 20 * r)) % 5 AS INTEGER) AS label FROM nodes, range(10) x(r))"""
+rr AS (SELECT CAST(r AS INTEGER) AS run, id, CAST(((20 * id + 7 * r) // (200 + 20 * r)) % 5 AS INTEGER) AS label FROM nodes, range(10) x(r))"""
 
 
 def _text_sql() -> str:
@@ -133,9 +166,9 @@ len AS (SELECT d.doc_id, CAST(COALESCE(SUM(tf), 0) AS BIGINT) AS n, COUNT(token)
 
 
 _IND = """,
-gl AS (SELECT l_orderkey AS o, l_partkey AS p, MIN(l_extendedprice) AS x FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand IN ({names}) GROUP BY 1, 2),
+gl AS (SELECT l_orderkey AS o, l_partkey AS p, MIN(l_extendedprice) AS x FROM lineitem GROUP BY 1, 2),
 ge AS (SELECT DISTINCT a.p AS s, b.p AS t FROM gl a JOIN gl b ON a.o = b.o AND a.p <> b.p AND a.x < b.x),
-ind AS (SELECT doc_id, (SELECT COUNT(*) FROM ge WHERE t = doc_id) AS k FROM documents)""".format(names=", ".join(f"'{b}'" for b in BRANDS["g4"]))
+ind AS (SELECT doc_id, (SELECT COUNT(*) FROM ge WHERE t = doc_id) AS k FROM documents)"""
 
-PREFIX = {"g1": _graph_sql(BRANDS["g1"]), "g4": _graph_sql(BRANDS["g4"]), "t": _text_sql(), "td": _text_sql() + _IND}
+PREFIX = {"s": _SUPPLIERS + _GRAPH, "p": _PARTS + _GRAPH, "t": _text_sql(), "td": _text_sql() + _IND}
 STOP_SQL = ", ".join(f"'{w}'" for w in T.STOP)

@@ -42,40 +42,40 @@ def _arrows(c):
     return G.directed(c.edges).toDF("u", "v")
 
 
-query("connected_components", "g1", _COMP + " SELECT id, component FROM comp")(lambda c: P.connected_components(c.nodes, c.pairs))
-query("component_size_distribution", "g1", _COMP + " SELECT size, COUNT(*) AS n FROM (SELECT COUNT(*) AS size FROM comp GROUP BY component) GROUP BY 1")(lambda c: P.connected_components(c.nodes, c.pairs).groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n")))
-query("sort_components", "g1", _COMP + " SELECT component, COUNT(*) AS size, CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, MIN(id)) - 1 AS INTEGER) AS rank FROM comp GROUP BY 1")(lambda c: G.ranked_components(P.connected_components(c.nodes, c.pairs)))
+query("connected_components", "s", _COMP + " SELECT id, component FROM comp")(lambda c: P.connected_components(c.nodes, c.pairs))
+query("component_size_distribution", "s", _COMP + " SELECT size, COUNT(*) AS n FROM (SELECT COUNT(*) AS size FROM comp GROUP BY component) GROUP BY 1")(lambda c: P.connected_components(c.nodes, c.pairs).groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n")))
+query("sort_components", "s", _COMP + " SELECT component, COUNT(*) AS size, CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, MIN(id)) - 1 AS INTEGER) AS rank FROM comp GROUP BY 1")(lambda c: G.ranked_components(P.connected_components(c.nodes, c.pairs)))
 _GIANT = _COMP + ", gi AS (SELECT id FROM comp WHERE component = (SELECT component FROM comp GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1))"
-query("giant_component", "g1", _GIANT + " SELECT u, v FROM ue WHERE u IN (SELECT id FROM gi)")(lambda c: G.induced(c.pairs, G.giant(P.connected_components(c.nodes, c.pairs)), "u", "v"))
-query("nodes_outside_giant", "g1", _GIANT + " SELECT id FROM nodes WHERE id NOT IN (SELECT id FROM gi)")(lambda c: c.nodes.select("id").join(G.giant(P.connected_components(c.nodes, c.pairs)), "id", "left_anti"))
-query("node_records", "g1", _COMP + " SELECT n.id, name, type, brand, size, i AS in_degree, o AS out_degree, i + o AS degree, k AS neighbors, CAST(ROW_NUMBER() OVER (ORDER BY i + o DESC, n.id) AS INTEGER) AS rank, component FROM nodes n JOIN dio USING (id) JOIN deg USING (id) JOIN comp USING (id)")(
-    lambda c: c.nodes.join(G.degrees(c.nodes, c.edges), "id").join(P.connected_components(c.nodes, c.pairs), "id").withColumn("rank", F.row_number().over(W.orderBy(F.desc("degree"), "id"))).select("id", "name", "type", "brand", "size", "in_degree", "out_degree", "degree", "neighbors", "rank", "component")
+query("giant_component", "s", _GIANT + " SELECT u, v FROM ue WHERE u IN (SELECT id FROM gi)")(lambda c: G.induced(c.pairs, G.giant(P.connected_components(c.nodes, c.pairs)), "u", "v"))
+query("nodes_outside_giant", "s", _GIANT + " SELECT id FROM nodes WHERE id NOT IN (SELECT id FROM gi)")(lambda c: c.nodes.select("id").join(G.giant(P.connected_components(c.nodes, c.pairs)), "id", "left_anti"))
+query("node_records", "s", _COMP + " SELECT n.id, name, type, brand, size, i AS in_degree, o AS out_degree, i + o AS degree, k AS neighbors, CAST(ROW_NUMBER() OVER (ORDER BY i + o DESC, n.id) AS INTEGER) AS rank, component FROM nodes n JOIN dio USING (id) JOIN deg USING (id) JOIN comp USING (id)")(
+    lambda c: c.nodes.join(S.ordinal_rank(G.degrees(c.nodes, c.edges), F.desc("degree"), "id"), "id").join(P.connected_components(c.nodes, c.pairs), "id").select("id", "name", "type", "brand", "size", "in_degree", "out_degree", "degree", "neighbors", "rank", "component")
 )
-query("bfs_distances", "g1", _bfs("hub") + " SELECT id, d FROM bd")(lambda c: P.bfs_distances(c.adj, c.hub))
-query("bfs_distances_directed", "g1", _bfs("hub", "e", "s", "t") + " SELECT id, d FROM bd")(lambda c: P.bfs_distances(_arrows(c), c.hub))
-query("shortest_path", "g1", _paths("hub") + " SELECT sp.id, array_to_string(path, '>') AS path FROM sp JOIN lst USING (id)")(lambda c: _path_text(P.shortest_paths(c.adj, c.hub, c.last)))
-query("directed_path_to_target", "g1", _paths("hub", "e", "s", "t") + " SELECT sp.id, array_to_string(path, '>') AS path FROM sp JOIN lst USING (id)")(lambda c: _path_text(P.shortest_paths(_arrows(c), c.hub, c.last)))
-query("six_degrees", "g1", _paths("hub") + " SELECT sp.id, CAST(len(path) - 1 AS INTEGER) AS d, array_to_string(path, '>') AS path FROM sp")(lambda c: P.shortest_paths(c.adj, c.hub).select("id", (F.size("path") - 1).alias("d"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path")))
-query("apsp_distances", "g1", _APSP + " SELECT s, v, d FROM d0")(lambda c: P.all_distances(c.nodes, c.pairs))
-query("distance_distribution", "g1", _APSP + " SELECT d, COUNT(*) AS n, ROUND(COUNT(*) / SUM(COUNT(*)) OVER (), 6) AS share FROM d0 WHERE d > 0 GROUP BY 1")(lambda c: P.all_distances(c.nodes, c.pairs).where("d > 0").groupBy("d").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy())))
-query("eccentricity_summary", "g1", _APSP + ", ec AS (SELECT s, MAX(d) AS e, SUM(d) AS t, COUNT(*) AS r FROM d0 GROUP BY 1 HAVING COUNT(*) = (SELECT MAX(c) FROM (SELECT COUNT(*) AS c FROM d0 GROUP BY s))) SELECT MAX(e) AS diameter, MIN(e) AS radius, ROUND(SUM(t) / SUM(r - 1), 6) AS mean, string_agg(CASE WHEN e = (SELECT MIN(e) FROM ec) THEN s END, ',' ORDER BY s) AS center FROM ec".replace("THEN s END", "THEN CAST(s AS VARCHAR) END"))(
+query("bfs_distances", "s", _bfs("hub") + " SELECT id, d FROM bd")(lambda c: P.bfs_distances(c.adj, c.hub))
+query("bfs_distances_directed", "s", _bfs("hub", "e", "s", "t") + " SELECT id, d FROM bd")(lambda c: P.bfs_distances(_arrows(c), c.hub))
+query("shortest_path", "s", _paths("hub") + " SELECT sp.id, array_to_string(path, '>') AS path FROM sp JOIN lst USING (id)")(lambda c: _path_text(P.shortest_paths(c.adj, c.hub, c.last)))
+query("directed_path_to_target", "s", _paths("hub", "e", "s", "t") + " SELECT sp.id, array_to_string(path, '>') AS path FROM sp JOIN lst USING (id)")(lambda c: _path_text(P.shortest_paths(_arrows(c), c.hub, c.last)))
+query("six_degrees", "s", _paths("hub") + " SELECT sp.id, CAST(len(path) - 1 AS INTEGER) AS d, array_to_string(path, '>') AS path FROM sp")(lambda c: P.shortest_paths(c.adj, c.hub).select("id", (F.size("path") - 1).alias("d"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path")))
+query("apsp_distances", "s", _APSP + " SELECT s, v, d FROM d0")(lambda c: P.all_distances(c.nodes, c.pairs))
+query("distance_distribution", "s", _APSP + " SELECT d, COUNT(*) AS n, ROUND(COUNT(*) / SUM(COUNT(*)) OVER (), 6) AS share FROM d0 WHERE d > 0 GROUP BY 1")(lambda c: P.all_distances(c.nodes, c.pairs).where("d > 0").groupBy("d").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy())))
+query("eccentricity_summary", "s", _APSP + ", ec AS (SELECT s, MAX(d) AS e, SUM(d) AS t, COUNT(*) AS r FROM d0 GROUP BY 1 HAVING COUNT(*) = (SELECT MAX(c) FROM (SELECT COUNT(*) AS c FROM d0 GROUP BY s))) SELECT MAX(e) AS diameter, MIN(e) AS radius, ROUND(SUM(t) / SUM(r - 1), 6) AS mean, string_agg(CASE WHEN e = (SELECT MIN(e) FROM ec) THEN s END, ',' ORDER BY s) AS center FROM ec".replace("THEN s END", "THEN CAST(s AS VARCHAR) END"))(
     lambda c: (lambda x: x.where("r = most").agg(F.max("e").alias("diameter"), F.min("e").alias("radius"), (F.sum("t") / F.sum(F.col("r") - 1)).alias("mean"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("e") == F.col("low"), F.col("s")))), lambda i: i.cast("string")), ",").alias("center")))(
         P.all_distances(c.nodes, c.pairs).groupBy("s").agg(F.max("d").alias("e"), F.sum("d").alias("t"), F.count("*").alias("r")).withColumn("most", F.max("r").over(W.partitionBy())).withColumn("low", F.min(F.when(F.col("r") == F.col("most"), F.col("e"))).over(W.partitionBy()))
     )
 )
-query("directed_reachability", "g1", _DAPSP + " SELECT ROUND(SUM(CASE WHEN d > 0 THEN 1 ELSE 0 END) / ((SELECT COUNT(*) FROM nodes) * ((SELECT COUNT(*) FROM nodes) - 1)), 6) AS reach, ROUND(AVG(CASE WHEN d > 0 THEN d END), 6) AS mean FROM d0")(lambda c: P.all_distances(c.nodes, _arrows(c), True).crossJoin(F.broadcast(c.nodes.agg(F.count("*").alias("n")))).agg((F.count_if(F.col("d") > 0) / (F.first("n") * (F.first("n") - 1))).alias("reach"), F.avg(F.when(F.col("d") > 0, F.col("d"))).alias("mean")))
-query("reach_from_to", "g1", _DAPSP + " SELECT (SELECT COUNT(*) - 1 FROM d0, hub WHERE s = id) AS forward, (SELECT COUNT(*) - 1 FROM d0, hub WHERE v = id) AS backward")(lambda c: P.bfs_distances(_arrows(c), c.hub).agg((F.count("*") - 1).alias("forward")).crossJoin(P.bfs_distances(_arrows(c).toDF("v", "u"), c.hub).agg((F.count("*") - 1).alias("backward"))))
-query("asymmetric_edges", "g1", _DAPSP + " SELECT e.s AS source, e.t AS target, d FROM e LEFT JOIN d0 ON d0.s = e.t AND d0.v = e.s WHERE d IS NULL OR d >= 5")(lambda c: G.directed(c.edges).join(P.all_distances(c.nodes, _arrows(c), True).select(F.col("s").alias("target"), F.col("v").alias("source"), "d"), ["source", "target"], "left").where("d is null or d >= 5").select("source", "target", "d"))
-query("max_distance_nodes", "g1", _bfs("hub") + " SELECT id, d FROM bd WHERE d = (SELECT MAX(d) FROM bd)")(lambda c: P.bfs_distances(c.adj, c.hub).withColumn("m", F.max("d").over(W.partitionBy())).where("d = m").select("id", "d"))
-query("strongly_connected_components", "g1", _DAPSP + " SELECT x.s AS id, MIN(x.v) AS component FROM d0 x JOIN d0 y ON x.s = y.v AND x.v = y.s GROUP BY 1")(lambda c: P.strong_components(c.nodes, G.directed(c.edges)))
-query("articulation_points", "g1", ", z(x, s, v) AS (SELECT x.id, n.id, n.id FROM deg x JOIN deg n ON n.id <> x.id WHERE x.k > 0 AND n.k > 0 UNION SELECT z.x, z.s, a.v FROM z JOIN a ON a.u = z.v WHERE a.v <> z.x), zc AS (SELECT x, COUNT(DISTINCT m) AS c FROM (SELECT x, s, MIN(v) AS m FROM z GROUP BY 1, 2) GROUP BY 1)" + _COMP + ", base AS (SELECT COUNT(DISTINCT component) AS c FROM comp JOIN deg USING (id) WHERE k > 0) SELECT x AS id FROM zc, base WHERE zc.c > base.c")(lambda c: P.articulation_points(c.nodes, c.pairs))
-query("common_neighbors", "g1", "SELECT v AS id FROM a, hub WHERE u = hub.id INTERSECT SELECT v FROM a, lst WHERE u = lst.id")(lambda c: P.common_neighbors(c.pairs, c.hub, c.last))
-query("components_after_removal", "g1", _COMP + ", r2(id, x) AS (SELECT id, id FROM nodes WHERE id <> (SELECT id FROM hub) UNION SELECT r2.id, a.v FROM r2 JOIN a ON a.u = r2.x WHERE a.v <> (SELECT id FROM hub)), c2 AS (SELECT id, MIN(x) AS component FROM r2 GROUP BY 1) SELECT * FROM (SELECT COUNT(*) AS components_before, MAX(n) AS largest_before FROM (SELECT COUNT(*) AS n FROM comp GROUP BY component)), (SELECT COUNT(*) AS components_after, MAX(n) AS largest_after FROM (SELECT COUNT(*) AS n FROM c2 GROUP BY component))")(lambda c: P.components_without(c.nodes, c.pairs, c.hub))
-query("single_node_fragmentation", "g1", ", z(x, s, v) AS (SELECT x.id, n.id, n.id FROM nodes x JOIN nodes n ON n.id <> x.id UNION SELECT z.x, z.s, a.v FROM z JOIN a ON a.u = z.v WHERE a.v <> z.x), m AS (SELECT x, s, MIN(v) AS c FROM z GROUP BY 1, 2) SELECT x AS id, CAST(COUNT(*) AS INTEGER) AS pieces, CAST(MAX(n) AS INTEGER) AS largest FROM (SELECT x, c, COUNT(*) AS n FROM m GROUP BY 1, 2) GROUP BY 1")(lambda c: P.fragmentation(c.nodes, c.pairs))
-query("weighted_shortest_path", "g1", f", wq(id, d, path, h) AS (SELECT id, CAST(0 AS DOUBLE), [id], 0 FROM hub UNION ALL SELECT CASE WHEN u = wq.id THEN v ELSE u END, d + 1.0 / w, list_append(path, CASE WHEN u = wq.id THEN v ELSE u END), h + 1 FROM wq JOIN uw ON u = wq.id OR v = wq.id WHERE h < 7 AND NOT list_contains(path, CASE WHEN u = wq.id THEN v ELSE u END)) SELECT ROUND(MIN(d), 6) AS length FROM wq JOIN lst USING (id)")(lambda c: P.weighted_path(c.nodes, c.weighted, c.hub, c.last).agg(F.max("length").alias("length")))
+query("directed_reachability", "s", _DAPSP + " SELECT ROUND(SUM(CASE WHEN d > 0 THEN 1 ELSE 0 END) / ((SELECT COUNT(*) FROM nodes) * ((SELECT COUNT(*) FROM nodes) - 1)), 6) AS reach, ROUND(AVG(CASE WHEN d > 0 THEN d END), 6) AS mean FROM d0")(lambda c: P.all_distances(c.nodes, _arrows(c), True).crossJoin(F.broadcast(c.nodes.agg(F.count("*").alias("n")))).agg((F.count_if(F.col("d") > 0) / (F.first("n") * (F.first("n") - 1))).alias("reach"), F.avg(F.when(F.col("d") > 0, F.col("d"))).alias("mean")))
+query("reach_from_to", "s", _DAPSP + " SELECT (SELECT COUNT(*) - 1 FROM d0, hub WHERE s = id) AS forward, (SELECT COUNT(*) - 1 FROM d0, hub WHERE v = id) AS backward")(lambda c: P.bfs_distances(_arrows(c), c.hub).agg((F.count("*") - 1).alias("forward")).crossJoin(P.bfs_distances(_arrows(c).toDF("v", "u"), c.hub).agg((F.count("*") - 1).alias("backward"))))
+query("asymmetric_edges", "s", _DAPSP + " SELECT e.s AS source, e.t AS target, d FROM e LEFT JOIN d0 ON d0.s = e.t AND d0.v = e.s WHERE d IS NULL OR d >= 5")(lambda c: G.directed(c.edges).join(P.all_distances(c.nodes, _arrows(c), True).select(F.col("s").alias("target"), F.col("v").alias("source"), "d"), ["source", "target"], "left").where("d is null or d >= 5").select("source", "target", "d"))
+query("max_distance_nodes", "s", _bfs("hub") + " SELECT id, d FROM bd WHERE d = (SELECT MAX(d) FROM bd)")(lambda c: P.bfs_distances(c.adj, c.hub).withColumn("m", F.max("d").over(W.partitionBy())).where("d = m").select("id", "d"))
+query("strongly_connected_components", "s", _DAPSP + " SELECT x.s AS id, MIN(x.v) AS component FROM d0 x JOIN d0 y ON x.s = y.v AND x.v = y.s GROUP BY 1")(lambda c: P.strong_components(c.nodes, G.directed(c.edges)))
+query("articulation_points", "s", ", z(x, s, v) AS (SELECT x.id, n.id, n.id FROM deg x JOIN deg n ON n.id <> x.id WHERE x.k > 0 AND n.k > 0 UNION SELECT z.x, z.s, a.v FROM z JOIN a ON a.u = z.v WHERE a.v <> z.x), zc AS (SELECT x, COUNT(DISTINCT m) AS c FROM (SELECT x, s, MIN(v) AS m FROM z GROUP BY 1, 2) GROUP BY 1)" + _COMP + ", base AS (SELECT COUNT(DISTINCT component) AS c FROM comp JOIN deg USING (id) WHERE k > 0) SELECT x AS id FROM zc, base WHERE zc.c > base.c")(lambda c: P.articulation_points(c.nodes, c.pairs))
+query("common_neighbors", "s", "SELECT v AS id FROM a, hub WHERE u = hub.id INTERSECT SELECT v FROM a, lst WHERE u = lst.id")(lambda c: P.common_neighbors(c.pairs, c.hub, c.last))
+query("components_after_removal", "s", _COMP + ", r2(id, x) AS (SELECT id, id FROM nodes WHERE id <> (SELECT id FROM hub) UNION SELECT r2.id, a.v FROM r2 JOIN a ON a.u = r2.x WHERE a.v <> (SELECT id FROM hub)), c2 AS (SELECT id, MIN(x) AS component FROM r2 GROUP BY 1) SELECT * FROM (SELECT COUNT(*) AS components_before, MAX(n) AS largest_before FROM (SELECT COUNT(*) AS n FROM comp GROUP BY component)), (SELECT COUNT(*) AS components_after, MAX(n) AS largest_after FROM (SELECT COUNT(*) AS n FROM c2 GROUP BY component))")(lambda c: P.components_without(c.nodes, c.pairs, c.hub))
+query("single_node_fragmentation", "s", ", z(x, s, v) AS (SELECT x.id, n.id, n.id FROM nodes x JOIN nodes n ON n.id <> x.id UNION SELECT z.x, z.s, a.v FROM z JOIN a ON a.u = z.v WHERE a.v <> z.x), m AS (SELECT x, s, MIN(v) AS c FROM z GROUP BY 1, 2) SELECT x AS id, CAST(COUNT(*) AS INTEGER) AS pieces, CAST(MAX(n) AS INTEGER) AS largest FROM (SELECT x, c, COUNT(*) AS n FROM m GROUP BY 1, 2) GROUP BY 1")(lambda c: P.fragmentation(c.nodes, c.pairs))
+query("weighted_shortest_path", "s", f", wq(id, d, path, h) AS (SELECT id, CAST(0 AS DOUBLE), [id], 0 FROM hub UNION ALL SELECT CASE WHEN u = wq.id THEN v ELSE u END, d + 1.0 / w, list_append(path, CASE WHEN u = wq.id THEN v ELSE u END), h + 1 FROM wq JOIN uw ON u = wq.id OR v = wq.id WHERE h < 7 AND NOT list_contains(path, CASE WHEN u = wq.id THEN v ELSE u END)) SELECT ROUND(MIN(d), 6) AS length FROM wq JOIN lst USING (id)")(lambda c: P.weighted_path(c.nodes, c.weighted, c.hub, c.last).agg(F.max("length").alias("length")))
 
-query("closeness", "g1", _APSP + " SELECT s AS id, ROUND(CASE WHEN SUM(d) > 0 THEN (COUNT(*) - 1) / SUM(d) * (COUNT(*) - 1) / ((SELECT COUNT(*) FROM nodes) - 1) ELSE 0 END, 6) AS closeness FROM d0 GROUP BY 1")(lambda c: C.closeness(P.all_distances(c.nodes, c.pairs), c.nodes.count()))
-query("harmonic", "g1", _APSP + " SELECT s AS id, ROUND(SUM(CASE WHEN d > 0 THEN 1.0::DOUBLE / d ELSE 0 END), 6) AS harmonic FROM d0 GROUP BY 1")(lambda c: C.harmonic(P.all_distances(c.nodes, c.pairs)))
+query("closeness", "s", _APSP + " SELECT s AS id, ROUND(CASE WHEN SUM(d) > 0 THEN (COUNT(*) - 1) / SUM(d) * (COUNT(*) - 1) / ((SELECT COUNT(*) FROM nodes) - 1) ELSE 0 END, 6) AS closeness FROM d0 GROUP BY 1")(lambda c: C.closeness(P.all_distances(c.nodes, c.pairs), c.nodes.count()))
+query("harmonic", "s", _APSP + " SELECT s AS id, ROUND(SUM(CASE WHEN d > 0 THEN 1.0::DOUBLE / d ELSE 0 END), 6) AS harmonic FROM d0 GROUP BY 1")(lambda c: C.harmonic(P.all_distances(c.nodes, c.pairs)))
 
 
 def _brandes_sql(apsp: str, step: str, frm: str, to: str) -> str:
@@ -86,10 +86,10 @@ def _brandes_sql(apsp: str, step: str, frm: str, to: str) -> str:
 
 
 _B = " SELECT n.id, ROUND(COALESCE(SUM(x.g * y.g / z.g), 0) / ((SELECT COUNT(*) - 1 FROM nodes) * (SELECT COUNT(*) - 2 FROM nodes)), 6) AS betweenness FROM nodes n LEFT JOIN (g x JOIN g y ON y.s = x.v AND y.v <> x.v AND x.s <> x.v JOIN g z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d AND z.s <> z.v) ON x.v = n.id GROUP BY 1"
-query("betweenness", "g1", _brandes_sql(_APSP, "a", "u", "v") + _B)(lambda c: C.betweenness(c.nodes, c.pairs))
-query("betweenness_directed", "g1", _brandes_sql(_DAPSP, "e", "s", "t") + _B)(lambda c: C.betweenness(c.nodes, G.directed(c.edges), True))
-query("edge_betweenness", "g1", _brandes_sql(_APSP, "a", "u", "v") + " SELECT ue.u, ue.v, ROUND(SUM(x.g * y.g / z.g) / 2, 6) AS betweenness FROM ue JOIN g x ON x.v IN (ue.u, ue.v) JOIN g y ON y.s = CASE WHEN x.v = ue.u THEN ue.v ELSE ue.u END JOIN g z ON z.s = x.s AND z.v = y.v AND z.d = x.d + 1 + y.d GROUP BY 1, 2")(lambda c: C.edge_betweenness(c.nodes, c.pairs))
-query("girvan_newman_first_split", "g1")(lambda c: C.girvan_newman_split(c.nodes, c.pairs))
+query("betweenness", "s", _brandes_sql(_APSP, "a", "u", "v") + _B)(lambda c: C.betweenness(c.nodes, c.pairs))
+query("betweenness_directed", "s", _brandes_sql(_DAPSP, "e", "s", "t") + _B)(lambda c: C.betweenness(c.nodes, G.directed(c.edges), True))
+query("edge_betweenness", "s", _brandes_sql(_APSP, "a", "u", "v") + " SELECT ue.u, ue.v, ROUND(SUM(x.g * y.g / z.g) / 2, 6) AS betweenness FROM ue JOIN g x ON x.v IN (ue.u, ue.v) JOIN g y ON y.s = CASE WHEN x.v = ue.u THEN ue.v ELSE ue.u END JOIN g z ON z.s = x.s AND z.v = y.v AND z.d = x.d + 1 + y.d GROUP BY 1, 2")(lambda c: C.edge_betweenness(c.nodes, c.pairs))
+query("girvan_newman_first_split", "s")(lambda c: C.girvan_newman_split(c.nodes, c.pairs))
 
 
 def _pagerank_sql(keep: bool, rounds: int = 30) -> str:
@@ -101,22 +101,22 @@ def _pagerank_sql(keep: bool, rounds: int = 30) -> str:
     return "".join(out)
 
 
-query("pagerank", "g1", _pagerank_sql(True) + " SELECT id, ROUND(p, 6) AS pr FROM p30")(lambda c: C.pagerank(c.nodes, c.edges))
-query("pagerank_leak", "g1", _pagerank_sql(False) + " SELECT ROUND(SUM(p), 6) AS mass FROM p30")(lambda c: C.pagerank(c.nodes, c.edges, keep_mass=False).agg(F.sum("pr").alias("mass")))
-query("pagerank_contributors", "g1", _pagerank_sql(True) + " SELECT id, source, share, place FROM (SELECT e.t AS id, e.s AS source, ROUND(0.85 * p / k, 6) AS share, CAST(ROW_NUMBER() OVER (PARTITION BY e.t ORDER BY ROUND(0.85 * p / k, 9) DESC, e.s) AS INTEGER) AS place FROM e JOIN p30 ON p30.id = e.s JOIN od ON od.s = e.s) WHERE place <= 3")(lambda c: C.pagerank_contributors(C.pagerank(c.nodes, c.edges), c.edges))
-query("dangling_nodes", "g1", "SELECT id FROM dio WHERE o = 0")(lambda c: G.degrees(c.nodes, c.edges).where("out_degree = 0").select("id"))
-query("avg_neighbor_degree", "g4", "SELECT deg.id, deg.k, ROUND(AVG(y.k), 6) AS knn FROM deg LEFT JOIN a ON a.u = deg.id LEFT JOIN deg y ON y.id = a.v GROUP BY 1, 2")(lambda c: C.neighbor_degree(c.nodes, c.pairs))
-query("knn_curve", "g4", "SELECT k, ROUND(AVG(m), 6) AS knn, COUNT(*) AS n FROM (SELECT x.id, x.k, AVG(y.k) AS m FROM deg x JOIN a ON a.u = x.id JOIN deg y ON y.id = a.v GROUP BY 1, 2) GROUP BY 1")(lambda c: C.neighbor_degree(c.nodes, c.pairs).where("k > 0").groupBy("k").agg(F.avg("knn").alias("knn"), F.count("*").alias("n")))
-query("degree_assortativity", "g4", "SELECT ROUND(corr(x.k, y.k), 6) AS r FROM a JOIN deg x ON x.id = a.u JOIN deg y ON y.id = a.v")(lambda c: C.edge_degrees(c.nodes, c.pairs).agg(F.corr("ku", "kv").alias("r")))
-query("directed_assortativity", "g4", "SELECT ROUND(corr(x.o, y.i), 6) AS out_in, ROUND(corr(x.i, y.o), 6) AS in_out FROM e JOIN dio x ON x.id = e.s JOIN dio y ON y.id = e.t")(lambda c: (lambda d: G.directed(c.edges).join(d.toDF("source", "si", "so"), "source").join(d.toDF("target", "ti", "to"), "target").agg(F.corr("so", "ti").alias("out_in"), F.corr("si", "to").alias("in_out")))(G.degrees(c.nodes, c.edges).select("id", "in_degree", "out_degree")))
+query("pagerank", "s", _pagerank_sql(True) + " SELECT id, ROUND(p, 6) AS pr FROM p30")(lambda c: C.pagerank(c.nodes, c.edges))
+query("pagerank_leak", "s", _pagerank_sql(False) + " SELECT ROUND(SUM(p), 6) AS mass FROM p30")(lambda c: C.pagerank(c.nodes, c.edges, keep_mass=False).agg(F.sum("pr").alias("mass")))
+query("pagerank_contributors", "s", _pagerank_sql(True) + " SELECT id, source, share, place FROM (SELECT e.t AS id, e.s AS source, ROUND(0.85 * p / k, 6) AS share, CAST(ROW_NUMBER() OVER (PARTITION BY e.t ORDER BY ROUND(0.85 * p / k, 9) DESC, e.s) AS INTEGER) AS place FROM e JOIN p30 ON p30.id = e.s JOIN od ON od.s = e.s) WHERE place <= 3")(lambda c: C.pagerank_contributors(C.pagerank(c.nodes, c.edges), c.edges))
+query("dangling_nodes", "s", "SELECT id FROM dio WHERE o = 0")(lambda c: G.degrees(c.nodes, c.edges).where("out_degree = 0").select("id"))
+query("avg_neighbor_degree", "p", "SELECT deg.id, deg.k, ROUND(AVG(y.k), 6) AS knn FROM deg LEFT JOIN a ON a.u = deg.id LEFT JOIN deg y ON y.id = a.v GROUP BY 1, 2")(lambda c: C.neighbor_degree(c.nodes, c.pairs))
+query("knn_curve", "p", "SELECT k, ROUND(AVG(m), 6) AS knn, COUNT(*) AS n FROM (SELECT x.id, x.k, AVG(y.k) AS m FROM deg x JOIN a ON a.u = x.id JOIN deg y ON y.id = a.v GROUP BY 1, 2) GROUP BY 1")(lambda c: C.neighbor_degree(c.nodes, c.pairs).where("k > 0").groupBy("k").agg(F.avg("knn").alias("knn"), F.count("*").alias("n")))
+query("degree_assortativity", "p", "SELECT ROUND(corr(x.k, y.k), 6) AS r FROM a JOIN deg x ON x.id = a.u JOIN deg y ON y.id = a.v")(lambda c: C.edge_degrees(c.nodes, c.pairs).agg(F.corr("ku", "kv").alias("r")))
+query("directed_assortativity", "p", "SELECT ROUND(corr(x.o, y.i), 6) AS out_in, ROUND(corr(x.i, y.o), 6) AS in_out FROM e JOIN dio x ON x.id = e.s JOIN dio y ON y.id = e.t")(lambda c: (lambda d: G.directed(c.edges).join(d.toDF("source", "si", "so"), "source").join(d.toDF("target", "ti", "to"), "target").agg(F.corr("so", "ti").alias("out_in"), F.corr("si", "to").alias("in_out")))(G.degrees(c.nodes, c.edges).select("id", "in_degree", "out_degree")))
 _MIX = ", mm AS (SELECT x.type AS x, y.type AS y, COUNT(*) AS c FROM a JOIN nodes x ON x.id = a.u JOIN nodes y ON y.id = a.v GROUP BY 1, 2), tt AS (SELECT SUM(c) AS m FROM mm)"
-query("attribute_assortativity", "g4", _MIX + ", ab AS (SELECT SUM(p.c * q.c) AS s FROM (SELECT x, SUM(c)::DOUBLE AS c FROM mm GROUP BY 1) p JOIN (SELECT y AS x, SUM(c)::DOUBLE AS c FROM mm GROUP BY 1) q USING (x)) SELECT ROUND(((SELECT COALESCE(SUM(c), 0) FROM mm WHERE x = y) / m - s / m / m) / (1 - s / m / m), 6) AS r FROM tt, ab")(lambda c: C.attribute_assortativity(c.pairs, c.nodes.select("id", "type")))
+query("attribute_assortativity", "p", _MIX + ", ab AS (SELECT SUM(p.c * q.c) AS s FROM (SELECT x, SUM(c)::DOUBLE AS c FROM mm GROUP BY 1) p JOIN (SELECT y AS x, SUM(c)::DOUBLE AS c FROM mm GROUP BY 1) q USING (x)) SELECT ROUND(((SELECT COALESCE(SUM(c), 0) FROM mm WHERE x = y) / m - s / m / m) / (1 - s / m / m), 6) AS r FROM tt, ab")(lambda c: C.attribute_assortativity(c.pairs, c.nodes.select("id", "type")))
 _CL = ", k3 AS (SELECT x.u AS n1, x.v AS n2, y.v AS n3 FROM ue x JOIN ue y ON y.u = x.u AND y.v > x.v JOIN ue z ON z.u = x.v AND z.v = y.v)"
 _CL4 = _CL + ", k4 AS (SELECT k3.*, w1.v AS n4 FROM k3 JOIN ue w1 ON w1.u = n1 AND w1.v > n3 JOIN ue w2 ON w2.u = n2 AND w2.v = w1.v JOIN ue w3 ON w3.u = n3 AND w3.v = w1.v)"
 _CL5 = _CL4 + ", k5 AS (SELECT k4.*, w1.v AS n5 FROM k4 JOIN ue w1 ON w1.u = n1 AND w1.v > n4 JOIN ue w2 ON w2.u = n2 AND w2.v = w1.v JOIN ue w3 ON w3.u = n3 AND w3.v = w1.v JOIN ue w4 ON w4.u = n4 AND w4.v = w1.v)"
-query("maximal_cliques", "g1", _CL4 + ", al AS (SELECT [id] AS m FROM nodes UNION ALL SELECT [u, v] FROM ue UNION ALL SELECT [n1, n2, n3] FROM k3 UNION ALL SELECT [n1, n2, n3, n4] FROM k4) SELECT array_to_string(m, ',') AS members, CAST(len(m) AS INTEGER) AS size FROM al WHERE NOT EXISTS (SELECT 1 FROM al z WHERE len(z.m) = len(al.m) + 1 AND list_has_all(z.m, al.m))")(lambda c: C.maximal_cliques(c.nodes, c.pairs))
-query("clique_size_counts", "g4", _CL5 + " SELECT 1 AS size, COUNT(*) AS n FROM nodes UNION ALL SELECT 2, COUNT(*) FROM ue UNION ALL SELECT 3, COUNT(*) FROM k3 UNION ALL SELECT 4, COUNT(*) FROM k4 UNION ALL SELECT 5, COUNT(*) FROM k5")(lambda c: C.clique_counts(c.nodes, c.pairs))
-query("triangle_count", "g4", _CL + " SELECT COUNT(*) AS triangles FROM k3")(lambda c: C.cliques_of_size(c.pairs, 3).agg(F.count("*").alias("triangles")))
+query("maximal_cliques", "s", _CL4 + ", al AS (SELECT [id] AS m FROM nodes UNION ALL SELECT [u, v] FROM ue UNION ALL SELECT [n1, n2, n3] FROM k3 UNION ALL SELECT [n1, n2, n3, n4] FROM k4) SELECT array_to_string(m, ',') AS members, CAST(len(m) AS INTEGER) AS size FROM al WHERE NOT EXISTS (SELECT 1 FROM al z WHERE len(z.m) = len(al.m) + 1 AND list_has_all(z.m, al.m))")(lambda c: C.maximal_cliques(c.nodes, c.pairs))
+query("clique_size_counts", "s", _CL5 + " SELECT 1 AS size, COUNT(*) AS n FROM nodes UNION ALL SELECT 2, COUNT(*) FROM ue UNION ALL SELECT 3, COUNT(*) FROM k3 UNION ALL SELECT 4, COUNT(*) FROM k4 UNION ALL SELECT 5, COUNT(*) FROM k5")(lambda c: C.clique_counts(c.nodes, c.pairs))
+query("triangle_count", "p", _CL + " SELECT COUNT(*) AS triangles FROM k3")(lambda c: C.cliques_of_size(c.pairs, 3).agg(F.count("*").alias("triangles")))
 
 
 def _orders(c):
@@ -124,26 +124,30 @@ def _orders(c):
     return {"degree": deg, "reverse": list(reversed(deg))}
 
 
-query("removal_curve", "g1")(lambda c: C.removal_curves(c.nodes, c.pairs, _orders(c)))
-query("removal_auc", "g1")(lambda c: S.curve_area(C.removal_curves(c.nodes, c.pairs, _orders(c)), "step", "fraction", "name"))
-query("removal_curve_dynamic", "g1")(lambda c: C.removal_dynamic(c.nodes, c.pairs))
-query("removal_curve_random", "g1")(lambda c: C.removal_random(c.nodes, c.pairs, 50))
-query("centrality_zscores", "g1")(lambda c: N.zscores(C.betweenness(c.nodes, c.pairs), N.centrality_null(c.nodes, c.pairs, 40), "betweenness"))
+query("removal_curve", "s")(lambda c: C.removal_curves(c.nodes, c.pairs, _orders(c)))
+query("removal_auc", "s")(lambda c: S.curve_area(C.removal_curves(c.nodes, c.pairs, _orders(c)), "step", "fraction", "name"))
+query("removal_curve_dynamic", "s")(lambda c: C.removal_dynamic(c.nodes, c.pairs))
+query("removal_curve_random", "s")(lambda c: C.removal_random(c.nodes, c.pairs, 50))
+query("centrality_zscores", "s")(lambda c: N.zscores(C.betweenness(c.nodes, c.pairs), N.centrality_null(c.nodes, c.pairs, 40), "betweenness"))
 
-query("barabasi_albert", "g1")(lambda c: N.barabasi_albert(c.spark, 5000, 42))
-query("uniform_attachment", "g1")(lambda c: N.uniform_attachment(c.spark, 5000, 42))
-query("gnm_random", "g1")(lambda c: N.gnm_random(c.spark, 300, 1000, 42))
-query("configuration_model", "g4")(lambda c: N.configuration_model(c.nodes, c.pairs, 42))
+query("barabasi_albert", "s")(lambda c: N.barabasi_albert(c.spark, 5000, 42))
+query("uniform_attachment", "s")(lambda c: N.uniform_attachment(c.spark, 5000, 42))
+query("gnm_random", "s")(lambda c: N.gnm_random(c.spark, 300, 1000, 42))
+query("configuration_model", "p")(lambda c: N.configuration_model(c.nodes, c.pairs, 42))
 _SWAPPED = "SELECT replica, id, k FROM deg, (SELECT CAST(r AS INTEGER) AS replica FROM range(5) z(r)) WHERE k > 0"
-query("double_edge_swap", "g1", _SWAPPED)(lambda c: G.both_ways(N.swapped(c.nodes, c.pairs, 5).select("u", "v", "replica")).groupBy("replica", F.col("u").alias("id")).agg(F.count("*").alias("k")))
-query("random_regular", "g1", "SELECT CAST(0 AS INTEGER) AS replica, CAST(8 AS BIGINT) AS k, CAST(100 AS BIGINT) AS n UNION ALL SELECT 1, 8, 100")(lambda c: G.both_ways(N.random_regular(c.spark, 100, 8, 2).select("u", "v", "replica")).groupBy("replica", "u").agg(F.count("*").alias("k")).groupBy("replica", "k").agg(F.count("*").alias("n")))
-query("label_shuffle_null", "g1", "SELECT replica, label, COUNT(*) AS n FROM lab, (SELECT CAST(r AS INTEGER) AS replica FROM range(20) z(r)) GROUP BY 1, 2")(lambda c: N.shuffled_labels(c.labels, 20, 42).groupBy("replica", "label").agg(F.count("*").alias("n")))
-query("weight_permutation_null", "g1")(lambda c: N.weight_null(c.nodes, c.weighted, 20))
-query("weight_shuffle", "g1", "SELECT replica, w AS weight, COUNT(*) AS n FROM uw, (SELECT CAST(r AS INTEGER) AS replica FROM range(5) z(r)) GROUP BY 1, 2")(lambda c: N.shuffled_weights(c.weighted, 5, 42).groupBy("replica", "weight").agg(F.count("*").alias("n")))
-query("friend_pairs_expected", "g4", "SELECT ROUND(AVG(ku), 6) AS person, ROUND(AVG(f), 6) AS friend, ROUND(AVG(m), 6) AS share FROM (SELECT a.u, x.k AS ku, AVG(y.k) AS f, AVG(CAST(y.k >= x.k AS INTEGER)) AS m FROM a JOIN deg x ON x.id = a.u JOIN deg y ON y.id = a.v GROUP BY 1, 2)")(lambda c: N.friend_pairs_expected(c.nodes, c.pairs))
-query("friend_pairs_sample", "g4")(lambda c: N.friend_pairs_sample(c.nodes, c.pairs, 1000, 48))
-query("friendship_paradox_summary", "g4", "SELECT COUNT(*) AS n, CAST(SUM(k) / 2 AS BIGINT) AS m, ROUND(AVG(k), 6) AS mean, ROUND(var_pop(k), 6) AS variance, ROUND(AVG(k) + var_pop(k) / AVG(k), 6) AS biased FROM deg")(lambda c: c.degree.agg(F.count("*").alias("n"), F.expr("cast(sum(k) / 2 as bigint)").alias("m"), F.avg("k").alias("mean"), F.var_pop("k").alias("variance"), (F.avg("k") + F.var_pop("k") / F.avg("k")).alias("biased")))
-query("out_popularity_rate", "g4", "SELECT x.id, x.k, ROUND(AVG(CAST(y.k >= x.k AS INTEGER)), 6) AS rate FROM deg x JOIN a ON a.u = x.id JOIN deg y ON y.id = a.v GROUP BY 1, 2")(lambda c: N.out_popularity(c.nodes, c.pairs))
+query("double_edge_swap", "s", _SWAPPED)(lambda c: G.both_ways(N.swapped(c.nodes, c.pairs, 5).select("u", "v", "replica")).groupBy("replica", F.col("u").alias("id")).agg(F.count("*").alias("k")))
+query("double_edge_swap_changed", "s")(lambda c: (lambda s: s.groupBy("replica").agg((1 - F.avg(F.coalesce("kept", F.lit(0)))).alias("changed")))(N.swapped(c.nodes, c.pairs, 5).join(c.pairs.withColumn("kept", F.lit(1)), ["u", "v"], "left")))
+query("random_regular", "s", "SELECT CAST(0 AS INTEGER) AS replica, CAST(8 AS BIGINT) AS k, CAST(100 AS BIGINT) AS n UNION ALL SELECT 1, 8, 100")(lambda c: G.both_ways(N.random_regular(c.spark, 100, 8, 2).select("u", "v", "replica")).groupBy("replica", "u").agg(F.count("*").alias("k")).groupBy("replica", "k").agg(F.count("*").alias("n")))
+query("random_regular_links", "s")(lambda c: N.random_regular(c.spark, 100, 8, 2))
+query("label_shuffle_null", "s", "SELECT replica, label, COUNT(*) AS n FROM lab, (SELECT CAST(r AS INTEGER) AS replica FROM range(20) z(r)) GROUP BY 1, 2")(lambda c: N.shuffled_labels(c.labels, 20, 42).groupBy("replica", "label").agg(F.count("*").alias("n")))
+query("label_shuffle_changed", "s")(lambda c: N.shuffled_labels(c.labels, 20, 42).join(c.labels.withColumnRenamed("label", "own"), "id").groupBy("replica").agg(F.avg((F.col("label") != F.col("own")).cast("double")).alias("changed")))
+query("weight_permutation_null", "s")(lambda c: N.weight_null(c.nodes, c.weighted, 20))
+query("weight_shuffle", "s", "SELECT replica, w AS weight, COUNT(*) AS n FROM uw, (SELECT CAST(r AS INTEGER) AS replica FROM range(5) z(r)) GROUP BY 1, 2")(lambda c: N.shuffled_weights(c.weighted, 5, 42).groupBy("replica", "weight").agg(F.count("*").alias("n")))
+query("weight_shuffle_changed", "s")(lambda c: N.shuffled_weights(c.weighted, 5, 42).join(c.weighted.withColumnRenamed("weight", "own"), ["u", "v"]).groupBy("replica").agg(F.avg((F.col("weight") != F.col("own")).cast("double")).alias("changed")))
+query("friend_pairs_expected", "p", "SELECT ROUND(AVG(ku), 6) AS person, ROUND(AVG(f), 6) AS friend, ROUND(AVG(m), 6) AS share FROM (SELECT a.u, x.k AS ku, AVG(y.k) AS f, AVG(CAST(y.k >= x.k AS INTEGER)) AS m FROM a JOIN deg x ON x.id = a.u JOIN deg y ON y.id = a.v GROUP BY 1, 2)")(lambda c: N.friend_pairs_expected(c.nodes, c.pairs))
+query("friend_pairs_sample", "p")(lambda c: N.friend_pairs_sample(c.nodes, c.pairs, 1000, 48))
+query("friendship_paradox_summary", "p", "SELECT COUNT(*) AS n, CAST(SUM(k) / 2 AS BIGINT) AS m, ROUND(AVG(k), 6) AS mean, ROUND(var_pop(k), 6) AS variance, ROUND(AVG(k) + var_pop(k) / AVG(k), 6) AS biased FROM deg")(lambda c: c.degree.agg(F.count("*").alias("n"), F.expr("cast(sum(k) / 2 as bigint)").alias("m"), F.avg("k").alias("mean"), F.var_pop("k").alias("variance"), (F.avg("k") + F.var_pop("k") / F.avg("k")).alias("biased")))
+query("out_popularity_rate", "p", "SELECT x.id, x.k, ROUND(AVG(CAST(y.k >= x.k AS INTEGER)), 6) AS rate FROM deg x JOIN a ON a.u = x.id JOIN deg y ON y.id = a.v GROUP BY 1, 2")(lambda c: N.out_popularity(c.nodes, c.pairs))
 _NV = ", nv AS (SELECT run, AVG(label) AS value FROM rr GROUP BY 1)"
 
 
@@ -151,42 +155,42 @@ def _null_values(c):
     return c.runs.groupBy("run").agg(F.avg("label").alias("value"))
 
 
-query("z_and_p_one_sided", "g1", _NV + ", ms AS (SELECT AVG(value) AS m, stddev_pop(value) AS s, COUNT(*) AS n FROM nv) SELECT ROUND(m, 6) AS mean, ROUND(s, 6) AS sd, ROUND(CASE WHEN s > 0 THEN (1.9 - m) / s ELSE 'inf'::DOUBLE END, 6) AS z, ROUND(((SELECT COUNT(*) FROM nv WHERE CASE WHEN 1.9 >= m THEN value >= 1.9 ELSE value <= 1.9 END) + 1) / (n + 1), 6) AS p FROM ms")(lambda c: S.p_one_sided(_null_values(c), 1.9))
-query("null_stats_two_sided", "g1", _NV + ", ms AS (SELECT AVG(value) AS m, stddev_pop(value) AS s, COUNT(*) AS n FROM nv) SELECT ROUND(m, 6) AS mean, ROUND(s, 6) AS sd, ROUND(CASE WHEN s > 0 THEN (1.9 - m) / s ELSE 'inf'::DOUBLE END, 6) AS z, ROUND((SELECT COUNT(*) FROM nv WHERE abs(value - m) >= abs(1.9 - m)) / n, 6) AS p FROM ms")(lambda c: S.p_two_sided_share(_null_values(c), 1.9))
-query("two_sided_p", "g1", _NV + ", ms AS (SELECT AVG(value) AS m, COUNT(*) AS n FROM nv) SELECT ROUND(((SELECT COUNT(*) FROM nv WHERE abs(value - m) >= abs(1.9 - m)) + 1) / (n + 1), 6) AS p FROM ms")(lambda c: S.p_two_sided(_null_values(c), 1.9))
-query("null_band", "g1", "SELECT id AS key, ROUND(AVG(label), 6) AS mean, CAST(MIN(label) AS DOUBLE) AS low, CAST(MAX(label) AS DOUBLE) AS high, ROUND(quantile_cont(label, 0.025), 6) AS p2, ROUND(quantile_cont(label, 0.975), 6) AS p97, ROUND(stddev_pop(label), 6) AS sd FROM rr GROUP BY 1")(lambda c: S.null_band(c.runs.select(F.col("run").alias("replica"), F.col("id").alias("key"), F.col("label").cast("double").alias("value"))))
-query("leave_one_out_mean", "g1", "SELECT run AS replica, id AS key, ROUND((SUM(label) OVER (PARTITION BY id) - label) / (COUNT(*) OVER (PARTITION BY id) - 1), 6) AS others FROM rr")(lambda c: S.leave_one_out(c.runs.select(F.col("run").alias("replica"), F.col("id").alias("key"), F.col("label").alias("value"))))
-query("modularity_null_ensemble", "g1")(lambda c: N.modularity_null(c.nodes, c.pairs, 20))
+query("z_and_p_one_sided", "s", _NV + ", ms AS (SELECT AVG(value) AS m, stddev_pop(value) AS s, COUNT(*) AS n FROM nv) SELECT ROUND(m, 6) AS mean, ROUND(s, 6) AS sd, ROUND(CASE WHEN s > 0 THEN (1.9 - m) / s ELSE 'inf'::DOUBLE END, 6) AS z, ROUND(((SELECT COUNT(*) FROM nv WHERE CASE WHEN 1.9 >= m THEN value >= 1.9 ELSE value <= 1.9 END) + 1) / (n + 1), 6) AS p FROM ms")(lambda c: S.p_one_sided(_null_values(c), 1.9))
+query("null_stats_two_sided", "s", _NV + ", ms AS (SELECT AVG(value) AS m, stddev_pop(value) AS s, COUNT(*) AS n FROM nv) SELECT ROUND(m, 6) AS mean, ROUND(s, 6) AS sd, ROUND(CASE WHEN s > 0 THEN (1.9 - m) / s ELSE 'inf'::DOUBLE END, 6) AS z, ROUND((SELECT COUNT(*) FROM nv WHERE abs(value - m) >= abs(1.9 - m)) / n, 6) AS p FROM ms")(lambda c: S.p_two_sided_share(_null_values(c), 1.9))
+query("two_sided_p", "s", _NV + ", ms AS (SELECT AVG(value) AS m, COUNT(*) AS n FROM nv) SELECT ROUND(((SELECT COUNT(*) FROM nv WHERE abs(value - m) >= abs(1.9 - m)) + 1) / (n + 1), 6) AS p FROM ms")(lambda c: S.p_two_sided(_null_values(c), 1.9))
+query("null_band", "s", "SELECT id AS key, ROUND(AVG(label), 6) AS mean, CAST(MIN(label) AS DOUBLE) AS low, CAST(MAX(label) AS DOUBLE) AS high, ROUND(quantile_cont(label, 0.025), 6) AS p2, ROUND(quantile_cont(label, 0.975), 6) AS p97, ROUND(stddev_pop(label), 6) AS sd FROM rr GROUP BY 1")(lambda c: S.null_band(c.runs.select(F.col("run").alias("replica"), F.col("id").alias("key"), F.col("label").cast("double").alias("value"))))
+query("leave_one_out_mean", "s", "SELECT run AS replica, id AS key, ROUND((SUM(label) OVER (PARTITION BY id) - label) / (COUNT(*) OVER (PARTITION BY id) - 1), 6) AS others FROM rr")(lambda c: S.leave_one_out(c.runs.select(F.col("run").alias("replica"), F.col("id").alias("key"), F.col("label").alias("value"))))
+query("modularity_null_ensemble", "s")(lambda c: N.modularity_null(c.nodes, c.pairs, 20))
 
-query("louvain", "g1")(lambda c: M.louvain_runs(c.nodes, c.pairs, 10))
-query("louvain_weighted", "g1")(lambda c: M.louvain_runs(c.nodes, c.weighted, 10, weight="weight"))
-query("louvain_phase1", "g1")(lambda c: M.louvain_runs(c.nodes, c.pairs, 1, levels=1))
-query("louvain_resolution", "g1")(lambda c: M.louvain_runs(c.nodes, c.pairs, 10, gamma=2.0).groupBy("run").agg(F.countDistinct("label").alias("communities")))
-query("greedy_modularity", "g1")(lambda c: M.greedy_communities(c.nodes, c.pairs))
+query("louvain", "s")(lambda c: M.louvain_runs(c.nodes, c.pairs, 10))
+query("louvain_weighted", "s")(lambda c: M.louvain_runs(c.nodes, c.weighted, 10, weight="weight"))
+query("louvain_phase1", "s")(lambda c: M.louvain_runs(c.nodes, c.pairs, 1, levels=1))
+query("louvain_resolution", "s")(lambda c: M.louvain_runs(c.nodes, c.pairs, 10, gamma=2.0).groupBy("run").agg(F.countDistinct("label").alias("communities")))
+query("greedy_modularity", "s")(lambda c: M.greedy_communities(c.nodes, c.pairs))
 _Q = ", ee AS (SELECT u, v, {w} AS w, x.label AS x, y.label AS y FROM uw JOIN lab x ON x.id = u JOIN lab y ON y.id = v), mm AS (SELECT SUM(w) AS m FROM ee), cc AS (SELECT c, SUM(w) AS d, SUM(l) AS l FROM (SELECT x AS c, w, CASE WHEN x = y THEN w ELSE 0 END AS l FROM ee UNION ALL SELECT y, w, 0 FROM ee) GROUP BY 1) SELECT ROUND(SUM(l / m - pow(d / (2 * m), 2)), 6) AS q FROM cc, mm"
-query("modularity", "g4", _Q.format(w="1"))(lambda c: M.modularity(c.pairs, c.labels))
-query("modularity_weighted", "g4", _Q.format(w="w"))(lambda c: M.modularity(c.weighted, c.labels, weight="weight"))
-query("partition_relabel", "g4", "SELECT id, CAST(nl AS INTEGER) AS label FROM lab JOIN (SELECT label, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, MIN(id)) - 1 AS nl FROM lab GROUP BY 1) USING (label)")(lambda c: M.relabel(c.labels))
-query("align_labels", "g1")(lambda c: M.align(c.runs.where("run = 0").select("id", "label"), c.runs.where("run = 3").select("id", "label")))
+query("modularity", "p", _Q.format(w="1"))(lambda c: M.modularity(c.pairs, c.labels))
+query("modularity_weighted", "p", _Q.format(w="w"))(lambda c: M.modularity(c.weighted, c.labels, weight="weight"))
+query("partition_relabel", "p", "SELECT id, CAST(nl AS INTEGER) AS label FROM lab JOIN (SELECT label, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, MIN(id)) - 1 AS nl FROM lab GROUP BY 1) USING (label)")(lambda c: M.relabel(c.labels))
+query("align_labels", "s")(lambda c: M.align(c.runs.where("run = 0").select("id", "label"), c.runs.where("run = 3").select("id", "label")))
 _NMI = "SELECT {k} ROUND(CASE WHEN h > 1e-12 THEN 2 * i / h ELSE 1 END, 6) AS nmi FROM (SELECT {k} SUM(n / t * ln(n * t / (na * nb))) AS i, SUM(-n / t * ln(na / t)) + SUM(-n / t * ln(nb / t)) AS h FROM (SELECT {k} n, SUM(n) OVER ({p}) AS t, SUM(n) OVER (PARTITION BY {k} x) AS na, SUM(n) OVER (PARTITION BY {k} y) AS nb FROM ct) {g})"
-query("nmi", "g4", ", ct AS (SELECT label AS x, type AS y, COUNT(*) AS n FROM lab JOIN nodes USING (id) GROUP BY 1, 2) " + _NMI.format(k="", p="", g=""))(lambda c: M.nmi(c.labels, c.nodes.select("id", "type")))
-query("nmi_matrix", "g1", ", ct AS (SELECT a1.run AS i, b1.run AS j, a1.label AS x, b1.label AS y, COUNT(*) AS n FROM rr a1 JOIN rr b1 ON a1.id = b1.id AND a1.run < b1.run GROUP BY 1, 2, 3, 4) SELECT i, j, ROUND(CASE WHEN h > 1e-12 THEN 2 * mi / h ELSE 1 END, 6) AS nmi FROM (SELECT i, j, SUM(n / t * ln(n * t / (na * nb))) AS mi, SUM(-n / t * ln(na / t)) + SUM(-n / t * ln(nb / t)) AS h FROM (SELECT i, j, n, SUM(n) OVER (PARTITION BY i, j) AS t, SUM(n) OVER (PARTITION BY i, j, x) AS na, SUM(n) OVER (PARTITION BY i, j, y) AS nb FROM ct) GROUP BY 1, 2)")(lambda c: M.nmi_matrix(c.runs))
-query("metadata_nmi", "g1", ", ct AS (SELECT run, label AS x, type AS y, COUNT(*) AS n FROM rr JOIN nodes USING (id) GROUP BY 1, 2, 3) " + _NMI.format(k="run,", p="PARTITION BY run", g="GROUP BY run"))(lambda c: M.nmi_by_run(c.runs, c.nodes.select("id", "type")))
-query("ami", "g4")(lambda c: M.ami(c.labels, c.nodes.select("id", "type")))
-query("coassignment", "g1", "SELECT x.id AS i, y.id AS j, ROUND(COUNT(*) / 10, 6) AS share FROM rr x JOIN rr y ON x.run = y.run AND x.label = y.label AND x.id < y.id GROUP BY 1, 2")(lambda c: M.coassignment(c.runs))
-query("consensus_partition", "g1")(lambda c: M.consensus(c.nodes, M.louvain_runs(c.nodes, c.pairs, 10), 10))
-query("node_stability", "g1", ", pr AS (SELECT id, label AS c, COUNT(*) OVER (PARTITION BY label) AS n FROM rr WHERE run = 0) SELECT p.id, ROUND(CASE WHEN n > 1 THEN COALESCE((SELECT SUM(s) FROM (SELECT COUNT(*) / 10 AS s FROM rr x JOIN rr y ON x.run = y.run AND x.label = y.label JOIN pr q ON q.id = y.id WHERE x.id = p.id AND y.id <> p.id AND q.c = p.c GROUP BY y.id)), 0) / (n - 1) END, 6) AS stability FROM pr p")(lambda c: M.stability(c.runs, c.runs.where("run = 0").select("id", "label")))
-query("distinct_communities", "g1", "SELECT id, COUNT(DISTINCT label) AS communities FROM rr GROUP BY 1")(lambda c: c.runs.groupBy("id").agg(F.countDistinct("label").alias("communities")))
-query("border_dwellers", "g1", "SELECT id, k, COUNT(DISTINCT label) AS communities FROM rr JOIN deg USING (id) WHERE k >= 5 GROUP BY 1, 2 ORDER BY 3 DESC, 2 DESC, 1 LIMIT 12")(lambda c: c.runs.join(c.degree, "id").where("k >= 5").groupBy("id", "k").agg(F.countDistinct("label").alias("communities")).orderBy(F.desc("communities"), F.desc("k"), "id").limit(12))
-query("community_table", "g4", ", pl AS (SELECT label, id, ROW_NUMBER() OVER (PARTITION BY label ORDER BY k DESC, id) AS r FROM lab JOIN deg USING (id)) SELECT label, COUNT(*) AS size, MIN(CASE WHEN r = 1 THEN id END) AS hub, string_agg(CASE WHEN r <= 6 THEN CAST(id AS VARCHAR) END, ',' ORDER BY r) AS members FROM pl GROUP BY 1")(lambda c: M.community_table(c.nodes, c.pairs, c.labels))
-query("infomap", "g1")(lambda c: M.infomap_runs(c.nodes, c.pairs, 3))
-query("infomap_directed", "g1")(lambda c: M.infomap_runs(c.nodes, G.directed(c.edges), 3, is_directed=True))
-query("infomap_null", "g1")(lambda c: M.infomap_runs(c.nodes, c.pairs, 20, null_seed=42).groupBy("run", "codelength", "one_level").agg(F.countDistinct("label").alias("modules")))
-query("infomap_seed_agreement", "g1")(lambda c: M.nmi_matrix(M.infomap_runs(c.nodes, c.pairs, 5).select("run", "id", "label")))
-query("dominant_label", "g4", "SELECT label, type AS dominant, n FROM (SELECT label, type, COUNT(*) AS n, ROW_NUMBER() OVER (PARTITION BY label ORDER BY COUNT(*) DESC, type) AS r FROM lab JOIN nodes USING (id) GROUP BY 1, 2) WHERE r = 1")(lambda c: M.majority(c.labels, c.nodes.select("id", "type")))
-query("disputed_nodes", "g4", ", dm AS (SELECT label, type FROM (SELECT label, type, ROW_NUMBER() OVER (PARTITION BY label ORDER BY COUNT(*) DESC, type) AS r FROM lab JOIN nodes USING (id) GROUP BY 1, 2) WHERE r = 1) SELECT nodes.id, lab.label FROM nodes JOIN lab USING (id) JOIN dm USING (label) WHERE nodes.type <> dm.type")(lambda c: c.labels.join(M.majority(c.labels, c.nodes.select("id", "type")), "label").join(c.nodes.select("id", "type"), "id").where("type <> dominant").select("id", "label"))
-query("module_internal_links", "g4", ", il AS (SELECT x.label, COUNT(*) AS n FROM ue JOIN lab x ON x.id = u JOIN lab y ON y.id = v WHERE x.label = y.label GROUP BY 1) SELECT label, COALESCE(n, 0) AS links, COALESCE(n, 0) < sqrt(2 * (SELECT COUNT(*) FROM ue)) AS below FROM (SELECT DISTINCT label FROM lab) LEFT JOIN il USING (label)")(lambda c: M.internal_links(c.pairs, c.labels))
-query("community_splits", "g4", ", ct AS (SELECT x.label AS l, y.label AS r, COUNT(*) AS n FROM lab x JOIN rr y ON y.id = x.id AND y.run = 0 GROUP BY 1, 2), cs AS (SELECT *, CAST(SUM(n) OVER (PARTITION BY l) AS BIGINT) AS size FROM ct) SELECT l AS label, size, COUNT(*) AS parts FROM cs WHERE size >= 20 AND n >= 5 AND n * 10 >= size GROUP BY 1, 2 HAVING COUNT(*) >= 2")(lambda c: M.splits(c.labels, c.runs.where("run = 0").select("id", "label")))
+query("nmi", "p", ", ct AS (SELECT label AS x, type AS y, COUNT(*) AS n FROM lab JOIN nodes USING (id) GROUP BY 1, 2) " + _NMI.format(k="", p="", g=""))(lambda c: M.nmi(c.labels, c.nodes.select("id", "type")))
+query("nmi_matrix", "s", ", ct AS (SELECT a1.run AS i, b1.run AS j, a1.label AS x, b1.label AS y, COUNT(*) AS n FROM rr a1 JOIN rr b1 ON a1.id = b1.id AND a1.run < b1.run GROUP BY 1, 2, 3, 4) SELECT i, j, ROUND(CASE WHEN h > 1e-12 THEN 2 * mi / h ELSE 1 END, 6) AS nmi FROM (SELECT i, j, SUM(n / t * ln(n * t / (na * nb))) AS mi, SUM(-n / t * ln(na / t)) + SUM(-n / t * ln(nb / t)) AS h FROM (SELECT i, j, n, SUM(n) OVER (PARTITION BY i, j) AS t, SUM(n) OVER (PARTITION BY i, j, x) AS na, SUM(n) OVER (PARTITION BY i, j, y) AS nb FROM ct) GROUP BY 1, 2)")(lambda c: M.nmi_matrix(c.runs))
+query("metadata_nmi", "s", ", ct AS (SELECT run, label AS x, type AS y, COUNT(*) AS n FROM rr JOIN nodes USING (id) GROUP BY 1, 2, 3) " + _NMI.format(k="run,", p="PARTITION BY run", g="GROUP BY run"))(lambda c: M.nmi_by_run(c.runs, c.nodes.select("id", "type")))
+query("ami", "p")(lambda c: M.ami(c.labels, c.nodes.select("id", "type")))
+query("coassignment", "s", "SELECT x.id AS i, y.id AS j, ROUND(COUNT(*) / 10, 6) AS share FROM rr x JOIN rr y ON x.run = y.run AND x.label = y.label AND x.id < y.id GROUP BY 1, 2")(lambda c: M.coassignment(c.runs))
+query("consensus_partition", "s")(lambda c: M.consensus(c.nodes, M.louvain_runs(c.nodes, c.pairs, 10), 10))
+query("node_stability", "s", ", pr AS (SELECT id, label AS c, COUNT(*) OVER (PARTITION BY label) AS n FROM rr WHERE run = 0) SELECT p.id, ROUND(CASE WHEN n > 1 THEN COALESCE((SELECT SUM(s) FROM (SELECT COUNT(*) / 10 AS s FROM rr x JOIN rr y ON x.run = y.run AND x.label = y.label JOIN pr q ON q.id = y.id WHERE x.id = p.id AND y.id <> p.id AND q.c = p.c GROUP BY y.id)), 0) / (n - 1) END, 6) AS stability FROM pr p")(lambda c: M.stability(c.runs, c.runs.where("run = 0").select("id", "label")))
+query("distinct_communities", "s", "SELECT id, COUNT(DISTINCT label) AS communities FROM rr GROUP BY 1")(lambda c: c.runs.groupBy("id").agg(F.countDistinct("label").alias("communities")))
+query("border_dwellers", "s", "SELECT id, k, COUNT(DISTINCT label) AS communities FROM rr JOIN deg USING (id) WHERE k >= 5 GROUP BY 1, 2 ORDER BY 3 DESC, 2 DESC, 1 LIMIT 12")(lambda c: c.runs.join(c.degree, "id").where("k >= 5").groupBy("id", "k").agg(F.countDistinct("label").alias("communities")).orderBy(F.desc("communities"), F.desc("k"), "id").limit(12))
+query("community_table", "p", ", pl AS (SELECT label, id, ROW_NUMBER() OVER (PARTITION BY label ORDER BY k DESC, id) AS r FROM lab JOIN deg USING (id)) SELECT label, COUNT(*) AS size, MIN(CASE WHEN r = 1 THEN id END) AS hub, string_agg(CASE WHEN r <= 6 THEN CAST(id AS VARCHAR) END, ',' ORDER BY r) AS members FROM pl GROUP BY 1")(lambda c: M.community_table(c.nodes, c.pairs, c.labels))
+query("infomap", "s")(lambda c: M.infomap_runs(c.nodes, c.pairs, 3))
+query("infomap_directed", "s")(lambda c: M.infomap_runs(c.nodes, G.directed(c.edges), 3, is_directed=True))
+query("infomap_null", "s")(lambda c: M.infomap_runs(c.nodes, c.pairs, 20, null_seed=42).groupBy("run", "codelength", "one_level").agg(F.countDistinct("label").alias("modules")))
+query("infomap_seed_agreement", "s")(lambda c: M.nmi_matrix(M.infomap_runs(c.nodes, c.pairs, 5).select("run", "id", "label")))
+query("dominant_label", "p", "SELECT label, type AS dominant, n FROM (SELECT label, type, COUNT(*) AS n, ROW_NUMBER() OVER (PARTITION BY label ORDER BY COUNT(*) DESC, type) AS r FROM lab JOIN nodes USING (id) GROUP BY 1, 2) WHERE r = 1")(lambda c: M.majority(c.labels, c.nodes.select("id", "type")))
+query("disputed_nodes", "p", ", dm AS (SELECT label, type FROM (SELECT label, type, ROW_NUMBER() OVER (PARTITION BY label ORDER BY COUNT(*) DESC, type) AS r FROM lab JOIN nodes USING (id) GROUP BY 1, 2) WHERE r = 1) SELECT nodes.id, lab.label FROM nodes JOIN lab USING (id) JOIN dm USING (label) WHERE nodes.type <> dm.type")(lambda c: c.labels.join(M.majority(c.labels, c.nodes.select("id", "type")), "label").join(c.nodes.select("id", "type"), "id").where("type <> dominant").select("id", "label"))
+query("module_internal_links", "p", ", il AS (SELECT x.label, COUNT(*) AS n FROM ue JOIN lab x ON x.id = u JOIN lab y ON y.id = v WHERE x.label = y.label GROUP BY 1) SELECT label, COALESCE(n, 0) AS links, COALESCE(n, 0) < sqrt(2 * (SELECT COUNT(*) FROM ue)) AS below FROM (SELECT DISTINCT label FROM lab) LEFT JOIN il USING (label)")(lambda c: M.internal_links(c.pairs, c.labels))
+query("community_splits", "p", ", ct AS (SELECT x.label AS l, y.label AS r, COUNT(*) AS n FROM lab x JOIN rr y ON y.id = x.id AND y.run = 0 GROUP BY 1, 2), cs AS (SELECT *, CAST(SUM(n) OVER (PARTITION BY l) AS BIGINT) AS size FROM ct) SELECT l AS label, size, COUNT(*) AS parts FROM cs WHERE size >= 20 AND n >= 5 AND n * 10 >= size GROUP BY 1, 2 HAVING COUNT(*) >= 2")(lambda c: M.splits(c.labels, c.runs.where("run = 0").select("id", "label")))
 
 
 def _percolation_sql() -> str:
@@ -197,15 +201,15 @@ def _percolation_sql() -> str:
     )
 
 
-query("kclique_communities", "g1", _percolation_sql() + " SELECT CAST(community AS INTEGER) AS community, id FROM mem JOIN kn USING (c)")(lambda c: M.clique_communities(C.cliques_of_size(c.pairs, 3), 3))
+query("kclique_communities", "s", _percolation_sql() + " SELECT CAST(community AS INTEGER) AS community, id FROM mem JOIN kn USING (c)")(lambda c: M.clique_communities(C.cliques_of_size(c.pairs, 3), 3))
 for _k in (4, 5, 6):
-    query(f"kclique_communities_{_k}", "g1")(lambda c, k=_k: M.clique_communities(C.cliques_of_size(c.pairs, k), k))
-query("community_of_member", "g1", _percolation_sql() + ", hc AS (SELECT c FROM mem WHERE id = (SELECT MIN(id) FROM mem) ORDER BY c LIMIT 1) SELECT u, v FROM ue WHERE u IN (SELECT id FROM mem WHERE c IN (SELECT c FROM mem WHERE id = (SELECT MIN(id) FROM mem))) AND v IN (SELECT id FROM mem WHERE c IN (SELECT c FROM mem WHERE id = (SELECT MIN(id) FROM mem)))")(
+    query(f"kclique_communities_{_k}", "s")(lambda c, k=_k: M.clique_communities(C.cliques_of_size(c.pairs, k), k))
+query("community_of_member", "s", _percolation_sql() + ", hc AS (SELECT c FROM mem WHERE id = (SELECT MIN(id) FROM mem) ORDER BY c LIMIT 1) SELECT u, v FROM ue WHERE u IN (SELECT id FROM mem WHERE c IN (SELECT c FROM mem WHERE id = (SELECT MIN(id) FROM mem))) AND v IN (SELECT id FROM mem WHERE c IN (SELECT c FROM mem WHERE id = (SELECT MIN(id) FROM mem)))")(
     lambda c: (lambda k: G.induced(c.pairs, k.join(k.join(k.agg(F.min("id").alias("id")), "id").select("community"), "community", "left_semi"), "u", "v"))(M.clique_communities(C.cliques_of_size(c.pairs, 3), 3).persist())
 )
-query("edge_similarity", "g1", ", p AS (SELECT u, v FROM a UNION SELECT u, u FROM a), z AS (SELECT u, COUNT(*) AS n FROM p GROUP BY 1), wd AS (SELECT x.v AS k, x.u AS a1, y.u AS b1 FROM a x JOIN a y ON x.v = y.v AND x.u < y.u), cm AS (SELECT f.u AS a1, g.u AS b1, COUNT(*) AS c FROM p f JOIN p g ON f.v = g.v GROUP BY 1, 2) SELECT k, wd.a1 AS a, wd.b1 AS b, ROUND(c / (m.n + o.n - c), 6) AS similarity FROM wd JOIN cm USING (a1, b1) JOIN z m ON m.u = a1 JOIN z o ON o.u = b1")(lambda c: M.edge_similarity(c.pairs))
-query("link_communities", "g1")(lambda c: M.link_communities(c.nodes, c.pairs)[0])
-query("link_density_curve", "g1")(lambda c: M.link_communities(c.nodes, c.pairs)[1])
+query("edge_similarity", "s", ", p AS (SELECT u, v FROM a UNION SELECT u, u FROM a), z AS (SELECT u, COUNT(*) AS n FROM p GROUP BY 1), wd AS (SELECT x.v AS k, x.u AS a1, y.u AS b1 FROM a x JOIN a y ON x.v = y.v AND x.u < y.u), cm AS (SELECT f.u AS a1, g.u AS b1, COUNT(*) AS c FROM p f JOIN p g ON f.v = g.v GROUP BY 1, 2) SELECT k, wd.a1 AS a, wd.b1 AS b, ROUND(c / (m.n + o.n - c), 6) AS similarity FROM wd JOIN cm USING (a1, b1) JOIN z m ON m.u = a1 JOIN z o ON o.u = b1")(lambda c: M.edge_similarity(c.pairs))
+query("link_communities", "s")(lambda c: M.link_communities(c.nodes, c.pairs)[0])
+query("link_density_curve", "s")(lambda c: M.link_communities(c.nodes, c.pairs)[1])
 
 
 def _linked(c):
@@ -214,15 +218,15 @@ def _linked(c):
 
 
 _LL = ", ll AS (SELECT u, v, (u + v) % 9 AS label FROM ue), ln AS (SELECT label, u AS id FROM ll UNION SELECT label, v FROM ll)"
-query("link_community_table", "g1", _LL + ", dm AS (SELECT label, type, COUNT(*) AS n, ROW_NUMBER() OVER (PARTITION BY label ORDER BY COUNT(*) DESC, type) AS r FROM ln JOIN nodes USING (id) GROUP BY 1, 2) SELECT x.label, links, nn AS nodes, type AS dominant, ROUND(n / nn, 6) AS share FROM (SELECT label, COUNT(*) AS links FROM ll GROUP BY 1 HAVING COUNT(*) >= 3) x JOIN (SELECT label, COUNT(*) AS nn FROM ln GROUP BY 1) y USING (label) JOIN dm ON dm.label = x.label AND r = 1")(lambda c: M.link_community_table(_linked(c), c.nodes.select("id", "type")))
-query("communities_per_link", "g1", _LL + " SELECT deg.id, k, COUNT(DISTINCT label) AS communities, ROUND(CASE WHEN k > 0 THEN COUNT(DISTINCT label) / k END, 6) AS per_link FROM deg LEFT JOIN ln ON ln.id = deg.id GROUP BY 1, 2")(lambda c: M.communities_per_link(c.nodes, c.pairs, _linked(c)))
-query("ego_link_communities", "g1", _LL + " SELECT label, COUNT(*) AS links FROM ll, hub WHERE u = id OR v = id GROUP BY 1")(lambda c: _linked(c).where((F.col("u") == c.hub) | (F.col("v") == c.hub)).groupBy("label").agg(F.count("*").alias("links")))
-query("weighted_vs_unweighted_movers", "g1")(lambda c: (lambda x, y: x.join(M.align(x, y).toDF("id", "weighted"), "id").where("label <> weighted").join(c.degree, "id").orderBy(F.desc("k"), "id"))(M.louvain_runs(c.nodes, c.pairs, 1).select("id", "label").persist(), M.louvain_runs(c.nodes, c.weighted, 1, weight="weight").select("id", "label").persist()))
-query("entity_card", "g1", "SELECT hub.id, name, type, k, CAST(COALESCE((SELECT SUM(w) FROM uw WHERE u = hub.id OR v = hub.id), 0) AS BIGINT) AS s, (SELECT COUNT(DISTINCT label) FROM rr WHERE rr.id = hub.id) AS communities, label FROM hub JOIN nodes USING (id) JOIN deg USING (id) JOIN lab USING (id)")(lambda c: c.nodes.where(F.col("id") == c.hub).select("id", "name", "type").join(c.degree, "id").join(G.strength(c.nodes, c.weighted), "id").join(c.runs.groupBy("id").agg(F.countDistinct("label").alias("communities")), "id").join(c.labels, "id"))
+query("link_community_table", "s", _LL + ", dm AS (SELECT label, type, COUNT(*) AS n, ROW_NUMBER() OVER (PARTITION BY label ORDER BY COUNT(*) DESC, type) AS r FROM ln JOIN nodes USING (id) GROUP BY 1, 2) SELECT x.label, links, nn AS nodes, type AS dominant, ROUND(n / nn, 6) AS share FROM (SELECT label, COUNT(*) AS links FROM ll GROUP BY 1 HAVING COUNT(*) >= 3) x JOIN (SELECT label, COUNT(*) AS nn FROM ln GROUP BY 1) y USING (label) JOIN dm ON dm.label = x.label AND r = 1")(lambda c: M.link_community_table(_linked(c), c.nodes.select("id", "type")))
+query("communities_per_link", "s", _LL + " SELECT deg.id, k, COUNT(DISTINCT label) AS communities, ROUND(CASE WHEN k > 0 THEN COUNT(DISTINCT label) / k END, 6) AS per_link FROM deg LEFT JOIN ln ON ln.id = deg.id GROUP BY 1, 2")(lambda c: M.communities_per_link(c.nodes, c.pairs, _linked(c)))
+query("ego_link_communities", "s", _LL + " SELECT label, COUNT(*) AS links FROM ll, hub WHERE u = id OR v = id GROUP BY 1")(lambda c: _linked(c).where((F.col("u") == c.hub) | (F.col("v") == c.hub)).groupBy("label").agg(F.count("*").alias("links")))
+query("weighted_vs_unweighted_movers", "s")(lambda c: (lambda x, y: x.join(M.align(x, y).toDF("id", "weighted"), "id").where("label <> weighted").join(c.degree, "id").orderBy(F.desc("k"), "id"))(M.louvain_runs(c.nodes, c.pairs, 1).select("id", "label").persist(), M.louvain_runs(c.nodes, c.weighted, 1, weight="weight").select("id", "label").persist()))
+query("entity_card", "s", "SELECT hub.id, name, type, k, CAST(COALESCE((SELECT SUM(w) FROM uw WHERE u = hub.id OR v = hub.id), 0) AS BIGINT) AS s, (SELECT COUNT(DISTINCT label) FROM rr WHERE rr.id = hub.id) AS communities, label FROM hub JOIN nodes USING (id) JOIN deg USING (id) JOIN lab USING (id)")(lambda c: c.nodes.where(F.col("id") == c.hub).select("id", "name", "type").join(c.degree, "id").join(G.strength(c.nodes, c.weighted), "id").join(c.runs.groupBy("id").agg(F.countDistinct("label").alias("communities")), "id").join(c.labels, "id"))
 
 _DP = ", en AS (SELECT id AS x, k, CAST(COALESCE(SUM(w), 0) AS BIGINT) AS s FROM deg LEFT JOIN uw ON id = u OR id = v GROUP BY 1, 2), dp AS (SELECT u, v, w, CASE WHEN a1.k = 1 THEN 1.0::DOUBLE ELSE pow(1 - w / a1.s, a1.k - 1) END AS pu, CASE WHEN b1.k = 1 THEN 1.0::DOUBLE ELSE pow(1 - w / b1.s, b1.k - 1) END AS pv, LEAST(CASE WHEN a1.k = 1 THEN 1.0::DOUBLE ELSE pow(1 - w / a1.s, a1.k - 1) END, CASE WHEN b1.k = 1 THEN 1.0::DOUBLE ELSE pow(1 - w / b1.s, b1.k - 1) END) AS p FROM uw JOIN en a1 ON a1.x = u JOIN en b1 ON b1.x = v)"
-query("disparity_pvalues", "g4", _DP + " SELECT u, v, w AS weight, ROUND(pu, 6) AS pu, ROUND(pv, 6) AS pv, ROUND(p, 6) AS p FROM dp")(lambda c: B.disparity(c.weighted))
-query("disparity_backbone", "g4", _DP + " SELECT u, v, w AS weight, ROUND(p, 6) AS p FROM dp WHERE p < 0.2")(lambda c: B.kept(B.disparity(c.weighted), 0.2).select("u", "v", "weight", "p"))
+query("disparity_pvalues", "p", _DP + " SELECT u, v, w AS weight, ROUND(pu, 6) AS pu, ROUND(pv, 6) AS pv, ROUND(p, 6) AS p FROM dp")(lambda c: B.disparity(c.weighted))
+query("disparity_backbone", "p", _DP + " SELECT u, v, w AS weight, ROUND(p, 6) AS p FROM dp WHERE p < 0.2")(lambda c: B.kept(B.disparity(c.weighted), 0.2).select("u", "v", "weight", "p"))
 _ALPHAS = (0.05, 0.1, 0.2, 0.3, 0.5)
 
 
@@ -236,25 +240,25 @@ def _grid_sql(grid: list[tuple[str, str]]) -> str:
 
 _AG = [(str(a), f"p < {a}") for a in _ALPHAS]
 _WG = [(f"w{t}", f"{{w}} >= {t}") for t in (20, 30, 40)]
-query("alpha_table", "g1", _DP + _grid_sql(_AG))(lambda c: B.filter_table(B.disparity(c.weighted), c.nodes.count(), _AG))
-query("threshold_table", "g1", _DP + _grid_sql([(n, s.format(w="w")) for n, s in _WG]))(lambda c: B.filter_table(B.disparity(c.weighted), c.nodes.count(), [(n, s.format(w="weight")) for n, s in _WG]))
-query("backbone_stats", "g1", _DP + _grid_sql([("0.3", "p < 0.3")]))(lambda c: B.filter_table(B.disparity(c.weighted), c.nodes.count(), [("0.3", "p < 0.3")]))
-query("filter_vs_threshold", "g4", _DP + " SELECT id FROM (SELECT u AS id FROM dp WHERE p < 0.2 UNION SELECT v FROM dp WHERE p < 0.2) WHERE id NOT IN (SELECT u FROM dp WHERE w >= 45 UNION SELECT v FROM dp WHERE w >= 45)")(lambda c: (lambda d: (lambda f: f(d.where("p < 0.2")).join(f(d.where("weight >= 45")), "id", "left_anti"))(lambda x: x.select(F.explode(F.array("u", "v")).alias("id")).distinct()))(B.disparity(c.weighted)))
-query("edge_significance_explain", "g1", _DP + " SELECT u, v, x AS end, k, s, ROUND(w / s, 6) AS share, ROUND(1 - pow(0.1, 1.0::DOUBLE / (k - 1)), 6) AS needed, CAST(floor((1 - pow(0.1, 1.0::DOUBLE / (k - 1))) * s) + 1 AS BIGINT) AS least_weight FROM dp JOIN en ON x = u OR x = v WHERE k > 1".replace("pow(0.1,", "pow(0.1::DOUBLE,"))(lambda c: B.explain_edges(B.disparity(c.weighted), c.weighted, 0.1))
+query("alpha_table", "s", _DP + _grid_sql(_AG))(lambda c: B.filter_table(B.disparity(c.weighted), c.nodes.count(), _AG))
+query("threshold_table", "s", _DP + _grid_sql([(n, s.format(w="w")) for n, s in _WG]))(lambda c: B.filter_table(B.disparity(c.weighted), c.nodes.count(), [(n, s.format(w="weight")) for n, s in _WG]))
+query("backbone_stats", "s", _DP + _grid_sql([("0.3", "p < 0.3")]))(lambda c: B.filter_table(B.disparity(c.weighted), c.nodes.count(), [("0.3", "p < 0.3")]))
+query("filter_vs_threshold", "p", _DP + " SELECT id FROM (SELECT u AS id FROM dp WHERE p < 0.2 UNION SELECT v FROM dp WHERE p < 0.2) WHERE id NOT IN (SELECT u FROM dp WHERE w >= 45 UNION SELECT v FROM dp WHERE w >= 45)")(lambda c: (lambda d: (lambda f: f(d.where("p < 0.2")).join(f(d.where("weight >= 45")), "id", "left_anti"))(lambda x: x.select(F.explode(F.array("u", "v")).alias("id")).distinct()))(B.disparity(c.weighted)))
+query("edge_significance_explain", "s", _DP + " SELECT u, v, x AS end, k, s, ROUND(w / s, 6) AS share, ROUND(1 - pow(0.1, 1.0::DOUBLE / (k - 1)), 6) AS needed, CAST(floor((1 - pow(0.1, 1.0::DOUBLE / (k - 1))) * s) + 1 AS BIGINT) AS least_weight FROM dp JOIN en ON x = u OR x = v WHERE k > 1".replace("pow(0.1,", "pow(0.1::DOUBLE,"))(lambda c: B.explain_edges(B.disparity(c.weighted), c.weighted, 0.1))
 _SWEEP = [round(0.05 * i, 2) for i in range(1, 13)]
-query("alpha_sweep", "g1", _DP + " SELECT alpha, (SELECT COUNT(*) FROM dp WHERE p < alpha) AS links, (SELECT COUNT(*) FROM (SELECT u FROM dp WHERE p < alpha UNION SELECT v FROM dp WHERE p < alpha)) AS attached FROM (SELECT CAST(round(0.05 * i, 2) AS DOUBLE) AS alpha FROM range(1, 13) z(i))")(lambda c: B.alpha_sweep(c.nodes, B.disparity(c.weighted), _SWEEP).select("alpha", "links", "attached"))
-query("alpha_sweep_components", "g4")(lambda c: B.alpha_sweep(c.nodes, B.disparity(c.weighted), [i / 1000 for i in range(1, 601)]))
-query("hinges", "g4")(lambda c: B.hinges(c.nodes, B.disparity(c.weighted), [i / 1000 for i in range(1, 601)]))
-query("percolation_break", "g4")(lambda c: B.percolation_break(B.alpha_sweep(c.nodes, B.disparity(c.weighted), [i / 1000 for i in range(1, 601)])))
-query("breaker_node", "g1")(lambda c: B.breaker(c.nodes, c.pairs))
-query("first_alpha", "g4", _DP + " SELECT id, ROUND(MIN(p), 6) AS p FROM nodes LEFT JOIN dp ON id = u OR id = v GROUP BY 1")(lambda c: B.first_alpha(c.nodes, B.disparity(c.weighted)))
-query("node_ties", "g4", _DP + " SELECT CASE WHEN u = id THEN v ELSE u END AS neighbor, w AS weight, ROUND(p, 6) AS p, p < 0.2 AS kept FROM dp, hub WHERE u = id OR v = id")(lambda c: B.node_ties(B.disparity(c.weighted), c.hub, 0.2))
-query("strength_vs_degree", "g4", ", st AS (SELECT id, k, CAST(COALESCE(SUM(w), 0) AS BIGINT) AS s FROM deg LEFT JOIN uw ON id = u OR id = v GROUP BY 1, 2) SELECT ROUND(corr(a1, b1), 6) AS rho, COUNT(*) AS n FROM (SELECT RANK() OVER (ORDER BY k) + (COUNT(*) OVER (PARTITION BY k) - 1) / 2.0 AS a1, RANK() OVER (ORDER BY s) + (COUNT(*) OVER (PARTITION BY s) - 1) / 2.0 AS b1 FROM st)")(lambda c: S.spearman(G.strength(c.nodes, c.weighted).join(c.degree, "id"), "k", "s"))
-query("community_colors", "g4", "SELECT label, CASE WHEN n >= 20 AND r <= 10 THEN ['#4477aa', '#ee6677', '#228833', '#ccbb44', '#66ccee', '#aa3377', '#bbbbbb', '#000000', '#ee8866', '#44bb99'][r] ELSE '#999999' END AS color FROM (SELECT label, COUNT(*) AS n, CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, MIN(id)) AS INTEGER) AS r FROM lab GROUP BY 1)")(
+query("alpha_sweep", "s", _DP + " SELECT alpha, (SELECT COUNT(*) FROM dp WHERE p < alpha) AS links, (SELECT COUNT(*) FROM (SELECT u FROM dp WHERE p < alpha UNION SELECT v FROM dp WHERE p < alpha)) AS attached FROM (SELECT CAST(round(0.05 * i, 2) AS DOUBLE) AS alpha FROM range(1, 13) z(i))")(lambda c: B.alpha_sweep(c.nodes, B.disparity(c.weighted), _SWEEP).select("alpha", "links", "attached"))
+query("alpha_sweep_components", "p")(lambda c: B.alpha_sweep(c.nodes, B.disparity(c.weighted), [i / 1000 for i in range(1, 601)]))
+query("hinges", "p")(lambda c: B.hinges(c.nodes, B.disparity(c.weighted), [i / 1000 for i in range(1, 601)]))
+query("percolation_break", "p")(lambda c: B.percolation_break(B.alpha_sweep(c.nodes, B.disparity(c.weighted), [i / 1000 for i in range(1, 601)])))
+query("breaker_node", "s")(lambda c: B.breaker(c.nodes, c.pairs))
+query("first_alpha", "p", _DP + " SELECT id, ROUND(MIN(p), 6) AS p FROM nodes LEFT JOIN dp ON id = u OR id = v GROUP BY 1")(lambda c: B.first_alpha(c.nodes, B.disparity(c.weighted)))
+query("node_ties", "p", _DP + " SELECT CASE WHEN u = id THEN v ELSE u END AS neighbor, w AS weight, ROUND(p, 6) AS p, p < 0.2 AS kept FROM dp, hub WHERE u = id OR v = id")(lambda c: B.node_ties(B.disparity(c.weighted), c.hub, 0.2))
+query("strength_vs_degree", "p", ", st AS (SELECT id, k, CAST(COALESCE(SUM(w), 0) AS BIGINT) AS s FROM deg LEFT JOIN uw ON id = u OR id = v GROUP BY 1, 2) SELECT ROUND(corr(a1, b1), 6) AS rho, COUNT(*) AS n FROM (SELECT RANK() OVER (ORDER BY k) + (COUNT(*) OVER (PARTITION BY k) - 1) / 2.0 AS a1, RANK() OVER (ORDER BY s) + (COUNT(*) OVER (PARTITION BY s) - 1) / 2.0 AS b1 FROM st)")(lambda c: S.spearman(G.strength(c.nodes, c.weighted).join(c.degree, "id"), "k", "s"))
+query("community_colors", "p", "SELECT label, CASE WHEN n >= 20 AND r <= 10 THEN ['#4477aa', '#ee6677', '#228833', '#ccbb44', '#66ccee', '#aa3377', '#bbbbbb', '#000000', '#ee8866', '#44bb99'][r] ELSE '#999999' END AS color FROM (SELECT label, COUNT(*) AS n, CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, MIN(id)) AS INTEGER) AS r FROM lab GROUP BY 1)")(
     lambda c: c.labels.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("least")).withColumn("r", F.row_number().over(W.orderBy(F.desc("n"), "least"))).select("label", F.when((F.col("n") >= 20) & (F.col("r") <= 10), F.try_element_at(F.array(*map(F.lit, PALETTE)), "r")).otherwise("#999999").alias("color"))
 )
 PALETTE = ("#4477aa", "#ee6677", "#228833", "#ccbb44", "#66ccee", "#aa3377", "#bbbbbb", "#000000", "#ee8866", "#44bb99")
-query("findings_text", "g4", "SELECT printf('%d nodes share %d links; the mean degree is %.2f.', (SELECT COUNT(*) FROM nodes), (SELECT COUNT(*) FROM ue), (SELECT AVG(k) FROM deg)) AS sentence")(lambda c: R.finding(c.degree.agg(F.count("*").alias("n"), F.expr("cast(sum(k) / 2 as bigint)").alias("m"), F.avg("k").alias("mean"))))
-query("interpret_node", "g4", "SELECT id, CASE WHEN k / m >= 3 THEN 'hub' WHEN k / m >= 1.3 THEN 'well linked' WHEN k / m <= 0.5 THEN 'peripheral' ELSE 'typical' END || ', ' || CASE WHEN i - o >= 3 THEN 'receives' WHEN o - i >= 3 THEN 'sends' ELSE 'balanced' END AS class FROM deg JOIN dio USING (id), (SELECT AVG(k) AS m FROM deg)")(lambda c: (lambda d: d.crossJoin(F.broadcast(d.agg(F.avg("neighbors").alias("m")))).select("id", R.interpret(F.col("neighbors"), F.col("m"), F.col("in_degree"), F.col("out_degree")).alias("class")))(G.degrees(c.nodes, c.edges)))
-query("guess_feedback", "g4", "SELECT id, CASE WHEN abs(15 - k) = 0 THEN 'exact' WHEN abs(15 - k) <= 3 THEN 'close' ELSE 'off' END AS feedback FROM deg")(lambda c: c.degree.select("id", R.guess_feedback(F.lit(15), F.col("k")).alias("feedback")))
-query("density_grid", "g4", "SELECT CAST(GREATEST(round(2.0 * (SELECT COUNT(*) FROM ue) / (COUNT(*) * (COUNT(*) - 1)) * 100), 1) AS BIGINT) AS cells FROM nodes")(lambda c: c.degree.agg(R.filled_cells(F.sum("k") / (F.count("*") * (F.count("*") - 1))).alias("cells")))
+query("findings_text", "p", "SELECT printf('%d nodes share %d links; the mean degree is %.2f.', (SELECT COUNT(*) FROM nodes), (SELECT COUNT(*) FROM ue), (SELECT AVG(k) FROM deg)) AS sentence")(lambda c: R.finding(c.degree.agg(F.count("*").alias("n"), F.expr("cast(sum(k) / 2 as bigint)").alias("m"), F.avg("k").alias("mean"))))
+query("interpret_node", "p", "SELECT id, CASE WHEN k / m >= 3 THEN 'hub' WHEN k / m >= 1.3 THEN 'well linked' WHEN k / m <= 0.5 THEN 'peripheral' ELSE 'typical' END || ', ' || CASE WHEN i - o >= 3 THEN 'receives' WHEN o - i >= 3 THEN 'sends' ELSE 'balanced' END AS class FROM deg JOIN dio USING (id), (SELECT AVG(k) AS m FROM deg)")(lambda c: (lambda d: d.crossJoin(F.broadcast(d.agg(F.avg("neighbors").alias("m")))).select("id", R.interpret(F.col("neighbors"), F.col("m"), F.col("in_degree"), F.col("out_degree")).alias("class")))(G.degrees(c.nodes, c.edges)))
+query("guess_feedback", "p", "SELECT id, CASE WHEN abs(15 - k) = 0 THEN 'exact' WHEN abs(15 - k) <= 3 THEN 'close' ELSE 'off' END AS feedback FROM deg")(lambda c: c.degree.select("id", R.guess_feedback(F.lit(15), F.col("k")).alias("feedback")))
+query("density_grid", "p", "SELECT CAST(GREATEST(round(2.0 * (SELECT COUNT(*) FROM ue) / (COUNT(*) * (COUNT(*) - 1)) * 100), 1) AS BIGINT) AS cells FROM nodes")(lambda c: c.degree.agg(R.filled_cells(F.sum("k") / (F.count("*") * (F.count("*") - 1))).alias("cells")))

@@ -8,20 +8,21 @@ from pyspark.sql import functions as F
 from loomgraph.functions.checkpoints import checkpointed
 from loomgraph.operators import stats as S
 from loomgraph.operators import text as T
+from loomgraph.operators.order import placed
 from loomgraph.plans.fixtures import STOP_SQL
 from loomgraph.plans.registry import query
 
 query("tokenize_regex", "t", "SELECT doc_id, token, tf FROM dtm")(lambda c: c.dtm.select("doc_id", "token", "tf"))
 query("tokenize_words", "t", r"SELECT doc_id, len(regexp_extract_all(lower(text), '\p{L}+(?:[''’-]\p{L}+)*|\p{N}+(?:[.,]\p{N}+)*|[^\s\p{L}\p{N}]')) AS n FROM documents")(lambda c: c.docs.select("doc_id", F.size(F.regexp_extract_all(F.lower("text"), F.lit(T.RULE), F.lit(0))).cast("long").alias("n")))
-query("stopword_filter", "t", f"SELECT token, CAST(SUM(tf) AS BIGINT) AS n FROM dtm WHERE token NOT IN ({STOP_SQL}) GROUP BY 1 HAVING SUM(tf) > 20")(lambda c: c.dtm.where(~T.stop_flag(F.col("token"))).groupBy("token").agg(F.sum("tf").alias("n")).where("n > 20"))
+query("stopword_filter", "t", f"SELECT token, CAST(SUM(tf) AS BIGINT) AS n FROM dtm WHERE token NOT IN ({STOP_SQL}) GROUP BY 1")(lambda c: c.dtm.where(~T.stop_flag(F.col("token"))).groupBy("token").agg(F.sum("tf").alias("n")))
 query("token_type_hapax", "t", "SELECT CAST(SUM(n) AS BIGINT) AS tokens, COUNT(*) AS types, COUNT(*) FILTER (n = 1) AS hapax, ROUND(COUNT(*) FILTER (n = 1) / COUNT(*), 6) AS share FROM typ")(lambda c: T.type_summary(c.dtm))
 query("top_terms", "t", "SELECT token, n, ROUND(n / (SELECT SUM(n) FROM typ), 6) AS share FROM typ ORDER BY n DESC, token LIMIT 10")(lambda c: T.top_terms(c.dtm, 10))
 query("doc_lengths", "t", "SELECT doc_id, n AS tokens, types FROM len")(lambda c: T.doc_sizes(c.docs, c.dtm))
 query("doc_length_summary", "t", "SELECT ROUND(quantile_cont(n, 0.5), 6) AS median, MAX(n) AS longest, MIN(n) AS shortest FROM len")(lambda c: T.doc_sizes(c.docs, c.dtm).agg(F.expr("percentile(tokens, 0.5)").alias("median"), F.max("tokens").alias("longest"), F.min("tokens").alias("shortest")))
 query("document_term_matrix", "t", "SELECT (SELECT COUNT(*) FROM documents) AS rows, COUNT(DISTINCT token) AS columns, COUNT(*) AS nonzero, COUNT(DISTINCT CASE WHEN contains(token, '-') THEN token END) AS hyphenated FROM dtm")(lambda c: c.dtm.agg(F.countDistinct("token").alias("columns"), F.count("*").alias("nonzero"), F.countDistinct(F.when(F.contains("token", F.lit("-")), F.col("token"))).alias("hyphenated")).crossJoin(F.broadcast(c.docs.agg(F.count("*").alias("rows")))).select("rows", "columns", "nonzero", "hyphenated"))
-_GR = ", st AS (SELECT token, {leads} FROM tok) SELECT {gram} AS gram, COUNT(*) AS n FROM st WHERE {last} IS NOT NULL GROUP BY 1 HAVING COUNT(*) > 30"
-query("bigrams", "t", _GR.format(leads="LEAD(token, 1) OVER (ORDER BY doc_id, pos) AS t1", gram="token || ' ' || t1", last="t1"))(lambda c: T.ngrams(c.tokens, 2).where("n > 30"))
-query("trigrams", "t", _GR.format(leads="LEAD(token, 1) OVER (ORDER BY doc_id, pos) AS t1, LEAD(token, 2) OVER (ORDER BY doc_id, pos) AS t2", gram="token || ' ' || t1 || ' ' || t2", last="t2").replace("> 30", "> 10"))(lambda c: T.ngrams(c.tokens, 3).where("n > 10"))
+_GR = ", st AS (SELECT token, {leads} FROM tok) SELECT {gram} AS gram, COUNT(*) AS n FROM st WHERE {last} IS NOT NULL GROUP BY 1"
+query("bigrams", "t", _GR.format(leads="LEAD(token, 1) OVER (ORDER BY doc_id, pos) AS t1", gram="token || ' ' || t1", last="t1"))(lambda c: T.ngrams(c.tokens, 2))
+query("trigrams", "t", _GR.format(leads="LEAD(token, 1) OVER (ORDER BY doc_id, pos) AS t1, LEAD(token, 2) OVER (ORDER BY doc_id, pos) AS t2", gram="token || ' ' || t1 || ' ' || t2", last="t2"))(lambda c: T.ngrams(c.tokens, 3))
 query("phrase_count", "t", "SELECT CAST(SUM(len(regexp_extract_all(lower(text), 'of the'))) AS BIGINT) AS n FROM documents")(lambda c: c.docs.agg(F.sum(F.regexp_count(F.lower("text"), F.lit("of the"))).alias("n")))
 query("digit_types", "t", "SELECT COUNT(DISTINCT w) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents) WHERE regexp_matches(w, '[0-9]')")(lambda c: c.docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w")).where("w rlike '[0-9]'").agg(F.countDistinct("w").alias("n")))
 query("glued_types", "t", r"SELECT COUNT(DISTINCT w) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+[(\[]+[a-z0-9]+')) AS w FROM documents)")(lambda c: c.docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9]+[(\[]+[a-z0-9]+"), F.lit(0))).alias("w")).agg(F.countDistinct("w").alias("n")))
@@ -34,31 +35,33 @@ def _by_id(c):
     return T.orders(c.docs.select("doc_id"), "doc_id", False)
 
 
-query("running_total_offsets", "t", ", od AS (SELECT doc_id, n FROM len) SELECT doc_id, CAST(SUM(n) OVER (ORDER BY doc_id) - n AS BIGINT) AS start FROM od")(lambda c: T.doc_sizes(c.docs, c.dtm).select("doc_id", (F.sum("tokens").over(W.orderBy("doc_id")) - F.col("tokens")).alias("start")))
-query("heaps_first_positions", "t", _ID + " SELECT token, CAST(position AS BIGINT) AS position FROM fp")(lambda c: T.first_positions(c.dtm, _by_id(c)).select("token", F.col("position").cast("long").alias("position")))
-query("first_occurrence", "t", _ID + " SELECT token, arg_min(doc_id, start + first) AS doc_id FROM dtm JOIN off USING (doc_id) GROUP BY 1")(lambda c: T.first_positions(c.dtm, _by_id(c)).select("token", "doc_id"))
-query("new_types_per_doc", "t", _ID + ", fo AS (SELECT token, arg_min(doc_id, start + first) AS doc_id FROM dtm JOIN off USING (doc_id) GROUP BY 1) SELECT d.doc_id, COUNT(token) AS new_types FROM documents d LEFT JOIN fo USING (doc_id) GROUP BY 1")(lambda c: c.docs.select("doc_id").join(T.first_positions(c.dtm, _by_id(c)).groupBy("doc_id").agg(F.count("*").alias("new_types")), "doc_id", "left").na.fill(0, ["new_types"]))
+query("running_total_offsets", "t", ", od AS (SELECT doc_id, n FROM len) SELECT doc_id, CAST(SUM(n) OVER (ORDER BY doc_id) - n AS BIGINT) AS start FROM od")(lambda c: placed(T.doc_sizes(c.docs, c.dtm), "doc_id", total="tokens").select("doc_id", F.col("before").alias("start")))
+query("heaps_first_positions", "t", _ID + " SELECT token, CAST(position AS BIGINT) AS position FROM fp")(lambda c: T.first_positions(c.written_dtm, _by_id(c)).select("token", F.col("position").cast("long").alias("position")))
+query("first_occurrence", "t", _ID + " SELECT token, arg_min(doc_id, start + first) AS doc_id FROM dtm JOIN off USING (doc_id) GROUP BY 1")(lambda c: T.first_positions(c.written_dtm, _by_id(c)).select("token", "doc_id"))
+query("new_types_per_doc", "t", _ID + ", fo AS (SELECT token, arg_min(doc_id, start + first) AS doc_id FROM dtm JOIN off USING (doc_id) GROUP BY 1) SELECT d.doc_id, COUNT(token) AS new_types FROM documents d LEFT JOIN fo USING (doc_id) GROUP BY 1")(lambda c: c.docs.select("doc_id").join(T.first_positions(c.written_dtm, _by_id(c)).groupBy("doc_id").agg(F.count("*").alias("new_types")), "doc_id", "left").na.fill(0, ["new_types"]))
 _GRID = ", grid AS (SELECT DISTINCT CAST(round_even(exp(ln(1000) + i / 119.0 * (ln(tt) - ln(1000))), 0) AS BIGINT) AS n FROM range(120) z(i), (SELECT CAST(SUM(n) AS DOUBLE) AS tt FROM len))"
 
 
 def _grid(c, total: int | None = None):
     if total is None:
-        total = c.dtm.agg(F.coalesce(F.sum("tf"), F.lit(1000)).alias("n")).first().n
+        total = c.written_dtm.agg(F.coalesce(F.sum("tf"), F.lit(1000)).alias("n")).first().n
     return T.log_grid(c.spark, 1000, max(1000, total), 120)
 
 
 _CURVE = _ID + _GRID + ", cv AS (SELECT grid.n, (SELECT COUNT(*) FROM fp WHERE position <= grid.n - 1) AS types FROM grid)"
 query("log_grid", "t", _GRID.replace(", grid", ", grid", 1) + " SELECT n FROM grid")(_grid)
-query("heaps_curve", "t", _CURVE + " SELECT n, types FROM cv")(lambda c: T.growth_curve(T.first_positions(c.dtm, _by_id(c)), _grid(c)))
-query("grid_range_join", "t", _ID + " SELECT n * 10000 AS n, (SELECT COUNT(*) FROM fp WHERE position < z.n * 10000) AS types FROM (SELECT CAST(i AS BIGINT) AS n FROM range(1, 21) y(i)) z")(lambda c: T.growth_curve(T.first_positions(c.dtm, _by_id(c)), c.spark.range(1, 21).select((F.col("id") * 10000).alias("n"))))
-query("heaps_fit", "t", _CURVE + " SELECT ROUND(regr_slope(ln(types), ln(n)), 6) AS slope, ROUND(regr_intercept(ln(types), ln(n)), 6) AS intercept, ROUND(regr_r2(ln(types), ln(n)), 6) AS r2 FROM cv WHERE types > 0")(lambda c: S.loglog_fit(T.growth_curve(T.first_positions(c.dtm, _by_id(c)), _grid(c)), "n", "types"))
+query("heaps_curve", "t", _CURVE + " SELECT n, types FROM cv")(lambda c: T.growth_curve(T.first_positions(c.written_dtm, _by_id(c)), _grid(c)))
+query("grid_range_join", "t", _ID + " SELECT n * 10000 AS n, (SELECT COUNT(*) FROM fp WHERE position < z.n * 10000) AS types FROM (SELECT CAST(i AS BIGINT) AS n FROM range(1, 21) y(i)) z")(lambda c: T.growth_curve(T.first_positions(c.written_dtm, _by_id(c)), c.spark.range(1, 21).select((F.col("id") * 10000).alias("n"))))
+query("heaps_fit", "t", _CURVE + " SELECT ROUND(regr_slope(ln(types), ln(n)), 6) AS slope, ROUND(regr_intercept(ln(types), ln(n)), 6) AS intercept, ROUND(regr_r2(ln(types), ln(n)), 6) AS r2 FROM cv WHERE types > 0")(lambda c: S.loglog_fit(T.growth_curve(T.first_positions(c.written_dtm, _by_id(c)), _grid(c)), "n", "types"))
 query("heaps_area", "t", _CURVE + _ORD.format(key="n DESC", table="len").replace(" od ", " od2 ").replace("FROM od)", "FROM od2)").replace("od.doc_id", "od2.doc_id").replace(" off ", " off2 ").replace("JOIN off ", "JOIN off2 ").replace(" fp ", " fp2 ") + ", c2 AS (SELECT grid.n, (SELECT COUNT(*) FROM fp2 WHERE position <= grid.n - 1) AS types FROM grid) SELECT ROUND(AVG(ln(x.types / y.types)), 6) AS area FROM cv x JOIN c2 y USING (n) WHERE n < (SELECT MAX(n) FROM grid)")(
-    lambda c: (lambda g: T.growth_curve(T.first_positions(c.dtm, _by_id(c)), g).join(T.growth_curve(T.first_positions(c.dtm, T.orders(T.doc_sizes(c.docs, c.dtm), "tokens", True)), g).toDF("n", "other"), "n").withColumn("last", F.max("n").over(W.partitionBy())).where("n < last").agg(F.avg(F.ln(F.col("types") / F.col("other"))).alias("area")))(_grid(c))
+    lambda c: (lambda g: T.growth_curve(T.first_positions(c.written_dtm, _by_id(c)), g).join(T.growth_curve(T.first_positions(c.written_dtm, T.orders(T.doc_sizes(c.docs, c.written_dtm), "tokens", True)), g).toDF("n", "other"), "n").withColumn("last", F.max("n").over(W.partitionBy())).where("n < last").agg(F.avg(F.ln(F.col("types") / F.col("other"))).alias("area")))(_grid(c))
 )
 query("doc_orders", "t", "SELECT doc_id, CAST(ROW_NUMBER() OVER (ORDER BY n DESC, doc_id) AS INTEGER) AS longest_first, CAST(ROW_NUMBER() OVER (ORDER BY n, doc_id) AS INTEGER) AS shortest_first FROM len")(lambda c: (lambda s: T.orders(s, "tokens", True).toDF("doc_id", "longest_first").join(T.orders(s, "tokens", False).toDF("doc_id", "shortest_first"), "doc_id"))(T.doc_sizes(c.docs, c.dtm)))
-query("half_corpus_page", "t", ", rt AS (SELECT doc_id, SUM(n) OVER (ORDER BY doc_id) AS c, SUM(n) OVER () AS t FROM len) SELECT MIN(doc_id) AS doc_id FROM rt WHERE 2 * c >= t")(lambda c: T.doc_sizes(c.docs, c.dtm).select("doc_id", F.sum("tokens").over(W.orderBy("doc_id")).alias("c"), F.sum("tokens").over(W.partitionBy()).alias("t")).where("2 * c >= t").agg(F.min("doc_id").alias("doc_id")))
+query("half_corpus_page", "t", ", rt AS (SELECT doc_id, SUM(n) OVER (ORDER BY doc_id) AS c, SUM(n) OVER () AS t FROM len) SELECT MIN(doc_id) AS doc_id FROM rt WHERE 2 * c >= t")(
+    lambda c: (lambda p: p.crossJoin(F.broadcast(p.agg(F.sum("tokens").alias("t")))).where("2 * (before + tokens) >= t").agg(F.min("doc_id").alias("doc_id")))(placed(T.doc_sizes(c.docs, c.dtm), "doc_id", total="tokens"))
+)
 query("tail_new_types", "td", ", il AS (SELECT doc_id, n, ind.k FROM len JOIN ind USING (doc_id))" + _ORD.format(key="k DESC", table="il") + ", cut AS (SELECT SUM(n) AS c FROM il WHERE k > 0) SELECT (SELECT COUNT(*) FROM fp WHERE position >= c) AS new_types, CAST((SELECT SUM(n) FROM il) - c AS BIGINT) AS tail_tokens FROM cut")(
-    lambda c: (lambda s: T.first_positions(c.dtm, T.orders(s, "k", True)).crossJoin(F.broadcast(s.agg(F.sum(F.when(F.col("k") > 0, F.col("tokens")).otherwise(0)).alias("c"), F.sum("tokens").alias("t")))).agg(F.count_if(F.col("position") >= F.col("c")).alias("new_types"), F.first(F.col("t") - F.col("c")).alias("tail_tokens")))(T.doc_sizes(c.docs, c.dtm).join(c.in_degrees, "doc_id"))
+    lambda c: (lambda s: T.first_positions(c.written_dtm, T.orders(s, "k", True)).crossJoin(F.broadcast(s.agg(F.sum(F.when(F.col("k") > 0, F.col("tokens")).otherwise(0)).alias("c"), F.sum("tokens").alias("t")))).agg(F.count_if(F.col("position") >= F.col("c")).alias("new_types"), F.first(F.col("t") - F.col("c")).alias("tail_tokens")))(T.doc_sizes(c.docs, c.dtm).join(c.in_degrees, "doc_id"))
 )
 query("rarefied_types", "t", ", fr AS (SELECT doc_id, tf AS f, COUNT(*) AS c FROM dtm GROUP BY 1, 2) SELECT doc_id, ROUND(CASE WHEN MIN(n) >= 100 THEN SUM(c * CASE WHEN n - f < 100 THEN 1 ELSE 1 - exp(lgamma(n - f + 1) - lgamma(n - f - 100 + 1) - lgamma(n + 1) + lgamma(n - 100 + 1)) END) END, 4) AS expected FROM fr JOIN len USING (doc_id) GROUP BY 1")(lambda c: T.rarefied(c.dtm, 100).select("doc_id", F.round("expected", 4).alias("expected")))
 query("window_types", "t", ", wl AS (SELECT doc_id, list(token ORDER BY pos) AS ws FROM tok GROUP BY 1) SELECT doc_id, ROUND(AVG(len(list_distinct(ws[i + 1 : i + 100]))), 6) AS types FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 99, 50)) AS i FROM wl WHERE len(ws) >= 100) GROUP BY 1")(lambda c: T.window_types(c.tokens, 100, 50))
@@ -67,12 +70,14 @@ query("length_vs_degree", "td", ", ld AS (SELECT n, types, ind.k FROM len JOIN i
 query("budget_correlations", "td", ", fr AS (SELECT doc_id, tf AS f, COUNT(*) AS c FROM dtm GROUP BY 1, 2), ex AS (SELECT doc_id, round(SUM(c * CASE WHEN n - f < 100 THEN 1 ELSE 1 - exp(lgamma(n - f + 1) - lgamma(n - f - 100 + 1) - lgamma(n + 1) + lgamma(n - 100 + 1)) END), 4) AS e, MIN(n) AS n FROM fr JOIN len USING (doc_id) WHERE n >= 100 GROUP BY 1), ek AS (SELECT e, n, ind.k FROM ex JOIN ind USING (doc_id)) SELECT 'in_degree' AS measure, ROUND(corr(rx, ry), 4) AS rho FROM " + _SP.format(x="e", y="k", t="ek") + " UNION ALL SELECT 'length', ROUND(corr(rx, ry), 4) FROM " + _SP.format(x="e", y="n", t="ek"))(
     lambda c: (lambda s: S.spearman(s, "expected", "k").select(F.lit("in_degree").alias("measure"), F.round("rho", 4).alias("rho")).union(S.spearman(s, "expected", "tokens").select(F.lit("length"), F.round("rho", 4))))(T.rarefied(c.dtm, 100).where("expected is not null").select("doc_id", F.round("expected", 4).alias("expected")).join(c.in_degrees, "doc_id").join(T.doc_sizes(c.docs, c.dtm), "doc_id"))
 )
-query("rank_gap_outliers", "td", ", rk AS (SELECT doc_id, (RANK() OVER (ORDER BY n) + (COUNT(*) OVER (PARTITION BY n) - 1) / 2.0) - (RANK() OVER (ORDER BY k) + (COUNT(*) OVER (PARTITION BY k) - 1) / 2.0) AS gap FROM len JOIN ind USING (doc_id)) SELECT doc_id, ROUND(gap, 6)::DOUBLE AS gap FROM rk ORDER BY gap DESC, doc_id LIMIT 5")(lambda c: T.doc_sizes(c.docs, c.dtm).join(c.in_degrees, "doc_id").select("doc_id", (S.average_rank("tokens") - S.average_rank("k")).alias("gap")).orderBy(F.desc("gap"), "doc_id").limit(5))
+query("rank_gap_outliers", "td", ", rk AS (SELECT doc_id, (RANK() OVER (ORDER BY n) + (COUNT(*) OVER (PARTITION BY n) - 1) / 2.0) - (RANK() OVER (ORDER BY k) + (COUNT(*) OVER (PARTITION BY k) - 1) / 2.0) AS gap FROM len JOIN ind USING (doc_id)) SELECT doc_id, ROUND(gap, 6)::DOUBLE AS gap FROM rk ORDER BY gap DESC, doc_id LIMIT 5")(
+    lambda c: S.average_rank(S.average_rank(T.doc_sizes(c.docs, c.dtm).join(c.in_degrees, "doc_id"), "tokens", "a"), "k", "b").select("doc_id", (F.col("a") - F.col("b")).alias("gap")).orderBy(F.desc("gap"), "doc_id").limit(5)
+)
 query("token_vs_regex_term", "t", r", rx AS (SELECT doc_id, len(regexp_extract_all(lower(text), '\bthe\b')) AS as_word FROM documents) SELECT doc_id, COALESCE(tf, 0) AS as_token, as_word FROM rx LEFT JOIN (SELECT doc_id, tf FROM dtm WHERE token = 'the') USING (doc_id) WHERE COALESCE(tf, 0) <> as_word")(lambda c: T.token_against_regex(c.docs, c.dtm, "the"))
 query("snippet", "t", "SELECT doc_id, CASE WHEN greatest(p - 70, 1) > 1 THEN '…' ELSE '' END || translate(substr(text, greatest(p - 70, 1), least(p + 75, length(text) + 1) - greatest(p - 70, 1)), chr(10), ' ') || CASE WHEN least(p + 75, length(text) + 1) <= length(text) THEN '…' ELSE '' END AS snippet FROM (SELECT doc_id, text, strpos(text, 'there') AS p FROM documents) WHERE p > 0")(lambda c: c.docs.select("doc_id", T.snippet(F.col("text"), "there").alias("snippet")).where("snippet is not null"))
 query("term_column_check", "t", "SELECT doc_id, tf FROM dtm WHERE token = 'the' ORDER BY tf DESC, doc_id LIMIT 3")(lambda c: c.dtm.where("token = 'the'").orderBy(F.desc("tf"), "doc_id").limit(3).select("doc_id", "tf"))
 query("hapax_check", "t", ", rn AS (SELECT w, COUNT(*) AS seen FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents) GROUP BY 1) SELECT CASE WHEN seen = 1 THEN 'agree' WHEN seen > 1 THEN 'more' ELSE 'none' END AS verdict, COUNT(*) AS n FROM (SELECT token FROM typ WHERE n = 1 AND NOT contains(token, '-')) LEFT JOIN rn ON w = token GROUP BY 1")(lambda c: T.hapax_check(c.docs, c.dtm))
-query("inverted_index", "t", "SELECT token, string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id) AS postings FROM dtm GROUP BY 1")(lambda c: T.inverted_index(c.dtm))
+query("inverted_index", "t", "SELECT token, doc_id // 4096 AS block, string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id) AS postings FROM dtm GROUP BY 1, 2")(lambda c: T.inverted_index(c.dtm))
 query("vector_norms", "t", f"SELECT doc_id, ROUND(sqrt(SUM(tf * tf)), 6) AS raw, ROUND(sqrt(COALESCE(SUM(CASE WHEN token NOT IN ({STOP_SQL}) THEN tf * tf END), 0)), 6) AS content FROM dtm GROUP BY 1")(lambda c: T.vector_norms(c.dtm))
 _BOW = ", qq AS (SELECT token, n AS qn FROM (VALUES ('the', 1::BIGINT), ('tion', 2), ('there', 1)) v(token, n) WHERE token IN (SELECT token FROM dtm){stop}), dd AS (SELECT * FROM dtm{where}), nm AS (SELECT doc_id, sqrt(SUM(tf * tf)) AS m FROM dd GROUP BY 1) SELECT doc_id, ROUND(score, 6) AS score, terms FROM (SELECT doc_id, ROUND(SUM(tf * qn) / (MIN(m) * (SELECT sqrt(SUM(qn * qn)) FROM qq)), 9) AS score, string_agg(token, ' ' ORDER BY token) AS terms FROM dd JOIN qq USING (token) JOIN nm USING (doc_id) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8)"
 query("bow_search", "t", _BOW.format(stop="", where=""))(lambda c: T.search(c.dtm, "The tion there tion zzzzzq"))
@@ -96,16 +101,18 @@ def _shuffle_curves(c, replicas: int):
     The grid is that of heaps_curve, up to the corpus total."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(T.TOKEN), F.lit(0))
     sizes = checkpointed(c.docs.select("doc_id", F.size(words).alias("len")).where("len > 0").groupBy("doc_id").agg(F.sum("len").alias("len")))
-    grid = _grid(c, sizes.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("n")).first().n)
+    total = sizes.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("n")).first().n
+    points = sorted(r.n for r in _grid(c, total).collect())
     reps = c.spark.range(replicas).select(F.col("id").cast("int").alias("replica"))
     order = sizes.crossJoin(F.broadcast(reps)).withColumn("h", F.xxhash64(F.lit(7), "replica", "doc_id"))
-    start = order.withColumn("start", F.sum("len").over(W.partitionBy("replica").orderBy("h", "doc_id")) - F.col("len")).select("replica", "doc_id", "start")
+    start = placed(order, "replica", "h", "doc_id", total="len").select("replica", "doc_id", (F.col("before") - F.col("replica") * total).alias("start"))
     # texts are dealt by document once: counting and joining need no further exchange of (document, type) rows
     dtm = T.term_counts(T.tokens(c.docs.select("doc_id", "text").repartition("doc_id")))
     firsts = dtm.join(start, "doc_id").groupBy("replica", "token").agg(F.min(F.col("start") + F.col("first")).alias("position"))
-    counted = firsts.groupBy("replica", "position").agg(F.count("*").alias("c"))
-    met = counted.join(F.broadcast(grid), F.col("position") < F.col("n")).groupBy("replica", "n").agg(F.sum("c").alias("types"))
-    return reps.crossJoin(F.broadcast(grid)).join(met, ["replica", "n"], "left").select("replica", "n", F.coalesce("types", F.lit(0)).alias("types"))
+    counted = T.in_slots(firsts, points).groupBy("replica", "slot").agg(F.count("*").alias("c"))
+    table = reps.crossJoin(F.broadcast(c.spark.createDataFrame(list(enumerate(points)), "slot int, n long")))
+    upto = F.sum("c").over(W.partitionBy("replica").orderBy("n"))
+    return table.join(counted, ["replica", "slot"], "left").select("replica", "n", F.coalesce(upto, F.lit(0)).alias("types"))
 
 
 query("page_order_shuffle_null", "t")(lambda c: _shuffle_curves(c, 5))
@@ -132,5 +139,5 @@ def _tail_null(c, replicas: int, within: bool):
 query("length_matched_shuffle", "t")(lambda c: _tail_null(c, 5, True))
 query("tie_break_ensemble", "t")(lambda c: _tail_null(c, 5, False))
 query("vocabulary_top_new", "t", _ID + ", fo AS (SELECT token, arg_min(doc_id, start + first) AS doc_id FROM dtm JOIN off USING (doc_id) GROUP BY 1), rk AS (SELECT fo.doc_id, token, tf, ROW_NUMBER() OVER (PARTITION BY fo.doc_id ORDER BY tf DESC, token) AS r FROM fo JOIN dtm USING (doc_id, token) WHERE length(token) > 3) SELECT doc_id, token, tf FROM rk WHERE r <= 4")(
-    lambda c: T.first_positions(c.dtm, _by_id(c)).select("doc_id", "token").join(c.dtm, ["doc_id", "token"]).where("length(token) > 3").withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("tf"), "token"))).where("r <= 4").select("doc_id", "token", "tf")
+    lambda c: T.first_positions(c.written_dtm, _by_id(c)).select("doc_id", "token").join(c.dtm, ["doc_id", "token"]).where("length(token) > 3").withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("tf"), "token"))).where("r <= 4").select("doc_id", "token", "tf")
 )

@@ -7,7 +7,7 @@ from loomgraph.operators import communities as M
 from loomgraph.plans import QUERIES
 from loomgraph.plans.fixtures import Fixture
 
-DIR = "/root/testdata/sf0.001"
+DIR, WIDE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 def cliques(ids, edges):
@@ -36,12 +36,23 @@ def communities(df):
     return sorted(g.id.sort_values().tolist() for _, g in df.toPandas().groupby("community"))
 
 
+def clique_sizes(f):
+    want = cliques([r.id for r in f.nodes.collect()], [(r.u, r.v) for r in f.pairs.collect()])
+    return {k: sum(len(c) == k for c in want) for k in range(1, max(map(len, want)) + 1)}
+
+
 def test_clique_sizes_go_on_until_one_is_empty(spark):
     f = Fixture(spark, DIR, "g4")
-    want = cliques([r.id for r in f.nodes.collect()], [(r.u, r.v) for r in f.pairs.collect()])
-    sizes = {k: sum(len(c) == k for c in want) for k in range(1, max(map(len, want)) + 1)}
+    sizes = clique_sizes(f)
     assert max(sizes) > 5
-    assert {r["size"]: r.n for r in QUERIES["clique_size_counts"](spark, DIR).collect()} == sizes
+    assert {r["size"]: r.n for r in C.clique_counts(f.nodes, f.pairs).collect()} == sizes
+
+
+def test_registered_clique_sizes(spark):
+    """On all suppliers; sizes up to 5 always have a row."""
+    sizes = clique_sizes(Fixture(spark, WIDE, "s"))
+    assert len(sizes) > 2
+    assert {r["size"]: r.n for r in QUERIES["clique_size_counts"](spark, WIDE).collect()} == {k: 0 for k in range(1, 6)} | sizes
 
 
 def test_clique_counts_of_complete_and_empty_graphs(spark):
@@ -60,4 +71,8 @@ def test_percolation_of_sizes_3_to_6(spark):
     f = Fixture(spark, DIR, "g1")
     found = cliques([r.id for r in f.nodes.collect()], [(r.u, r.v) for r in f.pairs.collect()])
     for k in (4, 5, 6):
-        assert communities(QUERIES[f"kclique_communities_{k}"](spark, DIR)) == percolation(found, k)
+        assert communities(M.clique_communities(C.cliques_of_size(f.pairs, k), k)) == percolation(found, k)
+    f = Fixture(spark, WIDE, "s")
+    found = cliques([r.id for r in f.nodes.collect()], [(r.u, r.v) for r in f.pairs.collect()])
+    for k in (4, 5, 6):
+        assert communities(QUERIES[f"kclique_communities_{k}"](spark, WIDE)) == percolation(found, k)
