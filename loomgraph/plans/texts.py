@@ -82,7 +82,7 @@ query("vector_norms", "t", f"SELECT doc_id, ROUND(sqrt(SUM(tf * tf)), 6) AS raw,
 _BOW = ", qq AS (SELECT token, n AS qn FROM (VALUES ('the', 1::BIGINT), ('tion', 2), ('there', 1)) v(token, n) WHERE token IN (SELECT token FROM dtm){stop}), dd AS (SELECT * FROM dtm{where}), nm AS (SELECT doc_id, sqrt(SUM(tf * tf)) AS m FROM dd GROUP BY 1) SELECT doc_id, ROUND(score, 6) AS score, terms FROM (SELECT doc_id, ROUND(SUM(tf * qn) / (MIN(m) * (SELECT sqrt(SUM(qn * qn)) FROM qq)), 9) AS score, string_agg(token, ' ' ORDER BY token) AS terms FROM dd JOIN qq USING (token) JOIN nm USING (doc_id) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8)"
 query("bow_search", "t", _BOW.format(stop="", where=""))(lambda c: T.search(c.dtm, "The tion there tion zzzzzq"))
 query("bow_search_content", "t", _BOW.format(stop=f" AND token NOT IN ({STOP_SQL})", where=f" WHERE token NOT IN ({STOP_SQL})"))(lambda c: T.search(c.dtm, "The tion there tion zzzzzq", without_stop=True))
-query("description_vocab", "t", ", dv AS (SELECT unnest(regexp_extract_all(substr(lower(text), 1, 200), '[a-z]+')) AS w FROM documents) SELECT COUNT(*) AS tokens, COUNT(DISTINCT w) AS types FROM dv")(lambda c: c.docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).agg(F.count("*").alias("tokens"), F.countDistinct("w").alias("types")))
+query("description_vocab", "t", ", dv AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) SELECT COUNT(*) AS tokens, COUNT(DISTINCT w) AS types FROM dv")(lambda c: c.docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).agg(F.count("*").alias("tokens"), F.countDistinct("w").alias("types")))
 _NULLS = ", nu AS (SELECT CAST(r AS INTEGER) AS replica, doc_id % 40 AS key, CAST(SUM((n * (r + 3)) % 97) AS DOUBLE) AS value FROM len, range(20) z(r) GROUP BY 1, 2), bd AS (SELECT key, AVG(value) AS m, stddev_pop(value) AS s, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM nu WHERE replica > 0 GROUP BY 1), ps AS (SELECT nu.key, value < m AS below FROM nu JOIN bd USING (key) WHERE replica = 0)"
 
 
