@@ -51,3 +51,12 @@ def key_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def name_mismatches(nodes: DataFrame) -> DataFrame:
     """Rows whose key with _ for space is not the name."""
     return nodes.where(F.replace("key", F.lit("_"), F.lit(" ")) != F.col("name")).select("id", "key", "name")
+
+
+def sanity_table(ours: DataFrame, published: list[tuple[str, float]], tolerance: float = 1e-6) -> DataFrame:
+    """(name, ours, published, difference, agrees): computed values (name, value) beside published ones; names that only
+    one side has have null on the other and don't agree."""
+    theirs = ours.sparkSession.createDataFrame([(n, float(v)) for n, v in published], "name string, published double")
+    x = ours.select("name", F.col("value").cast("double").alias("ours")).join(theirs, "name", "full")
+    gap = F.col("ours") - F.col("published")
+    return x.select("name", "ours", "published", gap.alias("difference"), F.coalesce(F.abs(gap) <= tolerance, F.lit(False)).alias("agrees"))

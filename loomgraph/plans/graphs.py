@@ -49,6 +49,44 @@ def _(c):
     return c.docs.select("doc_id", "text")
 
 
+@query("scan_corpus_zip", "t", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, COALESCE(text, '') AS text FROM documents")
+def _(c):
+    R.write_corpus_zip(c.docs, path := _put(c, "corpus"))
+    return R.read_corpus_zip(c.spark, path)
+
+
+@query("required_columns", "p", "SELECT 'weight' AS missing")
+def _(c):
+    """The columns that the roster lacks, as the failure names them."""
+    try:
+        R.require_columns(c.nodes, "id", "name", "weight")
+        missing = []
+    except ValueError as e:
+        missing = str(e).removeprefix("missing columns: ").split(";")[0].split(", ")
+    return c.spark.createDataFrame([(m,) for m in missing], "missing string")
+
+
+@query("snapshot_provenance", "s", "SELECT 'frozen snapshot of ' || COUNT(*) || ' nodes' AS provenance FROM nodes")
+def _(c):
+    head = c.nodes.agg(F.concat(F.lit("# frozen snapshot of "), F.count("*").cast("string"), F.lit(" nodes")).alias("value"))
+    head.unionByName(c.nodes.select(F.col("name").alias("value"))).coalesce(1).write.text(path := _put(c, "snapshot"))
+    return c.spark.createDataFrame([(R.snapshot_line(c.spark, path),)], "provenance string")
+
+
+@query("cached_result", "s", "SELECT id, k FROM deg")
+def _(c):
+    """An artefact named by the content of its input: the second call reads what the first one made."""
+    folder, name = _put(c, "cache"), R.content_hash(c.pairs)
+    R.artefact(c.spark, folder, "degree", name, lambda: c.degree)
+    return R.artefact(c.spark, folder, "degree", name, lambda: c.degree.limit(0))
+
+
+@query("json_sink", "s", """SELECT '{"id":' || id || ',"k":' || k || '}' AS value FROM deg""")
+def _(c):
+    R.write_json(c.degree.select("id", "k"), path := _put(c, "json"))
+    return c.spark.read.text(path)
+
+
 @query("scan_attr_map", "s", "SELECT CAST(id AS VARCHAR) AS key, type AS label FROM nodes")
 def _(c):
     c.nodes.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("string"), "type"))).alias("labels")))).coalesce(1).write.text(path := _put(c, "map"))
@@ -83,6 +121,16 @@ query("self_loops", "p", "SELECT COUNT(*) AS loops FROM raw WHERE s = t")(lambda
 query("endpoints_not_in_roster", "p", "SELECT DISTINCT x AS id FROM (SELECT s AS x FROM e UNION SELECT t FROM e) WHERE x NOT IN (SELECT id FROM nodes WHERE size > 10)")(lambda c: V.endpoints_not_in_roster(c.nodes.where("size > 10"), c.edges))
 query("roster_not_in_edges", "s", "SELECT id FROM nodes WHERE id NOT IN (SELECT s FROM e UNION SELECT t FROM e)")(lambda c: V.roster_not_in_edges(c.nodes, c.edges))
 query("graph_identities", "p", "SELECT SUM(i) = (SELECT COUNT(*) FROM e) AS in_sum, SUM(o) = (SELECT COUNT(*) FROM e) AS out_sum, SUM(i + o) = 2 * (SELECT COUNT(*) FROM e) AS degree_sum, abs(AVG(i + o) - 2.0 * (SELECT COUNT(*) FROM e) / COUNT(*)) < 1e-9 AS mean_degree, (SELECT COUNT(*) FROM e) / (COUNT(*) * (COUNT(*) - 1)) <= 1 AS density_bound FROM dio")(lambda c: V.identities(G.degrees(c.nodes, c.edges), G.directed(c.edges)))
+_PUBLISHED = [("isolates", 0.0), ("mean_degree", 100.0), ("nodes", 2000.0), ("density", 0.05)]
+
+
+@query("sanity_table", "p", ", o AS (SELECT 'nodes' AS name, CAST(COUNT(*) AS DOUBLE) AS ours FROM deg UNION ALL SELECT 'isolates', SUM(CASE WHEN k = 0 THEN 1 ELSE 0 END) FROM deg UNION ALL SELECT 'mean_degree', AVG(k) FROM deg), t AS (SELECT * FROM (VALUES ('isolates', 0.0::DOUBLE), ('mean_degree', 100.0), ('nodes', 2000.0), ('density', 0.05)) v(name, published)) SELECT name, ROUND(ours, 6) AS ours, ROUND(published, 6) AS published, ROUND(ours - published, 6) AS difference, COALESCE(abs(ours - published) <= 1e-6, false) AS agrees FROM o FULL JOIN t USING (name)")
+def _(c):
+    """Computed values beside given ones, here of a table of 2,000 parts."""
+    d = c.degree.agg(F.count("*").cast("double").alias("nodes"), F.count_if(F.col("k") == 0).cast("double").alias("isolates"), F.avg("k").alias("mean_degree"))
+    return V.sanity_table(d.unpivot([], ["nodes", "isolates", "mean_degree"], "name", "value"), _PUBLISHED)
+
+
 query("key_set_equality", "p", "SELECT (SELECT COUNT(*) FROM nodes WHERE id NOT IN (SELECT doc_id FROM documents)) AS only_left, (SELECT COUNT(*) FROM documents WHERE doc_id NOT IN (SELECT id FROM nodes)) AS only_right, (SELECT COUNT(*) FROM nodes WHERE id IN (SELECT doc_id FROM documents)) AS common")(lambda c: V.key_differences(c.nodes, c.table("documents").select(F.col("doc_id").alias("id")), "id"))
 query("name_mismatch", "p", "SELECT id, replace(name, ' ', '_') || CASE WHEN id % 7 = 0 THEN '!' ELSE '' END AS key, name FROM nodes WHERE id % 7 = 0")(lambda c: V.name_mismatches(c.nodes.withColumn("key", F.concat(F.replace("name", F.lit(" "), F.lit("_")), F.when(F.col("id") % 7 == 0, "!").otherwise("")))))
 

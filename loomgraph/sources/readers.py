@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import io
+import uuid
 import zipfile
 from collections.abc import Callable
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,28 @@ def read_corpus_zip(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(entries, "doc_id string, text string")
 
 
+def write_corpus_zip(docs: DataFrame, folder: str, archives: int = 8) -> None:
+    """Write (doc_id, text) as zip archives of .txt files named by URL-encoded ids, in a folder that workers and driver
+    share; null texts are empty files. Each attempt of a task writes a file of its own under a hidden name, which takes its
+    place when it is whole."""
+
+    def pack(key, table):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for i, t in zip(table["doc_id"].to_pylist(), table["text"].to_pylist()):
+                z.writestr(f"{quote(str(i), safe='')}.txt", (t or "").encode())
+        where, path = fs.FileSystem.from_uri(folder)
+        where.create_dir(path, recursive=True)
+        name = f"{path.rstrip('/')}/{key[0].as_py():05d}.zip"
+        with where.open_output_stream(hidden := f"{path.rstrip('/')}/.{uuid.uuid4().hex}", compression=None) as f:
+            f.write(out.getvalue())
+        where.move(hidden, name)
+        return pa.table({"n": pa.array([table.num_rows], pa.int64())})
+
+    dealt = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(archives)).cast("int").alias("archive"))
+    dealt.groupBy("archive").applyInArrow(pack, "n long").agg(F.sum("n")).collect()
+
+
 def read_attr_map(spark: SparkSession, path: str, field: str) -> DataFrame:
     """(key, label) from a JSON document with one object of single labels."""
     text = spark.read.text(path, wholetext=True)
@@ -86,6 +110,12 @@ def write_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
 
 
+def content_hash(df: DataFrame) -> str:
+    """A name for the rows of df, whatever their order: their number and the sum of their hashes, in one aggregation."""
+    row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
+    return f"{','.join(df.columns)}:{row.n}:{row.h}"
+
+
 def artefact(spark: SparkSession, folder: str, name: str, inputs: str, make: Callable[[], DataFrame], fresh: bool = False) -> DataFrame:
     """A Parquet artefact named by a hash of its inputs: made once, then read; fresh makes it anew."""
     path = f"{folder.rstrip('/')}/{name}-{hashlib.sha1(inputs.encode()).hexdigest()[:16]}"
