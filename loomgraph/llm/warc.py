@@ -1,7 +1,7 @@
 """WARC archives, index first: offset, length, URL and digest of every record are written, then sorted byte ranges of
 the selected records are coalesced into few reads.
 
-Records are gzip members of their own (WARC/1.1). Equal payloads are found by SHA-1: the smallest page id holds the
+Records are gzip members of their own (WARC/1.1). Equal payloads are found by SHA-1, length and a second hash: the smallest page id holds the
 response, others are revisits of it. Files have names of their own for each attempt of a task and are only found
 through the written index, so a repeated or lost task leaves at most an unused file.
 """
@@ -66,12 +66,20 @@ def _write(folder: str, level: int):
     def run(batches):
         name = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}"
         out, at, k, rows = None, 0, 0, []
+
+        def index():
+            """The rows of a file, once it is closed."""
+            for i in range(0, len(rows), 10_000):
+                yield pa.RecordBatch.from_pylist([dict(zip(_INDEX_ARROW.names, x)) for x in rows[i : i + 10_000]], schema=_INDEX_ARROW)
+            rows.clear()
+
         try:
             for batch in batches:
                 for r in batch.to_pylist():
                     if out is None or at >= _ROLL:
                         if out is not None:
                             out.close()
+                            yield from index()
                         file, at, k = f"{name}-{k:04d}.warc.gz", 0, k + 1
                         out = open_uri(file, "w")
                     payload = (r["html"] or "").encode()
@@ -85,8 +93,7 @@ def _write(folder: str, level: int):
         finally:
             if out is not None:
                 out.close()
-        for i in range(0, len(rows), 10_000):  # only once the files are closed
-            yield pa.RecordBatch.from_pylist([dict(zip(("file", "offset", "length", "url", "digest", "page_id", "record_type"), x)) for x in rows[i : i + 10_000]], schema=_INDEX_ARROW)
+        yield from index()
 
     return run
 
@@ -106,9 +113,10 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     folder = folder or new_path(spark, "warc")
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    pages = pages.withColumn("sha1", F.sha1(payload))
-    firsts = pages.where(F.length(payload) >= min_revisit_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    ready = pages.join(firsts, "sha1", "left").select("page_id", "url", "html", "sha1", "first")
+    same = ["sha1", "size", "mark"]  # SHA-1 alone has known collisions
+    pages = pages.select("*", F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("size"), F.xxhash64(payload).alias("mark"))
+    firsts = pages.where(F.col("size") >= min_revisit_bytes).groupBy(*same).agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    ready = pages.join(firsts, same, "left").select("page_id", "url", "html", "sha1", "first")
     return written(ready.mapInArrow(_write(folder, level), INDEX), "warc-index")
 
 
@@ -119,27 +127,31 @@ def _read(batches):
         with open_uri(file, "r") as f:
             f.seek(start)
             raw = f.read(run[-1][0] + run[-1][1] - start)
-        rows = []
+        rows, size = [], 0
         for offset, length in run:
+            if size > READ:  # what a range holds uncompressed may be far more than its bytes
+                yield pa.RecordBatch.from_pylist(rows, schema=_READ_ARROW)
+                rows, size = [], 0
             fields, payload = parse(zlib.decompress(raw[offset - start : offset - start + length], 31))
             digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
             if fields["WARC-Type"] == "response" and sha1_base32(payload) != digest:
                 raise ValueError(f"payload of {fields['WARC-Record-ID']} does not have its digest")
+            size += len(payload)
             page, refers = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page")
             rows.append({"page_id": page and int(page), "url": fields["WARC-Target-URI"], "payload": payload, "payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": refers and int(refers)})
-        return pa.RecordBatch.from_pylist(rows, schema=_READ_ARROW)
+        yield pa.RecordBatch.from_pylist(rows, schema=_READ_ARROW)
 
     for batch in batches:
         for r in batch.to_pylist():
             end = run[-1][0] + run[-1][1] if run else 0
             if run and (r["file"] != file or r["offset"] - end > GAP or r["offset"] + r["length"] - start > READ):
-                yield fetch()
+                yield from fetch()
                 run = []
             if not run:
                 file, start = r["file"], r["offset"]
             run.append((r["offset"], r["length"]))
     if run:
-        yield fetch()
+        yield from fetch()
 
 
 _READ_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
