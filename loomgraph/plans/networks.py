@@ -124,8 +124,15 @@ def _orders(c):
     return {"degree": deg, "reverse": list(reversed(deg))}
 
 
-query("removal_curve", "s")(lambda c: C.removal_curves(c.nodes, c.pairs, _orders(c)))
-query("removal_auc", "s")(lambda c: S.curve_area(C.removal_curves(c.nodes, c.pairs, _orders(c)), "step", "fraction", "name"))
+_REMOVAL = (
+    ", po AS (SELECT id, ROW_NUMBER() OVER (ORDER BY k DESC, id) AS f, ROW_NUMBER() OVER (ORDER BY k, id DESC) AS b FROM deg), st AS (SELECT 'degree' AS name, id, f AS pos FROM po UNION ALL SELECT 'reverse', id, b FROM po),"
+    " lv AS (SELECT name, CAST(s AS INTEGER) AS step, id FROM st, range((SELECT COUNT(*) FROM nodes)) z(s) WHERE pos > s),"
+    " rc(name, step, id, x) AS (SELECT name, step, id, id FROM lv UNION SELECT rc.name, rc.step, rc.id, a.v FROM rc JOIN a ON a.u = rc.x JOIN lv ON lv.name = rc.name AND lv.step = rc.step AND lv.id = a.v),"
+    " gs AS (SELECT name, step, MAX(n) AS n FROM (SELECT name, step, c, COUNT(*) AS n FROM (SELECT name, step, id, MIN(x) AS c FROM rc GROUP BY 1, 2, 3) GROUP BY 1, 2, 3) GROUP BY 1, 2),"
+    " cv AS (SELECT name, step, n / (SELECT COUNT(*) FROM nodes) AS y FROM gs UNION ALL SELECT DISTINCT name, (SELECT CAST(COUNT(*) AS INTEGER) FROM nodes), 0.0::DOUBLE FROM st)"
+)
+query("removal_curve", "s", _REMOVAL + " SELECT name, step, ROUND(y, 6) AS fraction FROM cv")(lambda c: C.removal_curves(c.nodes, c.pairs, _orders(c)))
+query("removal_auc", "s", _REMOVAL + " SELECT name, ROUND(SUM(a) / (MAX(step) - MIN(step)), 6) AS area FROM (SELECT name, step, (y + LAG(y) OVER w) / 2 * (step - LAG(step) OVER w) AS a FROM cv WINDOW w AS (PARTITION BY name ORDER BY step)) GROUP BY 1")(lambda c: S.curve_area(C.removal_curves(c.nodes, c.pairs, _orders(c)), "step", "fraction", "name"))
 query("removal_curve_dynamic", "s")(lambda c: C.removal_dynamic(c.nodes, c.pairs))
 query("removal_curve_random", "s")(lambda c: C.removal_random(c.nodes, c.pairs, 50))
 query("centrality_zscores", "s")(lambda c: N.zscores(C.betweenness(c.nodes, c.pairs), N.centrality_null(c.nodes, c.pairs, 40), "betweenness"))
@@ -176,7 +183,14 @@ _NMI = "SELECT {k} ROUND(CASE WHEN h > 1e-12 THEN 2 * i / h ELSE 1 END, 6) AS nm
 query("nmi", "p", ", ct AS (SELECT label AS x, type AS y, COUNT(*) AS n FROM lab JOIN nodes USING (id) GROUP BY 1, 2) " + _NMI.format(k="", p="", g=""))(lambda c: M.nmi(c.labels, c.nodes.select("id", "type")))
 query("nmi_matrix", "s", ", ct AS (SELECT a1.run AS i, b1.run AS j, a1.label AS x, b1.label AS y, COUNT(*) AS n FROM rr a1 JOIN rr b1 ON a1.id = b1.id AND a1.run < b1.run GROUP BY 1, 2, 3, 4) SELECT i, j, ROUND(CASE WHEN h > 1e-12 THEN 2 * mi / h ELSE 1 END, 6) AS nmi FROM (SELECT i, j, SUM(n / t * ln(n * t / (na * nb))) AS mi, SUM(-n / t * ln(na / t)) + SUM(-n / t * ln(nb / t)) AS h FROM (SELECT i, j, n, SUM(n) OVER (PARTITION BY i, j) AS t, SUM(n) OVER (PARTITION BY i, j, x) AS na, SUM(n) OVER (PARTITION BY i, j, y) AS nb FROM ct) GROUP BY 1, 2)")(lambda c: M.nmi_matrix(c.runs))
 query("metadata_nmi", "s", ", ct AS (SELECT run, label AS x, type AS y, COUNT(*) AS n FROM rr JOIN nodes USING (id) GROUP BY 1, 2, 3) " + _NMI.format(k="run,", p="PARTITION BY run", g="GROUP BY run"))(lambda c: M.nmi_by_run(c.runs, c.nodes.select("id", "type")))
-query("ami", "p")(lambda c: M.ami(c.labels, c.nodes.select("id", "type")))
+_AMI = (
+    ", ct AS (SELECT label AS x, type AS y, COUNT(*) AS n FROM lab JOIN nodes USING (id) GROUP BY 1, 2), ra AS (SELECT x, SUM(n)::DOUBLE AS a FROM ct GROUP BY 1), rb AS (SELECT y, SUM(n)::DOUBLE AS b FROM ct GROUP BY 1), tt AS (SELECT SUM(n)::DOUBLE AS t FROM ct),"
+    " mi AS (SELECT SUM(n / t * ln(n * t / (a * b))) AS i FROM ct JOIN ra USING (x) JOIN rb USING (y), tt), hh AS (SELECT (SELECT -SUM(a / t * ln(a / t)) FROM ra, tt) AS hx, (SELECT -SUM(b / t * ln(b / t)) FROM rb, tt) AS hy),"
+    " ks AS (SELECT a, b, t, unnest(range(CAST(GREATEST(1, a + b - t) AS BIGINT), CAST(LEAST(a, b) AS BIGINT) + 1)) AS k FROM ra, rb, tt),"
+    " em AS (SELECT SUM(k / t * ln(t * k / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(t - a + 1) + lgamma(t - b + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(t - a - b + k + 1))) AS e FROM ks)"
+    " SELECT ROUND(CASE WHEN abs((hx + hy) / 2 - e) > 1e-12 THEN (i - e) / ((hx + hy) / 2 - e) ELSE 1 END, 6) AS ami FROM mi, hh, em"
+)
+query("ami", "p", _AMI)(lambda c: M.ami(c.labels, c.nodes.select("id", "type")))
 query("coassignment", "s", "SELECT x.id AS i, y.id AS j, ROUND(COUNT(*) / 10, 6) AS share FROM rr x JOIN rr y ON x.run = y.run AND x.label = y.label AND x.id < y.id GROUP BY 1, 2")(lambda c: M.coassignment(c.runs))
 query("consensus_partition", "s")(lambda c: M.consensus(c.nodes, M.louvain_runs(c.nodes, c.pairs, 10), 10))
 query("node_stability", "s", ", pr AS (SELECT id, label AS c, COUNT(*) OVER (PARTITION BY label) AS n FROM rr WHERE run = 0) SELECT p.id, ROUND(CASE WHEN n > 1 THEN COALESCE((SELECT SUM(s) FROM (SELECT COUNT(*) / 10 AS s FROM rr x JOIN rr y ON x.run = y.run AND x.label = y.label JOIN pr q ON q.id = y.id WHERE x.id = p.id AND y.id <> p.id AND q.c = p.c GROUP BY y.id)), 0) / (n - 1) END, 6) AS stability FROM pr p")(lambda c: M.stability(c.runs, c.runs.where("run = 0").select("id", "label")))
@@ -193,9 +207,15 @@ query("module_internal_links", "p", ", il AS (SELECT x.label, COUNT(*) AS n FROM
 query("community_splits", "p", ", ct AS (SELECT x.label AS l, y.label AS r, COUNT(*) AS n FROM lab x JOIN rr y ON y.id = x.id AND y.run = 0 GROUP BY 1, 2), cs AS (SELECT *, CAST(SUM(n) OVER (PARTITION BY l) AS BIGINT) AS size FROM ct) SELECT l AS label, size, COUNT(*) AS parts FROM cs WHERE size >= 20 AND n >= 5 AND n * 10 >= size GROUP BY 1, 2 HAVING COUNT(*) >= 2")(lambda c: M.splits(c.labels, c.runs.where("run = 0").select("id", "label")))
 
 
-def _percolation_sql() -> str:
+def _percolation_sql(k: int = 3) -> str:
+    """Cliques of k nodes, chained by k - 1 shared nodes."""
+    cliques = _CL
+    for j in range(4, k + 1):
+        ends = " ".join(f"JOIN ue w{i} ON w{i}.u = n{i} AND w{i}.v = w1.v" for i in range(2, j))
+        cliques += f", k{j} AS (SELECT k{j - 1}.*, w1.v AS n{j} FROM k{j - 1} JOIN ue w1 ON w1.u = n1 AND w1.v > n{j - 1} {ends})"
+    members = ", ".join(f"n{i}" for i in range(1, k + 1))
     return (
-        _CL + ", tr AS (SELECT row_number() OVER (ORDER BY n1, n2, n3) AS t, [n1, n2, n3] AS m FROM k3), tj AS (SELECT x.t AS a, y.t AS b FROM tr x JOIN tr y ON x.t <> y.t AND len(list_intersect(x.m, y.m)) = 2),"
+        cliques + f", tr AS (SELECT row_number() OVER (ORDER BY {members}) AS t, [{members}] AS m FROM k{k}), tj AS (SELECT x.t AS a, y.t AS b FROM tr x JOIN tr y ON x.t <> y.t AND len(list_intersect(x.m, y.m)) = {k - 1}),"
         " tc(t, x) AS (SELECT t, t FROM tr UNION SELECT tc.t, tj.b FROM tc JOIN tj ON tj.a = tc.x), tm AS (SELECT t, MIN(x) AS c FROM tc GROUP BY 1), mem AS (SELECT DISTINCT c, unnest(m) AS id FROM tm JOIN tr USING (t)),"
         " ks AS (SELECT c, COUNT(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS key FROM mem GROUP BY 1), kn AS (SELECT c, ROW_NUMBER() OVER (ORDER BY n DESC, key) - 1 AS community FROM ks)"
     )
@@ -203,7 +223,7 @@ def _percolation_sql() -> str:
 
 query("kclique_communities", "s", _percolation_sql() + " SELECT CAST(community AS INTEGER) AS community, id FROM mem JOIN kn USING (c)")(lambda c: M.clique_communities(C.cliques_of_size(c.pairs, 3), 3))
 for _k in (4, 5, 6):
-    query(f"kclique_communities_{_k}", "s")(lambda c, k=_k: M.clique_communities(C.cliques_of_size(c.pairs, k), k))
+    query(f"kclique_communities_{_k}", "s", _percolation_sql(_k) + " SELECT CAST(community AS INTEGER) AS community, id FROM mem JOIN kn USING (c)")(lambda c, k=_k: M.clique_communities(C.cliques_of_size(c.pairs, k), k))
 query("community_of_member", "s", _percolation_sql() + ", hc AS (SELECT c FROM mem WHERE id = (SELECT MIN(id) FROM mem) ORDER BY c LIMIT 1) SELECT u, v FROM ue WHERE u IN (SELECT id FROM mem WHERE c IN (SELECT c FROM mem WHERE id = (SELECT MIN(id) FROM mem))) AND v IN (SELECT id FROM mem WHERE c IN (SELECT c FROM mem WHERE id = (SELECT MIN(id) FROM mem)))")(
     lambda c: (lambda k: G.induced(c.pairs, k.join(k.join(k.agg(F.min("id").alias("id")), "id").select("community"), "community", "left_semi"), "u", "v"))(M.clique_communities(C.cliques_of_size(c.pairs, 3), 3).persist())
 )
@@ -250,7 +270,7 @@ query("alpha_sweep", "s", _DP + " SELECT alpha, (SELECT COUNT(*) FROM dp WHERE p
 query("alpha_sweep_components", "p")(lambda c: B.alpha_sweep(c.nodes, B.disparity(c.weighted), [i / 1000 for i in range(1, 601)]))
 query("hinges", "p")(lambda c: B.hinges(c.nodes, B.disparity(c.weighted), [i / 1000 for i in range(1, 601)]))
 query("percolation_break", "p")(lambda c: B.percolation_break(B.alpha_sweep(c.nodes, B.disparity(c.weighted), [i / 1000 for i in range(1, 601)])))
-query("breaker_node", "s")(lambda c: B.breaker(c.nodes, c.pairs))
+query("breaker_node", "s", _GIANT + ", z(x, s, v) AS (SELECT x.id, n.id, n.id FROM gi x JOIN gi n ON n.id <> x.id UNION SELECT z.x, z.s, a.v FROM z JOIN a ON a.u = z.v WHERE a.v <> z.x), m AS (SELECT x, s, MIN(v) AS c FROM z GROUP BY 1, 2) SELECT x AS id, COUNT(*) AS pieces, MAX(n) AS largest FROM (SELECT x, c, COUNT(*) AS n FROM m GROUP BY 1, 2) GROUP BY 1 HAVING COUNT(*) > 1 ORDER BY 3, 1 LIMIT 1")(lambda c: B.breaker(c.nodes, c.pairs))
 query("first_alpha", "p", _DP + " SELECT id, ROUND(MIN(p), 6) AS p FROM nodes LEFT JOIN dp ON id = u OR id = v GROUP BY 1")(lambda c: B.first_alpha(c.nodes, B.disparity(c.weighted)))
 query("node_ties", "p", _DP + " SELECT CASE WHEN u = id THEN v ELSE u END AS neighbor, w AS weight, ROUND(p, 6) AS p, p < 0.2 AS kept FROM dp, hub WHERE u = id OR v = id")(lambda c: B.node_ties(B.disparity(c.weighted), c.hub, 0.2))
 query("strength_vs_degree", "p", ", st AS (SELECT id, k, CAST(COALESCE(SUM(w), 0) AS BIGINT) AS s FROM deg LEFT JOIN uw ON id = u OR id = v GROUP BY 1, 2) SELECT ROUND(corr(a1, b1), 6) AS rho, COUNT(*) AS n FROM (SELECT RANK() OVER (ORDER BY k) + (COUNT(*) OVER (PARTITION BY k) - 1) / 2.0 AS a1, RANK() OVER (ORDER BY s) + (COUNT(*) OVER (PARTITION BY s) - 1) / 2.0 AS b1 FROM st)")(lambda c: S.spearman(G.strength(c.nodes, c.weighted).join(c.degree, "id"), "k", "s"))
