@@ -4,19 +4,23 @@ A bounded sample of labelled rows gives the examples. Every word of theirs, and
 vocabulary is not cut. A term's inverse document frequency is scaled by how far its share differs between the labels
 (the root of the chi-square statistic), since plain TF-IDF neighbours hardly tell the labels apart. Texts are scored where
 they are read, by distance-weighted votes of their nearest examples, calibrated on the examples scored by each other.
-Nothing but the fitted index is broadcast; it holds one posting for each distinct term of each sampled example.
+The index is built by one task and written to the shared folder, where each worker opens it once; it holds one posting
+for each distinct term of each sampled example, and never passes through the driver.
 """
 
 from __future__ import annotations
 
+import functools
+import pickle
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import LETTERS, hash_words, partitions, small_batches, written
+from loomgraph.llm.common import LETTERS, hash_words, new_path, open_uri, partitions, small_batches, written
 
 #: Texts searched together, and postings of theirs read together; both bound a worker.
 _GROUP, _POSTINGS = 128, 1 << 18
@@ -160,7 +164,8 @@ def probability(votes: np.ndarray, slope: float, offset: float) -> np.ndarray:
 
 
 class KnnModel:
-    """Examples, term weights and calibration; score() gives votes and the evidence for them."""
+    """Examples, term weights and calibration; score() gives votes and the evidence for them. A fitted model on the driver
+    has the calibration and the file of the examples only."""
 
     def __init__(self, how: Knn, examples: list[tuple]):
         """examples: (label, id, row, term hashes, counts)."""
@@ -177,7 +182,8 @@ class KnnModel:
         self.weight = np.log((n + 1) / np.maximum(df, 1)) * (0.05 + apart * df / (df + how.doubt)) ** how.contrast
         self.share = (n1 + 0.5) / (n + 1) if n1 else 0.0
         self.index = BlockMaxIndex(n, len(self.vocab), owner, term, self._unit(owner, term, count, n), how.block, how.often)
-        self.slope, self.offset, self.shared = 8.0, -4.0, None
+        self.place = {e[2]: i for i, e in enumerate(examples)}
+        self.slope, self.offset, self.file = 8.0, -4.0, None
 
     def _unit(self, owner, term, count, n):
         """Weights of length 1 for each owner."""
@@ -204,15 +210,6 @@ class KnnModel:
         if np.isfinite(b).all() and b[0] > 0:
             self.slope, self.offset = map(float, b)
 
-    def share_out(self, spark: SparkSession):
-        """The model as a broadcast, made once."""
-        if self.shared is None:
-            self.shared = spark.sparkContext.broadcast(self)
-        return self.shared
-
-    def __getstate__(self):
-        return {**self.__dict__, "shared": None}
-
     def vectors(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """at, term, weight of some texts: their terms that an example has too, at length 1."""
         return self.known(len(texts), *term_counts(texts, self.how.prefixes))
@@ -259,25 +256,49 @@ def fit(docs: DataFrame, labels: DataFrame, how: Knn = Knn(), id_col: str = "doc
     terms.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     spark = docs.sparkSession
     rows = texts.select("y", "id", F.monotonically_increasing_id().alias("row"), F.arrow_udf(terms, "struct<h:binary,n:binary>")("text").alias("t"))
-    rows = written(rows, "labelled-terms")
-    held = rows.collect()
-    model = KnnModel(how, [(r.y, r.id, r.row, np.frombuffer(r.t.h, np.uint64), np.frombuffer(r.t.n, "<u4").astype(np.float64)) for r in held])
-    number = {row: i for i, (_, _, row) in enumerate(sorted((r.y, r.id, r.row) for r in held))}
-    shared = model.share_out(spark)
+    rows, folder = written(rows, "labelled-terms"), new_path(spark, "toxicity-index")
+
+    def build(batches):
+        held = [(r["y"], r["id"], r["row"], *counted(r["t"])) for batch in batches for r in batch.to_pylist()]
+        if held:
+            with open_uri(file := f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                pickle.dump(KnnModel(how, held), f)
+            yield pa.RecordBatch.from_arrays([pa.array([file])], names=["file"])
+
+    model = KnnModel(how, [])
+    for r in rows.coalesce(1).mapInArrow(build, "file string").collect():
+        model.file = r.file
 
     def votes(batches):
         for batch in batches:
-            for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h, n = np.frombuffer(t["h"], np.uint64), np.frombuffer(t["n"], "<u4")
-                vote = shared.value.votes(*shared.value.known(1, np.zeros(len(h), np.int64), h, n), np.array([number[row]]))[0]
-                yield pa.RecordBatch.from_arrays([pa.array([number[row]], pa.int64()), pa.array(vote)], names=["number", "vote"])
+            for y, row, t in zip(*(c.to_pylist() for c in batch.columns)):
+                (h, n), index = counted(t), opened(model)
+                vote = index.votes(*index.known(1, np.zeros(len(h), np.int64), h, n), np.array([index.place[row]]))[0]
+                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([row], pa.int64()), pa.array(vote)], names=["y", "row", "vote"])
 
     # each example is scored by the others, spread over tasks
-    found = sorted(rows.select("row", "t").repartition(partitions(spark), "row").mapInArrow(votes, "number long, vote double").collect())
-    model.calibrate(np.array([r.vote for r in found]), model.labels)
+    found = rows.select("y", "row", "t").repartition(partitions(spark), "row").mapInArrow(votes, "y int, row long, vote double").orderBy("y", "row").collect()
+    model.calibrate(np.array([r.vote for r in found]), np.array([r.y for r in found], np.float64))
     return model
 
 
+def counted(t: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Term hashes and counts of a row of the written examples."""
+    return np.frombuffer(t["h"], np.uint64), np.frombuffer(t["n"], "<u4").astype(np.float64)
+
+
+@functools.lru_cache(maxsize=1)
+def _index(file: str) -> KnnModel:
+    """One for each worker process."""
+    with open_uri(file, "r") as f:
+        return pickle.loads(f.read())
+
+
+def opened(model: KnnModel) -> KnnModel:
+    """The examples behind a fitted model; itself where there are none."""
+    return _index(model.file) if model.file else model
+
+
 def with_toxicity(docs: DataFrame, model: KnnModel, text_col: str = "text", into: str = "toxicity") -> DataFrame:
     """docs with a struct column `into`: score (0 to 1), and as evidence the nearest examples' ids and cosines.
 
@@ -285,14 +306,13 @@ def with_toxicity(docs: DataFrame, model: KnnModel, text_col: str = "text", into
     examples. All rows are kept, and all columns but one of the name `into`.
     """
     small_batches(docs.sparkSession)
-    shared, slope, offset = model.share_out(docs.sparkSession), model.slope, model.offset
 
     def score(texts: pa.Array) -> pa.Array:
         once = texts.dictionary_encode()  # equal texts of a batch are scored once
-        votes, q, ids, sims = shared.value.score(once.dictionary.to_pylist() + [None])
+        votes, q, ids, sims = opened(model).score(once.dictionary.to_pylist() + [None])
         at = np.searchsorted(q, np.arange(len(votes) + 1))
         found = pa.StructArray.from_arrays(
-            [pa.array(probability(votes, slope, offset)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sims))],
+            [pa.array(probability(votes, model.slope, model.offset)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sims))],
             names=["score", "examples", "cosines"],
         )
         return found.take(once.indices.fill_null(len(votes) - 1))
