@@ -4,15 +4,15 @@ A bounded sample of labelled rows gives the examples. Every word of theirs, and
 vocabulary is not cut. A term's inverse document frequency is scaled by how far its share differs between the labels
 (the root of the chi-square statistic), since plain TF-IDF neighbours hardly tell the labels apart. Texts are scored where
 they are read, by distance-weighted votes of their nearest examples, calibrated on the examples scored by each other.
-The index is built by one task and written to the shared folder, where each worker opens it once; it holds one posting
+The index is built by one task and written to the shared folder, where each task opens it; it holds one posting
 for each distinct term of each sampled example, and never passes through the driver.
 """
 
 from __future__ import annotations
 
-import functools
 import pickle
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -270,9 +270,10 @@ def fit(docs: DataFrame, labels: DataFrame, how: Knn = Knn(), id_col: str = "doc
         model.file = r.file
 
     def votes(batches):
+        index = opened(model)
         for batch in batches:
             for y, row, t in zip(*(c.to_pylist() for c in batch.columns)):
-                (h, n), index = counted(t), opened(model)
+                h, n = counted(t)
                 vote = index.votes(*index.known(1, np.zeros(len(h), np.int64), h, n), np.array([index.place[row]]))[0]
                 yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([row], pa.int64()), pa.array(vote)], names=["y", "row", "vote"])
 
@@ -287,16 +288,12 @@ def counted(t: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(t["h"], np.uint64), np.frombuffer(t["n"], "<u4").astype(np.float64)
 
 
-@functools.lru_cache(maxsize=1)
-def _index(file: str) -> KnnModel:
-    """One for each worker process."""
-    with open_uri(file, "r") as f:
-        return pickle.loads(f.read())
-
-
 def opened(model: KnnModel) -> KnnModel:
-    """The examples behind a fitted model; itself where there are none."""
-    return _index(model.file) if model.file else model
+    """The examples behind a fitted model; itself where there are none. A task opens them once and drops them at its end."""
+    if not model.file:
+        return model
+    with open_uri(model.file, "r") as f:
+        return pickle.loads(f.read())
 
 
 def with_toxicity(docs: DataFrame, model: KnnModel, text_col: str = "text", into: str = "toxicity") -> DataFrame:
@@ -307,15 +304,15 @@ def with_toxicity(docs: DataFrame, model: KnnModel, text_col: str = "text", into
     """
     small_batches(docs.sparkSession)
 
-    def score(texts: pa.Array) -> pa.Array:
-        once = texts.dictionary_encode()  # equal texts of a batch are scored once
-        votes, q, ids, sims = opened(model).score(once.dictionary.to_pylist() + [None])
-        at = np.searchsorted(q, np.arange(len(votes) + 1))
-        found = pa.StructArray.from_arrays(
-            [pa.array(probability(votes, model.slope, model.offset)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sims))],
-            names=["score", "examples", "cosines"],
-        )
-        return found.take(once.indices.fill_null(len(votes) - 1))
-
-    score.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    def score(batches):
+        index = opened(model)
+        for texts in batches:
+            once = texts.dictionary_encode()  # equal texts of a batch are scored once
+            votes, q, ids, sims = index.score(once.dictionary.to_pylist() + [None])
+            at = pa.array(np.searchsorted(q, np.arange(len(votes) + 1)), pa.int32())
+            evidence = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (ids, sims)]
+            found = pa.StructArray.from_arrays([pa.array(probability(votes, model.slope, model.offset)), *evidence], names=["score", "examples", "cosines"])
+            yield found.take(once.indices.fill_null(len(votes) - 1))
+
+    score.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return docs.withColumn(into, F.arrow_udf(score, "struct<score:double,examples:array<long>,cosines:array<double>>")(F.col(text_col).cast("string")))
