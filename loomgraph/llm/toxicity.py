@@ -277,8 +277,8 @@ def fit(docs: DataFrame, labels: DataFrame, how: Knn = Knn(), id_col: str = "doc
                 vote = index.votes(*index.known(1, np.zeros(len(h), np.int64), h, n), np.array([index.place[row]]))[0]
                 yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([row], pa.int64()), pa.array(vote)], names=["y", "row", "vote"])
 
-    # each example is scored by the others, spread over tasks
-    found = rows.select("y", "row", "t").repartition(partitions(spark), "row").mapInArrow(votes, "y int, row long, vote double").orderBy("y", "row").collect()
+    # each example is scored by the others, spread over tasks; sorted here, as sorting in Spark would compute them twice
+    found = sorted(rows.select("y", "row", "t").repartition(partitions(spark), "row").mapInArrow(votes, "y int, row long, vote double").collect())
     model.calibrate(np.array([r.vote for r in found]), np.array([r.y for r in found], np.float64))
     return model
 
