@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm import ann, langid, quality, toxicity
 from loomgraph.llm.common import held_out
 from loomgraph.llm.decontaminate import with_matches
+from loomgraph.llm.merkle import MANIFEST_SQL, dataset_manifest
 from loomgraph.llm.mixing import PRODUCTION, mix_sources, mixing_sql
 from loomgraph.llm.simhash import simhash_components
 from loomgraph.llm.substring_dedup import substring_dedup
@@ -103,6 +104,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), score.alias("score"), (score >= TOXIC).cast("int").alias("predicted"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -114,10 +119,12 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle": op11_merkle,
 }
 
 #: Words, windows, digests and payload records that SQL can express.
 SQL = {
+    "op11_merkle": MANIFEST_SQL,
     "op1_mixing": mixing_sql(PRODUCTION),
     "op2_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
