@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import ann, langid, quality, toxicity
+from loomgraph.llm.ballkmeans import clustered, kmeans_sql
 from loomgraph.llm.common import held_out
 from loomgraph.llm.decontaminate import with_matches
 from loomgraph.llm.merkle import MANIFEST_SQL, dataset_manifest
@@ -108,6 +109,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_ballkmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -120,11 +125,13 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
     "op11_merkle": op11_merkle,
+    "op12_ballkmeans": op12_ballkmeans,
 }
 
 #: Words, windows, digests and payload records that SQL can express.
 SQL = {
     "op11_merkle": MANIFEST_SQL,
+    "op12_ballkmeans": kmeans_sql(),
     "op1_mixing": mixing_sql(PRODUCTION),
     "op2_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
