@@ -16,6 +16,7 @@ from loomgraph.llm.common import held_out
 from loomgraph.llm.decontaminate import with_matches
 from loomgraph.llm.merkle import MANIFEST_SQL, dataset_manifest
 from loomgraph.llm.mixing import PRODUCTION, mix_sources, mixing_sql
+from loomgraph.llm.ngramjoin import JOIN_SQL, ngram_components
 from loomgraph.llm.simhash import simhash_components
 from loomgraph.llm.substring_dedup import substring_dedup
 from loomgraph.llm.token_store import read_documents, write_tokens
@@ -113,6 +114,10 @@ def op12_ballkmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(table(spark, sf_dir, "embeddings"))
 
 
+def op13_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -126,12 +131,14 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_merkle": op11_merkle,
     "op12_ballkmeans": op12_ballkmeans,
+    "op13_ngramjoin": op13_ngramjoin,
 }
 
 #: Words, windows, digests and payload records that SQL can express.
 SQL = {
     "op11_merkle": MANIFEST_SQL,
     "op12_ballkmeans": kmeans_sql(),
+    "op13_ngramjoin": JOIN_SQL,
     "op1_mixing": mixing_sql(PRODUCTION),
     "op2_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
