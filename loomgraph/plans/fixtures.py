@@ -134,8 +134,8 @@ class Fixture:
 
 _PARTS = """
 nodes AS (SELECT p_partkey AS id, p_name AS name, p_type AS type, p_brand AS brand, p_size AS size FROM part),
-l AS (SELECT l_orderkey AS o, l_partkey AS p, MIN(l_extendedprice) AS x, CAST(SUM(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1, 2),
-e AS (SELECT a.p AS s, b.p AS t, CAST(SUM(a.q) AS BIGINT) AS w FROM l a JOIN l b ON a.o = b.o AND a.p <> b.p AND a.x < b.x GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT l_orderkey AS o, l_partkey AS p, MIN(l_extendedprice) AS x, CAST(SUM(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a.p AS s, b.p AS t, CAST(SUM(a.q) AS BIGINT) AS w FROM l a JOIN l b ON a.o = b.o AND a.p <> b.p AND a.x < b.x GROUP BY 1, 2),
 raw AS (SELECT a.l_partkey AS s, b.l_partkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_extendedprice < b.l_extendedprice),"""
 _SUPPLIERS = """
 nodes AS (SELECT s_suppkey AS id, s_name AS name, n_name AS type, 'Region#' || n_regionkey AS brand, CAST(((CAST(floor(s_acctbal) AS BIGINT) % 50) + 50) % 50 + 1 AS INTEGER) AS size FROM supplier JOIN nation ON n_nationkey = s_nationkey),
@@ -144,11 +144,11 @@ met AS MATERIALIZED (SELECT a.p AS s, b.p AS t, COUNT(*) AS w FROM l a JOIN l b
 e AS MATERIALIZED (SELECT s, t, w FROM met WHERE w > (SELECT AVG(w) + 2 * stddev_pop(w) FROM met)),
 raw AS (SELECT a.l_suppkey AS s, b.l_suppkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_extendedprice < b.l_extendedprice),"""
 _GRAPH = """
-ue AS (SELECT DISTINCT LEAST(s, t) AS u, GREATEST(s, t) AS v FROM e),
-uw AS (SELECT LEAST(s, t) AS u, GREATEST(s, t) AS v, CAST(SUM(w) AS BIGINT) AS w FROM e GROUP BY 1, 2),
-a AS (SELECT u, v FROM ue UNION ALL SELECT v, u FROM ue),
-deg AS (SELECT id, COUNT(v) AS k FROM nodes LEFT JOIN a ON u = id GROUP BY 1),
-dio AS (SELECT id, (SELECT COUNT(*) FROM e WHERE t = id) AS i, (SELECT COUNT(*) FROM e WHERE s = id) AS o FROM nodes),
+ue AS MATERIALIZED (SELECT DISTINCT LEAST(s, t) AS u, GREATEST(s, t) AS v FROM e),
+uw AS MATERIALIZED (SELECT LEAST(s, t) AS u, GREATEST(s, t) AS v, CAST(SUM(w) AS BIGINT) AS w FROM e GROUP BY 1, 2),
+a AS MATERIALIZED (SELECT u, v FROM ue UNION ALL SELECT v, u FROM ue),
+deg AS MATERIALIZED (SELECT id, COUNT(v) AS k FROM nodes LEFT JOIN a ON u = id GROUP BY 1),
+dio AS (SELECT id, COALESCE(i, 0) AS i, COALESCE(o, 0) AS o FROM nodes LEFT JOIN (SELECT t AS id, COUNT(*) AS i FROM e GROUP BY 1) USING (id) LEFT JOIN (SELECT s AS id, COUNT(*) AS o FROM e GROUP BY 1) USING (id)),
 hub AS (SELECT id FROM deg ORDER BY k DESC, id LIMIT 1),
 lst AS (SELECT MAX(u) AS id FROM a),
 lab AS (SELECT id, size % 6 AS label FROM nodes),
@@ -166,9 +166,9 @@ len AS (SELECT d.doc_id, CAST(COALESCE(SUM(tf), 0) AS BIGINT) AS n, COUNT(token)
 
 
 _IND = """,
-gl AS (SELECT l_orderkey AS o, l_partkey AS p, MIN(l_extendedprice) AS x FROM lineitem GROUP BY 1, 2),
+gl AS MATERIALIZED (SELECT l_orderkey AS o, l_partkey AS p, MIN(l_extendedprice) AS x FROM lineitem GROUP BY 1, 2),
 ge AS (SELECT DISTINCT a.p AS s, b.p AS t FROM gl a JOIN gl b ON a.o = b.o AND a.p <> b.p AND a.x < b.x),
-ind AS (SELECT doc_id, (SELECT COUNT(*) FROM ge WHERE t = doc_id) AS k FROM documents)"""
+ind AS (SELECT doc_id, COALESCE(k, 0) AS k FROM documents LEFT JOIN (SELECT t AS doc_id, COUNT(*) AS k FROM ge GROUP BY 1) USING (doc_id))"""
 
 PREFIX = {"s": _SUPPLIERS + _GRAPH, "p": _PARTS + _GRAPH, "t": _text_sql(), "td": _text_sql() + _IND}
 STOP_SQL = ", ".join(f"'{w}'" for w in T.STOP)

@@ -244,7 +244,11 @@ query("ego_link_communities", "s", _LL + " SELECT label, COUNT(*) AS links FROM
 query("weighted_vs_unweighted_movers", "s")(lambda c: (lambda x, y: x.join(M.align(x, y).toDF("id", "weighted"), "id").where("label <> weighted").join(c.degree, "id").orderBy(F.desc("k"), "id"))(M.louvain_runs(c.nodes, c.pairs, 1).select("id", "label").persist(), M.louvain_runs(c.nodes, c.weighted, 1, weight="weight").select("id", "label").persist()))
 query("entity_card", "s", "SELECT hub.id, name, type, k, CAST(COALESCE((SELECT SUM(w) FROM uw WHERE u = hub.id OR v = hub.id), 0) AS BIGINT) AS s, (SELECT COUNT(DISTINCT label) FROM rr WHERE rr.id = hub.id) AS communities, label FROM hub JOIN nodes USING (id) JOIN deg USING (id) JOIN lab USING (id)")(lambda c: c.nodes.where(F.col("id") == c.hub).select("id", "name", "type").join(c.degree, "id").join(G.strength(c.nodes, c.weighted), "id").join(c.runs.groupBy("id").agg(F.countDistinct("label").alias("communities")), "id").join(c.labels, "id"))
 
-_DP = ", en AS (SELECT id AS x, k, CAST(COALESCE(SUM(w), 0) AS BIGINT) AS s FROM deg LEFT JOIN uw ON id = u OR id = v GROUP BY 1, 2), dp AS (SELECT u, v, w, CASE WHEN a1.k = 1 THEN 1.0::DOUBLE ELSE pow(1 - w / a1.s, a1.k - 1) END AS pu, CASE WHEN b1.k = 1 THEN 1.0::DOUBLE ELSE pow(1 - w / b1.s, b1.k - 1) END AS pv, LEAST(CASE WHEN a1.k = 1 THEN 1.0::DOUBLE ELSE pow(1 - w / a1.s, a1.k - 1) END, CASE WHEN b1.k = 1 THEN 1.0::DOUBLE ELSE pow(1 - w / b1.s, b1.k - 1) END) AS p FROM uw JOIN en a1 ON a1.x = u JOIN en b1 ON b1.x = v)"
+#: Strengths, and p-values of both ends of each link; no join has an OR, which would try every pair.
+_ST = ", st AS MATERIALIZED (SELECT id, k, CAST(COALESCE(s, 0) AS BIGINT) AS s FROM deg LEFT JOIN (SELECT id, SUM(w) AS s FROM (SELECT u AS id, w FROM uw UNION ALL SELECT v, w FROM uw) GROUP BY 1) USING (id))"
+_DP = _ST + ", en AS MATERIALIZED (SELECT id AS x, k, s FROM st), dp AS MATERIALIZED (SELECT u, v, w, pu, pv, LEAST(pu, pv) AS p FROM (SELECT u, v, w, CASE WHEN a1.k = 1 THEN 1.0::DOUBLE ELSE pow(1 - w / a1.s, a1.k - 1) END AS pu, CASE WHEN b1.k = 1 THEN 1.0::DOUBLE ELSE pow(1 - w / b1.s, b1.k - 1) END AS pv FROM uw JOIN en a1 ON a1.x = u JOIN en b1 ON b1.x = v))"
+#: Each link from both of its ends.
+_ENDS = ", de AS (SELECT u AS x, v AS y, w, p FROM dp UNION ALL SELECT v, u, w, p FROM dp)"
 query("disparity_pvalues", "p", _DP + " SELECT u, v, w AS weight, ROUND(pu, 6) AS pu, ROUND(pv, 6) AS pv, ROUND(p, 6) AS p FROM dp")(lambda c: B.disparity(c.weighted))
 query("disparity_backbone", "p", _DP + " SELECT u, v, w AS weight, ROUND(p, 6) AS p FROM dp WHERE p < 0.2")(lambda c: B.kept(B.disparity(c.weighted), 0.2).select("u", "v", "weight", "p"))
 _ALPHAS = (0.05, 0.1, 0.2, 0.3, 0.5)
@@ -271,9 +275,9 @@ query("alpha_sweep_components", "p")(lambda c: B.alpha_sweep(c.nodes, B.disparit
 query("hinges", "p")(lambda c: B.hinges(c.nodes, B.disparity(c.weighted), [i / 1000 for i in range(1, 601)]))
 query("percolation_break", "p")(lambda c: B.percolation_break(B.alpha_sweep(c.nodes, B.disparity(c.weighted), [i / 1000 for i in range(1, 601)])))
 query("breaker_node", "s", _GIANT + ", z(x, s, v) AS (SELECT x.id, n.id, n.id FROM gi x JOIN gi n ON n.id <> x.id UNION SELECT z.x, z.s, a.v FROM z JOIN a ON a.u = z.v WHERE a.v <> z.x), m AS (SELECT x, s, MIN(v) AS c FROM z GROUP BY 1, 2) SELECT x AS id, COUNT(*) AS pieces, MAX(n) AS largest FROM (SELECT x, c, COUNT(*) AS n FROM m GROUP BY 1, 2) GROUP BY 1 HAVING COUNT(*) > 1 ORDER BY 3, 1 LIMIT 1")(lambda c: B.breaker(c.nodes, c.pairs))
-query("first_alpha", "p", _DP + " SELECT id, ROUND(MIN(p), 6) AS p FROM nodes LEFT JOIN dp ON id = u OR id = v GROUP BY 1")(lambda c: B.first_alpha(c.nodes, B.disparity(c.weighted)))
-query("node_ties", "p", _DP + " SELECT CASE WHEN u = id THEN v ELSE u END AS neighbor, w AS weight, ROUND(p, 6) AS p, p < 0.2 AS kept FROM dp, hub WHERE u = id OR v = id")(lambda c: B.node_ties(B.disparity(c.weighted), c.hub, 0.2))
-query("strength_vs_degree", "p", ", st AS (SELECT id, k, CAST(COALESCE(SUM(w), 0) AS BIGINT) AS s FROM deg LEFT JOIN uw ON id = u OR id = v GROUP BY 1, 2) SELECT ROUND(corr(a1, b1), 6) AS rho, COUNT(*) AS n FROM (SELECT RANK() OVER (ORDER BY k) + (COUNT(*) OVER (PARTITION BY k) - 1) / 2.0 AS a1, RANK() OVER (ORDER BY s) + (COUNT(*) OVER (PARTITION BY s) - 1) / 2.0 AS b1 FROM st)")(lambda c: S.spearman(G.strength(c.nodes, c.weighted).join(c.degree, "id"), "k", "s"))
+query("first_alpha", "p", _DP + _ENDS + " SELECT id, ROUND(MIN(p), 6) AS p FROM nodes LEFT JOIN de ON id = x GROUP BY 1")(lambda c: B.first_alpha(c.nodes, B.disparity(c.weighted)))
+query("node_ties", "p", _DP + _ENDS + " SELECT y AS neighbor, w AS weight, ROUND(p, 6) AS p, p < 0.2 AS kept FROM de JOIN hub ON id = x")(lambda c: B.node_ties(B.disparity(c.weighted), c.hub, 0.2))
+query("strength_vs_degree", "p", _ST + " SELECT ROUND(corr(a1, b1), 6) AS rho, COUNT(*) AS n FROM (SELECT RANK() OVER (ORDER BY k) + (COUNT(*) OVER (PARTITION BY k) - 1) / 2.0 AS a1, RANK() OVER (ORDER BY s) + (COUNT(*) OVER (PARTITION BY s) - 1) / 2.0 AS b1 FROM st)")(lambda c: S.spearman(G.strength(c.nodes, c.weighted).join(c.degree, "id"), "k", "s"))
 query("backbone_layout", "s", _DP + ", bn AS (SELECT u AS id FROM dp WHERE p < 0.2 UNION SELECT v FROM dp WHERE p < 0.2), pos AS (SELECT id, cos(2 * pi() * (ROW_NUMBER() OVER (ORDER BY id) - 1) / COUNT(*) OVER ()) AS x, sin(2 * pi() * (ROW_NUMBER() OVER (ORDER BY id) - 1) / COUNT(*) OVER ()) AS y FROM bn), br AS (SELECT n.id, SUM(w * x) / SUM(w) AS x, SUM(w * y) / SUM(w) AS y FROM nodes n JOIN uw ON n.id = u OR n.id = v JOIN pos ON pos.id = CASE WHEN n.id = u THEN v ELSE u END WHERE n.id NOT IN (SELECT id FROM bn) GROUP BY 1) SELECT id, ROUND(x, 6) + 0.0::DOUBLE AS x, ROUND(y, 6) + 0.0::DOUBLE AS y, 'backbone' AS part FROM pos UNION ALL SELECT nodes.id, ROUND(COALESCE(x, 0), 6) + 0.0::DOUBLE, ROUND(COALESCE(y, 0), 6) + 0.0::DOUBLE, 'rest' FROM nodes LEFT JOIN br USING (id) WHERE nodes.id NOT IN (SELECT id FROM bn)")(lambda c: B.backbone_layout(c.nodes, c.weighted, B.kept(B.disparity(c.weighted), 0.2)))
 query("community_colors", "p", "SELECT label, CASE WHEN n >= 20 AND r <= 10 THEN ['#4477aa', '#ee6677', '#228833', '#ccbb44', '#66ccee', '#aa3377', '#bbbbbb', '#000000', '#ee8866', '#44bb99'][r] ELSE '#999999' END AS color FROM (SELECT label, COUNT(*) AS n, CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, MIN(id)) AS INTEGER) AS r FROM lab GROUP BY 1)")(
     lambda c: c.labels.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("least")).withColumn("r", F.row_number().over(W.orderBy(F.desc("n"), "least"))).select("label", F.when((F.col("n") >= 20) & (F.col("r") <= 10), F.try_element_at(F.array(*map(F.lit, PALETTE)), "r")).otherwise("#999999").alias("color"))
