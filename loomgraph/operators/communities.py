@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.checkpoints import checkpointed
 from loomgraph.operators import kernels as K
 from loomgraph.operators.components import components
+from loomgraph.operators.forest import spanning_forest
 from loomgraph.operators.graph import both_ways, degree_of
 from loomgraph.operators.local import bounded, local, spread
 
@@ -221,19 +222,38 @@ def edge_similarity(pairs: DataFrame) -> DataFrame:
     return wedge.join(j, ["a", "b"]).select("k", "a", "b", "similarity")
 
 
-def link_communities(nodes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(u, v, label) at the cut of largest partition density, and the curve (similarity, density)."""
-    spark = nodes.sparkSession
-    g = local(nodes, pairs)
-    links = list(zip(g.u.tolist(), g.v.tolist()))
-    number = {e: i for i, e in enumerate(links)}
-    sims = bounded(edge_similarity(pairs), "pairs of links", 20_000_000).toPandas()
-    at = lambda a: np.searchsorted(g.ids, a).tolist()
-    key = lambda a, b: number[(min(a, b), max(a, b))]
-    rows = [(s, key(a, k), key(b, k)) for k, a, b, s in zip(at(sims["k"]), at(sims["a"]), at(sims["b"]), sims["similarity"].tolist())]
-    curve, labels, _ = K.links_sweep(rows, links)
-    out = [(int(g.ids[a]), int(g.ids[b]), c) for (a, b), c in zip(links, labels)]
-    return spark.createDataFrame(out, "u long, v long, label int"), spark.createDataFrame([(float(s), float(d)) for s, d in curve], "similarity double, density double")
+def link_forest(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The dendrogram of links by falling similarity as a spanning forest over numbered links: (u, v, d) with d = 1 -
+    similarity; the links (link, u, v); and the similarities that occur, each once, falling."""
+    links = checkpointed(pairs.select("u", "v").withColumn("link", F.monotonically_increasing_id()))
+    a, b = links.toDF("x1", "y1", "l1"), links.toDF("x2", "y2", "l2")
+    sims = checkpointed(edge_similarity(pairs))
+    near = sims.select((1 - F.col("similarity")).alias("d"), F.least("a", "k").alias("x1"), F.greatest("a", "k").alias("y1"), F.least("b", "k").alias("x2"), F.greatest("b", "k").alias("y2"))
+    near = near.join(a, ["x1", "y1"]).join(b, ["x2", "y2"]).select(F.least("l1", "l2").alias("u"), F.greatest("l1", "l2").alias("v"), "d")
+    return spanning_forest(near, "d"), links, sims.select("similarity").distinct().orderBy(F.desc("similarity"))
+
+
+def link_communities(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v, label) at the cut of largest partition density (ties to the higher similarity), and the curve (similarity,
+    density) of all similarities. Pairs of links stay in Spark; one row a link and one a similarity come to the driver."""
+    spark = pairs.sparkSession
+    forest, links, levels = link_forest(pairs)
+    named = bounded(links, "links").toPandas().sort_values(["u", "v"]).reset_index(drop=True)
+    number = np.argsort(named["link"].to_numpy(), kind="stable")
+    by = named["link"].to_numpy()[number]
+    rows = bounded(forest, "links of a spanning forest").toPandas()
+    at = lambda c: number[np.searchsorted(by, rows[c].to_numpy())].tolist()
+    ends = list(zip(named["u"].tolist(), named["v"].tolist()))
+    curve, labels, _ = K.links_sweep(list(zip((1 - rows["d"]).tolist(), at("u"), at("v"))), ends)
+    every = []
+    for s in bounded(levels, "similarities").toPandas()["similarity"].tolist():
+        if not every or every[-1] - s > 1e-12:
+            every.append(s)
+    # where no link joins, the density stays what it was
+    step = np.searchsorted(-np.array([s for s, _ in curve]), -np.array(every) + 1e-12, side="right") - 1
+    density = np.array([0.0, *(d for _, d in curve)])[step + 1]
+    out = [(a, b, c) for (a, b), c in zip(ends, labels)]
+    return spark.createDataFrame(out, "u long, v long, label int"), spark.createDataFrame(list(zip(every, density.tolist())), "similarity double, density double")
 
 
 def link_community_table(linked: DataFrame, attribute: DataFrame, least: int = 3) -> DataFrame:

@@ -620,7 +620,7 @@ def links_sweep(pairs: list[tuple[float, int, int]], links: list[tuple[int, int]
         return m * (m - (n - 1)) / ((n - 2) * (n - 1)) if n > 2 else 0.0
 
     total, M = 0.0, max(1, len(links))
-    best, curve = (0.0, sets[:], 1.0), []
+    best, curve = (-1.0, sets[:], 1.0), []
     label = list(range(len(links)))
     pairs = sorted(pairs, key=lambda x: -x[0])
     i = 0

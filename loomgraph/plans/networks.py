@@ -228,8 +228,8 @@ query("community_of_member", "s", _percolation_sql() + ", hc AS (SELECT c FROM m
     lambda c: (lambda k: G.induced(c.pairs, k.join(k.join(k.agg(F.min("id").alias("id")), "id").select("community"), "community", "left_semi"), "u", "v"))(M.clique_communities(C.cliques_of_size(c.pairs, 3), 3).persist())
 )
 query("edge_similarity", "s", ", p AS (SELECT u, v FROM a UNION SELECT u, u FROM a), z AS (SELECT u, COUNT(*) AS n FROM p GROUP BY 1), wd AS (SELECT x.v AS k, x.u AS a1, y.u AS b1 FROM a x JOIN a y ON x.v = y.v AND x.u < y.u), cm AS (SELECT f.u AS a1, g.u AS b1, COUNT(*) AS c FROM p f JOIN p g ON f.v = g.v GROUP BY 1, 2) SELECT k, wd.a1 AS a, wd.b1 AS b, ROUND(c / (m.n + o.n - c), 6) AS similarity FROM wd JOIN cm USING (a1, b1) JOIN z m ON m.u = a1 JOIN z o ON o.u = b1")(lambda c: M.edge_similarity(c.pairs))
-query("link_communities", "s")(lambda c: M.link_communities(c.nodes, c.pairs)[0])
-query("link_density_curve", "s")(lambda c: M.link_communities(c.nodes, c.pairs)[1])
+query("link_communities", "s")(lambda c: M.link_communities(c.pairs)[0])
+query("link_density_curve", "s")(lambda c: M.link_communities(c.pairs)[1])
 
 
 def _linked(c):
@@ -270,10 +270,10 @@ query("backbone_stats", "s", _DP + _grid_sql([("0.3", "p < 0.3")]))(lambda c: B.
 query("filter_vs_threshold", "p", _DP + " SELECT id FROM (SELECT u AS id FROM dp WHERE p < 0.2 UNION SELECT v FROM dp WHERE p < 0.2) WHERE id NOT IN (SELECT u FROM dp WHERE w >= 45 UNION SELECT v FROM dp WHERE w >= 45)")(lambda c: (lambda d: (lambda f: f(d.where("p < 0.2")).join(f(d.where("weight >= 45")), "id", "left_anti"))(lambda x: x.select(F.explode(F.array("u", "v")).alias("id")).distinct()))(B.disparity(c.weighted)))
 query("edge_significance_explain", "s", _DP + " SELECT u, v, x AS end, k, s, ROUND(w / s, 6) AS share, ROUND(1 - pow(0.1, 1.0::DOUBLE / (k - 1)), 6) AS needed, CAST(floor((1 - pow(0.1, 1.0::DOUBLE / (k - 1))) * s) + 1 AS BIGINT) AS least_weight FROM dp JOIN en ON x = u OR x = v WHERE k > 1".replace("pow(0.1,", "pow(0.1::DOUBLE,"))(lambda c: B.explain_edges(B.disparity(c.weighted), c.weighted, 0.1))
 _SWEEP = [round(0.05 * i, 2) for i in range(1, 13)]
-query("alpha_sweep", "s", _DP + " SELECT alpha, (SELECT COUNT(*) FROM dp WHERE p < alpha) AS links, (SELECT COUNT(*) FROM (SELECT u FROM dp WHERE p < alpha UNION SELECT v FROM dp WHERE p < alpha)) AS attached FROM (SELECT CAST(round(0.05 * i, 2) AS DOUBLE) AS alpha FROM range(1, 13) z(i))")(lambda c: B.alpha_sweep(c.nodes, B.disparity(c.weighted), _SWEEP).select("alpha", "links", "attached"))
-query("alpha_sweep_components", "p")(lambda c: B.alpha_sweep(c.nodes, B.disparity(c.weighted), [i / 1000 for i in range(1, 601)]))
-query("hinges", "p")(lambda c: B.hinges(c.nodes, B.disparity(c.weighted), [i / 1000 for i in range(1, 601)]))
-query("percolation_break", "p")(lambda c: B.percolation_break(B.alpha_sweep(c.nodes, B.disparity(c.weighted), [i / 1000 for i in range(1, 601)])))
+query("alpha_sweep", "s", _DP + " SELECT alpha, (SELECT COUNT(*) FROM dp WHERE p < alpha) AS links, (SELECT COUNT(*) FROM (SELECT u FROM dp WHERE p < alpha UNION SELECT v FROM dp WHERE p < alpha)) AS attached FROM (SELECT CAST(round(0.05 * i, 2) AS DOUBLE) AS alpha FROM range(1, 13) z(i))")(lambda c: B.alpha_sweep(B.disparity(c.weighted), _SWEEP).select("alpha", "links", "attached"))
+query("alpha_sweep_components", "p")(lambda c: B.alpha_sweep(B.disparity(c.weighted), [i / 1000 for i in range(1, 601)]))
+query("hinges", "p")(lambda c: B.hinges(B.disparity(c.weighted), [i / 1000 for i in range(1, 601)]))
+query("percolation_break", "p")(lambda c: B.percolation_break(B.alpha_sweep(B.disparity(c.weighted), [i / 1000 for i in range(1, 601)])))
 query("breaker_node", "s", _GIANT + ", z(x, s, v) AS (SELECT x.id, n.id, n.id FROM gi x JOIN gi n ON n.id <> x.id UNION SELECT z.x, z.s, a.v FROM z JOIN a ON a.u = z.v WHERE a.v <> z.x), m AS (SELECT x, s, MIN(v) AS c FROM z GROUP BY 1, 2) SELECT x AS id, COUNT(*) AS pieces, MAX(n) AS largest FROM (SELECT x, c, COUNT(*) AS n FROM m GROUP BY 1, 2) GROUP BY 1 HAVING COUNT(*) > 1 ORDER BY 3, 1 LIMIT 1")(lambda c: B.breaker(c.nodes, c.pairs))
 query("first_alpha", "p", _DP + _ENDS + " SELECT id, ROUND(MIN(p), 6) AS p FROM nodes LEFT JOIN de ON id = x GROUP BY 1")(lambda c: B.first_alpha(c.nodes, B.disparity(c.weighted)))
 query("node_ties", "p", _DP + _ENDS + " SELECT y AS neighbor, w AS weight, ROUND(p, 6) AS p, p < 0.2 AS kept FROM de JOIN hub ON id = x")(lambda c: B.node_ties(B.disparity(c.weighted), c.hub, 0.2))

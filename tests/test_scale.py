@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators import backbone as B
 from loomgraph.operators import centrality as C
 from loomgraph.operators import communities as M
+from loomgraph.operators import kernels as K
 from loomgraph.operators import nulls as N
 from loomgraph.operators import stats as S
 from loomgraph.operators import text as T
@@ -191,7 +192,7 @@ def test_sweeps_of_the_backbone(spark):
     scored = spark.createDataFrame([(a, b, p) for (a, b), p in score.items()], "u long, v long, p double")
     ids = [x.id for x in nodes.collect()]
     alphas = [k / 40 for k in range(1, 41)]
-    rows = B.alpha_sweep(nodes, scored, alphas)
+    rows = B.alpha_sweep(scored, alphas)
     want = []
     for alpha in alphas:
         kept = [e for e in links if score[e] < alpha]
@@ -201,7 +202,7 @@ def test_sweeps_of_the_backbone(spark):
     peak = max((w for w in want if w[0] <= 0.5), key=lambda w: (w[4], -w[0]))
     later = [w[0] for w in want if w[0] > peak[0] and w[3] >= 2 * w[4]]
     assert tuple(B.percolation_break(rows).first()) == (peak[0], peak[4], later[0] if later else None)
-    got = {(x.u, x.v): (x.largest, x.joined, x.bridge) for x in B.hinges(nodes, scored, alphas, piece=3).collect()}
+    got = {(x.u, x.v): (x.largest, x.joined, x.bridge) for x in B.hinges(scored, alphas, piece=3).collect()}
     seen, found = [], {}
     for e in sorted((e for e in links if score[e] < 1), key=lambda e: (score[e], e)):
         at = [p for p in parts(ids, seen) for x in e if x in p]
@@ -244,11 +245,13 @@ def test_link_communities(spark):
         return parts(list(range(len(links))), [(i, j) for s, i, j in rows if s >= least - 1e-12])
 
     best = max(density([[links[i] for i in g] for g in groups(s)]) for s in {round(r[0], 12) for r in rows})
-    labels, curve = M.link_communities(nodes, pairs)
+    labels, curve = M.link_communities(pairs)
     got = {}
     for x in labels.collect():
         got.setdefault(x.label, []).append((x.u, x.v))
     assert density(list(got.values())) == pytest.approx(best) == pytest.approx(max(x.density for x in curve.collect()))
+    want, _, _ = K.links_sweep(rows, links)  # over all pairs of links instead of a forest
+    assert [tuple(x) for x in curve.orderBy(F.desc("similarity")).collect()] == [pytest.approx(x) for x in want]
 
 
 def test_shuffles_change_something_and_keep_the_rest(spark):
