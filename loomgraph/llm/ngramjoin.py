@@ -129,9 +129,37 @@ def _dealt(parts: int):
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """One part -> (key, tally): how many of a set's grams another set holds too."""
-    blob = lambda c, t: np.frombuffer(b"".join(table[c].to_pylist()), t)
+def _blobs(table: pa.Table):
+    return lambda c, t: np.frombuffer(b"".join(table[c].to_pylist()), t)
+
+
+def _shared(parts: int):
+    """One part -> rows (part, keys, tallies), one for each part of the keys: how many of a set's grams another set holds
+    too. A row for each (part of the grams, key) would be more than one for each set."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, tally = _held_twice(table)
+        u, at = np.unique(keys, return_inverse=True)
+        n, to = np.bincount(at, tally, len(u)).astype(np.int64), u % parts
+        order = np.argsort(to, kind="stable")
+        u, n, cuts = u[order], n[order], np.searchsorted(to[order], np.arange(parts + 1))
+        full = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+        blob = lambda x: pa.array([x[cuts[p] : cuts[p + 1]].tobytes() for p in full], pa.binary())
+        return pa.table({"part": pa.array(full, pa.int32()), "keys": blob(u), "tallies": blob(n)})
+
+    return run
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """One part of the keys -> (key, tally)."""
+    blob = _blobs(table)
+    u, at = np.unique(blob("keys", np.int64), return_inverse=True)
+    return pa.table({"key": pa.array(u, pa.int64()), "tally": pa.array(np.bincount(at, blob("tallies", np.int64), len(u)).astype(np.int64))})
+
+
+def _held_twice(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and numbers of their grams that another set holds; a key may come again."""
+    blob = _blobs(table)
     grams, owners = blob("grams", np.uint64), blob("owners", np.int64)
     order = np.argsort(grams, kind="stable")
     grams, owners = grams[order], owners[order]
@@ -141,8 +169,7 @@ def _shared(table: pa.Table) -> pa.Table:
         several = (np.minimum.reduceat(owners, first) != np.maximum.reduceat(owners, first)) | (np.minimum.reduceat(np.abs(np.sign(owners)), first) == 0)
         found = owners[np.repeat(several, np.diff(np.append(first, len(grams)))) & (owners != 0)]
         keys, tally = np.concatenate([keys, found]), np.concatenate([tally, np.ones(len(found), np.int64)])
-    u, at = np.unique(keys, return_inverse=True)
-    return pa.table({"key": pa.array(u, pa.int64()), "tally": pa.array(np.bincount(at, tally, len(u)).astype(np.int64))})
+    return keys, tally
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +187,8 @@ def suspects(docs: DataFrame, sets: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = partitions(spark)
     dealt = docs.select("text").mapInArrow(_dealt(parts), "part int, grams binary, owners binary, known binary, tally binary")
-    tallies = dealt.groupBy("part").applyInArrow(_shared, "key long, tally long").groupBy("key").agg(F.sum("tally").alias("tally"))
+    tallies = dealt.groupBy("part").applyInArrow(_shared(parts), "part int, keys binary, tallies binary")
+    tallies = tallies.groupBy("part").applyInArrow(_summed, "key long, tally long")
     left = sets.join(tallies, "key", "left").where(5 * (F.col("n_first") - F.coalesce("tally", F.lit(0))) <= F.col("n")).select("key", "least")
     left = written(left, "survivors")
     ids = left.select(F.col("least").alias("_id")).distinct()
