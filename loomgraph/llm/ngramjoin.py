@@ -38,6 +38,8 @@ FRAGMENTS, LANES = 64, 8
 FIRST = np.uint64(3 * ((1 << 64) // 10))
 #: N-grams that a task holds before it deals them out, and members of a posting tried in one block.
 _CHUNK, _BLOCK = 1_000_000, 2048
+#: Bits of the filter of surviving sets.
+_BITS = 1 << 26
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -172,29 +174,58 @@ def _held_twice(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return keys, tally
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> (key, n, grams), each set once a task."""
+def _places_of(key: int) -> tuple[int, int]:
+    return key & (_BITS - 1), (key >> 26) & (_BITS - 1)
+
+
+def _bitmap(table: pa.Table) -> pa.Table:
+    """Places of one chunk of the filter -> the chunk."""
+    bits = np.zeros(1 << 16, np.uint8)
+    bits[np.asarray(table["place"]) & 0xFFFF] = 1
+    return pa.table({"chunk": pa.array([table["place"][0].as_py() >> 16], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of keys in _BITS bits (8 MB, whatever their number): with very many keys it lets more pass."""
+    place = F.explode(F.array(F.col("key").bitwiseAND(_BITS - 1), F.shiftright("key", 26).bitwiseAND(_BITS - 1))).alias("place")
+    places = keys.select(place).distinct().withColumn("chunk", F.shiftright("place", 16))
+    bits = np.zeros(_BITS // 8, np.uint8)
+    for r in places.groupBy("chunk").applyInArrow(_bitmap, "chunk long, bits binary").collect():  # at most _BITS / 2^16 rows
+        bits[r.chunk << 13 : (r.chunk + 1) << 13] = np.frombuffer(r.bits, np.uint8)
+    return bits
+
+
+def _grams(held):
+    """Texts -> (key, n, grams) of the sets whose keys the filter lets pass, each set once a task."""
     kind = pa.list_(pa.int64())
-    for key, s in _new_sets(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([len(s)], pa.int64()), pa.array([s.view(np.int64)], kind)], names=["key", "n", "grams"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for key, s in _new_sets(batches):
+            if all(bits[p >> 3] >> (p & 7) & 1 for p in _places_of(key)):
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([len(s)], pa.int64()), pa.array([s.view(np.int64)], kind)], names=["key", "n", "grams"])
+
+    return run
 
 
 def suspects(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, n, grams) of the sets (key, n, n_first, least) that may have a partner, by the n-grams counted first.
+    """(key, n, grams) of the sets (key, n, n_first) that may have a partner, by the n-grams counted first.
 
-    docs (doc_id, text) is read twice: to count, and for the texts of one document a surviving set.
+    docs (doc_id, text) is read twice: to count, and for the n-grams of the surviving sets. A filter of fixed size lets
+    their texts' n-grams and few others leave the second pass; the join by key decides.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
     dealt = docs.select("text").mapInArrow(_dealt(parts), "part int, grams binary, owners binary, known binary, tally binary")
     tallies = dealt.groupBy("part").applyInArrow(_shared(parts), "part int, keys binary, tallies binary")
     tallies = tallies.groupBy("part").applyInArrow(_summed, "key long, tally long")
-    left = sets.join(tallies, "key", "left").where(5 * (F.col("n_first") - F.coalesce("tally", F.lit(0))) <= F.col("n")).select("key", "least")
+    left = sets.join(tallies, "key", "left").where(5 * (F.col("n_first") - F.coalesce("tally", F.lit(0))) <= F.col("n")).select("key")
     left = written(left, "survivors")
-    ids = left.select(F.col("least").alias("_id")).distinct()
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    found = texts.mapInArrow(_grams, "key long, n long, grams array<long>")
-    return written(found.join(left.select("key"), "key", "left_semi").dropDuplicates(["key"]), "suspects")
+    held = spark.sparkContext.broadcast(key_filter(left))
+    found = docs.select("text").mapInArrow(_grams(held), "key long, n long, grams array<long>")
+    out = written(found.join(left, "key", "left_semi").dropDuplicates(["key"]), "suspects")
+    held.unpersist()
+    return out
 
 
 def _place(df_col: str, gram: str) -> Column:

@@ -107,3 +107,11 @@ def test_bound_of_a_fragment_is_never_under_the_overlap():
         edges = np.sort(rng.integers(0, 300, J.FRAGMENTS - 1))
         lens = [np.bincount(np.searchsorted(edges, s, side="right"), minlength=J.FRAGMENTS) for s in (x, y)]
         assert np.minimum(*lens).sum() >= len(np.intersect1d(x, y))
+
+
+def test_filter_of_keys_lets_all_of_them_pass(spark):
+    rng = np.random.default_rng(4)
+    keys = rng.integers(-(1 << 63), 1 << 63, 3000).tolist()
+    bits = J.key_filter(spark.createDataFrame([(k,) for k in keys], "key long"))
+    passes = lambda k: all(bits[p >> 3] >> (p & 7) & 1 for p in J._places_of(k))
+    assert all(map(passes, keys)) and sum(map(passes, rng.integers(-(1 << 63), 1 << 63, 3000).tolist())) < 5
