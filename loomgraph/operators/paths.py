@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.checkpoints import checkpointed
 from loomgraph.operators import kernels as K
+from loomgraph.operators.blocks import removals
 from loomgraph.operators.components import components
 from loomgraph.operators.graph import both_ways, remove_node
-from loomgraph.operators.local import Local, local, spread
+from loomgraph.operators.local import local, spread
+from loomgraph.operators.strong import strong_components  # noqa: F401
 
 
 def connected_components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -52,22 +54,49 @@ def shortest_paths(links: DataFrame, source, target=None, without: list | None =
     return seen if target is None else seen.where(F.col("id") == target)
 
 
-def weighted_path(nodes: DataFrame, weighted: DataFrame, source, target) -> DataFrame:
-    """(step, id, weight): Dijkstra with length 1 / weight; the weight is that of the edge that leads to a node."""
-    g = local(nodes, weighted, weight="weight")
-    near: list[list[tuple[int, float]]] = [[] for _ in range(g.n)]
-    weight = {}
-    for a, b, w in zip(g.u.tolist(), g.v.tolist(), g.w.tolist()):
-        near[a].append((b, 1 / w))
-        near[b].append((a, 1 / w))
-        weight[a, b] = weight[b, a] = int(w)
-    dist, prev = K.dijkstra(near, g.at(source))
-    path, i = [], g.at(target)
-    while i >= 0 and np.isfinite(dist[i]):
-        path.append(i)
-        i = prev[i]
-    path.reverse()
-    rows = [(k, int(g.ids[i]), weight.get((path[k - 1], i)) if k else None, float(dist[i])) for k, i in enumerate(path)]
+def weighted_distances(weighted: DataFrame, source, target=None, delta: float | None = None) -> DataFrame:
+    """(id, d, prev, weight): distances from a source with length 1 / weight, the node before on a shortest path (ties to the
+    smaller), and the weight of the link from it. With a target only nodes up to its distance are final.
+
+    Delta-stepping: nodes within one bucket of width `delta` (the mean length, if not given) are relaxed along links up
+    to that length until none improves, then once along longer ones; the next bucket is that of the nearest open node.
+    """
+    spark = weighted.sparkSession
+    links = checkpointed(both_ways(weighted.select("u", "v", "weight")).withColumn("len", 1 / F.col("weight")))
+    delta = delta or links.agg(F.coalesce(F.avg("len"), F.lit(1.0)).alias("m")).first().m
+    best = checkpointed(spark.createDataFrame([(source, 0.0, None, None, True, True)], "id long, d double, prev long, weight long, near boolean, far boolean"))
+
+    def relaxed(best: DataFrame, flag: str, high: float, along: str) -> DataFrame:
+        open_ = best.where(F.col(flag) & (F.col("d") < high)).select(F.col("id").alias("u"), "d")
+        tries = open_.join(links.where(along), "u").groupBy(F.col("v").alias("id")).agg(F.min(F.struct((F.col("d") + F.col("len")).alias("d"), F.col("u").alias("prev"), "weight")).alias("t"))
+        shorter = F.col("t").isNotNull() & (F.col("d").isNull() | (F.col("t.d") < F.col("d") - 1e-15))
+        equal = F.col("t").isNotNull() & ~shorter & (F.abs(F.col("t.d") - F.col("d")) <= 1e-15) & (F.col("t.prev") < F.col("prev"))
+        taken = shorter | F.coalesce(equal, F.lit(False))
+        kept = {c: F.when(taken, F.col(f"t.{c}")).otherwise(F.col(c)).alias(c) for c in ("prev", "weight")}
+        still = {c: (shorter | (F.col(c) & ~((F.col("d") < high) if c == flag else F.lit(False)))).alias(c) for c in ("near", "far")}
+        met = best.join(tries, "id", "full")
+        return checkpointed(met.select("id", F.when(shorter, F.col("t.d")).otherwise(F.col("d")).alias("d"), kept["prev"], kept["weight"], *[F.coalesce(still[c], F.lit(True)).alias(c) for c in ("near", "far")]))
+
+    while True:
+        state = best.agg(F.min(F.when(F.col("near") | F.col("far"), F.col("d"))).alias("low"), F.max(F.when(F.col("id") == F.lit(target), F.col("d"))).alias("goal")).first()
+        if state.low is None or (state.goal is not None and state.goal < state.low):
+            return best.select("id", "d", "prev", "weight")
+        high = (int(state.low / delta) + 1) * delta
+        high = high if high > state.low else high + delta
+        while not best.where(F.col("near") & (F.col("d") < high)).isEmpty():
+            best = relaxed(best, "near", high, f"len <= {delta!r}D")
+        best = relaxed(best, "far", high, f"len > {delta!r}D")
+
+
+def weighted_path(nodes: DataFrame, weighted: DataFrame, source, target, delta: float | None = None) -> DataFrame:
+    """(step, id, weight, length): the shortest path with length 1 / weight; the weight is that of the link that leads to a
+    node. No rows if there is no path."""
+    best = weighted_distances(weighted, source, target, delta)
+    back, at = [], target
+    while at is not None and (row := best.where(F.col("id") == at).first()) is not None:
+        back.append((at, row.weight, row.d))
+        at = row.prev
+    rows = [(k, i, w, d) for k, (i, w, d) in enumerate(reversed(back))]
     return nodes.sparkSession.createDataFrame(rows, "step int, id long, weight long, length double")
 
 
@@ -85,33 +114,20 @@ def all_distances(nodes: DataFrame, links: DataFrame, is_directed: bool = False)
     return spread(nodes.sparkSession, range(g.n), (g.ids, g.arrows() if is_directed else g.undirected()), work, "s long, v long, d int")
 
 
-def strong_components(nodes: DataFrame, arrows: DataFrame) -> DataFrame:
-    """(id, component) of mutual reachability, on a graph of checked size."""
-    g = local(nodes, arrows, "source", "target")
-    return _labelled(nodes, g, g.ids[K.strong_components(g.arrows())])
-
-
 def articulation_points(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    g = local(nodes, pairs)
-    return nodes.sparkSession.createDataFrame([(int(g.ids[i]),) for i in K.articulation(g.undirected())], "id long")
-
-
-def _labelled(nodes: DataFrame, g: Local, labels: np.ndarray) -> DataFrame:
-    return nodes.sparkSession.createDataFrame([(int(i), int(c)) for i, c in zip(g.ids, labels)], "id long, component long")
+    """Ids of the nodes without which their component falls apart."""
+    return removals(nodes, pairs).where("pieces > 1").select("id")
 
 
 def fragmentation(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, pieces, largest): components of the graph without each node, one task a share of the nodes."""
-    g = local(nodes, pairs)
-
-    def work(shared, removed):
-        ids, u, v, n = shared
-        for x in removed:
-            keep = (u != x) & (v != x)
-            size = np.bincount(np.delete(K.component_labels(n, u[keep], v[keep]), x), minlength=n)
-            yield int(ids[x]), int((size > 0).sum()), int(size.max(initial=0))
-
-    return spread(nodes.sparkSession, range(g.n), (g.ids, g.u, g.v, g.n), work, "id long, pieces int, largest int")
+    """(id, pieces, largest): components of the graph without each node."""
+    x = checkpointed(removals(nodes, pairs))
+    sizes = x.groupBy("root").agg(F.count("*").alias("size"))
+    top = sizes.agg(F.count("*").alias("n"), F.max("size").alias("first"), F.max_by("root", F.struct("size", "root")).alias("at"))
+    second = sizes.join(F.broadcast(top), sizes.root != top.at, "left_semi").agg(F.coalesce(F.max("size"), F.lit(0)).alias("second"))
+    known = F.broadcast(top.crossJoin(second))  # one row
+    other = F.when(F.col("root") == F.col("at"), F.col("second")).otherwise(F.col("first"))
+    return x.crossJoin(known).select("id", (F.col("pieces") + F.col("n") - 1).cast("int").alias("pieces"), F.greatest("largest", other).cast("int").alias("largest"))
 
 
 def components_without(nodes: DataFrame, pairs: DataFrame, node) -> DataFrame:
