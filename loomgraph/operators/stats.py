@@ -102,13 +102,12 @@ def curve_area(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
     return step.groupBy(by).agg((F.sum("a") / (F.max(x) - F.min(x))).alias("area"))
 
 
-def runs(df: DataFrame, order: str, flag: str, by: str | None = None) -> DataFrame:
-    """Maximal runs of rows whose flag is true: first and last value of `order`."""
-    keys = [by] if by else []
-    w = W.partitionBy(*keys).orderBy(order)
-    x = df.select(*keys, order, flag, F.row_number().over(w).alias("r")).where(F.col(flag))
-    x = x.withColumn("island", F.col("r") - F.row_number().over(w))
-    return x.groupBy(*keys, "island").agg(F.min(order).alias("first"), F.max(order).alias("last")).drop("island")
+def runs(df: DataFrame, order: str, flag: str) -> DataFrame:
+    """Maximal runs of rows whose flag is true: first and last value of `order`, which has no ties. A row's place among all
+    less that among flagged rows is the same all along a run; both places come from ranges, not from one window."""
+    x = placed(df.select(order, flag), order).where(F.col(flag)).select(order, F.col("place").alias("_all"))
+    x = placed(x, order).withColumn("island", F.col("_all") - F.col("place"))
+    return x.groupBy("island").agg(F.min(order).alias("first"), F.max(order).alias("last")).drop("island")
 
 
 def strata(df: DataFrame, column: str, parts: int) -> DataFrame:

@@ -4,6 +4,7 @@ Two graphs, each from all rows of `lineitem`: parts (scope p), where two parts o
 to the dearer line, with the quantity as weight; and suppliers (scope s), where two suppliers are linked if their lines
 meet in unusually many orders (more than two standard deviations above the mean of all pairs that meet), with the number
 of those orders as weight. The supplier graph is the smaller one, for operators that look at all pairs or at replicas.
+Scope c is the supplier graph with one and a quarter standard deviations instead: dense enough for larger cliques.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from loomgraph.operators import text as T
 BRANDS = {"g1": ("Brand#1",), "g4": ("Brand#1", "Brand#2", "Brand#3", "Brand#4")}
 
 
+#: Supplier graphs, by the standard deviations above the mean that a link needs.
+UNUSUAL = {"s": 2.0, "c": 1.25}
+
+
 class Fixture:
     def __init__(self, spark: SparkSession, sf_dir: str, scope: str):
         self.spark, self.dir, self.scope = spark, sf_dir, scope
@@ -31,7 +36,7 @@ class Fixture:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        if self.scope == "s":
+        if self.scope in UNUSUAL:
             s = self.table("supplier").join(F.broadcast(self.table("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
             return s.select(
                 F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("n_name").alias("type"), F.concat(F.lit("Region#"), F.col("n_regionkey").cast("string")).alias("brand"),
@@ -44,7 +49,7 @@ class Fixture:
 
     @cached_property
     def key(self) -> str:
-        return "l_suppkey" if self.scope == "s" else "l_partkey"
+        return "l_suppkey" if self.scope in UNUSUAL else "l_partkey"
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -57,10 +62,10 @@ class Fixture:
     def edges(self) -> DataFrame:
         a, b = self.lines, self.lines.toDF("o", "p2", "x2", "q2")
         met = a.join(b, "o").where("p <> p2 and x < x2").groupBy(F.col("p").alias("source"), F.col("p2").alias("target"))
-        if self.scope != "s":
+        if self.scope not in UNUSUAL:
             return met.agg(F.sum("q").alias("weight"))
         met = checkpointed(met.agg(F.count("*").alias("weight")))
-        usual = met.agg((F.avg("weight") + 2 * F.stddev_pop("weight")).alias("_usual"))
+        usual = met.agg((F.avg("weight") + UNUSUAL[self.scope] * F.stddev_pop("weight")).alias("_usual"))
         return met.crossJoin(F.broadcast(usual)).where("weight > _usual").select("source", "target", "weight")
 
     @cached_property
@@ -92,6 +97,11 @@ class Fixture:
         row = self.degree.orderBy(F.desc("k"), "id").first()
         return row.id if row else 0
 
+    @cached_property
+    def mean_degree(self) -> int:
+        """The mean degree, rounded up; 0 if there are no nodes."""
+        return self.degree.agg(F.coalesce(F.ceil(F.avg("k")), F.lit(0)).alias("m")).first().m
+
     @cached_property
     def last(self) -> int:
         """The largest id that has a link."""
@@ -170,5 +180,5 @@ gl AS MATERIALIZED (SELECT l_orderkey AS o, l_partkey AS p, MIN(l_extendedprice)
 ge AS (SELECT DISTINCT a.p AS s, b.p AS t FROM gl a JOIN gl b ON a.o = b.o AND a.p <> b.p AND a.x < b.x),
 ind AS (SELECT doc_id, COALESCE(k, 0) AS k FROM documents LEFT JOIN (SELECT t AS doc_id, COUNT(*) AS k FROM ge GROUP BY 1) USING (doc_id))"""
 
-PREFIX = {"s": _SUPPLIERS + _GRAPH, "p": _PARTS + _GRAPH, "t": _text_sql(), "td": _text_sql() + _IND}
+PREFIX = {"s": _SUPPLIERS + _GRAPH, "c": _SUPPLIERS.replace("2 * stddev_pop", "1.25 * stddev_pop") + _GRAPH, "p": _PARTS + _GRAPH, "t": _text_sql(), "td": _text_sql() + _IND}
 STOP_SQL = ", ".join(f"'{w}'" for w in T.STOP)

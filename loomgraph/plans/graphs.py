@@ -107,7 +107,7 @@ query("induced_subgraph", "p", "SELECT s AS source, t AS target, w AS weight FRO
 query("reverse_graph", "p", "SELECT t AS source, s AS target, w AS weight FROM e")(lambda c: G.reverse(c.edges))
 query("neighbor_lists", "p", "SELECT id, COALESCE(string_agg(CAST(v AS VARCHAR), ',' ORDER BY v), '') AS neighbors FROM nodes LEFT JOIN a ON u = id GROUP BY 1")(lambda c: G.neighbor_lists(c.nodes, c.adj))
 query("out_neighbor_lists", "p", "SELECT id, COALESCE(string_agg(CAST(t AS VARCHAR), ',' ORDER BY t), '') AS neighbors FROM nodes LEFT JOIN e ON s = id GROUP BY 1")(lambda c: G.neighbor_lists(c.nodes, G.directed(c.edges).toDF("u", "v")))
-query("graph_filter", "p", "SELECT u, v FROM ue WHERE u IN (SELECT id FROM deg WHERE k >= 15) AND v IN (SELECT id FROM deg WHERE k >= 15)")(lambda c: G.graph_filter(c.nodes, c.pairs, 15, isolates=False))
+query("graph_filter", "p", ", hi AS MATERIALIZED (SELECT id FROM deg WHERE k >= (SELECT ceil(AVG(k)) FROM deg)) SELECT u, v FROM ue WHERE u IN (SELECT id FROM hi) AND v IN (SELECT id FROM hi)")(lambda c: G.graph_filter(c.nodes, c.pairs, c.mean_degree, isolates=False))
 query("ego_network", "p", "SELECT u, v, 'incident' AS kind FROM ue, hub WHERE u = id OR v = id UNION ALL SELECT u, v, 'among' FROM ue WHERE u IN (SELECT v FROM a, hub WHERE u = id) AND v IN (SELECT v FROM a, hub WHERE u = id)")(lambda c: G.ego_network(c.pairs, c.hub))
 query("weight_threshold", "p", "SELECT u, v, w AS weight FROM uw WHERE w >= 30")(lambda c: G.weight_threshold(c.weighted, 30))
 query("remove_node", "p", "SELECT s AS source, t AS target, w AS weight FROM e, hub WHERE s <> id AND t <> id")(lambda c: G.remove_node(c.edges, c.hub))
@@ -173,14 +173,14 @@ query("value_counts_topn", "p", "SELECT type, COUNT(*) AS n FROM nodes GROUP BY
 query("weight_distribution", "p", "SELECT w AS k, COUNT(*) AS n FROM uw GROUP BY 1")(lambda c: S.distribution(c.weighted, "weight"))
 query("pearson", "p", "SELECT ROUND(corr(i, o), 6) AS r FROM dio")(lambda c: G.degrees(c.nodes, c.edges).agg(F.corr("in_degree", "out_degree").alias("r")))
 query("spearman", "p", "SELECT ROUND(corr(ri, ro), 6) AS rho, COUNT(*) AS n FROM (SELECT RANK() OVER (ORDER BY i) + (COUNT(*) OVER (PARTITION BY i) - 1) / 2.0 AS ri, RANK() OVER (ORDER BY o) + (COUNT(*) OVER (PARTITION BY o) - 1) / 2.0 AS ro FROM dio)")(lambda c: S.spearman(G.degrees(c.nodes, c.edges), "in_degree", "out_degree"))
-_STR = ", st AS (SELECT id, k, CAST(COALESCE(SUM(w), 0) AS BIGINT) AS s FROM deg LEFT JOIN uw ON id = u OR id = v GROUP BY 1, 2)"
+_STR = ", st AS (SELECT id, k, CAST(COALESCE(s, 0) AS BIGINT) AS s FROM deg LEFT JOIN (SELECT id, SUM(w) AS s FROM (SELECT u AS id, w FROM uw UNION ALL SELECT v, w FROM uw) GROUP BY 1) USING (id))"
 query("loglog_fit", "p", _STR + " SELECT ROUND(regr_slope(ln(s), ln(k)), 6) AS slope, ROUND(regr_intercept(ln(s), ln(k)), 6) AS intercept, ROUND(regr_r2(ln(s), ln(k)), 6) AS r2 FROM st WHERE k > 0 AND s > 0")(lambda c: S.loglog_fit(G.strength(c.nodes, c.weighted).join(c.degree, "id"), "k", "s"))
 query("fit_residual_outliers", "p", _STR + ", f AS (SELECT regr_slope(ln(s), ln(k)) AS b, regr_intercept(ln(s), ln(k)) AS a FROM st WHERE k > 0 AND s > 0) SELECT id, k, s, ROUND(ln(s) - b * ln(k) - a, 6) AS residual FROM st, f WHERE k >= 10 AND s > 0 ORDER BY ROUND(ln(s) - b * ln(k) - a, 9) DESC, id LIMIT 4")(lambda c: S.fit_outliers(G.strength(c.nodes, c.weighted).join(c.degree, "id"), "k", "s", 10, 4))
 query("curve_auc", "p", "SELECT 'ccdf' AS name, ROUND(SUM(s) / (MAX(k) - MIN(k)), 6) AS area FROM (SELECT k, (p + LAG(p) OVER (ORDER BY k)) / 2 * (k - LAG(k) OVER (ORDER BY k)) AS s FROM (SELECT k, (SELECT COUNT(*) FROM deg x WHERE x.k >= y.k) / (SELECT COUNT(*) FROM deg) AS p FROM (SELECT DISTINCT k FROM deg WHERE k > 0) y))")(lambda c: S.curve_area(S.ccdf(c.degree, "k").withColumn("name", F.lit("ccdf")), "k", "p", "name"))
 query("argmax_node", "p", "SELECT id FROM hub")(lambda c: c.degree.agg(F.max_by("id", F.struct("k", -F.col("id"))).alias("id")))
 query("in_out_mismatch", "p", "SELECT id, abs(i - o) AS gap FROM dio ORDER BY 2 DESC, 1 LIMIT 1")(lambda c: G.degrees(c.nodes, c.edges).select("id", F.abs(F.col("in_degree") - F.col("out_degree")).alias("gap")).orderBy(F.desc("gap"), "id").limit(1))
 query("reciprocity", "p", "SELECT ROUND(AVG(CAST(EXISTS (SELECT 1 FROM e y WHERE y.s = x.t AND y.t = x.s) AS INTEGER)), 6) AS reciprocity FROM e x")(lambda c: (lambda d: d.join(d.select(F.col("target").alias("source"), F.col("source").alias("target"), F.lit(1).alias("back")), ["source", "target"], "left").agg(F.avg(F.coalesce("back", F.lit(0))).alias("reciprocity")))(G.directed(c.edges)))
-query("nullable_mean_by_flag", "p", "SELECT ROUND(AVG(CASE WHEN k = 1 THEN m END), 6) AS leaf_mean FROM (SELECT x.id, x.k, AVG(y.k) AS m FROM deg x JOIN a ON a.u = x.id JOIN deg y ON y.id = a.v GROUP BY 1, 2)")(lambda c: C.neighbor_degree(c.nodes, c.pairs).agg(F.avg(F.when(F.col("k") == 1, F.col("knn"))).alias("leaf_mean")))
+query("nullable_mean_by_flag", "p", "SELECT k < (SELECT ceil(AVG(k)) FROM deg) AS low, ROUND(AVG(m), 6) AS mean, COUNT(*) AS n, COUNT(m) AS known FROM (SELECT x.id, x.k, AVG(y.k) AS m FROM deg x LEFT JOIN a ON a.u = x.id LEFT JOIN deg y ON y.id = a.v GROUP BY 1, 2) GROUP BY 1")(lambda c: C.neighbor_degree(c.nodes, c.pairs).groupBy((F.col("k") < c.mean_degree).alias("low")).agg(F.avg("knn").alias("mean"), F.count("*").alias("n"), F.count("knn").alias("known")))
 query("relative_null_spread", "s", "SELECT ROUND(median(sd / m), 6) AS spread FROM (SELECT id, AVG(label) AS m, stddev_pop(label) AS sd FROM rr GROUP BY 1) WHERE m > 0")(lambda c: c.runs.groupBy("id").agg(F.avg("label").alias("m"), F.stddev_pop("label").alias("sd")).where("m > 0").agg(F.expr("percentile(sd / m, 0.5)").alias("spread")))
 
 query("node_degrees_ranked", "p", "SELECT id, name, i AS in_degree, o AS out_degree, i + o AS degree, k AS neighbors, CAST(ROW_NUMBER() OVER (ORDER BY i + o DESC, id) AS INTEGER) AS rank FROM dio JOIN deg USING (id) JOIN nodes USING (id)")(
@@ -195,7 +195,7 @@ query("rank_shift", "p", "SELECT id, CAST(ROW_NUMBER() OVER (ORDER BY i DESC, id
 query("equal_count_strata", "p", "SELECT id, (ROW_NUMBER() OVER (ORDER BY k, id) - 1) * 10 // COUNT(*) OVER () AS stratum FROM deg")(lambda c: S.strata(c.degree, "k", 10))
 query("top_n_per_group", "p", "SELECT type, id, k FROM (SELECT type, id, k, ROW_NUMBER() OVER (PARTITION BY type ORDER BY k DESC, id) AS r FROM nodes JOIN deg USING (id)) WHERE r <= 4")(lambda c: c.nodes.select("id", "type").join(c.degree, "id").withColumn("r", F.row_number().over(W.partitionBy("type").orderBy(F.desc("k"), "id"))).where("r <= 4").select("type", "id", "k"))
 query("decimate", "p", "SELECT id, k FROM (SELECT id, k, ROW_NUMBER() OVER (ORDER BY id) AS r FROM deg) WHERE r % 5 = 0")(lambda c: S.ordinal_rank(c.degree, "id", into="r").where("r % 5 = 0").select("id", "k"))
-query("islands_runs", "p", "SELECT MIN(id) AS first, MAX(id) AS last FROM (SELECT id, r - ROW_NUMBER() OVER (ORDER BY id) AS g FROM (SELECT id, k, ROW_NUMBER() OVER (ORDER BY id) AS r FROM deg) WHERE k > 18) GROUP BY g")(lambda c: S.runs(c.degree.withColumn("hot", F.col("k") > 18), "id", "hot"))
+query("islands_runs", "p", "SELECT MIN(id) AS first, MAX(id) AS last FROM (SELECT id, r - ROW_NUMBER() OVER (ORDER BY id) AS g FROM (SELECT id, k, ROW_NUMBER() OVER (ORDER BY id) AS r FROM deg) WHERE k > (SELECT ceil(AVG(k)) FROM deg)) GROUP BY g")(lambda c: S.runs(c.degree.withColumn("hot", F.col("k") > c.mean_degree), "id", "hot"))
 
 query("top_n", "p", "SELECT id, k FROM deg ORDER BY k DESC, id LIMIT 10")(lambda c: c.degree.orderBy(F.desc("k"), "id").limit(10))
 

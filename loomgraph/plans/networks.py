@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.functions.checkpoints import checkpointed
 from loomgraph.operators import backbone as B
 from loomgraph.operators import centrality as C
 from loomgraph.operators import communities as M
@@ -58,22 +59,48 @@ query("directed_path_to_target", "s", _paths("hub", "e", "s", "t") + " SELECT sp
 query("six_degrees", "s", _paths("hub") + " SELECT sp.id, CAST(len(path) - 1 AS INTEGER) AS d, array_to_string(path, '>') AS path FROM sp")(lambda c: P.shortest_paths(c.adj, c.hub).select("id", (F.size("path") - 1).alias("d"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path")))
 query("apsp_distances", "s", _APSP + " SELECT s, v, d FROM d0")(lambda c: P.all_distances(c.nodes, c.pairs))
 query("distance_distribution", "s", _APSP + " SELECT d, COUNT(*) AS n, ROUND(COUNT(*) / SUM(COUNT(*)) OVER (), 6) AS share FROM d0 WHERE d > 0 GROUP BY 1")(lambda c: P.all_distances(c.nodes, c.pairs).where("d > 0").groupBy("d").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy())))
+
+
+def _eccentricities(c):
+    """(s, e, t, r, most, low): of each node its eccentricity, sum and number of distances; the largest such number, and the
+    smallest eccentricity among nodes that have it."""
+    x = checkpointed(P.all_distances(c.nodes, c.pairs).groupBy("s").agg(F.max("d").alias("e"), F.sum("d").alias("t"), F.count("*").alias("r")))
+    most = x.groupBy("r").agg(F.min("e").alias("low")).agg(F.max(F.struct("r", "low")).alias("m")).select(F.col("m.r").alias("most"), F.col("m.low").alias("low"))
+    return x.crossJoin(F.broadcast(most))
+
+
 query("eccentricity_summary", "s", _APSP + ", ec AS (SELECT s, MAX(d) AS e, SUM(d) AS t, COUNT(*) AS r FROM d0 GROUP BY 1 HAVING COUNT(*) = (SELECT MAX(c) FROM (SELECT COUNT(*) AS c FROM d0 GROUP BY s))) SELECT MAX(e) AS diameter, MIN(e) AS radius, ROUND(SUM(t) / SUM(r - 1), 6) AS mean, string_agg(CASE WHEN e = (SELECT MIN(e) FROM ec) THEN s END, ',' ORDER BY s) AS center FROM ec".replace("THEN s END", "THEN CAST(s AS VARCHAR) END"))(
     lambda c: (lambda x: x.where("r = most").agg(F.max("e").alias("diameter"), F.min("e").alias("radius"), (F.sum("t") / F.sum(F.col("r") - 1)).alias("mean"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("e") == F.col("low"), F.col("s")))), lambda i: i.cast("string")), ",").alias("center")))(
-        P.all_distances(c.nodes, c.pairs).groupBy("s").agg(F.max("d").alias("e"), F.sum("d").alias("t"), F.count("*").alias("r")).withColumn("most", F.max("r").over(W.partitionBy())).withColumn("low", F.min(F.when(F.col("r") == F.col("most"), F.col("e"))).over(W.partitionBy()))
+        _eccentricities(c)
     )
 )
 query("directed_reachability", "s", _DAPSP + " SELECT ROUND(SUM(CASE WHEN d > 0 THEN 1 ELSE 0 END) / ((SELECT COUNT(*) FROM nodes) * ((SELECT COUNT(*) FROM nodes) - 1)), 6) AS reach, ROUND(AVG(CASE WHEN d > 0 THEN d END), 6) AS mean FROM d0")(lambda c: P.all_distances(c.nodes, _arrows(c), True).crossJoin(F.broadcast(c.nodes.agg(F.count("*").alias("n")))).agg((F.count_if(F.col("d") > 0) / (F.first("n") * (F.first("n") - 1))).alias("reach"), F.avg(F.when(F.col("d") > 0, F.col("d"))).alias("mean")))
 query("reach_from_to", "s", _DAPSP + " SELECT (SELECT COUNT(*) - 1 FROM d0, hub WHERE s = id) AS forward, (SELECT COUNT(*) - 1 FROM d0, hub WHERE v = id) AS backward")(lambda c: P.bfs_distances(_arrows(c), c.hub).agg((F.count("*") - 1).alias("forward")).crossJoin(P.bfs_distances(_arrows(c).toDF("v", "u"), c.hub).agg((F.count("*") - 1).alias("backward"))))
 query("asymmetric_edges", "s", _DAPSP + " SELECT e.s AS source, e.t AS target, d FROM e LEFT JOIN d0 ON d0.s = e.t AND d0.v = e.s WHERE d IS NULL OR d >= 5")(lambda c: G.directed(c.edges).join(P.all_distances(c.nodes, _arrows(c), True).select(F.col("s").alias("target"), F.col("v").alias("source"), "d"), ["source", "target"], "left").where("d is null or d >= 5").select("source", "target", "d"))
-query("max_distance_nodes", "s", _bfs("hub") + " SELECT id, d FROM bd WHERE d = (SELECT MAX(d) FROM bd)")(lambda c: P.bfs_distances(c.adj, c.hub).withColumn("m", F.max("d").over(W.partitionBy())).where("d = m").select("id", "d"))
+query("max_distance_nodes", "s", _bfs("hub") + " SELECT id, d FROM bd WHERE d = (SELECT MAX(d) FROM bd)")(lambda c: (lambda d: d.join(F.broadcast(d.agg(F.max("d").alias("d"))), "d").select("id", "d"))(P.bfs_distances(c.adj, c.hub)))
 query("strongly_connected_components", "s", _DAPSP + " SELECT x.s AS id, MIN(x.v) AS component FROM d0 x JOIN d0 y ON x.s = y.v AND x.v = y.s GROUP BY 1")(lambda c: P.strong_components(c.nodes, G.directed(c.edges)))
+#: The nodes that the hub reaches and is reached from are one component; mutual reachability of the others passes none of them.
+_HUB_SCC = ", fw(id) AS (SELECT id FROM hub UNION SELECT e.t FROM fw JOIN e ON e.s = fw.id), bw(id) AS (SELECT id FROM hub UNION SELECT e.s FROM bw JOIN e ON e.t = bw.id), big AS MATERIALIZED (SELECT id FROM fw INTERSECT SELECT id FROM bw), er AS MATERIALIZED (SELECT s, t FROM e WHERE s NOT IN (SELECT id FROM big) AND t NOT IN (SELECT id FROM big)), rr2(s, v) AS (SELECT id, id FROM nodes WHERE id NOT IN (SELECT id FROM big) UNION SELECT rr2.s, er.t FROM rr2 JOIN er ON er.s = rr2.v)"
+query("strong_components_of_parts", "p", _HUB_SCC + " SELECT id, (SELECT MIN(id) FROM big) AS component FROM big UNION ALL SELECT x.s, MIN(x.v) FROM rr2 x JOIN rr2 y ON x.s = y.v AND x.v = y.s GROUP BY 1")(lambda c: P.strong_components(c.nodes, G.directed(c.edges)))
 query("articulation_points", "s", ", z(x, s, v) AS (SELECT x.id, n.id, n.id FROM deg x JOIN deg n ON n.id <> x.id WHERE x.k > 0 AND n.k > 0 UNION SELECT z.x, z.s, a.v FROM z JOIN a ON a.u = z.v WHERE a.v <> z.x), zc AS (SELECT x, COUNT(DISTINCT m) AS c FROM (SELECT x, s, MIN(v) AS m FROM z GROUP BY 1, 2) GROUP BY 1)" + _COMP + ", base AS (SELECT COUNT(DISTINCT component) AS c FROM comp JOIN deg USING (id) WHERE k > 0) SELECT x AS id FROM zc, base WHERE zc.c > base.c")(lambda c: P.articulation_points(c.nodes, c.pairs))
-query("common_neighbors", "s", "SELECT v AS id FROM a, hub WHERE u = hub.id INTERSECT SELECT v FROM a, lst WHERE u = lst.id")(lambda c: P.common_neighbors(c.pairs, c.hub, c.last))
+query("common_neighbors", "p", "SELECT v AS id FROM a, hub WHERE u = hub.id INTERSECT SELECT v FROM a, lst WHERE u = lst.id")(lambda c: P.common_neighbors(c.pairs, c.hub, c.last))
 query("components_after_removal", "s", _COMP + ", r2(id, x) AS (SELECT id, id FROM nodes WHERE id <> (SELECT id FROM hub) UNION SELECT r2.id, a.v FROM r2 JOIN a ON a.u = r2.x WHERE a.v <> (SELECT id FROM hub)), c2 AS (SELECT id, MIN(x) AS component FROM r2 GROUP BY 1) SELECT * FROM (SELECT COUNT(*) AS components_before, MAX(n) AS largest_before FROM (SELECT COUNT(*) AS n FROM comp GROUP BY component)), (SELECT COUNT(*) AS components_after, MAX(n) AS largest_after FROM (SELECT COUNT(*) AS n FROM c2 GROUP BY component))")(lambda c: P.components_without(c.nodes, c.pairs, c.hub))
 query("single_node_fragmentation", "s", ", z(x, s, v) AS (SELECT x.id, n.id, n.id FROM nodes x JOIN nodes n ON n.id <> x.id UNION SELECT z.x, z.s, a.v FROM z JOIN a ON a.u = z.v WHERE a.v <> z.x), m AS (SELECT x, s, MIN(v) AS c FROM z GROUP BY 1, 2) SELECT x AS id, CAST(COUNT(*) AS INTEGER) AS pieces, CAST(MAX(n) AS INTEGER) AS largest FROM (SELECT x, c, COUNT(*) AS n FROM m GROUP BY 1, 2) GROUP BY 1")(lambda c: P.fragmentation(c.nodes, c.pairs))
 query("weighted_shortest_path", "s", f", wq(id, d, path, h) AS (SELECT id, CAST(0 AS DOUBLE), [id], 0 FROM hub UNION ALL SELECT CASE WHEN u = wq.id THEN v ELSE u END, d + 1.0 / w, list_append(path, CASE WHEN u = wq.id THEN v ELSE u END), h + 1 FROM wq JOIN uw ON u = wq.id OR v = wq.id WHERE h < 7 AND NOT list_contains(path, CASE WHEN u = wq.id THEN v ELSE u END)) SELECT ROUND(MIN(d), 6) AS length FROM wq JOIN lst USING (id)")(lambda c: P.weighted_path(c.nodes, c.weighted, c.hub, c.last).agg(F.max("length").alias("length")))
 
+
+
+def _rounds_sql(rounds: int = 14) -> str:
+    """Shortest lengths from the hub over at most so many links, round by round."""
+    out = ", wa AS MATERIALIZED (SELECT u, v, 1.0::DOUBLE / w AS l FROM uw UNION ALL SELECT v, u, 1.0::DOUBLE / w FROM uw), w0 AS MATERIALIZED (SELECT id, 0.0::DOUBLE AS d FROM hub)"
+    for k in range(1, rounds + 1):
+        out += f", w{k} AS MATERIALIZED (SELECT id, MIN(d) AS d FROM (SELECT id, d FROM w{k - 1} UNION ALL SELECT wa.v, d + l FROM w{k - 1} JOIN wa ON wa.u = w{k - 1}.id) GROUP BY 1)"
+    return out
+
+
+query("weighted_path_of_parts", "p", _rounds_sql() + " SELECT ROUND(d, 6) AS length FROM w14 JOIN lst USING (id)")(lambda c: P.weighted_path(c.nodes, c.weighted, c.hub, c.last).agg(F.max("length").alias("length")))
+query("weighted_distances", "p", _rounds_sql() + " SELECT id, ROUND(d, 6) AS d FROM w14")(lambda c: P.weighted_distances(c.weighted, c.hub).select("id", "d"))
+
 query("closeness", "s", _APSP + " SELECT s AS id, ROUND(CASE WHEN SUM(d) > 0 THEN (COUNT(*) - 1) / SUM(d) * (COUNT(*) - 1) / ((SELECT COUNT(*) FROM nodes) - 1) ELSE 0 END, 6) AS closeness FROM d0 GROUP BY 1")(lambda c: C.closeness(P.all_distances(c.nodes, c.pairs), c.nodes.count()))
 query("harmonic", "s", _APSP + " SELECT s AS id, ROUND(SUM(CASE WHEN d > 0 THEN 1.0::DOUBLE / d ELSE 0 END), 6) AS harmonic FROM d0 GROUP BY 1")(lambda c: C.harmonic(P.all_distances(c.nodes, c.pairs)))
 
@@ -137,17 +164,18 @@ query("removal_curve_dynamic", "s")(lambda c: C.removal_dynamic(c.nodes, c.pairs
 query("removal_curve_random", "s")(lambda c: C.removal_random(c.nodes, c.pairs, 50))
 query("centrality_zscores", "s")(lambda c: N.zscores(C.betweenness(c.nodes, c.pairs), N.centrality_null(c.nodes, c.pairs, 40), "betweenness"))
 
-query("barabasi_albert", "s")(lambda c: N.barabasi_albert(c.spark, 5000, 42))
-query("uniform_attachment", "s")(lambda c: N.uniform_attachment(c.spark, 5000, 42))
-query("gnm_random", "s")(lambda c: N.gnm_random(c.spark, 300, 1000, 42))
+#: Random graphs of the size of the given one: as many nodes, and as many links.
+query("barabasi_albert", "p")(lambda c: N.barabasi_albert(c.spark, c.nodes.count(), 42))
+query("uniform_attachment", "p")(lambda c: N.uniform_attachment(c.spark, c.nodes.count(), 42))
+query("gnm_random", "p")(lambda c: N.gnm_random(c.spark, c.nodes.count(), c.pairs.count(), 42))
 query("configuration_model", "p")(lambda c: N.configuration_model(c.nodes, c.pairs, 42))
 _SWAPPED = "SELECT replica, id, k FROM deg, (SELECT CAST(r AS INTEGER) AS replica FROM range(5) z(r)) WHERE k > 0"
 query("double_edge_swap", "s", _SWAPPED)(lambda c: G.both_ways(N.swapped(c.nodes, c.pairs, 5).select("u", "v", "replica")).groupBy("replica", F.col("u").alias("id")).agg(F.count("*").alias("k")))
 query("double_edge_swap_changed", "s")(lambda c: (lambda s: s.groupBy("replica").agg((1 - F.avg(F.coalesce("kept", F.lit(0)))).alias("changed")))(N.swapped(c.nodes, c.pairs, 5).join(c.pairs.withColumn("kept", F.lit(1)), ["u", "v"], "left")))
-query("random_regular", "s", "SELECT CAST(0 AS INTEGER) AS replica, CAST(8 AS BIGINT) AS k, CAST(100 AS BIGINT) AS n UNION ALL SELECT 1, 8, 100")(lambda c: G.both_ways(N.random_regular(c.spark, 100, 8, 2).select("u", "v", "replica")).groupBy("replica", "u").agg(F.count("*").alias("k")).groupBy("replica", "k").agg(F.count("*").alias("n")))
-query("random_regular_links", "s")(lambda c: N.random_regular(c.spark, 100, 8, 2))
-query("label_shuffle_null", "s", "SELECT replica, label, COUNT(*) AS n FROM lab, (SELECT CAST(r AS INTEGER) AS replica FROM range(20) z(r)) GROUP BY 1, 2")(lambda c: N.shuffled_labels(c.labels, 20, 42).groupBy("replica", "label").agg(F.count("*").alias("n")))
-query("label_shuffle_changed", "s")(lambda c: N.shuffled_labels(c.labels, 20, 42).join(c.labels.withColumnRenamed("label", "own"), "id").groupBy("replica").agg(F.avg((F.col("label") != F.col("own")).cast("double")).alias("changed")))
+query("random_regular", "s", "SELECT CAST(r AS INTEGER) AS replica, CAST(8 AS BIGINT) AS k, (SELECT COUNT(*) FROM nodes) AS n FROM range(2) z(r)")(lambda c: G.both_ways(N.random_regular(c.spark, c.nodes.count(), 8, 2).select("u", "v", "replica")).groupBy("replica", "u").agg(F.count("*").alias("k")).groupBy("replica", "k").agg(F.count("*").alias("n")))
+query("random_regular_links", "s")(lambda c: N.random_regular(c.spark, c.nodes.count(), 8, 2))
+query("label_shuffle_null", "s", "SELECT replica, label, COUNT(*) AS n FROM lab, (SELECT CAST(r AS INTEGER) AS replica FROM range(200) z(r)) GROUP BY 1, 2")(lambda c: N.shuffled_labels(c.labels, 200, 42).groupBy("replica", "label").agg(F.count("*").alias("n")))
+query("label_shuffle_changed", "s")(lambda c: N.shuffled_labels(c.labels, 200, 42).join(c.labels.withColumnRenamed("label", "own"), "id").groupBy("replica").agg(F.avg((F.col("label") != F.col("own")).cast("double")).alias("changed")))
 query("weight_permutation_null", "s")(lambda c: N.weight_null(c.nodes, c.weighted, 20))
 query("weight_shuffle", "s", "SELECT replica, w AS weight, COUNT(*) AS n FROM uw, (SELECT CAST(r AS INTEGER) AS replica FROM range(5) z(r)) GROUP BY 1, 2")(lambda c: N.shuffled_weights(c.weighted, 5, 42).groupBy("replica", "weight").agg(F.count("*").alias("n")))
 query("weight_shuffle_changed", "s")(lambda c: N.shuffled_weights(c.weighted, 5, 42).join(c.weighted.withColumnRenamed("weight", "own"), ["u", "v"]).groupBy("replica").agg(F.avg((F.col("weight") != F.col("own")).cast("double")).alias("changed")))
@@ -223,7 +251,7 @@ def _percolation_sql(k: int = 3) -> str:
 
 query("kclique_communities", "s", _percolation_sql() + " SELECT CAST(community AS INTEGER) AS community, id FROM mem JOIN kn USING (c)")(lambda c: M.clique_communities(C.cliques_of_size(c.pairs, 3), 3))
 for _k in (4, 5, 6):
-    query(f"kclique_communities_{_k}", "s", _percolation_sql(_k) + " SELECT CAST(community AS INTEGER) AS community, id FROM mem JOIN kn USING (c)")(lambda c, k=_k: M.clique_communities(C.cliques_of_size(c.pairs, k), k))
+    query(f"kclique_communities_{_k}", "c", _percolation_sql(_k) + " SELECT CAST(community AS INTEGER) AS community, id FROM mem JOIN kn USING (c)")(lambda c, k=_k: M.clique_communities(C.cliques_of_size(c.pairs, k), k))
 query("community_of_member", "s", _percolation_sql() + ", hc AS (SELECT c FROM mem WHERE id = (SELECT MIN(id) FROM mem) ORDER BY c LIMIT 1) SELECT u, v FROM ue WHERE u IN (SELECT id FROM mem WHERE c IN (SELECT c FROM mem WHERE id = (SELECT MIN(id) FROM mem))) AND v IN (SELECT id FROM mem WHERE c IN (SELECT c FROM mem WHERE id = (SELECT MIN(id) FROM mem)))")(
     lambda c: (lambda k: G.induced(c.pairs, k.join(k.join(k.agg(F.min("id").alias("id")), "id").select("community"), "community", "left_semi"), "u", "v"))(M.clique_communities(C.cliques_of_size(c.pairs, 3), 3).persist())
 )
@@ -267,7 +295,18 @@ _WG = [(f"w{t}", f"{{w}} >= {t}") for t in (20, 30, 40)]
 query("alpha_table", "s", _DP + _grid_sql(_AG))(lambda c: B.filter_table(B.disparity(c.weighted), c.nodes.count(), _AG))
 query("threshold_table", "s", _DP + _grid_sql([(n, s.format(w="w")) for n, s in _WG]))(lambda c: B.filter_table(B.disparity(c.weighted), c.nodes.count(), [(n, s.format(w="weight")) for n, s in _WG]))
 query("backbone_stats", "s", _DP + _grid_sql([("0.3", "p < 0.3")]))(lambda c: B.filter_table(B.disparity(c.weighted), c.nodes.count(), [("0.3", "p < 0.3")]))
-query("filter_vs_threshold", "p", _DP + " SELECT id FROM (SELECT u AS id FROM dp WHERE p < 0.2 UNION SELECT v FROM dp WHERE p < 0.2) WHERE id NOT IN (SELECT u FROM dp WHERE w >= 45 UNION SELECT v FROM dp WHERE w >= 45)")(lambda c: (lambda d: (lambda f: f(d.where("p < 0.2")).join(f(d.where("weight >= 45")), "id", "left_anti"))(lambda x: x.select(F.explode(F.array("u", "v")).alias("id")).distinct()))(B.disparity(c.weighted)))
+_HEAVY = 3  # standard deviations above the mean weight
+
+
+def _left_by_threshold(c):
+    """Nodes that the backbone keeps and a threshold on weights drops."""
+    d = B.disparity(c.weighted)
+    most = c.weighted.agg((F.avg("weight") + _HEAVY * F.stddev_pop("weight")).alias("most"))
+    ends = lambda x: x.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    return ends(d.where("p < 0.2")).join(ends(d.crossJoin(F.broadcast(most)).where("weight >= most")), "id", "left_anti")
+
+
+query("filter_vs_threshold", "p", _DP + f", th AS (SELECT AVG(w) + {_HEAVY} * stddev_pop(w) AS most FROM dp) SELECT id FROM (SELECT u AS id FROM dp WHERE p < 0.2 UNION SELECT v FROM dp WHERE p < 0.2) WHERE id NOT IN (SELECT u FROM dp, th WHERE w >= most UNION SELECT v FROM dp, th WHERE w >= most)")(_left_by_threshold)
 query("edge_significance_explain", "s", _DP + " SELECT u, v, x AS end, k, s, ROUND(w / s, 6) AS share, ROUND(1 - pow(0.1, 1.0::DOUBLE / (k - 1)), 6) AS needed, CAST(floor((1 - pow(0.1, 1.0::DOUBLE / (k - 1))) * s) + 1 AS BIGINT) AS least_weight FROM dp JOIN en ON x = u OR x = v WHERE k > 1".replace("pow(0.1,", "pow(0.1::DOUBLE,"))(lambda c: B.explain_edges(B.disparity(c.weighted), c.weighted, 0.1))
 _SWEEP = [round(0.05 * i, 2) for i in range(1, 13)]
 query("alpha_sweep", "s", _DP + " SELECT alpha, (SELECT COUNT(*) FROM dp WHERE p < alpha) AS links, (SELECT COUNT(*) FROM (SELECT u FROM dp WHERE p < alpha UNION SELECT v FROM dp WHERE p < alpha)) AS attached FROM (SELECT CAST(round(0.05 * i, 2) AS DOUBLE) AS alpha FROM range(1, 13) z(i))")(lambda c: B.alpha_sweep(B.disparity(c.weighted), _SWEEP).select("alpha", "links", "attached"))
@@ -285,5 +324,5 @@ query("community_colors", "p", "SELECT label, CASE WHEN n >= 20 AND r <= 10 THEN
 PALETTE = ("#4477aa", "#ee6677", "#228833", "#ccbb44", "#66ccee", "#aa3377", "#bbbbbb", "#000000", "#ee8866", "#44bb99")
 query("findings_text", "p", "SELECT printf('%d nodes share %d links; the mean degree is %.2f.', (SELECT COUNT(*) FROM nodes), (SELECT COUNT(*) FROM ue), (SELECT AVG(k) FROM deg)) AS sentence")(lambda c: R.finding(c.degree.agg(F.count("*").alias("n"), F.expr("cast(sum(k) / 2 as bigint)").alias("m"), F.avg("k").alias("mean"))))
 query("interpret_node", "p", "SELECT id, CASE WHEN k / m >= 3 THEN 'hub' WHEN k / m >= 1.3 THEN 'well linked' WHEN k / m <= 0.5 THEN 'peripheral' ELSE 'typical' END || ', ' || CASE WHEN i - o >= 3 THEN 'receives' WHEN o - i >= 3 THEN 'sends' ELSE 'balanced' END AS class FROM deg JOIN dio USING (id), (SELECT AVG(k) AS m FROM deg)")(lambda c: (lambda d: d.crossJoin(F.broadcast(d.agg(F.avg("neighbors").alias("m")))).select("id", R.interpret(F.col("neighbors"), F.col("m"), F.col("in_degree"), F.col("out_degree")).alias("class")))(G.degrees(c.nodes, c.edges)))
-query("guess_feedback", "p", "SELECT id, CASE WHEN abs(15 - k) = 0 THEN 'exact' WHEN abs(15 - k) <= 3 THEN 'close' ELSE 'off' END AS feedback FROM deg")(lambda c: c.degree.select("id", R.guess_feedback(F.lit(15), F.col("k")).alias("feedback")))
+query("guess_feedback", "p", "SELECT id, CASE WHEN abs(g - k) = 0 THEN 'exact' WHEN abs(g - k) <= 3 THEN 'close' ELSE 'off' END AS feedback FROM deg, (SELECT CAST(floor(AVG(k)) AS BIGINT) AS g FROM deg)")(lambda c: c.degree.crossJoin(F.broadcast(c.degree.agg(F.floor(F.avg("k")).alias("g")))).select("id", R.guess_feedback(F.col("g"), F.col("k")).alias("feedback")))
 query("density_grid", "p", "SELECT CAST(GREATEST(round(2.0 * (SELECT COUNT(*) FROM ue) / (COUNT(*) * (COUNT(*) - 1)) * 100), 1) AS BIGINT) AS cells FROM nodes")(lambda c: c.degree.agg(R.filled_cells(F.sum("k") / (F.count("*") * (F.count("*") - 1))).alias("cells")))

@@ -19,7 +19,7 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 def query(key: str, scope: str, sql: str | None = None):
-    """Register make(fixture) under a key. scope: s (suppliers), p (parts), t (documents), td (documents with in-degrees of
+    """Register make(fixture) under a key. scope: s (suppliers), c (suppliers, denser), p (parts), t (documents), td (documents with in-degrees of
     parts).
     sql follows the common table expressions of the scope; None where SQL can't express the result."""
 

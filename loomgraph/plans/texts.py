@@ -57,11 +57,19 @@ query("heaps_area", "t", _CURVE + _ORD.format(key="n DESC", table="len").replace
     lambda c: (lambda g: T.growth_curve(T.first_positions(c.written_dtm, _by_id(c)), g).join(T.growth_curve(T.first_positions(c.written_dtm, T.orders(T.doc_sizes(c.docs, c.written_dtm), "tokens", True)), g).toDF("n", "other"), "n").withColumn("last", F.max("n").over(W.partitionBy())).where("n < last").agg(F.avg(F.ln(F.col("types") / F.col("other"))).alias("area")))(_grid(c))
 )
 query("doc_orders", "t", "SELECT doc_id, CAST(ROW_NUMBER() OVER (ORDER BY n DESC, doc_id) AS INTEGER) AS longest_first, CAST(ROW_NUMBER() OVER (ORDER BY n, doc_id) AS INTEGER) AS shortest_first FROM len")(lambda c: (lambda s: T.orders(s, "tokens", True).toDF("doc_id", "longest_first").join(T.orders(s, "tokens", False).toDF("doc_id", "shortest_first"), "doc_id"))(T.doc_sizes(c.docs, c.dtm)))
+
+
+def _tail_cut(s):
+    """One row: tokens of documents above the lowest decile of in-degrees (c), and of all (t)."""
+    decile = s.agg(F.expr("percentile_disc(0.1) within group (order by k)").alias("least"))
+    return s.crossJoin(F.broadcast(decile)).agg(F.sum(F.when(F.col("k") > F.col("least"), F.col("tokens")).otherwise(0)).alias("c"), F.sum("tokens").alias("t"))
+
+
 query("half_corpus_page", "t", ", rt AS (SELECT doc_id, SUM(n) OVER (ORDER BY doc_id) AS c, SUM(n) OVER () AS t FROM len) SELECT MIN(doc_id) AS doc_id FROM rt WHERE 2 * c >= t")(
     lambda c: (lambda p: p.crossJoin(F.broadcast(p.agg(F.sum("tokens").alias("t")))).where("2 * (before + tokens) >= t").agg(F.min("doc_id").alias("doc_id")))(placed(T.doc_sizes(c.docs, c.dtm), "doc_id", total="tokens"))
 )
-query("tail_new_types", "td", ", il AS (SELECT doc_id, n, ind.k FROM len JOIN ind USING (doc_id))" + _ORD.format(key="k DESC", table="il") + ", cut AS (SELECT SUM(n) AS c FROM il WHERE k > 0) SELECT (SELECT COUNT(*) FROM fp WHERE position >= c) AS new_types, CAST((SELECT SUM(n) FROM il) - c AS BIGINT) AS tail_tokens FROM cut")(
-    lambda c: (lambda s: T.first_positions(c.written_dtm, T.orders(s, "k", True)).crossJoin(F.broadcast(s.agg(F.sum(F.when(F.col("k") > 0, F.col("tokens")).otherwise(0)).alias("c"), F.sum("tokens").alias("t")))).agg(F.count_if(F.col("position") >= F.col("c")).alias("new_types"), F.first(F.col("t") - F.col("c")).alias("tail_tokens")))(T.doc_sizes(c.docs, c.dtm).join(c.in_degrees, "doc_id"))
+query("tail_new_types", "td", ", il AS (SELECT doc_id, n, ind.k FROM len JOIN ind USING (doc_id))" + _ORD.format(key="k DESC", table="il") + ", cut AS (SELECT SUM(n) AS c FROM il WHERE k > (SELECT quantile_disc(k, 0.1) FROM il)) SELECT (SELECT COUNT(*) FROM fp WHERE position >= c) AS new_types, CAST((SELECT SUM(n) FROM il) - c AS BIGINT) AS tail_tokens FROM cut")(
+    lambda c: (lambda s: T.first_positions(c.written_dtm, T.orders(s, "k", True)).crossJoin(F.broadcast(_tail_cut(s))).agg(F.count_if(F.col("position") >= F.col("c")).alias("new_types"), F.first(F.col("t") - F.col("c")).alias("tail_tokens")))(T.doc_sizes(c.docs, c.dtm).join(c.in_degrees, "doc_id"))
 )
 query("rarefied_types", "t", ", fr AS (SELECT doc_id, tf AS f, COUNT(*) AS c FROM dtm GROUP BY 1, 2) SELECT doc_id, ROUND(CASE WHEN MIN(n) >= 100 THEN SUM(c * CASE WHEN n - f < 100 THEN 1 ELSE 1 - exp(lgamma(n - f + 1) - lgamma(n - f - 100 + 1) - lgamma(n + 1) + lgamma(n - 100 + 1)) END) END, 4) AS expected FROM fr JOIN len USING (doc_id) GROUP BY 1")(lambda c: T.rarefied(c.dtm, 100).select("doc_id", F.round("expected", 4).alias("expected")))
 query("window_types", "t", ", wl AS (SELECT doc_id, list(token ORDER BY pos) AS ws FROM tok GROUP BY 1) SELECT doc_id, ROUND(AVG(len(list_distinct(ws[i + 1 : i + 100]))), 6) AS types FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 99, 50)) AS i FROM wl WHERE len(ws) >= 100) GROUP BY 1")(lambda c: T.window_types(c.tokens, 100, 50))
@@ -119,21 +127,22 @@ query("page_order_shuffle_null", "t")(lambda c: _shuffle_curves(c, 5))
 
 
 def _tail_null(c, replicas: int, within: bool):
-    """(replica, new_types) of the zero-in-degree tail: with `within`, in-degrees are dealt anew inside length deciles;
-    otherwise only ties of in-degree are broken anew."""
+    """(replica, new_types) of the tail, the lowest decile of in-degrees: with `within`, in-degrees are dealt anew inside
+    length deciles; otherwise only ties of in-degree are broken anew. Places come from ranges over all replicas, which have
+    equally many rows, tokens and rows of a decile."""
     s = T.doc_sizes(c.docs, c.dtm).join(c.in_degrees, "doc_id").withColumnRenamed("doc_id", "id")
-    s = s.join(S.strata(s.select("id", "tokens"), "tokens", 10), "id")
+    s = checkpointed(s.join(S.strata(s.select("id", "tokens"), "tokens", 10), "id"))
+    known = s.agg(F.expr("percentile_disc(0.1) within group (order by k)").alias("least"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()
     reps = c.spark.range(replicas).select(F.col("id").cast("int").alias("replica"))
     x = s.crossJoin(F.broadcast(reps)).withColumn("h", F.xxhash64(F.lit(11), "replica", "id"))
     if within:
-        slot = W.partitionBy("replica", "stratum")
-        a = x.select("replica", "stratum", "id", "tokens", F.row_number().over(slot.orderBy("id")).alias("p"))
-        b = x.select("replica", "stratum", "k", F.row_number().over(slot.orderBy("h", "id")).alias("p"))
-        x = a.join(b, ["replica", "stratum", "p"]).withColumn("h", F.xxhash64(F.lit(12), "replica", "id"))
-    by = W.partitionBy("replica").orderBy(F.desc("k"), "h", "id")
-    x = x.withColumn("start", F.sum("tokens").over(by) - F.col("tokens")).withColumn("cut", F.sum(F.when(F.col("k") > 0, F.col("tokens")).otherwise(0)).over(W.partitionBy("replica")))
-    f = c.dtm.join(x.select("replica", F.col("id").alias("doc_id"), "start", "cut"), "doc_id").groupBy("replica", "token").agg(F.min(F.col("start") + F.col("first")).alias("position"), F.first("cut").alias("cut"))
-    return f.groupBy("replica").agg(F.count_if(F.col("position") >= F.col("cut")).alias("new_types"))
+        a = placed(x.select("replica", "stratum", "id", "tokens"), "replica", "stratum", "id")
+        b = placed(x.select("replica", "stratum", "k", "h", "id"), "replica", "stratum", "h", "id").select("k", "place")
+        x = a.join(b, "place").withColumn("h", F.xxhash64(F.lit(12), "replica", "id"))
+    x = placed(x.select("replica", "id", "tokens", "k", "h"), "replica", F.desc("k"), "h", "id", total="tokens").withColumn("start", F.col("before") - F.col("replica") * known.t)
+    cut = x.where(F.col("k") > F.lit(known.least)).groupBy("replica").agg(F.sum("tokens").alias("cut"))
+    f = c.dtm.join(x.select("replica", F.col("id").alias("doc_id"), "start"), "doc_id").groupBy("replica", "token").agg(F.min(F.col("start") + F.col("first")).alias("position"))
+    return f.join(F.broadcast(reps.join(cut, "replica", "left").na.fill(0, ["cut"])), "replica").groupBy("replica").agg(F.count_if(F.col("position") >= F.col("cut")).alias("new_types"))
 
 
 query("length_matched_shuffle", "t")(lambda c: _tail_null(c, 5, True))
