@@ -237,14 +237,17 @@ query("community_splits", "p", ", ct AS (SELECT x.label AS l, y.label AS r, COUN
 
 def _percolation_sql(k: int = 3) -> str:
     """Cliques of k nodes, chained by k - 1 shared nodes."""
-    cliques = _CL
+    cliques = _CL + ", nb AS MATERIALIZED (SELECT u, list(v) AS vs FROM ue GROUP BY 1)"
     for j in range(4, k + 1):
-        ends = " ".join(f"JOIN ue w{i} ON w{i}.u = n{i} AND w{i}.v = w1.v" for i in range(2, j))
-        cliques += f", k{j} AS (SELECT k{j - 1}.*, w1.v AS n{j} FROM k{j - 1} JOIN ue w1 ON w1.u = n1 AND w1.v > n{j - 1} {ends})"
+        common = "w1.vs"
+        for i in range(2, j):
+            common = f"list_intersect({common}, w{i}.vs)"
+        ends = " ".join(f"JOIN nb w{i} ON w{i}.u = n{i}" for i in range(1, j))
+        cliques += f", k{j} AS MATERIALIZED (SELECT k{j - 1}.*, unnest({common}) AS n{j} FROM k{j - 1} {ends})"
     members = ", ".join(f"n{i}" for i in range(1, k + 1))
     return (
-        cliques + f", tr AS (SELECT row_number() OVER (ORDER BY {members}) AS t, [{members}] AS m FROM k{k}), tj AS (SELECT x.t AS a, y.t AS b FROM tr x JOIN tr y ON x.t <> y.t AND len(list_intersect(x.m, y.m)) = {k - 1}),"
-        " tc(t, x) AS (SELECT t, t FROM tr UNION SELECT tc.t, tj.b FROM tc JOIN tj ON tj.a = tc.x), tm AS (SELECT t, MIN(x) AS c FROM tc GROUP BY 1), mem AS (SELECT DISTINCT c, unnest(m) AS id FROM tm JOIN tr USING (t)),"
+        cliques + f", tr AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {members}) AS t, [{members}] AS m FROM k{k}), tj AS MATERIALIZED (SELECT x.t AS a, y.t AS b FROM tr x JOIN tr y ON x.t <> y.t AND len(list_intersect(x.m, y.m)) = {k - 1}),"
+        " tc(t, x) AS (SELECT t, t FROM tr UNION SELECT tc.t, tj.b FROM tc JOIN tj ON tj.a = tc.x), tm AS MATERIALIZED (SELECT t, MIN(x) AS c FROM tc GROUP BY 1), mem AS MATERIALIZED (SELECT DISTINCT c, unnest(m) AS id FROM tm JOIN tr USING (t)),"
         " ks AS (SELECT c, COUNT(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS key FROM mem GROUP BY 1), kn AS (SELECT c, ROW_NUMBER() OVER (ORDER BY n DESC, key) - 1 AS community FROM ks)"
     )
 
