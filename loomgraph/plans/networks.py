@@ -10,6 +10,7 @@ from loomgraph.operators import backbone as B
 from loomgraph.operators import centrality as C
 from loomgraph.operators import communities as M
 from loomgraph.operators import graph as G
+from loomgraph.operators import layout as L
 from loomgraph.operators import nulls as N
 from loomgraph.operators import paths as P
 from loomgraph.operators import reports as R
@@ -321,6 +322,8 @@ query("first_alpha", "p", _DP + _ENDS + " SELECT id, ROUND(MIN(p), 6) AS p FROM
 query("node_ties", "p", _DP + _ENDS + " SELECT y AS neighbor, w AS weight, ROUND(p, 6) AS p, p < 0.2 AS kept FROM de JOIN hub ON id = x")(lambda c: B.node_ties(B.disparity(c.weighted), c.hub, 0.2))
 query("strength_vs_degree", "p", _ST + " SELECT ROUND(corr(a1, b1), 6) AS rho, COUNT(*) AS n FROM (SELECT RANK() OVER (ORDER BY k) + (COUNT(*) OVER (PARTITION BY k) - 1) / 2.0 AS a1, RANK() OVER (ORDER BY s) + (COUNT(*) OVER (PARTITION BY s) - 1) / 2.0 AS b1 FROM st)")(lambda c: S.spearman(G.strength(c.nodes, c.weighted).join(c.degree, "id"), "k", "s"))
 query("backbone_layout", "s", _DP + ", bn AS (SELECT u AS id FROM dp WHERE p < 0.2 UNION SELECT v FROM dp WHERE p < 0.2), pos AS (SELECT id, cos(2 * pi() * (ROW_NUMBER() OVER (ORDER BY id) - 1) / COUNT(*) OVER ()) AS x, sin(2 * pi() * (ROW_NUMBER() OVER (ORDER BY id) - 1) / COUNT(*) OVER ()) AS y FROM bn), br AS (SELECT n.id, SUM(w * x) / SUM(w) AS x, SUM(w * y) / SUM(w) AS y FROM nodes n JOIN uw ON n.id = u OR n.id = v JOIN pos ON pos.id = CASE WHEN n.id = u THEN v ELSE u END WHERE n.id NOT IN (SELECT id FROM bn) GROUP BY 1) SELECT id, ROUND(x, 6) + 0.0::DOUBLE AS x, ROUND(y, 6) + 0.0::DOUBLE AS y, 'backbone' AS part FROM pos UNION ALL SELECT nodes.id, ROUND(COALESCE(x, 0), 6) + 0.0::DOUBLE, ROUND(COALESCE(y, 0), 6) + 0.0::DOUBLE, 'rest' FROM nodes LEFT JOIN br USING (id) WHERE nodes.id NOT IN (SELECT id FROM bn)")(lambda c: B.backbone_layout(c.nodes, c.weighted, B.kept(B.disparity(c.weighted), 0.2)))
+#: By forces instead of a circle; SQL can't loop over cells. Tested against all pairs of nodes.
+query("force_layout", "s")(lambda c: L.network_layout(c.nodes, c.weighted, B.kept(B.disparity(c.weighted), 0.2), rounds=8))
 query("community_colors", "p", "SELECT label, CASE WHEN n >= 20 AND r <= 10 THEN ['#4477aa', '#ee6677', '#228833', '#ccbb44', '#66ccee', '#aa3377', '#bbbbbb', '#000000', '#ee8866', '#44bb99'][r] ELSE '#999999' END AS color FROM (SELECT label, COUNT(*) AS n, CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, MIN(id)) AS INTEGER) AS r FROM lab GROUP BY 1)")(
     lambda c: c.labels.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("least")).withColumn("r", F.row_number().over(W.orderBy(F.desc("n"), "least"))).select("label", F.when((F.col("n") >= 20) & (F.col("r") <= 10), F.try_element_at(F.array(*map(F.lit, PALETTE)), "r")).otherwise("#999999").alias("color"))
 )

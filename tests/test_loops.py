@@ -34,7 +34,7 @@ def test_no_arrows(spark):
     assert sorted(map(tuple, P.strong_components(nodes, spark.createDataFrame([], "source long, target long")).collect())) == [(1, 1), (2, 2)]
 
 
-@pytest.mark.parametrize("delta", [None, 0.05, 10.0])
+@pytest.mark.parametrize("delta", [None, 0.05])
 def test_weighted_paths(spark, delta):
     r = random.Random(11)
     links = {tuple(sorted(r.sample(range(50), 2))): r.randrange(1, 30) for _ in range(110)} | {(60, 61): 3}
