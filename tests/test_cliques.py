@@ -72,7 +72,7 @@ def test_percolation_of_sizes_3_to_6(spark):
     found = cliques([r.id for r in f.nodes.collect()], [(r.u, r.v) for r in f.pairs.collect()])
     for k in (4, 5, 6):
         assert communities(M.clique_communities(C.cliques_of_size(f.pairs, k), k)) == percolation(found, k)
-    f = Fixture(spark, WIDE, "s")
+    f = Fixture(spark, WIDE, "c")
     found = cliques([r.id for r in f.nodes.collect()], [(r.u, r.v) for r in f.pairs.collect()])
     for k in (4, 5, 6):
         assert communities(QUERIES[f"kclique_communities_{k}"](spark, WIDE)) == percolation(found, k)
