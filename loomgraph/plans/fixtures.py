@@ -141,6 +141,15 @@ class Fixture:
         e = Fixture(self.spark, self.dir, "p").edges.groupBy(F.col("target").alias("doc_id")).agg(F.count("*").alias("k"))
         return self.docs.select("doc_id").join(e, "doc_id", "left").na.fill(0, ["k"])
 
+    @cached_property
+    def text_degrees(self) -> DataFrame:
+        """(doc_id, i, o, t): in-, out- and total degree of the part with a document's id; 0 where there is none."""
+        arrows = checkpointed(G.directed(Fixture(self.spark, self.dir, "p").edges))
+        i = arrows.groupBy(F.col("target").alias("doc_id")).agg(F.count("*").alias("i"))
+        o = arrows.groupBy(F.col("source").alias("doc_id")).agg(F.count("*").alias("o"))
+        both = self.docs.select("doc_id").join(i, "doc_id", "left").join(o, "doc_id", "left").na.fill(0, ["i", "o"])
+        return both.withColumn("t", F.col("i") + F.col("o"))
+
 
 _PARTS = """
 nodes AS (SELECT p_partkey AS id, p_name AS name, p_type AS type, p_brand AS brand, p_size AS size FROM part),

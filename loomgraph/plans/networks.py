@@ -212,6 +212,7 @@ _NMI = "SELECT {k} ROUND(CASE WHEN h > 1e-12 THEN 2 * i / h ELSE 1 END, 6) AS nm
 query("nmi", "p", ", ct AS (SELECT label AS x, type AS y, COUNT(*) AS n FROM lab JOIN nodes USING (id) GROUP BY 1, 2) " + _NMI.format(k="", p="", g=""))(lambda c: M.nmi(c.labels, c.nodes.select("id", "type")))
 query("nmi_matrix", "s", ", ct AS (SELECT a1.run AS i, b1.run AS j, a1.label AS x, b1.label AS y, COUNT(*) AS n FROM rr a1 JOIN rr b1 ON a1.id = b1.id AND a1.run < b1.run GROUP BY 1, 2, 3, 4) SELECT i, j, ROUND(CASE WHEN h > 1e-12 THEN 2 * mi / h ELSE 1 END, 6) AS nmi FROM (SELECT i, j, SUM(n / t * ln(n * t / (na * nb))) AS mi, SUM(-n / t * ln(na / t)) + SUM(-n / t * ln(nb / t)) AS h FROM (SELECT i, j, n, SUM(n) OVER (PARTITION BY i, j) AS t, SUM(n) OVER (PARTITION BY i, j, x) AS na, SUM(n) OVER (PARTITION BY i, j, y) AS nb FROM ct) GROUP BY 1, 2)")(lambda c: M.nmi_matrix(c.runs))
 query("metadata_nmi", "s", ", ct AS (SELECT run, label AS x, type AS y, COUNT(*) AS n FROM rr JOIN nodes USING (id) GROUP BY 1, 2, 3) " + _NMI.format(k="run,", p="PARTITION BY run", g="GROUP BY run"))(lambda c: M.nmi_by_run(c.runs, c.nodes.select("id", "type")))
+query("metadata_nmi_range", "s", ", ct AS (SELECT run, label AS x, type AS y, COUNT(*) AS n FROM rr JOIN nodes USING (id) GROUP BY 1, 2, 3), mn AS (" + _NMI.format(k="run,", p="PARTITION BY run", g="GROUP BY run") + ") SELECT MIN(nmi) AS least, MAX(nmi) AS most, MAX(CASE WHEN run = 0 THEN nmi END) AS first FROM mn")(lambda c: M.nmi_by_run(c.runs, c.nodes.select("id", "type")).agg(F.min("nmi").alias("least"), F.max("nmi").alias("most"), F.max(F.when(F.col("run") == 0, F.col("nmi"))).alias("first")))
 _AMI = (
     ", ct AS (SELECT label AS x, type AS y, COUNT(*) AS n FROM lab JOIN nodes USING (id) GROUP BY 1, 2), ra AS (SELECT x, SUM(n)::DOUBLE AS a FROM ct GROUP BY 1), rb AS (SELECT y, SUM(n)::DOUBLE AS b FROM ct GROUP BY 1), tt AS (SELECT SUM(n)::DOUBLE AS t FROM ct),"
     " mi AS (SELECT SUM(n / t * ln(n * t / (a * b))) AS i FROM ct JOIN ra USING (x) JOIN rb USING (y), tt), hh AS (SELECT (SELECT -SUM(a / t * ln(a / t)) FROM ra, tt) AS hx, (SELECT -SUM(b / t * ln(b / t)) FROM rb, tt) AS hy),"
@@ -225,6 +226,18 @@ query("consensus_partition", "s")(lambda c: M.consensus(c.nodes, M.louvain_runs(
 query("node_stability", "s", ", pr AS (SELECT id, label AS c, COUNT(*) OVER (PARTITION BY label) AS n FROM rr WHERE run = 0) SELECT p.id, ROUND(CASE WHEN n > 1 THEN COALESCE((SELECT SUM(s) FROM (SELECT COUNT(*) / 10 AS s FROM rr x JOIN rr y ON x.run = y.run AND x.label = y.label JOIN pr q ON q.id = y.id WHERE x.id = p.id AND y.id <> p.id AND q.c = p.c GROUP BY y.id)), 0) / (n - 1) END, 6) AS stability FROM pr p")(lambda c: M.stability(c.runs, c.runs.where("run = 0").select("id", "label")))
 query("distinct_communities", "s", "SELECT id, COUNT(DISTINCT label) AS communities FROM rr GROUP BY 1")(lambda c: c.runs.groupBy("id").agg(F.countDistinct("label").alias("communities")))
 query("border_dwellers", "s", "SELECT id, k, COUNT(DISTINCT label) AS communities FROM rr JOIN deg USING (id) WHERE k >= 5 GROUP BY 1, 2 ORDER BY 3 DESC, 2 DESC, 1 LIMIT 12")(lambda c: c.runs.join(c.degree, "id").where("k >= 5").groupBy("id", "k").agg(F.countDistinct("label").alias("communities")).orderBy(F.desc("communities"), F.desc("k"), "id").limit(12))
+_STAB = ", pr AS (SELECT id, label AS c, COUNT(*) OVER (PARTITION BY label) AS n FROM rr WHERE run = 0), tg AS (SELECT rr.id, COUNT(*) OVER (PARTITION BY run, c, rr.label) - 1 AS o FROM rr JOIN pr USING (id)), sb AS (SELECT id, CASE WHEN n > 1 THEN SUM(o) / 10.0::DOUBLE / (n - 1) END AS stability FROM pr JOIN tg USING (id) GROUP BY id, n)"
+
+
+def _border_by_stability(c):
+    """The twelve least stable nodes of degree 5 or more, and how many nodes never move."""
+    s = checkpointed(M.stability(c.runs, c.runs.where("run = 0").select("id", "label")))
+    still = s.agg(F.count_if(F.col("stability") >= 0.999).alias("never_move"))
+    least = s.join(c.degree, "id").where("k >= 5").orderBy(F.round("stability", 9), F.desc("k"), "id").limit(12)
+    return least.crossJoin(F.broadcast(still)).select("id", "k", "stability", "never_move")
+
+
+query("border_dwellers_by_stability", "s", _STAB + " SELECT id, k, ROUND(stability, 6) AS stability, (SELECT COUNT(*) FROM sb WHERE stability >= 0.999) AS never_move FROM sb JOIN deg USING (id) WHERE k >= 5 ORDER BY ROUND(stability, 9) NULLS FIRST, k DESC, id LIMIT 12")(_border_by_stability)
 query("community_table", "p", ", pl AS (SELECT label, id, ROW_NUMBER() OVER (PARTITION BY label ORDER BY k DESC, id) AS r FROM lab JOIN deg USING (id)) SELECT label, COUNT(*) AS size, MIN(CASE WHEN r = 1 THEN id END) AS hub, string_agg(CASE WHEN r <= 6 THEN CAST(id AS VARCHAR) END, ',' ORDER BY r) AS members FROM pl GROUP BY 1")(lambda c: M.community_table(c.nodes, c.pairs, c.labels))
 query("infomap", "s")(lambda c: M.infomap_runs(c.nodes, c.pairs, 3))
 query("infomap_directed", "s")(lambda c: M.infomap_runs(c.nodes, G.directed(c.edges), 3, is_directed=True))
@@ -259,6 +272,16 @@ for _k in (4, 5, 6):
 query("community_of_member", "s", _percolation_sql() + ", hc AS (SELECT c FROM mem WHERE id = (SELECT MIN(id) FROM mem) ORDER BY c LIMIT 1) SELECT u, v FROM ue WHERE u IN (SELECT id FROM mem WHERE c IN (SELECT c FROM mem WHERE id = (SELECT MIN(id) FROM mem))) AND v IN (SELECT id FROM mem WHERE c IN (SELECT c FROM mem WHERE id = (SELECT MIN(id) FROM mem)))")(
     lambda c: (lambda k: G.induced(c.pairs, k.join(k.join(k.agg(F.min("id").alias("id")), "id").select("community"), "community", "left_semi"), "u", "v"))(M.clique_communities(C.cliques_of_size(c.pairs, 3), 3).persist())
 )
+
+
+def _community_of(c, size: int):
+    """Links inside the clique communities of the smallest member."""
+    k = checkpointed(M.clique_communities(C.cliques_of_size(c.pairs, size), size))
+    own = k.join(F.broadcast(k.agg(F.min("id").alias("id"))), "id", "left_semi").select("community")
+    return G.induced(c.pairs, k.join(own, "community", "left_semi"), "u", "v")
+
+
+query("community_of_member_5", "c", _percolation_sql(5) + ", hm AS (SELECT id FROM mem WHERE c IN (SELECT c FROM mem WHERE id = (SELECT MIN(id) FROM mem))) SELECT u, v FROM ue WHERE u IN (SELECT id FROM hm) AND v IN (SELECT id FROM hm)")(lambda c: _community_of(c, 5))
 query("edge_similarity", "s", ", p AS (SELECT u, v FROM a UNION SELECT u, u FROM a), z AS (SELECT u, COUNT(*) AS n FROM p GROUP BY 1), wd AS (SELECT x.v AS k, x.u AS a1, y.u AS b1 FROM a x JOIN a y ON x.v = y.v AND x.u < y.u), cm AS (SELECT f.u AS a1, g.u AS b1, COUNT(*) AS c FROM p f JOIN p g ON f.v = g.v GROUP BY 1, 2) SELECT k, wd.a1 AS a, wd.b1 AS b, ROUND(c / (m.n + o.n - c), 6) AS similarity FROM wd JOIN cm USING (a1, b1) JOIN z m ON m.u = a1 JOIN z o ON o.u = b1")(lambda c: M.edge_similarity(c.pairs))
 query("link_communities", "s")(lambda c: M.link_communities(c.pairs)[0])
 query("link_density_curve", "s")(lambda c: M.link_communities(c.pairs)[1])

@@ -75,6 +75,23 @@ query("rarefied_types", "t", ", fr AS (SELECT doc_id, tf AS f, COUNT(*) AS c FRO
 query("window_types", "t", ", wl AS (SELECT doc_id, list(token ORDER BY pos) AS ws FROM tok GROUP BY 1) SELECT doc_id, ROUND(AVG(len(list_distinct(ws[i + 1 : i + 100]))), 6) AS types FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 99, 50)) AS i FROM wl WHERE len(ws) >= 100) GROUP BY 1")(lambda c: T.window_types(c.tokens, 100, 50))
 _SP = "(SELECT RANK() OVER (ORDER BY {x}) + (COUNT(*) OVER (PARTITION BY {x}) - 1) / 2.0 AS rx, RANK() OVER (ORDER BY {y}) + (COUNT(*) OVER (PARTITION BY {y}) - 1) / 2.0 AS ry FROM {t})"
 query("length_vs_degree", "td", ", ld AS (SELECT n, types, ind.k FROM len JOIN ind USING (doc_id)) SELECT 'length' AS measure, ROUND(corr(rx, ry), 6) AS rho FROM " + _SP.format(x="n", y="k", t="ld") + " UNION ALL SELECT 'types', ROUND(corr(rx, ry), 6) FROM " + _SP.format(x="types", y="k", t="ld"))(lambda c: (lambda s: S.spearman(s, "tokens", "k").select(F.lit("length").alias("measure"), "rho").union(S.spearman(s, "types", "k").select(F.lit("types"), "rho")))(T.doc_sizes(c.docs, c.dtm).join(c.in_degrees, "doc_id")))
+_KINDS = (("in", "i"), ("out", "o"), ("total", "t"))
+
+
+def _text_against_degrees(c):
+    """Rank correlation of each text measure with each kind of degree, and how many documents have no link."""
+    s = checkpointed(T.doc_sizes(c.docs, c.dtm).join(c.text_degrees, "doc_id"))
+    alone = F.broadcast(s.agg(F.count_if(F.col("t") == 0).alias("isolates")))
+    out = None
+    for measure, column in (("length", "tokens"), ("types", "types")):
+        for kind, k in _KINDS:
+            one = S.spearman(s, column, k).select(F.lit(measure).alias("measure"), F.lit(kind).alias("degree"), "rho")
+            out = one if out is None else out.union(one)
+    return out.crossJoin(alone)
+
+
+_DEGS = ", og AS (SELECT doc_id, COALESCE(k, 0) AS o FROM documents LEFT JOIN (SELECT s AS doc_id, COUNT(*) AS k FROM ge GROUP BY 1) USING (doc_id)), ld AS MATERIALIZED (SELECT n, types, ind.k AS i, o, ind.k + o AS t FROM len JOIN ind USING (doc_id) JOIN og USING (doc_id)) "
+query("text_against_degrees", "td", _DEGS + " UNION ALL ".join(f"SELECT '{m}' AS measure, '{d}' AS degree, ROUND(corr(rx, ry), 6) AS rho, (SELECT COUNT(*) FROM ld WHERE t = 0) AS isolates FROM " + _SP.format(x=x, y=k, t="ld") for m, x in (("length", "n"), ("types", "types")) for d, k in _KINDS))(_text_against_degrees)
 query("budget_correlations", "td", ", fr AS (SELECT doc_id, tf AS f, COUNT(*) AS c FROM dtm GROUP BY 1, 2), ex AS (SELECT doc_id, round(SUM(c * CASE WHEN n - f < 100 THEN 1 ELSE 1 - exp(lgamma(n - f + 1) - lgamma(n - f - 100 + 1) - lgamma(n + 1) + lgamma(n - 100 + 1)) END), 4) AS e, MIN(n) AS n FROM fr JOIN len USING (doc_id) WHERE n >= 100 GROUP BY 1), ek AS (SELECT e, n, ind.k FROM ex JOIN ind USING (doc_id)) SELECT 'in_degree' AS measure, ROUND(corr(rx, ry), 4) AS rho FROM " + _SP.format(x="e", y="k", t="ek") + " UNION ALL SELECT 'length', ROUND(corr(rx, ry), 4) FROM " + _SP.format(x="e", y="n", t="ek"))(
     lambda c: (lambda s: S.spearman(s, "expected", "k").select(F.lit("in_degree").alias("measure"), F.round("rho", 4).alias("rho")).union(S.spearman(s, "expected", "tokens").select(F.lit("length"), F.round("rho", 4))))(T.rarefied(c.dtm, 100).where("expected is not null").select("doc_id", F.round("expected", 4).alias("expected")).join(c.in_degrees, "doc_id").join(T.doc_sizes(c.docs, c.dtm), "doc_id"))
 )
