@@ -201,24 +201,26 @@ def degeneracy_rank(near: list[set]) -> list[int]:
     return rank
 
 
-def swap_edges(edges: list[tuple[int, int]], swaps: int, rng: np.random.Generator, tries: int) -> list[tuple[int, int]]:
-    """Double edge swaps that keep every degree and make neither loops nor repeated edges."""
-    e = [tuple(sorted(x)) for x in edges]
-    have, done = set(e), 0
-    while done < swaps and tries > 0 and len(e) > 1:
-        tries -= 1
-        i, j = rng.integers(0, len(e), 2)
-        (a, b), (c, d) = e[i], e[j]
-        if rng.random() < 0.5:
-            c, d = d, c
-        p, q = tuple(sorted((a, d))), tuple(sorted((c, b)))
-        if i == j or a == d or c == b or p in have or q in have or p == q:
-            continue
-        have -= {e[i], e[j]}
-        e[i], e[j] = p, q
-        have |= {p, q}
-        done += 1
-    return e
+def swap_edges(n: int, u, v, swaps: int, rng: np.random.Generator, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Double edge swaps that keep every degree and make neither loops nor repeated edges; ends as two arrays, smaller first.
+
+    A round deals the edges into pairs that share none and tries all their swaps at once. One that makes a loop, an edge that
+    is there, or an edge that another one makes is left out. Rounds end when `swaps` are done, or after `rounds`."""
+    lo, hi = np.minimum(u, v).astype(np.int64), np.maximum(u, v).astype(np.int64)
+    done = 0
+    while done < swaps and rounds > 0 and len(lo) > 1:
+        rounds -= 1
+        i, j = rng.permutation(len(lo))[: len(lo) // 2 * 2].reshape(2, -1)
+        turn = rng.random(len(i)) < 0.5
+        a, b, c, d = lo[i], hi[i], np.where(turn, hi[j], lo[j]), np.where(turn, lo[j], hi[j])
+        made = np.concatenate([np.minimum(a, d) * n + np.maximum(a, d), np.minimum(b, c) * n + np.maximum(b, c)])
+        _, back, often = np.unique(made, return_inverse=True, return_counts=True)
+        fine = ((often[back] == 1) & ~np.isin(made, lo * n + hi)).reshape(2, -1).all(axis=0) & (a != d) & (b != c)
+        fine[np.cumsum(fine) > swaps - done] = False
+        i, j, (p, q) = i[fine], j[fine], made.reshape(2, -1)[:, fine]
+        lo[i], hi[i], lo[j], hi[j] = p // n, p % n, q // n, q % n
+        done += len(i)
+    return lo, hi
 
 
 def stub_matching(degrees: np.ndarray, rng: np.random.Generator) -> np.ndarray:

@@ -163,16 +163,25 @@ query("removal_curve", "s", _REMOVAL + " SELECT name, step, ROUND(y, 6) AS fract
 query("removal_auc", "s", _REMOVAL + " SELECT name, ROUND(SUM(a) / (MAX(step) - MIN(step)), 6) AS area FROM (SELECT name, step, (y + LAG(y) OVER w) / 2 * (step - LAG(step) OVER w) AS a FROM cv WINDOW w AS (PARTITION BY name ORDER BY step)) GROUP BY 1")(lambda c: S.curve_area(C.removal_curves(c.nodes, c.pairs, _orders(c)), "step", "fraction", "name"))
 query("removal_curve_dynamic", "s")(lambda c: C.removal_dynamic(c.nodes, c.pairs))
 query("removal_curve_random", "s")(lambda c: C.removal_random(c.nodes, c.pairs, 50))
-query("centrality_zscores", "s")(lambda c: N.zscores(C.betweenness(c.nodes, c.pairs), N.centrality_null(c.nodes, c.pairs, 40), "betweenness"))
+query("centrality_zscores", "s")(lambda c: N.zscores(C.betweenness(c.nodes, c.pairs), N.centrality_null(c.nodes, c.pairs, 200), "betweenness"))
 
 #: Random graphs of the size of the given one: as many nodes, and as many links.
 query("barabasi_albert", "p")(lambda c: N.barabasi_albert(c.spark, c.nodes.count(), 42))
 query("uniform_attachment", "p")(lambda c: N.uniform_attachment(c.spark, c.nodes.count(), 42))
 query("gnm_random", "p")(lambda c: N.gnm_random(c.spark, c.nodes.count(), c.pairs.count(), 42))
 query("configuration_model", "p")(lambda c: N.configuration_model(c.nodes, c.pairs, 42))
-_SWAPPED = "SELECT replica, id, k FROM deg, (SELECT CAST(r AS INTEGER) AS replica FROM range(5) z(r)) WHERE k > 0"
-query("double_edge_swap", "s", _SWAPPED)(lambda c: G.both_ways(N.swapped(c.nodes, c.pairs, 5).select("u", "v", "replica")).groupBy("replica", F.col("u").alias("id")).agg(F.count("*").alias("k")))
-query("double_edge_swap_changed", "s")(lambda c: (lambda s: s.groupBy("replica").agg((1 - F.avg(F.coalesce("kept", F.lit(0)))).alias("changed")))(N.swapped(c.nodes, c.pairs, 5).join(c.pairs.withColumn("kept", F.lit(1)), ["u", "v"], "left")))
+_SWAPPED = "SELECT replica, id, k FROM deg, (SELECT CAST(r AS INTEGER) AS replica FROM range(500) z(r)) WHERE k > 0"
+
+
+def _changed(new, pairs):
+    """Share of the links that are not among the given ones, for each replica."""
+    return new.join(pairs.withColumn("kept", F.lit(1)), ["u", "v"], "left").groupBy("replica").agg((1 - F.avg(F.coalesce("kept", F.lit(0)))).alias("changed"))
+
+
+query("double_edge_swap", "s", _SWAPPED)(lambda c: G.both_ways(N.swapped(c.nodes, c.pairs, 500).select("u", "v", "replica")).groupBy("replica", F.col("u").alias("id")).agg(F.count("*").alias("k")))
+query("double_edge_swap_changed", "s")(lambda c: _changed(N.swapped(c.nodes, c.pairs, 500), c.pairs))
+query("double_edge_swap_parts", "p", "SELECT id, k FROM deg WHERE k > 0")(lambda c: G.both_ways(N.rewired(c.pairs, 10)).groupBy(F.col("u").alias("id")).agg(F.count("*").alias("k")))
+query("double_edge_swap_parts_changed", "p")(lambda c: _changed(N.rewired(c.pairs, 10).withColumn("replica", F.lit(0)), c.pairs))
 query("random_regular", "s", "SELECT CAST(r AS INTEGER) AS replica, CAST(8 AS BIGINT) AS k, (SELECT COUNT(*) FROM nodes) AS n FROM range(2) z(r)")(lambda c: G.both_ways(N.random_regular(c.spark, c.nodes.count(), 8, 2).select("u", "v", "replica")).groupBy("replica", "u").agg(F.count("*").alias("k")).groupBy("replica", "k").agg(F.count("*").alias("n")))
 query("random_regular_links", "s")(lambda c: N.random_regular(c.spark, c.nodes.count(), 8, 2))
 query("label_shuffle_null", "s", "SELECT replica, label, COUNT(*) AS n FROM lab, (SELECT CAST(r AS INTEGER) AS replica FROM range(200) z(r)) GROUP BY 1, 2")(lambda c: N.shuffled_labels(c.labels, 200, 42).groupBy("replica", "label").agg(F.count("*").alias("n")))

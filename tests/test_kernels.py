@@ -92,11 +92,18 @@ def test_strong_components():
 @pytest.mark.parametrize("seed", range(3))
 def test_swaps_keep_degrees(seed):
     n, edges = random_graph(seed, 20, 0.25)
-    out = K.swap_edges(edges, 100, np.random.default_rng(seed), 5000)
+    out = list(zip(*(x.tolist() for x in K.swap_edges(n, *np.array(edges).T, 100, np.random.default_rng(seed), 100))))
     assert np.bincount(np.ravel(edges), minlength=n).tolist() == np.bincount(np.ravel(out), minlength=n).tolist()
     assert len(set(out)) == len(edges) and all(a < b for a, b in out) and set(out) != set(edges)
 
 
+def test_swaps_without_room():
+    complete = np.array(list(itertools.combinations(range(5), 2))).T
+    for u, v in (complete, np.empty((2, 0), np.int64), np.array([[3], [1]])):
+        a, b = K.swap_edges(5, u, v, 50, np.random.default_rng(0), 30)
+        assert sorted(zip(a.tolist(), b.tolist())) == sorted(zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist()))
+
+
 def test_regular_and_trees():
     e = K.regular_graph(30, 4, np.random.default_rng(0))
     assert set(np.bincount(e.ravel()).tolist()) == {4}
