@@ -13,14 +13,15 @@ from loomgraph.operators.graph import both_ways, degree_of, directed
 from loomgraph.operators.local import local, spread
 
 
-def closeness(distances: DataFrame, n: int) -> DataFrame:
-    """(r - 1) / sum d, times (r - 1) / (n - 1) for the part of the graph that is reached; from (s, v, d) rows."""
-    x = distances.groupBy("s").agg(F.count("*").alias("r"), F.sum("d").alias("t"))
-    return x.select(F.col("s").alias("id"), F.when(F.col("t") > 0, (F.col("r") - 1) / F.col("t") * (F.col("r") - 1) / (n - 1)).otherwise(0.0).alias("closeness"))
+def closeness(reached: DataFrame, n: int) -> DataFrame:
+    """(r - 1) / sum d, times (r - 1) / (n - 1) for the part of the graph that is reached; from (id, d, n) rows."""
+    x = reached.groupBy("id").agg(F.sum("n").alias("r"), F.sum(F.col("d") * F.col("n")).alias("t"))
+    return x.select("id", F.when(F.col("t") > 0, (F.col("r") - 1) / F.col("t") * (F.col("r") - 1) / (n - 1)).otherwise(0.0).alias("closeness"))
 
 
-def harmonic(distances: DataFrame) -> DataFrame:
-    return distances.groupBy(F.col("s").alias("id")).agg(F.sum(F.when(F.col("d") > 0, 1 / F.col("d")).otherwise(0.0)).alias("harmonic"))
+def harmonic(reached: DataFrame) -> DataFrame:
+    """Sum of 1 / d over the other nodes that are reached; from (id, d, n) rows."""
+    return reached.groupBy("id").agg(F.sum(F.when(F.col("d") > 0, F.col("n") / F.col("d")).otherwise(0.0)).alias("harmonic"))
 
 
 def betweenness(nodes: DataFrame, links: DataFrame, is_directed: bool = False, normalized: bool = True) -> DataFrame:

@@ -14,6 +14,7 @@ from loomgraph.operators import layout as L
 from loomgraph.operators import nulls as N
 from loomgraph.operators import paths as P
 from loomgraph.operators import reports as R
+from loomgraph.operators import search as D
 from loomgraph.operators import stats as S
 from loomgraph.plans.registry import query
 
@@ -59,13 +60,13 @@ query("shortest_path", "s", _paths("hub") + " SELECT sp.id, array_to_string(path
 query("directed_path_to_target", "s", _paths("hub", "e", "s", "t") + " SELECT sp.id, array_to_string(path, '>') AS path FROM sp JOIN lst USING (id)")(lambda c: _path_text(P.shortest_paths(_arrows(c), c.hub, c.last)))
 query("six_degrees", "s", _paths("hub") + " SELECT sp.id, CAST(len(path) - 1 AS INTEGER) AS d, array_to_string(path, '>') AS path FROM sp")(lambda c: P.shortest_paths(c.adj, c.hub).select("id", (F.size("path") - 1).alias("d"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path")))
 query("apsp_distances", "s", _APSP + " SELECT s, v, d FROM d0")(lambda c: P.all_distances(c.nodes, c.pairs))
-query("distance_distribution", "s", _APSP + " SELECT d, COUNT(*) AS n, ROUND(COUNT(*) / SUM(COUNT(*)) OVER (), 6) AS share FROM d0 WHERE d > 0 GROUP BY 1")(lambda c: P.all_distances(c.nodes, c.pairs).where("d > 0").groupBy("d").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy())))
+query("distance_distribution", "s", _APSP + " SELECT d, COUNT(*) AS n, ROUND(COUNT(*) / SUM(COUNT(*)) OVER (), 6) AS share FROM d0 WHERE d > 0 GROUP BY 1")(lambda c: D.distance_counts(c.nodes, c.adj).where("d > 0").groupBy("d").agg(F.sum("n").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy())))
 
 
 def _eccentricities(c):
     """(s, e, t, r, most, low): of each node its eccentricity, sum and number of distances; the largest such number, and the
     smallest eccentricity among nodes that have it."""
-    x = checkpointed(P.all_distances(c.nodes, c.pairs).groupBy("s").agg(F.max("d").alias("e"), F.sum("d").alias("t"), F.count("*").alias("r")))
+    x = checkpointed(D.distance_counts(c.nodes, c.adj).groupBy(F.col("id").alias("s")).agg(F.max("d").alias("e"), F.sum(F.col("d") * F.col("n")).alias("t"), F.sum("n").alias("r")))
     most = x.groupBy("r").agg(F.min("e").alias("low")).agg(F.max(F.struct("r", "low")).alias("m")).select(F.col("m.r").alias("most"), F.col("m.low").alias("low"))
     return x.crossJoin(F.broadcast(most))
 
@@ -75,9 +76,13 @@ query("eccentricity_summary", "s", _APSP + ", ec AS (SELECT s, MAX(d) AS e, SUM(
         _eccentricities(c)
     )
 )
-query("directed_reachability", "s", _DAPSP + " SELECT ROUND(SUM(CASE WHEN d > 0 THEN 1 ELSE 0 END) / ((SELECT COUNT(*) FROM nodes) * ((SELECT COUNT(*) FROM nodes) - 1)), 6) AS reach, ROUND(AVG(CASE WHEN d > 0 THEN d END), 6) AS mean FROM d0")(lambda c: P.all_distances(c.nodes, _arrows(c), True).crossJoin(F.broadcast(c.nodes.agg(F.count("*").alias("n")))).agg((F.count_if(F.col("d") > 0) / (F.first("n") * (F.first("n") - 1))).alias("reach"), F.avg(F.when(F.col("d") > 0, F.col("d"))).alias("mean")))
+query("directed_reachability", "s", _DAPSP + " SELECT ROUND(SUM(CASE WHEN d > 0 THEN 1 ELSE 0 END) / ((SELECT COUNT(*) FROM nodes) * ((SELECT COUNT(*) FROM nodes) - 1)), 6) AS reach, ROUND(AVG(CASE WHEN d > 0 THEN d END), 6) AS mean FROM d0")(
+    lambda c: D.distance_counts(c.nodes, _arrows(c)).where("d > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("mean")).crossJoin(F.broadcast(c.nodes.agg(F.count("*").alias("m")))).select((F.col("n") / (F.col("m") * (F.col("m") - 1))).alias("reach"), "mean")
+)
 query("reach_from_to", "s", _DAPSP + " SELECT (SELECT COUNT(*) - 1 FROM d0, hub WHERE s = id) AS forward, (SELECT COUNT(*) - 1 FROM d0, hub WHERE v = id) AS backward")(lambda c: P.bfs_distances(_arrows(c), c.hub).agg((F.count("*") - 1).alias("forward")).crossJoin(P.bfs_distances(_arrows(c).toDF("v", "u"), c.hub).agg((F.count("*") - 1).alias("backward"))))
-query("asymmetric_edges", "s", _DAPSP + " SELECT e.s AS source, e.t AS target, d FROM e LEFT JOIN d0 ON d0.s = e.t AND d0.v = e.s WHERE d IS NULL OR d >= 5")(lambda c: G.directed(c.edges).join(P.all_distances(c.nodes, _arrows(c), True).select(F.col("s").alias("target"), F.col("v").alias("source"), "d"), ["source", "target"], "left").where("d is null or d >= 5").select("source", "target", "d"))
+query("asymmetric_edges", "s", _DAPSP + " SELECT e.s AS source, e.t AS target, d FROM e LEFT JOIN d0 ON d0.s = e.t AND d0.v = e.s WHERE d IS NULL OR d >= 5")(
+    lambda c: D.pair_distances(c.nodes, _arrows(c), G.directed(c.edges).toDF("v", "s")).where("d is null or d >= 5").select(F.col("v").alias("source"), F.col("s").alias("target"), "d")
+)
 query("max_distance_nodes", "s", _bfs("hub") + " SELECT id, d FROM bd WHERE d = (SELECT MAX(d) FROM bd)")(lambda c: (lambda d: d.join(F.broadcast(d.agg(F.max("d").alias("d"))), "d").select("id", "d"))(P.bfs_distances(c.adj, c.hub)))
 query("strongly_connected_components", "s", _DAPSP + " SELECT x.s AS id, MIN(x.v) AS component FROM d0 x JOIN d0 y ON x.s = y.v AND x.v = y.s GROUP BY 1")(lambda c: P.strong_components(c.nodes, G.directed(c.edges)))
 #: The nodes that the hub reaches and is reached from are one component; mutual reachability of the others passes none of them.
@@ -102,8 +107,8 @@ def _rounds_sql(rounds: int = 14) -> str:
 query("weighted_path_of_parts", "p", _rounds_sql() + " SELECT ROUND(d, 6) AS length FROM w14 JOIN lst USING (id)")(lambda c: P.weighted_path(c.nodes, c.weighted, c.hub, c.last).agg(F.max("length").alias("length")))
 query("weighted_distances", "p", _rounds_sql() + " SELECT id, ROUND(d, 6) AS d FROM w14")(lambda c: P.weighted_distances(c.weighted, c.hub).select("id", "d"))
 
-query("closeness", "s", _APSP + " SELECT s AS id, ROUND(CASE WHEN SUM(d) > 0 THEN (COUNT(*) - 1) / SUM(d) * (COUNT(*) - 1) / ((SELECT COUNT(*) FROM nodes) - 1) ELSE 0 END, 6) AS closeness FROM d0 GROUP BY 1")(lambda c: C.closeness(P.all_distances(c.nodes, c.pairs), c.nodes.count()))
-query("harmonic", "s", _APSP + " SELECT s AS id, ROUND(SUM(CASE WHEN d > 0 THEN 1.0::DOUBLE / d ELSE 0 END), 6) AS harmonic FROM d0 GROUP BY 1")(lambda c: C.harmonic(P.all_distances(c.nodes, c.pairs)))
+query("closeness", "s", _APSP + " SELECT s AS id, ROUND(CASE WHEN SUM(d) > 0 THEN (COUNT(*) - 1) / SUM(d) * (COUNT(*) - 1) / ((SELECT COUNT(*) FROM nodes) - 1) ELSE 0 END, 6) AS closeness FROM d0 GROUP BY 1")(lambda c: C.closeness(D.distance_counts(c.nodes, c.adj), c.nodes.count()))
+query("harmonic", "s", _APSP + " SELECT s AS id, ROUND(SUM(CASE WHEN d > 0 THEN 1.0::DOUBLE / d ELSE 0 END), 6) AS harmonic FROM d0 GROUP BY 1")(lambda c: C.harmonic(D.distance_counts(c.nodes, c.adj)))
 
 
 def _brandes_sql(apsp: str, step: str, frm: str, to: str) -> str:
