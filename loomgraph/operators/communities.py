@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -119,15 +121,43 @@ def coassignment(runs: DataFrame, least: float = 0.0) -> DataFrame:
     return a.join(b, ["run", "label"]).where("i < j").groupBy("i", "j").agg((F.count("*") / n).alias("share")).where(F.col("share") >= least)
 
 
+def label_classes(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with the same label in every run, as one class named by its smallest id: (class, labels, size), labels in the order of
+    runs, and (id, class). A node has one label a run."""
+    own = runs.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "label"))), lambda x: x["label"]).alias("labels"))
+    classes = checkpointed(own.groupBy("labels").agg(F.min("id").alias("class"), F.count("*").alias("size")).select("class", "labels", "size"))
+    return classes, checkpointed(own.join(classes, "labels").select("id", "class"))
+
+
+def class_agreement(classes: DataFrame, n: int, least: float) -> DataFrame:
+    """(u, v, share) for classes u < v whose labels agree in at least `least` of the n runs, and in one at least.
+
+    Two that agree in k runs agree in one of any n - k + 1: only labels of so many runs propose pairs."""
+    need = max(1, math.ceil(least * n - 1e-9))
+    some = classes.select("class", F.posexplode(F.slice("labels", 1, n - need + 1)).alias("run", "label"))
+    near = some.toDF("u", "run", "label").join(some.toDF("v", "run", "label"), ["run", "label"]).where("u < v").select("u", "v").distinct()
+    x = near.join(classes.select(F.col("class").alias("u"), F.col("labels").alias("a")), "u").join(classes.select(F.col("class").alias("v"), F.col("labels").alias("b")), "v")
+    same = F.aggregate(F.zip_with("a", "b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda t, e: t + e)
+    return x.select("u", "v", same.alias("same")).where(F.col("same") >= need).select("u", "v", (F.col("same") / n).alias("share"))
+
+
 def consensus(nodes: DataFrame, runs: DataFrame, seeds: int, tau: float = 0.5, rounds: int = 10) -> DataFrame:
-    """(id, label): pairs together in at least tau of the runs become a weighted graph that is partitioned again,
-    until all runs agree."""
+    """(id, label): nodes together in at least tau of the runs become a weighted graph that is partitioned again, until all runs
+    agree. Labels are numbered by falling size, then by smallest id.
+
+    No pair of nodes is formed: classes of nodes with equal labels are the nodes of that graph, weighted by the pairs between two
+    classes, with the pairs inside a class as a loop; so classes move as one."""
     for _ in range(rounds):
-        pairs = coassignment(runs, tau).toDF("u", "v", "weight")
-        runs = checkpointed(louvain_runs(nodes, pairs, seeds, weight="weight"))
+        classes, members = label_classes(runs)
+        n = runs.select("run").distinct().count()
+        size = classes.select(F.col("class").alias("u"), F.col("size").alias("su"))
+        between = class_agreement(classes, n, tau).join(size, "u").join(size.toDF("v", "sv"), "v").select("u", "v", (F.col("share") * F.col("su") * F.col("sv")).alias("weight"))
+        inside = classes.where("size > 1").select(F.col("class").alias("u"), F.col("class").alias("v"), (F.col("size") * (F.col("size") - 1) / 2).alias("weight"))
+        found = louvain_runs(classes.select(F.col("class").alias("id")), checkpointed(between.union(inside)), seeds, weight="weight")
+        runs = checkpointed(members.join(found.withColumnRenamed("id", "class"), "class").select("run", "id", "label"))
         if seeds < 2 or nmi_matrix(runs).agg(F.min("nmi")).first()[0] > 1 - 1e-9:
             break
-    return runs.where("run = 0").select("id", "label")
+    return relabel(runs.where("run = 0").select("id", "label"))
 
 
 def stability(runs: DataFrame, partition: DataFrame) -> DataFrame:

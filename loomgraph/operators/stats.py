@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.operators.kernels import student_p
 from loomgraph.operators.order import placed
 
 
@@ -82,6 +84,17 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return r.agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
 
 
+def spearman_p(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(rho, n, p): rank correlation and its two-sided p-value by Student's t. Null where rho is (fewer than two rows, or a
+    column that doesn't vary)."""
+
+    @F.pandas_udf("double")
+    def p_value(rho: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(r) else student_p(r, int(k)) for r, k in zip(rho, n)], dtype="float64")
+
+    return spearman(df, x, y).withColumn("p", p_value("rho", "n"))
+
+
 def loglog_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     """Least squares of ln y on ln x over positive values: slope, intercept, r2."""
     p = df.where((F.col(x) > 0) & (F.col(y) > 0)).select(F.ln(x).alias("lx"), F.ln(y).alias("ly"))
@@ -95,6 +108,17 @@ def fit_outliers(df: DataFrame, x: str, y: str, least_x: int, limit: int) -> Dat
     return res.where(F.col(x) >= least_x).orderBy(F.desc(F.round("residual", 9)), "id").limit(limit).select("id", x, y, "residual")
 
 
+def standings(df: DataFrame, x: str, y: str, least_x: int, limit: int) -> DataFrame:
+    """(id, x, y, x_rank, y_rank, residual, outlier): each row's place by falling x and by falling y, ties by id, its distance from
+    the log-log fit (null unless both are positive), and whether fit_outliers() names it."""
+    rows = df.select("id", x, y)
+    ranks = ordinal_rank(ordinal_rank(rows, F.desc(x), "id", into="x_rank"), F.desc(y), "id", into="y_rank")
+    off = F.when((F.col(x) > 0) & (F.col(y) > 0), F.ln(y) - F.col("slope") * F.ln(x) - F.col("intercept"))
+    named = fit_outliers(rows, x, y, least_x, limit).select("id", F.lit(True).alias("outlier"))
+    out = ranks.crossJoin(F.broadcast(loglog_fit(rows, x, y))).withColumn("residual", off).join(F.broadcast(named), "id", "left")  # at most `limit` rows
+    return out.select("id", x, y, "x_rank", "y_rank", "residual", F.coalesce("outlier", F.lit(False)).alias("outlier"))
+
+
 def curve_area(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
     """Trapezoid area of y(x) over the range of x, for each curve."""
     w = W.partitionBy(by).orderBy(x)

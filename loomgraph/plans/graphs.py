@@ -173,6 +173,9 @@ query("value_counts_topn", "p", "SELECT type, COUNT(*) AS n FROM nodes GROUP BY
 query("weight_distribution", "p", "SELECT w AS k, COUNT(*) AS n FROM uw GROUP BY 1")(lambda c: S.distribution(c.weighted, "weight"))
 query("pearson", "p", "SELECT ROUND(corr(i, o), 6) AS r FROM dio")(lambda c: G.degrees(c.nodes, c.edges).agg(F.corr("in_degree", "out_degree").alias("r")))
 query("spearman", "p", "SELECT ROUND(corr(ri, ro), 6) AS rho, COUNT(*) AS n FROM (SELECT RANK() OVER (ORDER BY i) + (COUNT(*) OVER (PARTITION BY i) - 1) / 2.0 AS ri, RANK() OVER (ORDER BY o) + (COUNT(*) OVER (PARTITION BY o) - 1) / 2.0 AS ro FROM dio)")(lambda c: S.spearman(G.degrees(c.nodes, c.edges), "in_degree", "out_degree"))
+#: The p-value as an integral over rho itself: the tail of (1 - r^2)^((n - 4) / 2), by the middles of 100,000 steps.
+_RHO_P = ", rk AS (SELECT RANK() OVER (ORDER BY k) + (COUNT(*) OVER (PARTITION BY k) - 1) / 2.0 AS a, RANK() OVER (ORDER BY size) + (COUNT(*) OVER (PARTITION BY size) - 1) / 2.0 AS b FROM deg JOIN nodes USING (id)), rh AS (SELECT corr(a, b) AS rho, COUNT(*) AS n FROM rk) SELECT ROUND(rho, 6) AS rho, n, ROUND((SELECT SUM(exp((n - 4) / 2.0 * ln(1 - x * x))) FROM (SELECT abs(rho) + (1 - abs(rho)) * (i + 0.5) / 100000 AS x FROM range(100000) z(i))) * (1 - abs(rho)) / 100000 * 2 * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt(pi()), 6) AS p FROM rh"
+query("spearman_p", "p", _RHO_P)(lambda c: S.spearman_p(c.degree.join(c.nodes.select("id", "size"), "id"), "k", "size"))
 _STR = ", st AS (SELECT id, k, CAST(COALESCE(s, 0) AS BIGINT) AS s FROM deg LEFT JOIN (SELECT id, SUM(w) AS s FROM (SELECT u AS id, w FROM uw UNION ALL SELECT v, w FROM uw) GROUP BY 1) USING (id))"
 query("loglog_fit", "p", _STR + " SELECT ROUND(regr_slope(ln(s), ln(k)), 6) AS slope, ROUND(regr_intercept(ln(s), ln(k)), 6) AS intercept, ROUND(regr_r2(ln(s), ln(k)), 6) AS r2 FROM st WHERE k > 0 AND s > 0")(lambda c: S.loglog_fit(G.strength(c.nodes, c.weighted).join(c.degree, "id"), "k", "s"))
 query("fit_residual_outliers", "p", _STR + ", f AS (SELECT regr_slope(ln(s), ln(k)) AS b, regr_intercept(ln(s), ln(k)) AS a FROM st WHERE k > 0 AND s > 0) SELECT id, k, s, ROUND(ln(s) - b * ln(k) - a, 6) AS residual FROM st, f WHERE k >= 10 AND s > 0 ORDER BY ROUND(ln(s) - b * ln(k) - a, 9) DESC, id LIMIT 4")(lambda c: S.fit_outliers(G.strength(c.nodes, c.weighted).join(c.degree, "id"), "k", "s", 10, 4))

@@ -336,6 +336,9 @@ _WG = [(f"w{t}", f"{{w}} >= {t}") for t in (20, 30, 40)]
 query("alpha_table", "s", _DP + _grid_sql(_AG))(lambda c: B.filter_table(B.disparity(c.weighted), c.nodes.count(), _AG))
 query("threshold_table", "s", _DP + _grid_sql([(n, s.format(w="w")) for n, s in _WG]))(lambda c: B.filter_table(B.disparity(c.weighted), c.nodes.count(), [(n, s.format(w="weight")) for n, s in _WG]))
 query("backbone_stats", "s", _DP + _grid_sql([("0.3", "p < 0.3")]))(lambda c: B.filter_table(B.disparity(c.weighted), c.nodes.count(), [("0.3", "p < 0.3")]))
+query("strength_degree_standings", "p", _ST + ", fi AS (SELECT regr_slope(ln(s), ln(k)) AS b, regr_intercept(ln(s), ln(k)) AS a FROM st WHERE k > 0 AND s > 0), rs AS (SELECT id, k, s, ROW_NUMBER() OVER (ORDER BY k DESC, id) AS x_rank, ROW_NUMBER() OVER (ORDER BY s DESC, id) AS y_rank, CASE WHEN k > 0 AND s > 0 THEN ln(s) - b * ln(k) - a END AS residual FROM st, fi), ou AS (SELECT id FROM rs WHERE k >= 10 AND residual IS NOT NULL ORDER BY ROUND(residual, 9) DESC, id LIMIT 4) SELECT id, k, s, CAST(x_rank AS INTEGER) AS x_rank, CAST(y_rank AS INTEGER) AS y_rank, ROUND(residual, 6) AS residual, id IN (SELECT id FROM ou) AS outlier FROM rs")(
+    lambda c: S.standings(G.strength(c.nodes, c.weighted).join(c.degree, "id"), "k", "s", 10, 4)
+)
 _HEAVY = 3  # standard deviations above the mean weight
 
 

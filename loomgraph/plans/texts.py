@@ -92,6 +92,21 @@ def _text_against_degrees(c):
 
 _DEGS = ", og AS (SELECT doc_id, COALESCE(k, 0) AS o FROM documents LEFT JOIN (SELECT s AS doc_id, COUNT(*) AS k FROM ge GROUP BY 1) USING (doc_id)), ld AS MATERIALIZED (SELECT n, types, ind.k AS i, o, ind.k + o AS t FROM len JOIN ind USING (doc_id) JOIN og USING (doc_id)) "
 query("text_against_degrees", "td", _DEGS + " UNION ALL ".join(f"SELECT '{m}' AS measure, '{d}' AS degree, ROUND(corr(rx, ry), 6) AS rho, (SELECT COUNT(*) FROM ld WHERE t = 0) AS isolates FROM " + _SP.format(x=x, y=k, t="ld") for m, x in (("length", "n"), ("types", "types")) for d, k in _KINDS))(_text_against_degrees)
+_ORDER_KEYS = (("length", "n", "tokens"), ("in_degree", "i", "i"), ("out_degree", "o", "o"), ("degree", "t", "t"))
+
+
+def _every_order(c):
+    """Places of all documents by each key, in both directions, ties by rising id."""
+    s = checkpointed(T.doc_sizes(c.docs, c.dtm).join(c.text_degrees, "doc_id"))
+    out = None
+    for key, _, column in _ORDER_KEYS:
+        for descending in (True, False):
+            one = T.orders(s, column, descending).select(F.lit(key).alias("key"), F.lit(descending).alias("descending"), "doc_id", "place")
+            out = one if out is None else out.union(one)
+    return out
+
+
+query("doc_orders_by_key", "td", _DEGS.replace("SELECT n, types,", "SELECT doc_id, n, types,") + " UNION ALL ".join(f"SELECT '{key}' AS key, {d == ' DESC'} AS descending, doc_id, CAST(ROW_NUMBER() OVER (ORDER BY {x}{d}, doc_id) AS INTEGER) AS place FROM ld" for key, x, _ in _ORDER_KEYS for d in (" DESC", "")))(_every_order)
 query("budget_correlations", "td", ", fr AS (SELECT doc_id, tf AS f, COUNT(*) AS c FROM dtm GROUP BY 1, 2), ex AS (SELECT doc_id, round(SUM(c * CASE WHEN n - f < 100 THEN 1 ELSE 1 - exp(lgamma(n - f + 1) - lgamma(n - f - 100 + 1) - lgamma(n + 1) + lgamma(n - 100 + 1)) END), 4) AS e, MIN(n) AS n FROM fr JOIN len USING (doc_id) WHERE n >= 100 GROUP BY 1), ek AS (SELECT e, n, ind.k FROM ex JOIN ind USING (doc_id)) SELECT 'in_degree' AS measure, ROUND(corr(rx, ry), 4) AS rho FROM " + _SP.format(x="e", y="k", t="ek") + " UNION ALL SELECT 'length', ROUND(corr(rx, ry), 4) FROM " + _SP.format(x="e", y="n", t="ek"))(
     lambda c: (lambda s: S.spearman(s, "expected", "k").select(F.lit("in_degree").alias("measure"), F.round("rho", 4).alias("rho")).union(S.spearman(s, "expected", "tokens").select(F.lit("length"), F.round("rho", 4))))(T.rarefied(c.dtm, 100).where("expected is not null").select("doc_id", F.round("expected", 4).alias("expected")).join(c.in_degrees, "doc_id").join(T.doc_sizes(c.docs, c.dtm), "doc_id"))
 )
