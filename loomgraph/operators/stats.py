@@ -78,10 +78,11 @@ def ordinal_rank(df: DataFrame, *order, into: str = "rank") -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Correlation of average ranks."""
+    """Correlation of average ranks over rows without nulls; null if a column doesn't vary."""
     r = df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
     r = average_rank(average_rank(r, x, "rx"), y, "ry")
-    return r.agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    spread = F.stddev_pop("rx") * F.stddev_pop("ry")
+    return r.agg((F.covar_pop("rx", "ry") / F.nullif(spread, F.lit(0.0))).alias("rho"), F.count("*").alias("n"))
 
 
 def spearman_p(df: DataFrame, x: str, y: str) -> DataFrame:
