@@ -273,3 +273,14 @@ def test_shuffles_change_something_and_keep_the_rest(spark):
 
 def near_ids(links):
     return sorted({i for e in links for i in e})
+
+
+def test_neighbourhoods_are_not_sent_once_a_pair(spark):
+    _, pairs, links = graph(spark, 10, n=14, p=0.3)
+    near = {x: {x} | {b for a, b in links if a == x} | {a for a, b in links if b == x} for x in range(0, 140, 10)}
+    want = {(k, a, b): len(near[a] & near[b]) / len(near[a] | near[b]) for k in near for a in near[k] - {k} for b in near[k] - {k} if a < b}
+    got = M.edge_similarity(pairs)
+    assert {(x.k, x.a, x.b): pytest.approx(x.similarity) for x in got.collect()} == want
+    # pairs of nodes meet their sizes, their link and their wedges, but never a table of neighbourhoods
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 6, plan
