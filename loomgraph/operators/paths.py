@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,10 +107,11 @@ def all_distances(nodes: DataFrame, links: DataFrame, is_directed: bool = False)
 
     def work(shared, sources):
         ids, csr = shared
-        for s in sources:
-            d = K.bfs(csr, s)
-            for v in np.flatnonzero(d >= 0):
-                yield int(ids[s]), int(ids[v]), int(d[v])
+        for members, _, part, own in K.parts_of(csr, sources):
+            for s in own.tolist():
+                d = K.bfs(part, s)
+                there = np.flatnonzero(d >= 0)
+                yield pd.DataFrame({"s": np.full(len(there), ids[members[s]]), "v": ids[members[there]], "d": d[there]})
 
     return spread(nodes.sparkSession, range(g.n), (g.ids, g.arrows() if is_directed else g.undirected()), work, "s long, v long, d int")
 

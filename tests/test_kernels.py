@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -173,3 +174,23 @@ def test_student_p_and_expected_information():
     perms = list(itertools.permutations(b))
     want = sum(mi(a, list(p)) for p in perms) / len(perms)
     assert K.expected_mutual_information(np.array([3, 2]), np.array([1, 4])) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("arrows", [False, True])
+def test_sources_are_searched_in_their_own_component(seed, arrows, monkeypatch):
+    r = random.Random(seed)
+    spots = r.sample(range(40), 40)  # three parts of 12 nodes, mixed up, and isolates
+    links = [(spots[12 * p + a], spots[12 * p + b]) for p in range(3) for a in range(12) for b in range(a + 1, 12) if r.random() < 0.2]
+    g = K.Csr(40, [a for a, _ in links] + ([] if arrows else [b for _, b in links]), [b for _, b in links] + ([] if arrows else [a for a, _ in links]))
+    sources = r.sample(range(40), 25)
+    plain = [K.brandes(g, s, True) for s in sources]
+    seen, search = [], K.brandes
+    monkeypatch.setattr(K, "brandes", lambda part, *rest: seen.append(part.n) or search(part, *rest))
+    assert np.allclose(K.dependencies(g, sources), sum(d for d, _ in plain))
+    assert np.allclose(K.dependencies(g, sources, True), sum(e for _, e in plain))
+    assert len(seen) == 50 and max(seen) <= 12
+    for members, _, part, own in K.parts_of(g, sources):
+        for s in own.tolist():
+            whole = K.bfs(g, int(members[s]))
+            assert (K.bfs(part, s) == whole[members]).all() and (whole >= 0).sum() == (whole[members] >= 0).sum()
