@@ -3,8 +3,10 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from loomgraph.operators import kernels as K
 from loomgraph.operators import nulls as N
 
 
@@ -34,3 +36,21 @@ def test_no_room_repeats_and_nulls(spark):
     assert rewired(spark, [(2, 1), (1, 2), (3, 3), (None, 4)], rounds=2) == [(1, 2)]
     star = [(0, k) for k in range(1, 8)]
     assert sorted(rewired(spark, star, rounds=3)) == star
+
+
+def test_a_round_shuffles_links_once_and_proposes_none_elsewhere(spark, monkeypatch):
+    links = sorted({tuple(sorted(random.Random(5).sample(range(500), 2))) for _ in range(9)} | {(k, k + 7) for k in range(400)})
+    plans, keep = [], N.checkpointed
+    monkeypatch.setattr(N, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    got = rewired(spark, links, rounds=2, per_bucket=32)
+    assert degrees(got) == degrees(links) and len(set(got)) == len(links)
+    assert [p.count("Exchange hashpartitioning") for p in plans[1:]] == [1, 1]
+
+
+def test_swaps_across_keep_sides_and_degrees():
+    rng = np.random.default_rng(2)
+    edges = np.unique(rng.integers(0, 30, (200, 2)), axis=0)
+    a, b = K.swap_across(edges[:, 0], edges[:, 1] + 100, rng)
+    assert Counter(a.tolist()) == Counter(edges[:, 0].tolist()) and Counter(b.tolist()) == Counter((edges[:, 1] + 100).tolist())
+    assert len(set(zip(a.tolist(), b.tolist()))) == len(edges) and (b - 100 != edges[:, 1]).any()
+    assert [x.tolist() for x in K.swap_across(np.array([], np.int64), np.array([], np.int64), rng)] == [[], []]
