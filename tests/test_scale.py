@@ -284,3 +284,19 @@ def test_neighbourhoods_are_not_sent_once_a_pair(spark):
     # pairs of nodes meet their sizes, their link and their wedges, but never a table of neighbourhoods
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") <= 6, plan
+
+
+def test_greedy_modularity_by_components(spark, monkeypatch):
+    r = random.Random(12)
+    links = sorted((20 * k + a, 20 * k + b) for k in range(3) for a in range(18) for b in range(a + 1, 18) if r.random() < (0.5 if a // 6 == b // 6 else 0.05))
+    want = K.greedy_modularity(60, [a for a, _ in links], [b for _, b in links], [1.0] * len(links))
+    monkeypatch.setattr(M, "local", None)  # nothing comes to the driver
+    got = M.greedy_communities(spark.range(60), spark.createDataFrame(links, "u long, v long"))
+    assert [x.label for x in got.orderBy("id").collect()] == want and got.dtypes == [("id", "bigint"), ("label", "int")]
+
+
+def test_uniform_pairs_are_not_taken_by_one_task(spark):
+    got = N.gnm_random(spark, 50, 120, 3)
+    assert "Limit" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = [tuple(x) for x in got.collect()]
+    assert len(rows) == len(set(rows)) == 120 and all(a < b for a, b in rows)
