@@ -25,8 +25,9 @@ def distances(ids, links):
     return {i: dict(zip(ids, K.bfs(g, k).tolist())) for i, k in at.items()}
 
 
-@pytest.mark.parametrize("words, levels", [(8, 16), (1, 2)])
-def test_counts_and_pairs(spark, monkeypatch, words, levels):
+@pytest.mark.parametrize("words, levels, most", [(8, 16, 10), (1, 2, 10), (8, 16, 10**6)])
+def test_counts_and_pairs(spark, monkeypatch, words, levels, most):
+    monkeypatch.setattr(D, "MOST", most)  # beyond it, joins
     monkeypatch.setattr(D, "WORDS", words)
     monkeypatch.setattr(D, "LEVELS", levels)
     ids, links = some_graph(4)
@@ -54,3 +55,34 @@ def test_sources_of_several_blocks(spark):
     wheel = spark.range(600).selectExpr("id as u", "(id + 1) % 600 as v").union(spark.range(600).selectExpr("id as u", "600L as v"))
     got = {(x.id, x.d): x.n for x in D.distance_counts(nodes, wheel.union(wheel.select("v", "u"))).collect()}
     assert got == {(i, d): n for i in range(600) for d, n in ((0, 1), (1, 3), (2, 597))} | {(600, 0): 1, (600, 1): 600}
+
+
+def test_waves_and_counts_of_bits():
+    """Bits of 70 sources against a search a source, with rows gathered a few at a time, and counts against a plain sum."""
+    r = np.random.default_rng(3)
+    u, v = r.integers(0, 200, 260), r.integers(0, 200, 260)
+    g, back, sources = K.Csr(200, u, v), K.Csr(200, v, u), r.permutation(200)[:70]
+    most, K._GATHERED = K._GATHERED, 8
+    try:
+        got = {}
+        for d, bits in K.waves(back, sources):
+            plain = (bits[:, np.arange(70) // 64] >> (np.arange(70) % 64).astype(np.uint64)) & np.uint64(1)
+            assert K.bit_counts(bits)[:70].tolist() == plain.sum(axis=0).tolist()
+            got |= {(int(k), int(i)): d for i, k in zip(*np.nonzero(plain))}
+    finally:
+        K._GATHERED = most
+    assert got == {(k, i): int(x) for k, s in enumerate(sources) for i, x in enumerate(K.bfs(g, s)) if x >= 0}
+
+
+@pytest.mark.parametrize("make", [lambda n, e, p: D.distance_counts(n, e), D.pair_distances])
+def test_a_level_is_no_shuffle(spark, make):
+    """A chain has as many levels as nodes; of checked size it must not cost a job each."""
+    nodes, chain = spark.range(400).select("id"), spark.range(399).selectExpr("id as u", "id + 1 as v")
+    tracker, group = spark.sparkContext.statusTracker(), f"waves-{id(make)}"
+    spark.sparkContext.setJobGroup(group, "levels of a search")
+    try:
+        rows = make(nodes, chain, spark.createDataFrame([(0, 399), (399, 0)], "s long, v long")).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup(group)) < 60
+    assert {(0, 399)} <= {(x[0], x[1]) for x in rows}
