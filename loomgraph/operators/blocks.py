@@ -5,19 +5,30 @@ arc. Ranks give preorder numbers and subtree sizes, so a subtree is an interval.
 linked to each other by what the links outside of the tree reach from each interval, and the components of these edges are
 the blocks (biconnected components). A child's subtree comes loose from its parent exactly if the two tree edges are of
 different blocks. All steps are joins, aggregations and a logarithmic number of doublings, whatever the graph's shape.
+
+Up to MOST nodes `removals` needs none of these jobs: tasks drop the links that no removal's components need, two a node are
+left, and one task searches these by depth.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.checkpoints import checkpointed
+from loomgraph.operators import kernels as K
 from loomgraph.operators.components import components
 from loomgraph.operators.forest import spanning_forest
 from loomgraph.operators.graph import both_ways
 from loomgraph.operators.order import placed
 
+#: Nodes up to which two links a node go to one task.
+MOST = 2_000_000
+#: Links that a task holds before it drops those that no removal needs.
+HELD = 250_000
+
 
 def _tours(tree: DataFrame) -> DataFrame:
     """(a, b, left, root): each arc of each tree with the number of arcs that follow it in the tour, which begins at the
@@ -87,6 +98,38 @@ def blocks(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def removals(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, root, pieces, largest): what each node's own component falls into without the node, and the largest piece."""
+    if nodes.count() > MOST:
+        return _removals_by_joins(nodes, pairs)
+
+    def thinned(frames) -> pd.DataFrame:
+        held, n, most = [], 0, HELD
+        thin = lambda x: x.iloc[K.certificate(x["u"].to_numpy(), x["v"].to_numpy())]
+        for frame in frames:
+            held.append(frame)
+            n += len(frame)
+            if n > most:
+                held = [thin(pd.concat(held, ignore_index=True))]
+                n = len(held[0])
+                most = max(HELD, 2 * n)  # as in a forest's thinning: again only after as many new links
+        return thin(pd.concat(held, ignore_index=True)) if n else pd.DataFrame({"u": [], "v": []}, dtype=np.int64)
+
+    def thin(frames):
+        yield thinned(frames)
+
+    def searched(frames):
+        x = thinned(frames)
+        ids, ends = np.unique(x[["u", "v"]].to_numpy(np.int64), return_inverse=True)
+        u, v = ends.reshape(-1, 2).T
+        root, pieces, largest = K.removal_pieces(K.Csr(len(ids), np.concatenate([u, v]), np.concatenate([v, u])))
+        yield pd.DataFrame({"id": ids, "root": ids[root], "pieces": pieces, "largest": largest})
+
+    links = pairs.select("u", "v").where("u <> v").mapInPandas(thin, "u long, v long").repartition(8).mapInPandas(thin, "u long, v long")
+    found = links.repartition(1).mapInPandas(searched, "id long, root long, pieces long, largest long")
+    zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("pieces", "largest")]
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"), *zero)
+
+
+def _removals_by_joins(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     b = checkpointed(blocks(nodes, pairs))
     loose = b.where("parent is not null").groupBy(F.col("parent").alias("id"), F.col("block").alias("below")).agg(F.sum("size").alias("n"))
     loose = loose.join(b.select("id", "block"), "id").where("block is null or block <> below").groupBy("id").agg(F.count("*").alias("k"), F.sum("n").alias("s"), F.max("n").alias("m"))

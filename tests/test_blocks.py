@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+import pytest
 
+from loomgraph.operators import blocks as B
 from loomgraph.operators import kernels as K
 from loomgraph.operators import paths as P
 from loomgraph.operators.blocks import blocks, removals
@@ -30,7 +32,10 @@ def graph():
     return sorted({x for e in links for x in e} | {999}), links
 
 
-def test_removals_equal_brute_force(spark):
+@pytest.mark.parametrize("most, held", [(0, 0), (10**6, 20), (10**6, 10**6)])
+def test_removals_equal_brute_force(spark, monkeypatch, most, held):
+    monkeypatch.setattr(B, "MOST", most)  # beyond it, joins
+    monkeypatch.setattr(B, "HELD", held)
     ids, links = graph()
     nodes, pairs = spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(links, "u long, v long")
     want = plain(ids, links)
@@ -59,3 +64,30 @@ def test_whole_graph_counts(spark):
     for x in range(9):
         rest = np.delete(labels(x), x)
         assert got[x] == (len(set(rest)), max(np.bincount(rest)))
+
+
+def test_a_certificate_keeps_the_pieces_of_every_removal():
+    """Two links a node at most, alone and with other links added to both."""
+    for seed in range(40):
+        r = np.random.default_rng(seed)
+        n, m = 24, int(r.integers(1, 90))
+        e = np.unique(np.sort(r.integers(0, n, (m, 2)), axis=1), axis=0)
+        e = e[e[:, 0] != e[:, 1]]
+        more = np.sort(r.integers(0, n, (6, 2)), axis=1)
+        kept = e[K.certificate(e[:, 0], e[:, 1])] if len(e) else e
+        assert len(kept) <= 2 * n
+        for x in range(n):
+            for extra in (more[:0], more):
+                labels = [K.component_labels(n, *(y[(y != x).all(axis=1)].T)).tolist() for y in (np.concatenate([e, extra]), np.concatenate([kept, extra]))]
+                assert labels[0] == labels[1]
+
+
+def test_removals_take_few_jobs(spark):
+    ids, links = graph()
+    nodes, pairs = spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(links, "u long, v long")
+    spark.sparkContext.setJobGroup("removals", "pieces of every removal")
+    try:
+        removals(nodes, pairs).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("removals")) < 12
