@@ -60,3 +60,13 @@ def test_rank_correlation_without_variation_and_standings(spark):
     order = sorted(range(12), key=lambda i: (-(i % 4), i))
     assert [got[i].x_rank for i in order] == list(range(1, 13)) and sum(r.outlier for r in got.values()) == 3
     assert all((r.residual is None) == (r.k == 0 or r.s == 0) for r in got.values()) and all(r.k >= 2 for r in got.values() if r.outlier)
+
+
+def test_coassignment_shuffles_no_pair(spark):
+    """Pairs in order, those of a run that lacks a node, and a plan without an exchange."""
+    rows = [(run, i, (i * (run + 3)) % 4) for run in range(5) for i in range(30) if (run, i) != (2, 7)]
+    got = M.coassignment(spark.createDataFrame(rows, "run int, id long, label int"), 0.3)
+    label = {(run, i): c for run, i, c in rows}
+    share = {(i, j): sum(label.get((r, i), -1) == label.get((r, j), -2) for r in range(5)) / 5 for i in range(30) for j in range(i + 1, 30)}
+    assert {(x.i, x.j): x.share for x in got.collect()} == {p: s for p, s in share.items() if s >= 0.3}
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
