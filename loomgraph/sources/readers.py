@@ -64,10 +64,16 @@ def read_corpus_zip(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(entries, "doc_id string, text string")
 
 
-def write_corpus_zip(docs: DataFrame, folder: str, archives: int = 8) -> None:
+#: Characters of text to an archive, on average: a task holds one archive whole.
+ARCHIVE_CHARS = 16_000_000
+
+
+def write_corpus_zip(docs: DataFrame, folder: str, archives: int | None = None) -> None:
     """Write (doc_id, text) as zip archives of .txt files named by URL-encoded ids, in a folder that workers and driver
-    share; null texts are empty files. Each attempt of a task writes a file of its own under a hidden name, which takes its
-    place when it is whole."""
+    share; null texts are empty files. Unless their number is given, archives are as many as ARCHIVE_CHARS asks for, 8 at
+    least. Each attempt of a task writes a file of its own under a hidden name, which takes its place when it is whole."""
+    if archives is None:
+        archives = max(8, -(-(docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0) // ARCHIVE_CHARS))
 
     def pack(key, table):
         out = io.BytesIO()

@@ -49,3 +49,12 @@ def test_attribute_maps_and_artefacts(spark, tmp_path):
     assert len(made) == 2
     R.write_json(spark.createDataFrame([("é", 1)], "a string, b int"), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first().value == '{"a":"é","b":1}'
+
+
+def test_archives_grow_in_number_with_the_corpus(spark, tmp_path, monkeypatch):
+    """A task holds an archive: with twice the text there are twice as many, none is larger."""
+    monkeypatch.setattr(R, "ARCHIVE_CHARS", 1000)
+    docs = spark.range(400).selectExpr("id as doc_id", "repeat('word ', 20) as text")
+    R.write_corpus_zip(docs, f"file://{tmp_path}/zips")
+    assert 30 <= len(list((tmp_path / "zips").glob("*.zip"))) <= 40
+    assert {(x.doc_id, x.text) for x in R.read_corpus_zip(spark, f"file://{tmp_path}/zips/*.zip").collect()} == {(str(i), "word " * 20) for i in range(400)}
