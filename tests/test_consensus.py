@@ -70,3 +70,18 @@ def test_coassignment_shuffles_no_pair(spark):
     share = {(i, j): sum(label.get((r, i), -1) == label.get((r, j), -2) for r in range(5)) / 5 for i in range(30) for j in range(i + 1, 30)}
     assert {(x.i, x.j): x.share for x in got.collect()} == {p: s for p, s in share.items() if s >= 0.3}
     assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("held", [2048, 7])
+def test_agreement_shuffles_classes_and_no_pair(spark, held, monkeypatch):
+    monkeypatch.setattr(M, "CLASSES", held)
+    r, n = random.Random(8), 5
+    labels = {i: tuple(r.randrange(2) for _ in range(3)) + (r.randrange(9), i % 7) for i in range(90)}
+    runs = spark.createDataFrame([(k, i, x[k]) for i, x in labels.items() for k in range(n)], "run int, id long, label int")
+    classes, _ = M.label_classes(runs)
+    named = {c["class"]: tuple(c["labels"]) for c in classes.collect()}
+    found = M.class_agreement(classes, n, 0.6)
+    share = {(a, b): sum(p == q for p, q in zip(named[a], named[b])) / n for a, b in itertools.combinations(sorted(named), 2)}
+    assert sorted((x.u, x.v, x.share) for x in found.collect()) == sorted((*k, s) for k, s in share.items() if s >= 0.6)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan
