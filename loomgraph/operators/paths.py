@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -55,21 +58,29 @@ def shortest_paths(links: DataFrame, source, target=None, without: list | None =
     return seen if target is None else seen.where(F.col("id") == target)
 
 
+#: Open nodes, some 100 MB, that weighted_distances() sends to all links at a time.
+OPEN = 2_000_000
+
+
 def weighted_distances(weighted: DataFrame, source, target=None, delta: float | None = None) -> DataFrame:
     """(id, d, prev, weight): distances from a source with length 1 / weight, the node before on a shortest path (ties to the
     smaller), and the weight of the link from it. With a target only nodes up to its distance are final.
 
     Delta-stepping: nodes within one bucket of width `delta` (the mean length, if not given) are relaxed along links up
     to that length until none improves, then once along longer ones; the next bucket is that of the nearest open node.
+    Links are dealt by the node they lead to once. Then open nodes come to them, OPEN at a time, and what a round shuffles is a row a node.
     """
     spark = weighted.sparkSession
-    links = checkpointed(both_ways(weighted.select("u", "v", "weight")).withColumn("len", 1 / F.col("weight")))
+    links = checkpointed(both_ways(weighted.select("u", "v", "weight")).withColumn("len", 1 / F.col("weight")).hint("rebalance", F.col("v")))
     delta = delta or links.agg(F.coalesce(F.avg("len"), F.lit(1.0)).alias("m")).first().m
     best = checkpointed(spark.createDataFrame([(source, 0.0, None, None, True, True)], "id long, d double, prev long, weight long, near boolean, far boolean"))
 
     def relaxed(best: DataFrame, flag: str, high: float, along: str) -> DataFrame:
         open_ = best.where(F.col(flag) & (F.col("d") < high)).select(F.col("id").alias("u"), "d")
-        tries = open_.join(links.where(along), "u").groupBy(F.col("v").alias("id")).agg(F.min(F.struct((F.col("d") + F.col("len")).alias("d"), F.col("u").alias("prev"), "weight")).alias("t"))
+        parts = max(1, math.ceil(open_.count() / OPEN))
+        some = [open_.where(F.pmod(F.xxhash64("u"), F.lit(parts)) == p) for p in range(parts)]
+        reached = reduce(DataFrame.union, [links.where(along).join(F.broadcast(x), "u").select("v", "u", "d", "len", "weight") for x in some])
+        tries = reached.groupBy(F.col("v").alias("id")).agg(F.min(F.struct((F.col("d") + F.col("len")).alias("d"), F.col("u").alias("prev"), "weight")).alias("t"))
         shorter = F.col("t").isNotNull() & (F.col("d").isNull() | (F.col("t.d") < F.col("d") - 1e-15))
         equal = F.col("t").isNotNull() & ~shorter & (F.abs(F.col("t.d") - F.col("d")) <= 1e-15) & (F.col("t.prev") < F.col("prev"))
         taken = shorter | F.coalesce(equal, F.lit(False))

@@ -55,3 +55,20 @@ def test_weighted_paths(spark, delta):
     assert [x.id for x in path] == want and path[-1].length == pytest.approx(dist[41])
     assert [x.weight for x in path[1:]] == [links[tuple(sorted(e))] for e in zip(want, want[1:])]
     assert P.weighted_path(nodes, weighted, 0, 60, delta).collect() == []
+
+
+@pytest.mark.parametrize("held", [2_000_000, 5])
+def test_weighted_rounds_shuffle_no_link(spark, held, monkeypatch):
+    r = random.Random(12)
+    links = {tuple(sorted(r.sample(range(40), 2))): r.randrange(1, 30) for _ in range(150)}
+    monkeypatch.setattr(P, "OPEN", held)
+    plans, keep = [], P.checkpointed
+    monkeypatch.setattr(P, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    near = [[] for _ in range(40)]
+    for (a, b), w in links.items():
+        near[a].append((b, 1 / w)), near[b].append((a, 1 / w))
+    dist, prev = K.dijkstra(near, 0)
+    got = {x.id: (x.d, x.prev) for x in P.weighted_distances(spark.createDataFrame([(a, b, w) for (a, b), w in links.items()], "u long, v long, weight long"), 0).collect()}
+    assert got == {i: (pytest.approx(dist[i]), prev[i] if prev[i] >= 0 else None) for i in range(40) if np.isfinite(dist[i])}
+    rounds = [p for p in plans if "BroadcastHashJoin" in p]
+    assert rounds and all("hashpartitioning(u#" not in p for p in plans)
