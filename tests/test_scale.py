@@ -254,6 +254,26 @@ def test_link_communities(spark):
     assert [tuple(x) for x in curve.orderBy(F.desc("similarity")).collect()] == [pytest.approx(x) for x in want]
 
 
+def test_link_communities_send_no_wedges(spark, monkeypatch):
+    _, pairs, links = graph(spark, 9, n=14, p=0.3)
+    monkeypatch.setattr(M, "_wedges", None)
+    got = {x.similarity: x.density for x in M.link_communities(pairs)[1].collect()}
+    near = {i: {i} for e in links for i in e}
+    for a, b in links:
+        near[a].add(b), near[b].add(a)
+    rows = [(len(near[a] & near[b]) / len(near[a] | near[b]), i, j) for (i, e), (j, f) in itertools.combinations(enumerate(links), 2) if len(set(e) & set(f)) == 1 for a, b in [set(e) ^ set(f)]]
+    assert got == pytest.approx(dict(K.links_sweep(rows, links)[0]))
+    # a node's rows one by one say what its product says
+    at = {x: i for i, x in enumerate(near_ids(links))}
+    u, v = np.array([at[a] for a, _ in links]), np.array([at[b] for _, b in links])
+    g = K.Csr(len(at), np.concatenate([u, v]), np.concatenate([v, u]), np.tile(np.arange(len(u)), 2))
+    whole = list(K.link_trees(g, range(g.n)))
+    monkeypatch.setattr(K, "_CELLS", 5)
+    for x, y in zip(whole, K.link_trees(g, range(g.n)), strict=True):
+        assert [a.tolist() for a in x] == [a.tolist() for a in y]
+    assert sum(len(x[0]) for x in whole) == 2 * len(u) - g.n  # rows grow as links, not as pairs of links
+
+
 def test_shuffles_change_something_and_keep_the_rest(spark):
     nodes, pairs, links = graph(spark, 11, n=40, p=0.2)
     for r, rows in itertools.groupby(sorted(N.swapped(nodes, pairs, 3).collect(), key=lambda x: x.replica), key=lambda x: x.replica):
