@@ -148,6 +148,44 @@ def test_removal_curves(spark):
         assert [x.id for x in few[1:]] == taken[:6] and [x.fraction for x in few] == pytest.approx(curve(taken)[:7])
 
 
+def test_pieces_are_removed_apart(spark, monkeypatch):
+    r = random.Random(4)
+    links = sorted((100 * k + a, 100 * k + b) for k, n in enumerate((14, 9, 12)) for a in range(n) for b in range(a + 1, n) if r.random() < 0.3)
+    links += [(400 + a, 401 + a) for a in range(6)]
+    ids = sorted({i for e in links for i in e} | {500, 501})
+    at, alive = {x: i for i, x in enumerate(ids)}, set(ids)
+    want = [(0, None, max(map(len, parts(ids, links))) / len(ids))]
+    while alive:  # the whole graph anew after each removal
+        u, v = (np.array([at[e[k]] for e in links if e[0] in alive and e[1] in alive], np.int64) for k in (0, 1))
+        score = K.dependencies(K.Csr(len(ids), np.concatenate([u, v]), np.concatenate([v, u])), np.arange(len(ids)))
+        x = max(alive, key=lambda i: (round(score[at[i]], 9), -i))
+        alive.remove(x)
+        sizes = [len(p) for p in parts(sorted(alive), [e for e in links if e[0] in alive and e[1] in alive])]
+        want.append((len(want), x, max(sizes, default=0) / len(ids)))
+    nodes, pairs = spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(links, "u long, v long")
+    for start in (13, 2048):
+        assert [tuple(x) for x in C.removal_dynamic(nodes, pairs, spread_from=start).orderBy("step").collect()] == want
+    assert [tuple(x) for x in C.removal_dynamic(nodes, pairs, 5).orderBy("step").collect()] == want[:6]
+    # no round goes to Spark where pieces are small, as it did for each removal
+    monkeypatch.setattr(C, "spread", None)
+    assert C.removal_dynamic(nodes, pairs).count() == len(want)
+
+
+@pytest.mark.parametrize("n, p", [(40, 0.3), (40, 0.06), (60, 0.02), (300, 0.05)])
+def test_dependencies_by_products(n, p, monkeypatch):
+    r = random.Random(n)
+    u, v = np.array([(a, b) for a in range(n) for b in range(a + 1, n) if r.random() < p]).T
+    want = K.dependencies(K.Csr(n, np.concatenate([u, v]), np.concatenate([v, u])), np.arange(n))
+    assert K.piece_dependencies(n, u, v) == pytest.approx(want)
+    path = np.zeros((9, 9))
+    path[np.arange(8), np.arange(1, 9)] = path[np.arange(1, 9), np.arange(8)] = 1
+    assert K.all_dependencies(path).tolist() == [2 * i * (8 - i) for i in range(9)]
+    monkeypatch.setattr(K, "_LEVELS", 0)
+    monkeypatch.setattr(K, "_LEAST_LEVELS", 4)
+    assert K.all_dependencies(path) is None
+    assert K.piece_dependencies(9, np.arange(8), np.arange(1, 9)) == pytest.approx([2 * i * (8 - i) for i in range(9)])
+
+
 def test_girvan_newman_first_split(spark):
     nodes, pairs, links = graph(spark, 3)
     ids = [r.id for r in nodes.collect()]
