@@ -4,14 +4,29 @@ An arrow can lie on a cycle only if its source has an arrow in and its target on
 arrow in and one out form paths, which pointer doubling shortens to one arrow each, so long chains cost a logarithm of
 rounds. In what is left each node takes the smallest id that reaches it; the nodes of one colour that reach back to the
 node of that id are its component. Arrows between colours lie on no cycle and leave.
+
+Where there are many arrows a node, most are not needed to find most components: what is strongly connected by some of the arrows is so by
+all. So the components of a part of the arrows are found first, each becomes one node, and only arrows between these are left, with which the
+search goes on. No arrow is passed over: those that are not in the part are all read for that. As soon as no more than `FEW` arrows are left
+(counted), one task ends the search.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.checkpoints import checkpointed
+from loomgraph.operators import kernels as K
+
+#: Arrows, 16 bytes each and some 100 while they are searched, with which one task ends the search.
+FEW = 5_000_000
+#: Arrows a node of the part that is searched first, and how many times as many there must be.
+PART, MANY = 3, 4
+#: Nodes of components, some 50 bytes each, that are sent to the arrows; beyond that both are shuffled.
+SENT = 2_000_000
 
 
 def _trimmed(live: DataFrame, n: int, rounds: int = 4) -> tuple[DataFrame, int]:
@@ -61,13 +76,58 @@ def _coloured(live: DataFrame) -> DataFrame:
             return now.select("id", "c")
 
 
+def _ended(live: DataFrame) -> DataFrame:
+    """(id, c): the smallest node of the component of each node that has an arrow; in one task, for a counted number of arrows."""
+
+    def run(batches):
+        held = list(batches)
+        if held:
+            s, t = (np.concatenate([b[c].to_numpy(np.int64) for b in held]) for c in ("s", "t"))
+            ids, ends = np.unique(np.concatenate([s, t]), return_inverse=True)
+            label = K.strong_components(K.Csr(len(ids), ends[: len(s)], ends[len(s) :]))
+            yield pd.DataFrame({"id": ids, "c": ids[label]})
+
+    return checkpointed(live.select("s", "t").coalesce(1).mapInPandas(run, "id long, c long"))
+
+
+def _merged(live: DataFrame, label: DataFrame) -> DataFrame:
+    """Arrows between components (id, c), each once; a node without one is its own."""
+    moved = label.where("id <> c")
+    if moved.count() <= SENT:
+        moved = F.broadcast(moved)
+    ends = live.join(moved.toDF("s", "cs"), "s", "left").join(moved.toDF("t", "ct"), "t", "left").select(F.coalesce("cs", "s").alias("s"), F.coalesce("ct", "t").alias("t"))
+    return checkpointed(ends.where("s <> t").distinct())
+
+
 def strong_components(nodes: DataFrame, arrows: DataFrame) -> DataFrame:
     """(id, component): the smallest id that a node reaches and is reached from; a node on no cycle is its own."""
     live = checkpointed(arrows.select(F.col("source").alias("s"), F.col("target").alias("t")).where("s <> t").distinct())
+    label, m = nodes.select("id", F.col("id").alias("component")), live.count()
+    n = nodes.count() if m > FEW else 0
+    while m > FEW and (every := -(-m // max(1, PART * n))) >= MANY:
+        part = live.where(F.pmod(F.xxhash64("s", "t"), F.lit(every)) == 0)
+        found = checkpointed(_rounds(label.select(F.col("component").alias("id")).distinct(), checkpointed(part)).toDF("id", "c"))
+        label = checkpointed(label.join(found.toDF("component", "c"), "component", "left").select("id", F.coalesce("c", "component").alias("component")))
+        before, live = m, _merged(live, found)
+        m, n = live.count(), label.select("component").distinct().count()
+        if 2 * m > before:
+            break
+    if m:
+        found = _rounds(label.select(F.col("component").alias("id")).distinct(), live).toDF("component", "c")
+        label = label.join(found, "component").select("id", F.col("c").alias("component"))
+    least = label.groupBy("component").agg(F.min("id").alias("least"))
+    return label.join(least, "component").select("id", F.col("least").alias("component"))
+
+
+def _rounds(nodes: DataFrame, live: DataFrame) -> DataFrame:
+    """strong_components() of arrows (s, t) without loops, by rounds until few are left."""
     found = nodes.sparkSession.createDataFrame([], "id long, component long")
     shortened = []
     n = live.count()
-    while True:
+    while n:
+        if n <= FEW:
+            found = found.union(_ended(live))
+            break
         live, n = _trimmed(live, n)
         if not n:
             break

@@ -7,6 +7,7 @@ import pytest
 
 from loomgraph.operators import kernels as K
 from loomgraph.operators import paths as P
+from loomgraph.operators import strong
 
 
 def arrows(seed):
@@ -29,6 +30,21 @@ def test_strong_components(spark, seed):
     assert got == {i: ids[want[k]] for i, k in at.items()}
 
 
+@pytest.mark.parametrize("few, sent", [(300, 0), (300, 100)])
+def test_strong_components_of_a_part_first(spark, monkeypatch, few, sent):
+    r = random.Random(sent)
+    links = {(100 * k + r.randrange(30), 100 * k + r.randrange(30)) for k in range(3) for _ in range(600)} | {(7, 107), (129, 203), (40, 41), (41, 7), (41, 40)}
+    links |= {(300 + k, 300 + (k + 1) % 9) for k in range(9)} | {(305, 8), (1, 400)}
+    ids = sorted({x for e in links for x in e} | {999})
+    at = {i: k for k, i in enumerate(ids)}
+    want = K.strong_components(K.Csr(len(ids), [at[a] for a, _ in links], [at[b] for _, b in links]))
+    monkeypatch.setattr(strong, "FEW", few)
+    monkeypatch.setattr(strong, "SENT", sent)
+    monkeypatch.setattr(strong, "_coloured", None)  # no round of colours over all arrows, as there was before
+    got = {r.id: r.component for r in P.strong_components(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(sorted(links), "source long, target long")).collect()}
+    assert got == {i: ids[want[k]] for i, k in at.items()}
+
+
 def test_no_arrows(spark):
     nodes = spark.createDataFrame([(1,), (2,)], "id long")
     assert sorted(map(tuple, P.strong_components(nodes, spark.createDataFrame([], "source long, target long")).collect())) == [(1, 1), (2, 2)]
