@@ -54,3 +54,16 @@ def test_swaps_across_keep_sides_and_degrees():
     assert Counter(a.tolist()) == Counter(edges[:, 0].tolist()) and Counter(b.tolist()) == Counter((edges[:, 1] + 100).tolist())
     assert len(set(zip(a.tolist(), b.tolist()))) == len(edges) and (b - 100 != edges[:, 1]).any()
     assert [x.tolist() for x in K.swap_across(np.array([], np.int64), np.array([], np.int64), rng)] == [[], []]
+
+
+def test_rounds_leave_one_checkpoint(spark):
+    from pathlib import Path
+
+    from loomgraph.functions.checkpoints import scratch
+
+    pairs = spark.createDataFrame([(i, i + k) for i in range(40) for k in (1, 2, 3)], "u long, v long")
+    folder = Path(scratch(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    new = N.rewired(pairs, rounds=5)
+    assert len(set(folder.iterdir()) - before) == 1
+    assert new.count() == 120 and new.distinct().count() == 120
